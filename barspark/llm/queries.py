@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from barspark.llm.jaccard_join import op8_jaccard_join
+from barspark.llm import decontaminate, jaccard_join, packing, token_counts
 
-QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_packing": packing.op6_packing,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op10_token_counts": token_counts.op10_token_counts,
+}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
