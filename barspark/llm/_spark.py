@@ -32,11 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, lost executors or not.
 
-    The driver's collector then runs, so that Spark removes the shuffle files of what has been written.
+    The driver's collector then runs, so that Spark removes the shuffle files of what has been written;
+    the session holds its last query until another one runs, hence the query over one row.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -178,7 +178,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
     postings = postings.withColumn("m", F.count("*").over(token)).filter("m > 1").drop("m")
     postings = cut(postings.withColumn("gid", F.first("id").over(group)).dropDuplicates(["token", "id"]).drop("same"))
 
-    sets = cut(rows.join(postings.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]))
+    sets = cut(rows.join(postings.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose sets link."""
