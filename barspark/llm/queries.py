@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from barspark.llm import decontaminate, jaccard_join, packing, token_counts
+from barspark.llm import decontaminate, jaccard_join, packing, pii, token_counts
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
+    "op7_pii": pii.op7_pii,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_token_counts": token_counts.op10_token_counts,
 }
