@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from barspark.llm import decontaminate, jaccard_join, packing, pii, token_counts
+from barspark.llm import decontaminate, jaccard_join, nearest, packing, pii, quality, token_counts
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_nearest": nearest.op9_nearest,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
