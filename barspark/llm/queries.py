@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barspark.llm import decontaminate, jaccard_join, nearest, packing, pii, quality, token_counts
+from barspark.llm import decontaminate, jaccard_join, nearest, packing, pii, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
