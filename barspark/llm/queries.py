@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barspark.llm import decontaminate, jaccard_join, license_scan, nearest, packing, pii, quality, suffix_dedup, token_counts
+from barspark.llm import decontaminate, html_text, jaccard_join, license_scan, nearest, packing, pii, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_html_text": html_text.op4_html_text,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
