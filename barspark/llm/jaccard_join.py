@@ -13,8 +13,8 @@ A document's set holds the 64-bit hashes of its distinct word shingles.  Two doc
    more than its posting rows: first each group and its neighbour in a random order of the list; then,
    of each list, the groups outside the list's largest component so far against all groups of other
    components.  Pairs inside one component need no check.
-6. Group pairs pass a size filter and a position filter, are expanded to their members, and are
-   verified on whole sets.
+6. Group pairs pass a size filter, a position filter and a bound on what they share given their common
+   prefix shingles, are expanded to their members, and are verified on whole sets.
 
 Rules: texts without words have an empty set and link with nothing; texts with fewer words than a
 shingle have one shingle, the whole sequence; null text is empty; ids repeat no more than their rows
@@ -35,9 +35,9 @@ from barspark.llm._graph import components
 from barspark.llm._spark import cut, small_batches, text_rows
 
 #: A task reports a shingle that this many of its documents hold.
-LOCAL_HEAVY = 3
-#: Shingles whose counts are sent to all tasks: 16 bytes each, so 1.6 MB at most. It bounds the order's detail, not the result.
-HEAVY_ROWS = 100_000
+LOCAL_HEAVY = 2
+#: Shingles whose counts are sent to all tasks: 16 bytes each, so 6.4 MB at most. It bounds the order's detail, not the result.
+HEAVY_ROWS = 400_000
 #: Shingle hashes that a task gathers before it reports their counts.
 HEAVY_CHUNK = 4_000_000
 
@@ -178,23 +178,35 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
     postings = postings.withColumn("m", F.count("*").over(token)).filter("m > 1").drop("m")
     postings = cut(postings.withColumn("gid", F.first("id").over(group)).dropDuplicates(["token", "id"]).drop("same"))
 
-    sets = cut(rows.join(postings.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>"))
-
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose sets link."""
-        pairs = pairs.select("u", "v").distinct()
+        pairs = cut(pairs.select("u", "v").distinct())
+        if pairs.isEmpty():
+            return pairs
+        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+        sets = rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>")
         a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_a"))
         b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_b"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "set_a", "set_b").mapInArrow(_overlaps(threshold), "u long, v long")
+        return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "set_a", "set_b").mapInArrow(_overlaps(threshold), "u long, v long"))
 
-    inner = cut(linked(postings.filter("id <> gid").select(F.col("gid").alias("u"), F.col("id").alias("v"))))
+    inner = linked(postings.filter("id <> gid").select(F.col("gid").alias("u"), F.col("id").alias("v")))
     member = inner.select(F.col("v").alias("id"), F.col("u").alias("head"))
     grouped = cut(postings.drop("gid").join(member, "id", "left").filter("head is null").drop("head").withColumnRenamed("id", "gid"))
 
+    prefixes = cut(grouped.groupBy("gid").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The group pairs (u, v) that share enough of their prefixes: what lies beyond both is at most the rest of one of them."""
+        a = prefixes.select(F.col("gid").alias("u"), F.col("n").alias("n_u"), F.col("tokens").alias("t_u"))
+        b = prefixes.select(F.col("gid").alias("v"), F.col("n").alias("n_v"), F.col("tokens").alias("t_v"))
+        beyond = F.greatest(*(F.ceil(F.col(n) * threshold / 100) - 1 for n in ("n_u", "n_v")))
+        most = F.size(F.array_intersect("t_u", "t_v")) + beyond
+        return pairs.distinct().join(a, "u").join(b, "v").filter((100 + threshold) * most >= threshold * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+
     fits = 100 * F.least("n", "other_n") >= threshold * F.greatest("n", "other_n")
     shuffled = Window.partitionBy("token").orderBy(F.xxhash64("token", "gid"), "gid")
     chained = grouped.withColumn("other", F.lag("gid").over(shuffled)).withColumn("other_n", F.lag("n").over(shuffled)).filter("other is not null").filter(fits)
-    first = cut(linked(chained.select(F.least("gid", "other").alias("u"), F.greatest("gid", "other").alias("v"))))
+    first = linked(close(chained.select(F.least("gid", "other").alias("u"), F.greatest("gid", "other").alias("v"))))
     found = inner.union(first)
 
     labels = components(found)
@@ -206,7 +218,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
     common_most = 1 + F.least(F.col("n") - F.col("pos"), F.col("g_n") - F.col("g_pos")) - 1 + F.least("pos", "g_pos")
     both = minor.join(ranked, "token").filter(F.col("g_label") != F.col("label")).filter((F.col("label") == F.col("top")) | (F.col("g") < F.col("gid")))
     both = both.filter(100 * F.least("n", "g_n") >= threshold * F.greatest("n", "g_n")).filter((100 + threshold) * common_most >= threshold * (F.col("n") + F.col("g_n")))
-    heads_apart = both.select(F.col("g").alias("g1"), F.col("gid").alias("g2")).distinct()
+    heads_apart = close(both.select(F.col("g").alias("u"), F.col("gid").alias("v"))).select(F.col("u").alias("g1"), F.col("v").alias("g2"))
     body = member.select(F.col("head").alias("g"), "id").union(grouped.select("gid", F.col("gid").alias("id")).distinct())
     expanded = heads_apart.join(body.select(F.col("g").alias("g1"), F.col("id").alias("a")), "g1").join(body.select(F.col("g").alias("g2"), F.col("id").alias("b")), "g2")
     rest = linked(expanded.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
@@ -219,3 +231,10 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """docs with one document of each component, the one with the least id; of rows with one id one stays, rows without an id all stay."""
+    kept = cut(jaccard_classes(docs, words, threshold).filter("doc_id = component_id").select("doc_id").distinct())
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
