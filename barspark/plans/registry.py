@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from barspark.plans import indicator_queries
+
+_PARTS = (indicator_queries,)
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
