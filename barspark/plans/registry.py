@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barspark.plans import indicator_queries
+from barspark.plans import indicator_queries, structure_queries
 
-_PARTS = (indicator_queries,)
+_PARTS = (indicator_queries, structure_queries)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
