@@ -97,7 +97,7 @@ y AS (SELECT *, CASE WHEN price - lag(price) OVER w > tol THEN 1 ELSE 0 END AS f
 z AS (SELECT *, sum(fresh) OVER (PARTITION BY instrument ORDER BY price, i, kind ROWS UNBOUNDED PRECEDING) AS zone FROM y),
 g AS (SELECT instrument, zone, now, min(price) AS bottom, max(price) AS top, count(*) AS touches FROM z GROUP BY ALL),
 h AS (SELECT *, CASE WHEN (bottom + top) / 2 < now THEN 'support' ELSE 'resistance' END AS side, abs((bottom + top) / 2 - now) AS distance FROM g)
-SELECT instrument, side, row_number() OVER w AS rank, bottom, top, touches, round(distance, 6) AS distance FROM h QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY instrument, side ORDER BY distance, bottom)"""
+SELECT instrument, side, row_number() OVER w AS rank, bottom, top, touches, round(distance, 6) AS distance FROM h WINDOW w AS (PARTITION BY instrument, side ORDER BY distance, bottom) QUALIFY row_number() OVER w <= 3"""
 
 TREND = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
 m AS (SELECT *, CASE WHEN i >= 19 THEN avg(close) OVER (PARTITION BY instrument ORDER BY i ROWS 19 PRECEDING) END AS s, CASE WHEN i >= 49 THEN avg(close) OVER (PARTITION BY instrument ORDER BY i ROWS 49 PRECEDING) END AS l FROM bars),
