@@ -53,7 +53,7 @@ def outcomes(events: DataFrame, bars: DataFrame, horizons=HORIZONS) -> DataFrame
     long = F.col("direction") == 1
     mfe = F.greatest(F.lit(0.0), F.when(long, F.col("top") - F.col("entry")).otherwise(F.col("entry") - F.col("bottom")))
     mae = F.greatest(F.lit(0.0), F.when(long, F.col("entry") - F.col("bottom")).otherwise(F.col("top") - F.col("entry")))
-    end = F.col("direction") * (F.col("end") - F.col("entry"))
+    end = F.when(F.col("end") == F.col("entry"), 0.0).otherwise(F.col("direction") * (F.col("end") - F.col("entry")))
     r = F.when(F.col("atr") > 0, F.col("atr"))
     return rows.select(
         "instrument", "i", "direction", "pattern", "horizon", "entry", "atr", mfe.alias("mfe"), mae.alias("mae"), end.alias("end_points"),

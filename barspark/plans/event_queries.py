@@ -107,7 +107,7 @@ w AS (SELECT j.instrument, j.i, j.direction, pattern, horizon, entry, atr, count
     min(b.i - j.i) FILTER (b.high = mx) AS ta, min(b.i - j.i) FILTER (b.low = mn) AS la
     FROM (SELECT j.*, (SELECT max(high) FROM bars x WHERE x.instrument = j.instrument AND x.i BETWEEN j.i + 1 AND j.i + horizon) AS mx, (SELECT min(low) FROM bars x WHERE x.instrument = j.instrument AND x.i BETWEEN j.i + 1 AND j.i + horizon) AS mn FROM j) j
     JOIN bars b ON b.instrument = j.instrument AND b.i BETWEEN j.i + 1 AND j.i + horizon GROUP BY ALL),
-m AS (SELECT *, greatest(0.0, CASE WHEN direction = 1 THEN t - entry ELSE entry - l END) AS mfe, greatest(0.0, CASE WHEN direction = 1 THEN entry - l ELSE t - entry END) AS mae, direction * (e - entry) AS ep, CASE WHEN atr > 0 THEN atr END AS r FROM w WHERE c = horizon)
+m AS (SELECT *, greatest(0.0, CASE WHEN direction = 1 THEN t - entry ELSE entry - l END) AS mfe, greatest(0.0, CASE WHEN direction = 1 THEN entry - l ELSE t - entry END) AS mae, CASE WHEN e = entry THEN 0.0 ELSE direction * (e - entry) END AS ep, CASE WHEN atr > 0 THEN atr END AS r FROM w WHERE c = horizon)
 SELECT instrument, i, direction, pattern, horizon, entry, round(atr, 6) AS atr, round(mfe, 6) AS mfe, round(mae, 6) AS mae, round(ep, 6) AS end_points, CASE WHEN direction = 1 THEN ta ELSE la END AS mfe_at, CASE WHEN direction = 1 THEN la ELSE ta END AS mae_at,
     round(mfe / r, 6) AS mfe_r, round(mae / r, 6) AS mae_r, round(ep / r, 6) AS end_r FROM m"""
 
