@@ -144,19 +144,26 @@ def is_contaminated(share: int = 20):
     return (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with columns c0, c1, ... and the name of the text among them: no name of docs can clash with a result's."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), f"c{docs.columns.index('text')}"
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 13, share: int = 20) -> DataFrame:
     """docs without the contaminated documents: those of whose words one in ``share`` at least is hit."""
-    return contamination(docs, benchmark, words).filter(~is_contaminated(share)).select(*docs.columns)
+    rows, text = _numbered(docs)
+    return contamination(rows, benchmark, words, text).filter(~is_contaminated(share)).select(*rows.columns).toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, words: int = 13) -> DataFrame:
     """docs with the hit spans cut out of their texts; a null text stays null."""
-    found = contamination(docs, benchmark, words)
-    raw = F.encode(F.col("text"), "UTF-8")
+    rows, text = _numbered(docs)
+    found = contamination(rows, benchmark, words, text)
+    raw = F.encode(F.col(text), "UTF-8")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("hit_bytes", lambda x: x["end"]))
-    ends = F.concat(F.transform("hit_bytes", lambda x: x["start"]), F.array(F.octet_length("text").cast("long")))
+    ends = F.concat(F.transform("hit_bytes", lambda x: x["start"]), F.array(F.octet_length(text).cast("long")))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.decode(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "UTF-8")), "")
-    return found.withColumn("text", F.when(F.size("hit_bytes") > 0, kept).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn(text, F.when(F.size("hit_bytes") > 0, kept).otherwise(F.col(text))).select(*rows.columns).toDF(*docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

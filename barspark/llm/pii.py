@@ -145,9 +145,14 @@ def pii_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every span of its texts replaced by its kind in brackets; where spans overlap, the first one's kind stands for all."""
+    names = docs.columns
+    key, text = (f"c{names.index(x)}" for x in (key, text))
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name of docs can clash with those used here
     found = pii_spans(docs, key, text)
     kinds = (*KINDS, "context")
-    spans = F.concat(*(F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in kinds))
+    # transform hands a second parameter the element's number, so the kind must come from the enclosing scope
+    named = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    spans = F.concat(*map(named, kinds))
     held = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.array_sort(spans).alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_d", "_h"])
     rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = rows.join(held, rows[key].eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
@@ -161,7 +166,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(t)).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(t)).select(*docs.columns).toDF(*names)
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

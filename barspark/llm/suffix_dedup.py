@@ -42,9 +42,9 @@ GRAM = 64
 SHALLOW = 96
 PORTION = 40_000
 PAD = 0xFF  # no byte of UTF-8
-ANCHORS = "pk long, doc_id long, rk long, pos int, sure boolean"
-SURROUNDINGS = "pk long, doc_id long, rk long, pos long, lo long, hi long, around binary"
-RUNS = "doc_id long, rk long, lo long, hi long"
+ANCHORS = "pk long, dk long, rk long, pos int, sure boolean"
+SURROUNDINGS = "pk long, dk long, rk long, pos long, lo long, hi long, around binary"
+RUNS = "dk long, rk long, lo long, hi long"
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -80,7 +80,7 @@ def _find(length: int):
     def run(batches):
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "rk"))
+            docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dk", "rk"))
             rows, places, grams = [], [], []
             for first, last, buf, starts in blocks(texts):
                 pos, h = anchors(buf, starts, length)
@@ -97,7 +97,7 @@ def _find(length: int):
             sent[first] = True
             # of a gram that this batch repeats, one anchor stands for all where grams are counted
             pk = np.where(sure & ~sent, mix(h ^ (keys[row].view(np.uint64) + pos.astype(np.uint64))), h)
-            yield pa.RecordBatch.from_arrays([pa.array(pk.astype(np.int64)), pa.array(docs[row]), pa.array(keys[row]), pa.array(pos.astype(np.int32)), pa.array(sure)], names=["pk", "doc_id", "rk", "pos", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(pk.astype(np.int64)), pa.array(docs[row]), pa.array(keys[row]), pa.array(pos.astype(np.int32)), pa.array(sure)], names=["pk", "dk", "rk", "pos", "sure"])
 
     return run
 
@@ -119,7 +119,7 @@ def _surround(length: int, gram: int = GRAM):
 
     def emit(pk, doc, rk, pos, lo, hi, around):
         arrays = [pa.array(np.asarray(x, np.int64)) for x in (pk, doc, rk, pos, lo, hi)]
-        return pa.RecordBatch.from_arrays([*arrays, around], names=["pk", "doc_id", "rk", "pos", "lo", "hi", "around"])
+        return pa.RecordBatch.from_arrays([*arrays, around], names=["pk", "dk", "rk", "pos", "lo", "hi", "around"])
 
     def portion(texts, docs, keys, lists):
         """lo and hi bound the distances at which a window before the anchor lies within its text; a settled run has no surroundings."""
@@ -159,7 +159,7 @@ def _surround(length: int, gram: int = GRAM):
     def run(batches):
         for batch in batches:
             texts, lists = as_bytes(batch.column("text")), batch.column("places").to_pylist()
-            docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "rk"))
+            docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dk", "rk"))
             first = 0
             while first < len(texts):
                 last, n, size = first, 0, 0
@@ -294,13 +294,13 @@ def repeated_starts(around: np.ndarray, lo: np.ndarray, hi: np.ndarray, length:
 
 
 def _settle(length: int, portion: int, gram: int = GRAM):
-    names = ["doc_id", "rk", "lo", "hi"]
+    names = ["dk", "rk", "lo", "hi"]
 
     def runs(table: pa.Table):
         raw = table.column("around").combine_chunks()
         width = 2 * length - gram
         around = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, width)
-        doc, rk, pos, lo, hi = (table.column(c).to_numpy() for c in ("doc_id", "rk", "pos", "lo", "hi"))
+        doc, rk, pos, lo, hi = (table.column(c).to_numpy() for c in ("dk", "rk", "pos", "lo", "hi"))
         least, most = repeated_starts(around, lo, hi, length)
         keep = most >= 0
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, rk, pos - most, pos - least + length)], names=names)
@@ -359,19 +359,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts_out: bool = True
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with texts_out also kept (the remaining bytes) and removed_runs."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("rk", F.xxhash64("doc_id", "text"))
+    # dk and rk name a row: its id, with a stand-in for null, and a hash of its text
+    rows = rows.withColumn("dk", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("rk", F.xxhash64("text"))
     found = rows.mapInArrow(_find(length), ANCHORS)
     again = found.withColumn("n", F.count("*").over(Window.partitionBy("pk"))).filter(F.col("sure") | (F.col("n") > 1))
-    places = cut(again.groupBy("doc_id", "rk").agg(F.collect_set("pos").alias("places")))
+    places = cut(again.groupBy("dk", "rk").agg(F.collect_set("pos").alias("places")))
 
-    same_row = lambda a, b: a["rk"].eqNullSafe(b["rk2"]) & a["doc_id"].eqNullSafe(b["doc_id2"])
-    renamed = lambda df: df.withColumnRenamed("rk", "rk2").withColumnRenamed("doc_id", "doc_id2")
-    other = renamed(places)
-    joined = rows.join(other, same_row(rows, other)).select("doc_id", "rk", "text", "places")
+    joined = rows.join(places, ["dk", "rk"]).select("dk", "rk", "text", "places")
     around = joined.mapInArrow(_surround(length), SURROUNDINGS)
     settled = around.repartition("pk").sortWithinPartitions("pk").mapInArrow(_settle(length, portion), RUNS)
-    runs = renamed(settled.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
-    out = rows.join(runs, same_row(rows, runs), "left").select("doc_id", "text", "runs")
+    runs = settled.groupBy("dk", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    out = rows.join(runs, ["dk", "rk"], "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return out.mapInArrow(_finish(texts_out), schema + (", kept binary, removed_runs array<struct<start:long,end:long>>" if texts_out else ""))
 
