@@ -102,27 +102,30 @@ def prefix_length(n: np.ndarray | int, threshold: int):
 
 
 def _prefixes(words: int, threshold: int, heavy: np.ndarray, counts: np.ndarray):
-    """Posting rows: shingle, id, set size, position in the prefix, hash of the prefix."""
+    """Posting rows: shingle, id, set size, position in the prefix, hash of the prefix, and where its last shingle stands in the order."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for doc, values in zip(ids, shingle_sets(as_bytes(batch.column("text")), words), strict=True):
                 n = len(values)
                 if not n:
                     continue
                 p = prefix_length(n, threshold)
+                often = np.zeros(n, np.int64)
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, values), len(heavy) - 1)
                     often = np.where(heavy[at] == values, counts[at], 0)
-                    values = values[np.lexsort((values, often))]
+                    order = np.lexsort((values, often))
+                    values, often = values[order], often[order]
                 prefix = values[:p]
+                last = int((prefix[-1] ^ np.uint64(1 << 63)).astype(np.int64))
                 same = np.full(p, _set_hash(prefix)[0], np.int64)
-                for column, x in zip(out, (prefix.astype(np.int64), np.full(p, doc), np.full(p, n), np.arange(p), same), strict=True):
+                for column, x in zip(out, (prefix.astype(np.int64), np.full(p, doc), np.full(p, n), np.arange(p), same, np.full(p, often[p - 1]), np.full(p, last)), strict=True):
                     column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["token", "id", "n", "pos", "same"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["token", "id", "n", "pos", "same", "last_c", "last_h"])
 
     return run
 
@@ -157,6 +160,19 @@ def _overlaps(threshold: int):
     return run
 
 
+def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows whose count reaches the least power of 2 ** (1 / 8) that at most ``most`` rows reach."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((r["level"], r["count"]) for r in counted.groupBy(level.alias("level")).count().collect()), reverse=True)
+    total, least = 0, None
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = at
+    return counted.filter(level >= least) if least is not None else counted.limit(0)
+
+
 def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row; see the module for the rules."""
     spark = docs.sparkSession
@@ -166,14 +182,16 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
     sized = scanned.filter("kind = 0").drop("kind")
     classes = cut(sized.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id")))
 
-    often = scanned.filter("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "token").limit(HEAVY_ROWS).toPandas()
+    counted = scanned.filter("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("c"))
+    often = _most_frequent(cut(counted), HEAVY_ROWS).toPandas()
     heavy, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64)
     order = np.argsort(heavy)
 
-    heads = rows.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    # texts go through a sorted join at every size, so that what is shuffled follows the input
+    heads = rows.hint("merge").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     token = Window.partitionBy("token")
     group = Window.partitionBy("token", "n", "same").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    postings = heads.mapInArrow(_prefixes(words, threshold, heavy[order], counts[order]), "token long, id long, n long, pos long, same long")
+    postings = heads.mapInArrow(_prefixes(words, threshold, heavy[order], counts[order]), "token long, id long, n long, pos long, same long, last_c long, last_h long")
     # a class whose id stands in two rows with different texts gives each posting once
     postings = postings.withColumn("m", F.count("*").over(token)).filter("m > 1").drop("m")
     postings = cut(postings.withColumn("gid", F.first("id").over(group)).dropDuplicates(["token", "id"]).drop("same"))
@@ -184,7 +202,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
         if pairs.isEmpty():
             return pairs
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        sets = rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>")
+        sets = rows.hint("merge").join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>")
         a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_a"))
         b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_b"))
         return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "set_a", "set_b").mapInArrow(_overlaps(threshold), "u long, v long"))
@@ -193,19 +211,31 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
     member = inner.select(F.col("v").alias("id"), F.col("u").alias("head"))
     grouped = cut(postings.drop("gid").join(member, "id", "left").filter("head is null").drop("head").withColumnRenamed("id", "gid"))
 
-    prefixes = cut(grouped.groupBy("gid").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
+    prefixes = cut(grouped.groupBy("gid").agg(F.first("n").alias("n"), F.first("last_c").alias("last_c"), F.first("last_h").alias("last_h"), F.collect_list("token").alias("tokens")))
+    beyond = F.ceil(F.col("n") * threshold / 100) - 1  # shingles after the prefix
+    grouped = grouped.join(prefixes.select("gid", (F.size("tokens") + beyond).alias("cap")), "gid")
+    grouped = cut(grouped.withColumn("own", F.struct("n", "last_c", "last_h", "cap")).drop("n", "last_c", "last_h", "cap"))
+
+    def reaches(x, y, shared=None):
+        """Whether two sets can link.
+
+        Of the two prefixes, the one that ends first in the order holds every common shingle up to its end; so the
+        sets share what the prefixes share, at most all of that prefix that occurs again, and what comes after it.
+        """
+        first = (x["last_c"] < y["last_c"]) | ((x["last_c"] == y["last_c"]) & (x["last_h"] <= y["last_h"]))
+        most = F.when(first, x["cap"]).otherwise(y["cap"]) if shared is None else shared + F.when(first, x["beyond"]).otherwise(y["beyond"])
+        sizes = 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
+        return sizes & ((100 + threshold) * most >= threshold * (x["n"] + y["n"]))
 
     def close(pairs: DataFrame) -> DataFrame:
-        """The group pairs (u, v) that share enough of their prefixes: what lies beyond both is at most the rest of one of them."""
-        a = prefixes.select(F.col("gid").alias("u"), F.col("n").alias("n_u"), F.col("tokens").alias("t_u"))
-        b = prefixes.select(F.col("gid").alias("v"), F.col("n").alias("n_v"), F.col("tokens").alias("t_v"))
-        beyond = F.greatest(*(F.ceil(F.col(n) * threshold / 100) - 1 for n in ("n_u", "n_v")))
-        most = F.size(F.array_intersect("t_u", "t_v")) + beyond
-        return pairs.distinct().join(a, "u").join(b, "v").filter((100 + threshold) * most >= threshold * (F.col("n_u") + F.col("n_v"))).select("u", "v")
-
-    fits = 100 * F.least("n", "other_n") >= threshold * F.greatest("n", "other_n")
+        """The group pairs (u, v) whose prefixes share enough."""
+        side = F.struct("n", "last_c", "last_h", beyond.alias("beyond"))
+        a = prefixes.select(F.col("gid").alias("u"), side.alias("x"), F.col("tokens").alias("t_u"))
+        b = prefixes.select(F.col("gid").alias("v"), side.alias("y"), F.col("tokens").alias("t_v"))
+        return pairs.distinct().join(a, "u").join(b, "v").filter(reaches(F.col("x"), F.col("y"), F.size(F.array_intersect("t_u", "t_v")))).select("u", "v")
+
     shuffled = Window.partitionBy("token").orderBy(F.xxhash64("token", "gid"), "gid")
-    chained = grouped.withColumn("other", F.lag("gid").over(shuffled)).withColumn("other_n", F.lag("n").over(shuffled)).filter("other is not null").filter(fits)
+    chained = grouped.withColumn("other", F.lag("gid").over(shuffled)).withColumn("theirs", F.lag("own").over(shuffled)).filter("other is not null").filter(reaches(F.col("own"), F.col("theirs")))
     first = linked(close(chained.select(F.least("gid", "other").alias("u"), F.greatest("gid", "other").alias("v"))))
     found = inner.union(first)
 
@@ -214,10 +244,10 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
     per_label = labelled.withColumn("c", F.count("*").over(Window.partitionBy("token", "label")))
     main = Window.partitionBy("token")
     ranked = cut(per_label.withColumn("top", F.max(F.struct("c", "label")).over(main)["label"]).withColumn("bottom", F.min("label").over(main)).withColumn("last", F.max("label").over(main)).filter("bottom <> last").drop("bottom", "last"))
-    minor = ranked.filter("label <> top").select("token", F.col("gid").alias("g"), F.col("n").alias("g_n"), F.col("pos").alias("g_pos"), F.col("label").alias("g_label"))
-    common_most = 1 + F.least(F.col("n") - F.col("pos"), F.col("g_n") - F.col("g_pos")) - 1 + F.least("pos", "g_pos")
-    both = minor.join(ranked, "token").filter(F.col("g_label") != F.col("label")).filter((F.col("label") == F.col("top")) | (F.col("g") < F.col("gid")))
-    both = both.filter(100 * F.least("n", "g_n") >= threshold * F.greatest("n", "g_n")).filter((100 + threshold) * common_most >= threshold * (F.col("n") + F.col("g_n")))
+    minor = ranked.filter("label <> top").select("token", F.col("gid").alias("g"), F.col("own").alias("theirs"), F.col("pos").alias("g_pos"), F.col("label").alias("g_label"))
+    room = F.least(F.col("own.n") - F.col("pos"), F.col("theirs.n") - F.col("g_pos")) + F.least("pos", "g_pos")
+    apart = (F.col("g_label") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("g") < F.col("gid")))
+    both = minor.join(ranked, "token").filter(apart & reaches(F.col("own"), F.col("theirs")) & ((100 + threshold) * room >= threshold * (F.col("own.n") + F.col("theirs.n"))))
     heads_apart = close(both.select(F.col("g").alias("u"), F.col("gid").alias("v"))).select(F.col("u").alias("g1"), F.col("v").alias("g2"))
     body = member.select(F.col("head").alias("g"), "id").union(grouped.select("gid", F.col("gid").alias("id")).distinct())
     expanded = heads_apart.join(body.select(F.col("g").alias("g1"), F.col("id").alias("a")), "g1").join(body.select(F.col("g").alias("g2"), F.col("id").alias("b")), "g2")
