@@ -17,8 +17,9 @@ around it, so equal windows have their anchor at the same place in them, whateve
    the end of the nearest one.  A document's runs are united.
 
 All comparisons are on the bytes; hashes only choose anchors and send equal grams to one place.  A partition
-is read in the order of its grams and handled in portions of whole grams, so memory follows the number of
-different surroundings of one gram, not the number of copies.
+is read in the order of its grams and handled in portions of whole grams.  A gram with more than ``MOST``
+different surroundings, such as the edge of a passage that very many documents hold, isn't gathered: its
+windows are counted by a 128-bit hash each, over all tasks, which gives the same runs.
 
 Rules: a null text is empty; texts shorter than ``length`` lose nothing; rows that repeat, id included, are
 copies of each other and lose all their windows; an empty table gives an empty table; further columns are
@@ -34,17 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.llm._bytes import CODES, as_bytes, blocks, mix, span_hash, sums
+from barspark.llm._bytes import BASE, BASE_INV, CODES, as_bytes, blocks, mix, powers, span_hash, sums
 from barspark.llm._spark import cut, small_batches
 
 LENGTH = 200
 GRAM = 64
 SHALLOW = 96
 PORTION = 40_000
+#: Different surroundings of one gram that a task sorts; a gram with more is settled by hashes of its windows.
+MOST = 120_000
 PAD = 0xFF  # no byte of UTF-8
 ANCHORS = "pk long, dk long, rk long, pos int, sure boolean"
 SURROUNDINGS = "pk long, dk long, rk long, pos long, lo long, hi long, around binary"
-RUNS = "dk long, rk long, lo long, hi long"
+RUNS = "dk long, rk long, lo long, hi long, d long, h1 long, h2 long"
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -293,25 +296,57 @@ def repeated_starts(around: np.ndarray, lo: np.ndarray, hi: np.ndarray, length:
     return least, most
 
 
-def _settle(length: int, portion: int, gram: int = GRAM):
-    names = ["dk", "rk", "lo", "hi"]
+def window_hashes(around: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row's windows, one column for each distance at which a window starts before the anchor."""
+    n, before = len(around), length - gram
+    at = before - np.arange(before + 1)
+    out = []
+    for codes in (CODES, mix(CODES.copy())):
+        cum = np.zeros((n, around.shape[1] + 1), np.uint64)
+        np.cumsum(codes[around] * powers(BASE_INV, around.shape[1]), axis=1, out=cum[:, 1:])
+        out.append(mix(((cum[:, at + length] - cum[:, at]) * powers(BASE, around.shape[1] + 1)[at]).ravel()).reshape(n, -1))
+    return out[0], out[1]
 
-    def runs(table: pa.Table):
+
+def _settle(length: int, portion: int, most: int, gram: int = GRAM):
+    """Runs of removed bytes; for a gram with very many different surroundings, hashed windows instead (lo and hi both the anchor's place)."""
+    names = ["dk", "rk", "lo", "hi", "d", "h1", "h2"]
+
+    def columns(table: pa.Table):
         raw = table.column("around").combine_chunks()
-        width = 2 * length - gram
-        around = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, width)
-        doc, rk, pos, lo, hi = (table.column(c).to_numpy() for c in ("dk", "rk", "pos", "lo", "hi"))
-        least, most = repeated_starts(around, lo, hi, length)
-        keep = most >= 0
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, rk, pos - most, pos - least + length)], names=names)
+        around = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, 2 * length - gram)
+        return around, *(table.column(c).to_numpy() for c in ("dk", "rk", "pos", "lo", "hi"))
+
+    def batch_of(*arrays):
+        none = pa.nulls(len(arrays[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays), *[none] * (7 - len(arrays))], names=names)
+
+    def runs(table: pa.Table):
+        around, dk, rk, pos, lo, hi = columns(table)
+        nearest, farthest = repeated_starts(around, lo, hi, length)
+        keep = farthest >= 0
+        return batch_of(*(x[keep] for x in (dk, rk, pos - farthest, pos - nearest + length)))
+
+    def windows(table: pa.Table):
+        for k in range(0, table.num_rows, 2000):
+            around, dk, rk, pos, lo, hi = columns(table.slice(k, 2000))
+            h1, h2 = window_hashes(around, length)
+            row, d = np.nonzero((np.arange(h1.shape[1]) >= lo[:, None]) & (np.arange(h1.shape[1]) <= hi[:, None]))
+            yield batch_of(dk[row], rk[row], pos[row], pos[row], d, h1[row, d].astype(np.int64), h2[row, d].astype(np.int64))
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        large = None  # a gram that turned out to have more than ``most`` surroundings
         for batch in batches:
-            done = batch.filter(pa.compute.is_null(batch.column("around")))
-            if done.num_rows:
-                yield done.select(names)
+            settled = batch.filter(pa.compute.is_null(batch.column("around")))
+            if settled.num_rows:
+                yield batch_of(*(settled.column(c) for c in ("dk", "rk", "lo", "hi")))
             rest = batch.filter(pa.compute.is_valid(batch.column("around")))
+            if large is not None and rest.num_rows:
+                more = int(np.searchsorted(rest.column("pk").to_numpy(), large, side="right"))
+                yield from windows(pa.Table.from_batches([rest.slice(0, more)]))
+                rest = rest.slice(more)
+                large = large if not rest.num_rows else None
             if not rest.num_rows:
                 continue
             held.append(rest)
@@ -321,7 +356,11 @@ def _settle(length: int, portion: int, gram: int = GRAM):
                 whole = int(np.searchsorted(pk, pk[-1]))  # the last gram may go on in the next batch
                 if whole:
                     yield runs(table.slice(0, whole))
-                    held = table.slice(whole).to_batches()
+                table = table.slice(whole)
+                held = table.to_batches()
+                if table.num_rows > most:
+                    yield from windows(table)
+                    held, large = [], int(pk[-1])
         if held:
             yield runs(pa.Table.from_batches(held))
 
@@ -355,7 +394,7 @@ def _finish(texts_out: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, texts_out: bool = True, key: str = "doc_id", text: str = "text", portion: int = PORTION) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, texts_out: bool = True, key: str = "doc_id", text: str = "text", portion: int = PORTION, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with texts_out also kept (the remaining bytes) and removed_runs."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -367,8 +406,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts_out: bool = True
 
     joined = rows.join(places, ["dk", "rk"]).select("dk", "rk", "text", "places")
     around = joined.mapInArrow(_surround(length), SURROUNDINGS)
-    settled = around.repartition("pk").sortWithinPartitions("pk").mapInArrow(_settle(length, portion), RUNS)
-    runs = settled.groupBy("dk", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    settled = cut(around.repartition("pk").sortWithinPartitions("pk").mapInArrow(_settle(length, portion, most), RUNS))
+    runs = settled.filter("d is null").select("dk", "rk", "lo", "hi")
+    windows = settled.filter("d is not null")
+    if not windows.isEmpty():
+        again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+        bounds = windows.join(again, ["h1", "h2"]).groupBy("dk", "rk", F.col("lo").alias("pos")).agg(F.min("d").alias("a"), F.max("d").alias("b"))
+        runs = runs.unionByName(bounds.select("dk", "rk", (F.col("pos") - F.col("b")).alias("lo"), (F.col("pos") - F.col("a") + length).alias("hi")))
+    runs = runs.groupBy("dk", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     out = rows.join(runs, ["dk", "rk"], "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return out.mapInArrow(_finish(texts_out), schema + (", kept binary, removed_runs array<struct<start:long,end:long>>" if texts_out else ""))

@@ -73,6 +73,7 @@ def test_suffix_dedup(docs, texts, nothing):
     columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert by_id(suffix_dedup.remove_repeats(docs), *columns) == sorted(want, key=repr)
     assert by_id(suffix_dedup.remove_repeats(docs, portion=5), *columns) == sorted(want, key=repr)
+    assert by_id(suffix_dedup.remove_repeats(docs, portion=2, most=2), *columns) == sorted(want, key=repr)
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
