@@ -9,33 +9,35 @@ from pyspark.sql import functions as F
 from barspark.functions.sessions import RTH, local, market_state, minute_of_day, session_date, to_utc
 from barspark.sources.bars import series
 
-OHLCV = [
-    F.min_by("open", "ts").alias("open"),
-    F.max("high").alias("high"),
-    F.min("low").alias("low"),
-    F.max_by("close", "ts").alias("close"),
-    F.sum("volume").alias("volume"),
-]
+
+def _ohlcv() -> list:
+    return [
+        F.min_by("open", "ts").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "ts").alias("close"),
+        F.sum("volume").alias("volume"),
+    ]
 
 
 def resample(bars: DataFrame, minutes: int, labels: str = "end") -> DataFrame:
     """Coarser bars labelled with the end of their bucket; a bar that is itself labelled with its end belongs to the bucket it ends in."""
     at = F.col("ts") - F.expr("interval 1 microsecond") if labels == "end" else F.col("ts")
-    return bars.withColumn("bucket", F.window(at, f"{minutes} minutes")["end"]).groupBy("instrument", F.col("bucket")).agg(*OHLCV).withColumnRenamed("bucket", "ts")
+    return bars.withColumn("bucket", F.window(at, f"{minutes} minutes")["end"]).groupBy("instrument", F.col("bucket")).agg(*_ohlcv()).withColumnRenamed("bucket", "ts")
 
 
 def resample_4h(bars: DataFrame) -> DataFrame:
     """Four-hour bars of the local wall clock from 18:00, so a change of daylight saving shifts nothing; labelled with their end in UTC."""
     at = local(F.col("ts") - F.expr("interval 1 microsecond"))
     bucket = F.window(at, "4 hours", "4 hours", "2 hours")["end"]
-    return bars.withColumn("bucket", bucket).groupBy("instrument", "bucket").agg(*OHLCV).withColumn("ts", to_utc(F.col("bucket"))).drop("bucket")
+    return bars.withColumn("bucket", bucket).groupBy("instrument", "bucket").agg(*_ohlcv()).withColumn("ts", to_utc(F.col("bucket"))).drop("bucket")
 
 
 def resample_daily(bars: DataFrame) -> DataFrame:
     """One bar a session, labelled 17:00 local in UTC."""
     day = session_date(F.col("ts") - F.expr("interval 1 microsecond"))
     end = to_utc(F.col("session").cast("timestamp_ntz") + F.expr("interval 17 hours"))
-    return bars.withColumn("session", day).groupBy("instrument", "session").agg(*OHLCV).withColumn("ts", end)
+    return bars.withColumn("session", day).groupBy("instrument", "session").agg(*_ohlcv()).withColumn("ts", end)
 
 
 def opening_range(ticks: DataFrame, minutes: int) -> DataFrame:
@@ -102,22 +104,24 @@ def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
     return profile.groupBy("instrument", "session").applyInPandas(grow, "instrument string, session date, poc long, val long, vah long")
 
 
-REASONS = (
-    ("instrument_missing", F.coalesce(F.trim("instrument"), F.lit("")) == ""),
-    ("timeframe_unknown", ~F.coalesce(F.col("timeframe").isin("1m", "5m", "15m", "30m", "1h", "4h", "1d"), F.lit(False))),
-    ("time_unreadable", F.col("ts").isNull()),
-    ("time_in_future", F.col("ts") > F.col("now") + F.expr("interval 5 minutes")),
-    ("price_not_finite", F.coalesce(F.isnan(F.col("open") + F.col("high") + F.col("low") + F.col("close")) | (F.abs(F.col("open") + F.col("high") + F.col("low") + F.col("close")) == float("inf")), F.lit(True))),
-    ("volume_bad", F.coalesce((F.col("volume") < 0) | F.isnan("volume"), F.lit(True))),
-    ("high_under_low", F.col("high") < F.col("low")),
-    ("prices_inconsistent", (F.greatest("open", "close") > F.col("high")) | (F.least("open", "close") < F.col("low"))),
-)
+def _reasons() -> tuple:
+    """Reasons to reject a bar, in the order in which they are tested."""
+    return (
+        ("instrument_missing", F.coalesce(F.trim("instrument"), F.lit("")) == ""),
+        ("timeframe_unknown", ~F.coalesce(F.col("timeframe").isin("1m", "5m", "15m", "30m", "1h", "4h", "1d"), F.lit(False))),
+        ("time_unreadable", F.col("ts").isNull()),
+        ("time_in_future", F.col("ts") > F.col("now") + F.expr("interval 5 minutes")),
+        ("price_not_finite", F.coalesce(F.isnan(F.col("open") + F.col("high") + F.col("low") + F.col("close")) | (F.abs(F.col("open") + F.col("high") + F.col("low") + F.col("close")) == float("inf")), F.lit(True))),
+        ("volume_bad", F.coalesce((F.col("volume") < 0) | F.isnan("volume"), F.lit(True))),
+        ("high_under_low", F.col("high") < F.col("low")),
+        ("prices_inconsistent", (F.greatest("open", "close") > F.col("high")) | (F.least("open", "close") < F.col("low"))),
+    )
 
 
 def validated(bars: DataFrame, now) -> DataFrame:
     """bars with the first reason to reject each, or null."""
     rows, reason = bars.withColumn("now", now), F.lit(None).cast("string")
-    for name, failed in reversed(REASONS):
+    for name, failed in reversed(_reasons()):
         reason = F.when(failed, name).otherwise(reason)
     return rows.withColumn("reject_reason", reason).drop("now")
 
