@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 def plain(value):
     if value is None or value is pd.NaT or (not isinstance(value, (list, dict)) and pd.isna(value)):
         return None
-    if isinstance(value, bool) or type(value).__name__ == "bool_":
+    if isinstance(value, bool) or type(value).__name__ in ("bool", "bool_"):
         return bool(value)
     if isinstance(value, (int, float)) or hasattr(value, "dtype") and value.dtype.kind in "iuf":
         return float(f"{float(value):.9g}") + 0.0
