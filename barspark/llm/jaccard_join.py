@@ -10,7 +10,8 @@ A document's set holds the 64-bit hashes of its distinct word shingles.  Two doc
    size and prefix form one group, so a posting list holds groups.
 4. A group's members are verified against its head; those that don't link leave it.
 5. Group pairs come from the posting lists, in two steps, so that a large group of near copies costs no
-   more than its posting rows: first each group and its neighbour in a random order of the list; then,
+   more than its posting rows: first each group with its neighbour in a random order of the list and with the
+   group that has the fewest rarer shingles; then,
    of each list, the groups outside the list's largest component so far against all groups of other
    components.  Pairs inside one component need no check.
 6. Group pairs pass a size filter, a position filter and a bound on what they share given their common
@@ -213,8 +214,23 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
 
     prefixes = cut(grouped.groupBy("gid").agg(F.first("n").alias("n"), F.first("last_c").alias("last_c"), F.first("last_h").alias("last_h"), F.collect_list("token").alias("tokens")))
     beyond = F.ceil(F.col("n") * threshold / 100) - 1  # shingles after the prefix
-    grouped = grouped.join(prefixes.select("gid", (F.size("tokens") + beyond).alias("cap")), "gid")
-    grouped = cut(grouped.withColumn("own", F.struct("n", "last_c", "last_h", "cap")).drop("n", "last_c", "last_h", "cap"))
+    grouped = grouped.join(prefixes.select("gid", F.size("tokens").alias("again"), (F.size("tokens") + beyond).alias("cap"), beyond.alias("beyond")), "gid")
+    nth = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
+    at = F.struct("n", "last_c", "last_h", "cap", "again", "beyond", "pos", nth.alias("nth"))
+    grouped = cut(grouped.select("token", "gid", at.alias("own")))
+
+    def ends_first(x, y):
+        return (x["last_c"] < y["last_c"]) | ((x["last_c"] == y["last_c"]) & (x["last_h"] <= y["last_h"]))
+
+    def after(x, y):
+        """Shingles that come after the prefix that ends first."""
+        return F.when(ends_first(x, y), x["beyond"]).otherwise(y["beyond"])
+
+    def can_be_first(x, y):
+        """Whether a posting that two sets have in common can be their first one, if they link: enough must be left of either, in and after the prefixes."""
+        enough = threshold * (x["n"] + y["n"])
+        inside = (100 + threshold) * (F.least(x["again"] - x["nth"], y["again"] - y["nth"]) + after(x, y)) >= enough
+        return inside & ((100 + threshold) * F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= enough)
 
     def reaches(x, y, shared=None):
         """Whether two sets can link.
@@ -222,8 +238,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
         Of the two prefixes, the one that ends first in the order holds every common shingle up to its end; so the
         sets share what the prefixes share, at most all of that prefix that occurs again, and what comes after it.
         """
-        first = (x["last_c"] < y["last_c"]) | ((x["last_c"] == y["last_c"]) & (x["last_h"] <= y["last_h"]))
-        most = F.when(first, x["cap"]).otherwise(y["cap"]) if shared is None else shared + F.when(first, x["beyond"]).otherwise(y["beyond"])
+        most = F.when(ends_first(x, y), x["cap"]).otherwise(y["cap"]) if shared is None else shared + after(x, y)
         sizes = 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
         return sizes & ((100 + threshold) * most >= threshold * (x["n"] + y["n"]))
 
@@ -235,7 +250,10 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
         return pairs.distinct().join(a, "u").join(b, "v").filter(reaches(F.col("x"), F.col("y"), F.size(F.array_intersect("t_u", "t_v")))).select("u", "v")
 
     shuffled = Window.partitionBy("token").orderBy(F.xxhash64("token", "gid"), "gid")
-    chained = grouped.withColumn("other", F.lag("gid").over(shuffled)).withColumn("theirs", F.lag("own").over(shuffled)).filter("other is not null").filter(reaches(F.col("own"), F.col("theirs")))
+    rarest_first = Window.partitionBy("token").orderBy("own.pos", "gid")
+    seen = F.struct("gid", "own")
+    chained = grouped.withColumn("near", F.array_distinct(F.array_compact(F.array(F.lag(seen).over(shuffled), F.first(seen).over(rarest_first)))))
+    chained = chained.select("gid", "own", F.explode("near").alias("o")).select("gid", "own", F.col("o.gid").alias("other"), F.col("o.own").alias("theirs")).filter("gid <> other").filter(reaches(F.col("own"), F.col("theirs")))
     first = linked(close(chained.select(F.least("gid", "other").alias("u"), F.greatest("gid", "other").alias("v"))))
     found = inner.union(first)
 
@@ -244,10 +262,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
     per_label = labelled.withColumn("c", F.count("*").over(Window.partitionBy("token", "label")))
     main = Window.partitionBy("token")
     ranked = cut(per_label.withColumn("top", F.max(F.struct("c", "label")).over(main)["label"]).withColumn("bottom", F.min("label").over(main)).withColumn("last", F.max("label").over(main)).filter("bottom <> last").drop("bottom", "last"))
-    minor = ranked.filter("label <> top").select("token", F.col("gid").alias("g"), F.col("own").alias("theirs"), F.col("pos").alias("g_pos"), F.col("label").alias("g_label"))
-    room = F.least(F.col("own.n") - F.col("pos"), F.col("theirs.n") - F.col("g_pos")) + F.least("pos", "g_pos")
+    minor = ranked.filter("label <> top").select("token", F.col("gid").alias("g"), F.col("own").alias("theirs"), F.col("label").alias("g_label"))
     apart = (F.col("g_label") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("g") < F.col("gid")))
-    both = minor.join(ranked, "token").filter(apart & reaches(F.col("own"), F.col("theirs")) & ((100 + threshold) * room >= threshold * (F.col("own.n") + F.col("theirs.n"))))
+    both = minor.join(ranked, "token").filter(apart & reaches(F.col("own"), F.col("theirs")) & can_be_first(F.col("own"), F.col("theirs")))
     heads_apart = close(both.select(F.col("g").alias("u"), F.col("gid").alias("v"))).select(F.col("u").alias("g1"), F.col("v").alias("g2"))
     body = member.select(F.col("head").alias("g"), "id").union(grouped.select("gid", F.col("gid").alias("id")).distinct())
     expanded = heads_apart.join(body.select(F.col("g").alias("g1"), F.col("id").alias("a")), "g1").join(body.select(F.col("g").alias("g2"), F.col("id").alias("b")), "g2")
