@@ -2,15 +2,18 @@
 
 A page is a stream of tags and texts.  Runs of equal blocks in it are folded into repeated groups.  The streams
 of a host are aligned one after another, without unions: what both have stays, a text that differs becomes a
-slot, what only one has becomes optional.  The result is the host's wrapper; its slots carry how much text the
-host's pages have there, and the wrapper tells in which element the main text stands: an article or main
-element, else the innermost one that holds most of the text that is no link.
+slot, what only one has becomes optional.  The result is the host's wrapper.  Each page is parsed by it, which gives
+every text a place in the wrapper.  A text that stands at its place on all pages that have the place, two
+different pages at least, is template; what differs from page to page fills a slot.  The slots' texts tell in
+which element the main text stands: an article or main element, else the innermost one that holds most of the
+text that is no link.  Inside an article or main element the markup itself says that a text is content, so
+equal texts there are no template.
 
 The streams are counted by host and structure before anything is gathered, so a host with very many pages
 brings its different structures only; those are aligned in groups of ``GROUP`` at most, level by level.
-Each page then is cut by its host's wrapper: the texts inside the main element, less what lies in
+Each page then is cut by its host's wrapper: the slots' texts inside the main element, less what lies in
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles within it.  A page
-that lacks its host's main element is cut by the wrapper of its own stream alone.
+that lacks its host's main element is cut by the slots' texts of its own stream alone.
 
 Rules: null html is empty; a page without main text has an empty text; a null or odd URL is a host of its
 own name; rows with one id are cut each for itself; an empty table gives an empty table; further columns are ignored.
@@ -19,6 +22,7 @@ own name; rows with one id are cut each for itself; an empty table gives an empt
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import json
 import re
@@ -33,8 +37,11 @@ from barspark.llm._spark import cut, small_batches
 
 GROUP = 64
 LONGEST_BLOCK = 16
-DEEPEST = 60
+MARK = 80
 BROADCAST_HOSTS = 20_000
+BROADCAST_BYTES = 32 << 20
+#: The path of what stands in no element.
+TOP = 0
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^"'>]+|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -58,13 +65,22 @@ def host_of(url: str | None) -> str:
     return (m[1] if m else (url or "")).lower()
 
 
+def number(text: str) -> int:
+    """A 64-bit number of a text, the same on all workers."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Page:
-    """The stream of a page: tags and '#' for texts; of each text its characters, element path, block and whether it is content."""
+    """The stream of a page: tags and '#' for texts; of each text its characters, element path, block and whether it is content.
+
+    A path is a number made of the parent's path and the element's key; ``elements`` has each path's parent, name and depth.
+    """
 
     def __init__(self, source: str):
         self.stream: list[str] = []
-        self.texts: list[tuple[str, str, int, bool, bool]] = []  # text, path, block, boilerplate, in a link
-        stack: list[tuple[str, str, bool]] = []  # name, path, boilerplate
+        self.texts: list[tuple[str, int, int, bool, bool, bool]] = []  # text, path, block, boilerplate, in a link, in an article or main element
+        self.elements: dict[int, tuple[int, str, int]] = {}
+        stack: list[tuple[str, int, bool, bool, bool]] = []  # name, path, boilerplate, in a link, in an article or main element
         block, raw_until, at, n = 0, None, 0, len(source)
         while at < n:
             if raw_until is not None:
@@ -82,8 +98,8 @@ class Page:
                     last = self.texts[-1]
                     self.texts[-1] = (last[0] + piece, *last[1:])
                 else:
-                    path, boiler = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                    self.texts.append((piece, path, block, boiler, any(x[0] == "a" for x in stack[-8:])))
+                    path, boiler, link, inside = stack[-1][1:] if stack else (TOP, False, False, False)
+                    self.texts.append((piece, path, block, boiler, link, inside))
                     self.stream.append("#")
                 continue
             name = name.lower()
@@ -103,10 +119,11 @@ class Page:
             self._close_before(stack, name)
             mark = self._mark(m[3])
             key = name + (f".{mark}" if mark else "")
-            path, boiler = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            inside = any(x[0] in ("article", "main") for x in stack)
+            parent, boiler, link, inside = stack[-1][1:] if stack else (TOP, False, False, False)
             boiler = boiler or name in NO_CONTENT or (name == "header" and not inside) or bool(mark and name not in ("html", "body", "article", "main") and self._is_boiler(m[3]))
-            stack.append((name, f"{path}/{key}" if len(stack) < DEEPEST else path, boiler))
+            path = number(f"{parent}/{key}")
+            self.elements[path] = (parent, name, len(stack) + 1)
+            stack.append((name, path, boiler, link or name == "a", inside or name in ("article", "main")))
             self.stream.append(f"<{key}>")
             if name in RAW:
                 raw_until = name
@@ -136,7 +153,8 @@ class Page:
     @staticmethod
     def _mark(attributes: str) -> str:
         found = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        return re.sub(r"[0-9]+", "0", "#".join(found[k].strip().lower() for k in ("class", "id", "role") if found.get(k)))[:80].replace("/", "|")
+        mark = re.sub(r"[0-9]+", "0", "#".join(found[k].strip().lower() for k in ("class", "id", "role") if found.get(k))).replace("/", "|")
+        return mark if len(mark) <= MARK else f"{mark[:MARK]}~{number(mark[MARK:]):x}"
 
     @staticmethod
     def _is_boiler(attributes: str) -> bool:
@@ -146,12 +164,21 @@ class Page:
                 return True
         return False
 
-    def main_text(self, main: str | None) -> str:
-        """The texts inside the main element, by block."""
+    def within(self, main: int | None) -> set[int]:
+        """The paths of the main element and of what lies in it."""
+        held = set()
+        for path, (parent, _, _) in self.elements.items():  # parents come first
+            if path == main or parent in held:
+                held.add(path)
+        return held
+
+    def main_text(self, main: int | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+        """The texts inside the main element, less those numbered in template, by block."""
+        held = self.within(main)
         blocks: list[tuple[int, str]] = []
         gap = True
-        for (text, path, block, boiler, _), (before, after) in zip(self.texts, self.joints, strict=True):
-            if boiler or main is None or not (path == main or path.startswith(main + "/")):
+        for i, ((text, path, block, boiler, *_), (before, after)) in enumerate(zip(self.texts, self.joints, strict=True)):
+            if boiler or i in template or path not in held:
                 gap = True
                 continue
             if blocks and blocks[-1][0] == block:
@@ -168,40 +195,99 @@ class Page:
 # -- wrappers -----------------------------------------------------------------------------------
 
 
-def fold(stream: list, longest: int = LONGEST_BLOCK) -> list:
-    """Tandem repeats as groups ['+', block]."""
-    stream = list(stream)
+def fold_places(stream: list, places: list[list], longest: int = LONGEST_BLOCK) -> tuple[list, list[list]]:
+    """Tandem repeats as groups ['+', block]; places has of each node, for each '#' in it, the numbers of the texts that stand there."""
+    stream, places = list(stream), list(places)
     for size in range(1, longest + 1):
-        out, i, n = [], 0, len(stream)
+        out, held, i, n = [], [], 0, len(stream)
         while i < n:
             block, j = stream[i : i + size], i + size
             while len(block) == size and stream[j : j + size] == block:
                 j += size
             if j > i + size and not (size == 1 and isinstance(block[0], list)):
                 out.append(["+", block])
+                held.append(_joined([_flat(places[k : k + size]) for k in range(i, j, size)]))
                 i = j
             else:
                 out.append(stream[i])
+                held.append(places[i])
                 i += 1
-        stream = out
-    return stream
+        stream, places = out, held
+    return stream, places
+
+
+def _flat(places: list[list]) -> list:
+    return [x for p in places for x in p]
+
+
+def _joined(repeats: list[list]) -> list:
+    """One place for each '#' of a block, of what stands there in its repeats."""
+    return [_flat(x) for x in zip(*repeats, strict=True)]
+
+
+def fold(stream: list, longest: int = LONGEST_BLOCK) -> list:
+    """Tandem repeats as groups ['+', block]."""
+    return fold_places(stream, [[]] * len(stream), longest)[0]
 
 
 def _absorb(nodes: list, groups: list[list]) -> list:
-    """Single occurrences of blocks that the other side repeats become repeated groups too; so do groups that follow each other."""
+    """Single occurrences of blocks that the other side repeats become repeated groups too; so do groups that follow each other. Nodes may carry places."""
     for block in groups:
         size, out, i = len(block), [], 0
         while i < len(nodes):
-            if [x[0] for x in nodes[i : i + size]] == block:
-                out.append((["+", block], all(x[1] for x in nodes[i : i + size])))
+            if nodes[i][0] == block[0] and [x[0] for x in nodes[i : i + size]] == block:
+                part = nodes[i : i + size]
+                out.append((["+", block], all(x[1] for x in part), *([_flat([x[2] for x in part])] if len(part[0]) > 2 else [])))
                 i += size
             else:
                 out.append(nodes[i])
                 i += 1
-        nodes = [x for k, x in enumerate(out) if not (k and isinstance(x[0], list) and x[0] == out[k - 1][0])]
+        nodes = []
+        for x in out:
+            if nodes and isinstance(x[0], list) and x[0] == nodes[-1][0]:
+                if len(x) > 2:
+                    nodes[-1] = (*x[:1], nodes[-1][1], _joined([nodes[-1][2], x[2]]))
+            else:
+                nodes.append(x)
     return nodes
 
 
+def _slots(node) -> int:
+    """How many '#' a node has."""
+    return sum(map(_slots, node[1])) if isinstance(node, list) else int(node == "#")
+
+
+class Wrapper:
+    """A host's expression, by which structures are parsed."""
+
+    def __init__(self, text: str):
+        nodes = [x[0] for x in json.loads(text)]
+        self.groups = [x[1] for x in nodes if isinstance(x, list)]
+        self.keys, self.first, n = [json.dumps(x) for x in nodes], [], 0
+        for x in nodes:
+            self.first.append(n)
+            n += _slots(x)
+
+    def parse(self, nodes: list, places: list[list]) -> dict[int, int]:
+        """The wrapper's place of each numbered text of a structure; texts without a place are left out."""
+        own = _absorb(list(zip(nodes, [False] * len(nodes), places, strict=True)), self.groups)
+        out = {}
+        for i, j, size in difflib.SequenceMatcher(None, self.keys, [json.dumps(x[0]) for x in own], autojunk=False).get_matching_blocks():
+            for k in range(size):
+                for at, texts in enumerate(own[j + k][2]):
+                    out.update(dict.fromkeys(texts, self.first[i + k] + at))
+        return out
+
+
+def _numbered(stream: list) -> list[list]:
+    """The places of a stream: its texts are numbered in order."""
+    out, n = [], 0
+    for x in stream:
+        out.append([[n]] if x == "#" else [])
+        n += x == "#"
+    return out
+
+
 def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
     """One union-free expression for both: lists of (node, optional)."""
     groups = [x[0][1] for x in (*a, *b) if isinstance(x[0], list)]
@@ -218,53 +304,101 @@ def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
     return out
 
 
-def main_path(weights: dict[str, list[float]]) -> str | None:
-    """The path of the main element. weights: by path the characters of content, of links in it, and of boilerplate."""
-    total: dict[str, float] = defaultdict(float)
-    for path, (content, links, _) in weights.items():
-        parts = path.split("/")
-        for i in range(2, len(parts) + 1):
-            total["/".join(parts[:i])] += content - links
-    for names in (("article",), ("main",)):
-        named = [p for p in total if p.rsplit("/", 1)[-1].split(".")[0] in names]
-        outer = [p for p in named if not any(p.startswith(q + "/") for q in named)]
+def main_path(weights: dict[int, list[float]], elements: dict[int, tuple[int, str, int]]) -> int | None:
+    """The path of the main element. weights: by path the characters of content and of links in it; elements: by path its parent, name and depth."""
+    total = dict.fromkeys(elements, 0.0)
+    for path, (content, links) in weights.items():
+        if path in total:
+            total[path] += content - links
+    for path in sorted(elements, key=lambda p: -elements[p][2]):
+        if elements[path][0] in total:
+            total[elements[path][0]] += total[path]
+    by_depth = sorted(elements, key=lambda p: elements[p][2])
+    for name in ("article", "main"):
+        below, outer = set(), []
+        for path in by_depth:
+            parent, own, _ = elements[path]
+            if parent in below:
+                below.add(path)
+            elif own == name:
+                below.add(path)
+                outer.append(path)
         if outer and max(total[p] for p in outer) > 0:
             return max(outer, key=lambda p: (total[p], p))
     best = max(total.values(), default=0)
     if best <= 0:
         return None
     most = [p for p, v in total.items() if v >= 0.6 * best]
-    return max(most, key=lambda p: (p.count("/"), total[p], p))
+    return max(most, key=lambda p: (elements[p][2], total[p], p))
 
 
-def _weights(page: Page) -> dict[str, list[float]]:
-    out: dict[str, list[float]] = {}
-    for text, path, _, boiler, link in page.texts:
-        w = out.setdefault(path, [0.0, 0.0, 0.0])
-        if boiler:
-            w[2] += len(text)
-        else:
+def _weights(page: Page, without: frozenset[int] | set[int] = frozenset()) -> dict[int, list[float]]:
+    """By path the characters of content and of links in it, less those of the texts numbered in without."""
+    out: dict[int, list[float]] = {}
+    for i, (text, path, _, boiler, link, _) in enumerate(page.texts):
+        if not boiler and i not in without:
+            w = out.setdefault(path, [0.0, 0.0])
             w[0] += len(text)
             w[1] += len(text) * link
     return out
 
 
+def _open(page: Page) -> set[int]:
+    """The numbers of the texts that could be template or content: neither boilerplate nor in an article or main element."""
+    return {i for i, (text, _, _, boiler, _, inside) in enumerate(page.texts) if text and not boiler and not inside}
+
+
+FOUND = "host string, structure string, id long, place int, text long, page long, path long, parent long, name string, depth int, content double, links double"
+FOUND_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64()]
+
+
 def _structures(batches):
-    """(host, structure, path, content, links, boiler) by batch; the structure once a host and batch, with a null path."""
+    """Of each batch: structures (with how many pages have them), elements (with the weights of texts that can't be template), and texts that can, by their number in the structure."""
     for batch in batches:
-        weights: dict[tuple[str, str], list[float]] = {}
+        weights: dict[tuple[str, int], list] = {}
         streams: dict[tuple[str, str], int] = defaultdict(int)
+        rows: list[tuple] = []
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host, page = host_of(url), Page(source or "")
-            streams[host, json.dumps(fold(page.stream))] += 1
-            for path, w in _weights(page).items():
-                have = weights.setdefault((host, path), [0.0, 0.0, 0.0])
-                for i in range(3):
-                    have[i] += w[i]
-        rows = [(h, s, None, float(n), 0.0, 0.0) for (h, s), n in streams.items()] + [(h, None, p, *w) for (h, p), w in weights.items()]
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        types = [pa.string()] * 3 + [pa.float64()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], names=["host", "structure", "path", "content", "links", "boiler"])
+            nodes, places = fold_places(page.stream, _numbered(page.stream))
+            structure, open_texts, whole = json.dumps(nodes), _open(page), number(source or "")
+            streams[host, structure] += 1
+            if open_texts:
+                own = number(structure)
+                for place, texts in enumerate(_flat(places)):
+                    for i in texts:
+                        if i in open_texts:
+                            text, path, _, _, link, _ = page.texts[i]
+                            rows.append((host, None, own, place, number(text), whole, path, None, None, None, float(len(text)), float(len(text) * link)))
+            held = _weights(page, open_texts)
+            for path in {x[1] for x in page.texts}:
+                first = True
+                while path in page.elements and (first or (host, path) not in weights):
+                    have = weights.setdefault((host, path), [*page.elements[path], 0.0, 0.0])
+                    if first:
+                        have[3], have[4] = (x + y for x, y in zip(have[3:], held.get(path, (0.0, 0.0)), strict=True))
+                    first, path = False, page.elements[path][0]
+        rows += [(h, s, number(s), None, None, None, None, None, None, None, float(n), 0.0) for (h, s), n in streams.items()]
+        rows += [(h, None, None, None, None, None, p, *w) for (h, p), w in weights.items()]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(FOUND_TYPES)
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, FOUND_TYPES, strict=True)], names=names)
+
+
+def _parse(batches):
+    """(host, id, places): of each structure, the wrapper's place of each of its own places, or -1."""
+    for batch in batches:
+        out = []
+        for wrapper, structure in zip(batch.column("wrapper").to_pylist(), batch.column("structure").to_pylist(), strict=True):
+            nodes = json.loads(structure)
+            places, n = [], 0
+            for x in nodes:
+                size = _slots(x)
+                places.append([[n + k] for k in range(size)])
+                n += size
+            found = Wrapper(wrapper).parse(nodes, places)
+            out.append([found.get(k, -1) for k in range(n)])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("id"), pa.array(out, pa.list_(pa.int32()))], names=["host", "id", "places"])
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -277,12 +411,12 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages, main): each host's expression as JSON of [node, optional] (a node is a tag, '#', or ['+', block]) and the path of its main element."""
+    """(host, wrapper, pages, main, template): each host's expression as JSON of [node, optional] (a node is a tag, '#', or ['+', block]), the path of its main element, and its template texts: the place (which '#' of the expression) and number of each."""
     small_batches(pages.sparkSession)
-    found = cut(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_structures, "host string, structure string, path string, content double, links double, boiler double"))
+    found = cut(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_structures, FOUND))
     wrap = F.udf(lambda s: json.dumps([[x, False] for x in json.loads(s)]))
-    level = found.filter("path is null").groupBy("host", "structure").agg(F.sum("content").cast("long").alias("pages")).select("host", wrap("structure").alias("wrapper"), "pages")
-    level = cut(level)
+    structures = found.filter("structure is not null").groupBy("host", "structure", "id").agg(F.sum("content").cast("long").alias("pages"))
+    level = cut(structures.select("host", wrap("structure").alias("wrapper"), "pages"))
     while True:
         sizes = level.groupBy("host").agg(F.count("*").alias("n"))
         largest = sizes.agg(F.max("n")).first()[0] or 0
@@ -291,34 +425,55 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         dealt = level.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / GROUP).cast("int")))
         level = cut(dealt.groupBy("host", "part").applyInPandas(lambda key, x: _merge(x), "host string, wrapper string, pages long"))
 
+    texts = found.filter("text is not null")
+    parsed = structures.join(texts.select("host", "id").distinct(), ["host", "id"], "left_semi").join(level.select("host", "wrapper"), "host")
+    parsed = parsed.select("host", "id", "structure", "wrapper").mapInArrow(_parse, "host string, id long, places array<int>")
+    placed = cut(texts.join(parsed, ["host", "id"]).select("host", F.col("places")[F.col("place")].alias("place"), "text", "page", "path", "content", "links"))
+    standing = placed.filter("place >= 0").select("host", "place", "text", "page").distinct()
+    repeated = standing.groupBy("host", "place", "text").agg(F.count("*").alias("n")).filter("n > 1")
+    everywhere = standing.select("host", "place", "page").distinct().groupBy("host", "place").agg(F.count("*").alias("n"))
+    template = cut(repeated.join(everywhere, ["host", "place", "n"]).select("host", "place", "text"))
+
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        weights = {p: [c, k, b] for p, c, k, b in zip(rows["path"], rows["content"], rows["links"], rows["boiler"], strict=True)}
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "main": [main_path(weights)]})
+        weights = {p: [c, k] for p, c, k in zip(rows["path"], rows["content"], rows["links"], strict=True)}
+        elements = {p: (q, n, d) for p, q, n, d in zip(rows["path"], rows["parent"], rows["name"], rows["depth"], strict=True)}
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "main": pd.array([main_path(weights, elements)], "Int64")})
 
-    paths = found.filter("path is not null").groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("content", "links", "boiler")))
-    chosen = paths.groupBy("host").applyInPandas(choose, "host string, main string")
-    return level.join(chosen, "host", "left")
+    slots = placed.join(template, ["host", "place", "text"], "left_anti").select("host", "path", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("depth"), "content", "links")
+    paths = found.filter("parent is not null").select(slots.columns).unionByName(slots)
+    paths = paths.groupBy("host", "path").agg(*(F.max(c).alias(c) for c in ("parent", "name", "depth")), *(F.sum(c).alias(c) for c in ("content", "links"))).filter("parent is not null")
+    chosen = paths.groupBy("host").applyInPandas(choose, "host string, main long")
+    listed = template.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("template"))
+    return level.join(chosen, "host", "left").join(listed, "host", "left")
 
 
 def _extract(batches):
     for batch in batches:
-        texts = []
-        for source, main in zip(batch.column("html").to_pylist(), batch.column("main").to_pylist(), strict=True):
-            page = Page(source or "")
-            text = page.main_text(main) if main else ""
-            texts.append(text or page.main_text(main_path(_weights(page))))
+        texts, wrappers = [], {}
+        for source, main, wrapper, listed in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "wrapper", "template")), strict=True):
+            page, template = Page(source or ""), set()
+            if listed and (open_texts := _open(page)):
+                if wrapper not in wrappers:
+                    wrappers[wrapper] = (Wrapper(wrapper), {(x["place"], x["text"]) for x in listed})
+                by, known = wrappers[wrapper]
+                placed = by.parse(*fold_places(page.stream, _numbered(page.stream)))
+                template = {i for i in open_texts if (placed.get(i, -1), number(page.texts[i][0])) in known}
+            text = page.main_text(main, template) if main is not None else ""
+            texts.append(text or page.main_text(main_path(_weights(page, template), page.elements), template))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    wrappers = cut(infer_wrappers(pages).select(F.col("host").alias("h"), "main"))
+    wrapper = F.when(F.col("template").isNotNull(), F.col("wrapper")).alias("wrapper")
+    wrappers = cut(infer_wrappers(pages).select(F.col("host").alias("h"), "main", wrapper, "template"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     # hosts are few as against pages, but grow with them: they are broadcast only where they are counted and few
-    few = wrappers.count() <= BROADCAST_HOSTS
+    n, size = wrappers.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("wrapper"), F.lit(0)) + 16 * F.coalesce(F.array_size("template"), F.lit(0)))).first()
+    few = n <= BROADCAST_HOSTS and (size or 0) <= BROADCAST_BYTES
     host = F.lower(F.coalesce(F.nullif(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")), F.when(F.col("url").rlike(r"^\s*(?:[a-zA-Z][\w+.-]*:)?//"), F.lit("")), F.col("url"), F.lit("")))
     held = rows.withColumn("host", host).join(F.broadcast(wrappers) if few else wrappers, F.col("host") == F.col("h"), "left")
-    return held.select("page_id", "url", "html", "main").mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return held.select("page_id", "url", "html", "main", "wrapper", "template").mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:

@@ -275,6 +275,20 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_template_texts(spark):
+    body = "<html><body><div>Home News About us and much more of a menu</div>{}<p>We use small files, please agree to all of it.</p></body></html>"
+    paragraphs = lambda k: "".join(f"<p>Text {k} number {x} of the page.</p>" for x in range(1 + k % 3))
+    rows = [(k, f"http://plain.org/{k}", body.format(paragraphs(k))) for k in range(7)]
+    # deeper than any fixed depth, and marks that differ after any fixed length
+    deep = lambda k: "<div>" * 100 + f"<p class='{'x' * 200}a'>Deep text {k} here.</p><p class='{'x' * 200}b'><a href=q>Link {k} that is longer than all of the text</a></p>" + "</div>" * 100
+    rows += [(10 + k, f"http://deep.org/{k}", deep(k)) for k in range(3)] + [(20, "http://one.org/", body.format(paragraphs(0))), (21, "http://one.org/", body.format(paragraphs(0)))]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(7):
+        assert got[k] == "\n".join(f"Text {k} number {x} of the page." for x in range(1 + k % 3))
+    assert [got[10 + k] for k in range(3)] == [f"Deep text {k} here." for k in range(3)]
+    assert "We use small files" in got[20] and got[20] == got[21]
+
+
 def test_wrapper_alignment():
     a = [(x, False) for x in html_text.fold(["<ul>", *["<li>", "#", "</li>"] * 3, "</ul>", "<p>", "#", "</p>"])]
     b = [(x, False) for x in html_text.fold(["<ul>", "<li>", "#", "</li>", "</ul>", "<hr>", "<p>", "#", "</p>"])]
