@@ -1,11 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the spans of four strict patterns (e-mail, IPv4, card, phone), each checked: octets, Luhn, digit
-counts.  Every token with digits is an instance; the word before it and its shape make a lexical pattern.
-Patterns and distinct instances form a bipartite graph.  A round scores each pattern by the mean score of its
-instances, drawn towards zero where it has few, and each unknown instance by the patterns that it stands in;
-seeds keep 1.  After the rounds, unknown instances over ``accept`` in patterns with enough seeds are new spans
-of kind ``context``.  Distinct values count once, so copies of a document add nothing to a pattern.
+counts.  Every such span is a seed, whatever its length, digits or spaces; candidates are the matches that fail
+their check and the tokens with a digit or an @, less the punctuation around them, where they meet no seed.
+The word before an instance and its shape make a lexical pattern.  Patterns and distinct instances form a
+bipartite graph.  A round admits the patterns with ``min_seeds`` seeds or instances accepted so far, scores
+each by the mean score of its instances, drawn towards zero where it has few, and each unknown instance by the
+admitted patterns that it stands in; seeds keep 1, and an unknown instance over ``accept`` is accepted.  After
+the rounds, accepted instances in admitted patterns are new spans of kind ``context``.  Distinct values count
+once, so copies of a document add nothing to a pattern.
+
+An instance's shape is a shape of the first admitted patterns, or it can't be accepted: what admits a pattern
+has the pattern's shape.  Candidates of other shapes are left out before the graph is built.
 
 Positions are code points; ends are exclusive.  A span's place is the summed length of what ``split`` leaves
 before it and of the matches before it.  The patterns are written without backtracking into long runs; they
@@ -26,12 +32,16 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+OPENING = r"""[(\[{<"']*"""
+CLOSING = r"""[)\]}>"'.,;:!?]*"""
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SEEDS = 3
 ACCEPT = 0.9
 CHUNK = 256
+#: Characters before a match from which the word before it is read.
+LEFT = 50
 
 SPAN = "struct<start:long,end:long,value:string,left:string>"
 
@@ -40,7 +50,9 @@ def _found(text: Column, pattern: str) -> Column:
     """Spans of all matches: start, end, value and the word before."""
     gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    # what stands before a match: the match before it and the gap between them
+    before = F.zip_with(F.concat(F.array(F.lit("")), values), gaps, lambda v, g: F.struct(g.alias("gap"), F.right(F.concat(F.right(v, F.lit(LEFT)), F.right(g, F.lit(LEFT))), F.lit(LEFT)).alias("tail")))
+    both = F.zip_with(before, values, lambda b, v: F.struct(b["gap"].alias("gap"), b["tail"].alias("tail"), v.alias("value")))
     hits = F.slice(both, F.lit(1), F.size(values))
     # the running position is folded over chunks, so that a text with very many matches costs no square of them
     width = lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long")
@@ -51,7 +63,7 @@ def _found(text: Column, pattern: str) -> Column:
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        left = F.regexp_extract(x["gap"], r"(\S{1,40})\s{1,4}$", 1)
+        left = F.regexp_extract(x["tail"], r"(\S{1,40})\s{1,4}" + OPENING + "$", 1)
         span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value"), left.alias("left"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
@@ -85,13 +97,29 @@ CHECKS = {
 }
 
 
-def _base(text: Column, kind: str) -> Column:
-    pattern, needs, check = CHECKS[kind]
+def _matches(text: Column, kind: str) -> Column:
+    pattern, needs, _ = CHECKS[kind]
     none = F.array().cast(f"array<{SPAN}>")
     likely = text.contains(needs) if needs else F.lit(True)
     if kind != "email":
         likely = likely & text.rlike("[0-9]")
-    return F.when(likely, F.filter(_found(text, pattern), lambda s: check(s["value"]))).otherwise(none)
+    return F.when(likely, _found(text, pattern)).otherwise(none)
+
+
+def _checked(matches: Column, kind: str, passed: bool = True) -> Column:
+    return F.filter(matches, lambda s: F.coalesce(CHECKS[kind][2](s["value"]), F.lit(False)) == passed)
+
+
+def _trimmed(tokens: Column) -> Column:
+    """Tokens without the punctuation around them."""
+
+    def trim(s):
+        value = F.regexp_replace(s["value"], "^" + OPENING, "")
+        start = s["end"] - F.length(value)
+        value = F.regexp_replace(value, CLOSING + "$", "")
+        return F.struct(start.cast("long").alias("start"), (start + F.length(value)).cast("long").alias("end"), value.alias("value"), s["left"].alias("left"))
+
+    return F.transform(tokens, trim)
 
 
 def _named(spans: Column, kind: str) -> Column:
@@ -104,38 +132,46 @@ def _shape(value: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, email, ip, card, phone, token): the base spans of each kind and the tokens with digits that could be identifiers."""
+    """(doc_id, text_hash, email, ip, card, phone, token): the base spans of each kind and what else could be identifiers."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
-    tokens = F.when(t.rlike("[0-9]"), F.filter(_found(t, TOKEN), lambda s: (F.length(s["value"]) >= 8) & (F.length(_digits(s["value"])) >= 4))).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return rows.select("doc_id", F.xxhash64("t").alias("text_hash"), *(_base(t, k).alias(k) for k in KINDS), tokens.alias("token"))
+    tokens = F.when(t.rlike("[0-9@]"), _found(t, TOKEN)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    found = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), *(_matches(t, k).alias(k) for k in KINDS), tokens.alias("token"))
+    failed = F.concat(*(_checked(F.col(k), k, False) for k in KINDS if k != "email"))
+    return found.select("doc_id", "text_hash", *(_checked(F.col(k), k).alias(k) for k in KINDS), F.concat(_trimmed(F.col("token")), failed).alias("token"))
 
 
-def _instances(found: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, end, value, pattern, seed) of every token; one that meets a base span is a seed."""
+def _instances(found: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(doc_id, text_hash, start, end, value, pattern, seed) of every base span, a seed, and of every candidate of a seeds' shape that meets none."""
+    shape = _shape(F.col("s.value"))
+    columns = ("doc_id", "text_hash", "s.start", "s.end", "s.value", F.concat_ws(" ", F.lower("s.left"), shape).alias("pattern"), shape.alias("shape"))
+    seeds = found.select("doc_id", "text_hash", F.explode(F.concat(*KINDS)).alias("s")).select(*columns, F.lit(True).alias("seed"))
     held = found.select("doc_id", "text_hash", F.concat(*KINDS).alias("base"), F.explode("token").alias("s"))
     meets = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    pattern = F.concat_ws(" ", F.lower("s.left"), _shape(F.col("s.value")))
-    return held.select("doc_id", "text_hash", "s.start", "s.end", "s.value", pattern.alias("pattern"), meets.alias("seed"))
+    strong = seeds.select("pattern", "shape", "value").distinct().groupBy("pattern", "shape").agg(F.count("*").alias("n")).filter(F.col("n") >= min_seeds)
+    shapes = cut(strong.select("shape").distinct())
+    both = seeds.unionByName(held.filter(~meets).select(*columns, F.lit(False).alias("seed")))
+    return both.join(shapes, "shape", "left_semi").drop("shape")
 
 
 def discover(instances: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(pattern, value) of the unknown instances that the graph accepts."""
-    edges = cut(instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    strong = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= min_seeds).select("pattern")
-    edges = cut(edges.join(strong, "pattern", "left_semi"))
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
+    edges = instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    scored = cut(edges.withColumn("score", F.col("seed").cast("double")).withColumn("admitted", F.col("seed")))
     for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 0.1)).alias("confidence"))
-        values = edges.filter("not seed").join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("now"))
-        scored = cut(edges.join(values, "value", "left").select("pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("now")).alias("score")))
-    return scored.filter(~F.col("seed") & (F.col("score") >= accept)).select("pattern", "value")
+        support = F.count_if(F.col("seed") | (F.col("score") >= accept))
+        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 0.1)).alias("confidence"), support.alias("support")).filter(F.col("support") >= min_seeds).drop("support")
+        rated = scored.select("pattern", "value", "seed").join(patterns, "pattern", "left")
+        values = rated.filter("not seed and confidence is not null").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("now"))
+        score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("now", F.lit(0.0)))
+        scored = cut(rated.join(values, "value", "left").select("pattern", "value", "seed", score.alias("score"), F.col("confidence").isNotNull().alias("admitted")))
+    return scored.filter(~F.col("seed") & F.col("admitted") & (F.col("score") >= accept)).select("pattern", "value")
 
 
 def pii_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, email, ip, card, phone, context) of every row: arrays of spans."""
     found = cut(base_spans(docs, key, text))
-    instances = _instances(found)
+    instances = cut(_instances(found))
     accepted = discover(instances)
     new = instances.filter("not seed").join(accepted, ["pattern", "value"], "left_semi")
     new = new.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value", F.lit("").alias("left")))).alias("context"))
