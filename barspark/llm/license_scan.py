@@ -3,10 +3,11 @@
 Words are runs of digits, letters and characters beyond ASCII, A-Z folded.  Licence words are the words of the
 templates and of the base phrases; how many documents hold each is counted over all documents, which gives
 their inverse document frequencies.  The index lists, for each licence word, the templates and positions
-where it stands, for the templates' highest-weight words.  Of a document, the licence words that occur are looked up from the highest frequency weight
-down; each posting votes for a template at the place where it would begin, by relative position.  A place with
-votes for enough of the template's words is a candidate; it counts if the template's mandatory phrases stand
-there, word for word, near where the template has them.
+where it stands, for the templates' highest-weight words.  A template whose mandatory phrases don't all stand in a
+document is ruled out there.  For the others, all licence words that occur are looked up; each posting votes for a
+template at the place where it would begin, by relative position.  A place with two votes is a candidate; it
+counts if enough of the template's words stand there, and its mandatory phrases, word for word, near where the
+template has them.  Whether a place counts does not depend on the rest of the document.
 
 A base phrase is a template whose words are all mandatory: its rarest word alone leads to every place where
 it can stand, and the phrase is compared there, so no place is missed.
@@ -18,6 +19,7 @@ their own results; an empty table gives an empty table; further columns are igno
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -29,8 +31,6 @@ from barspark.llm._bytes import ALNUM, as_bytes, blocks, word_block
 from barspark.llm._license_texts import BASE, TEMPLATES
 from barspark.llm._spark import small_batches, text_rows
 
-#: Rare licence words of a document that are looked up for templates.
-RARE = 24
 #: Highest-frequency-weight words of a template that are indexed; half of its words at most, two at least.
 KEYS = 12
 #: Words by which a place may differ from the template's own spacing.
@@ -69,21 +69,21 @@ class Index:
         """Set the inverse document frequencies and the postings."""
         self.idf = np.array([math.log((documents + 1) / (holding.get(i, 0) + 1)) for i in range(len(self.vocabulary))])
         self.postings = defaultdict(list)
-        self.looked_up = []
         for t, (_, words, _) in enumerate(self.templates):
             distinct = sorted({self.number[w] for w in words}, key=lambda i: (-self.idf[i], i))
             keys = set(distinct[: min(KEYS, max(2, len(distinct) // 2))])
             for at, w in enumerate(words):
                 if self.number[w] in keys:
                     self.postings[self.number[w]].append((t, at))
-            self.looked_up.append([self.number[w] for w in words if self.number[w] in keys])
-        self.rarest = []
-        for label, words in self.base:
-            numbers = [self.number[w] for w in words]
-            lead = max(range(len(words)), key=lambda i: (self.idf[numbers[i]], -i))
-            self.rarest.append((label, numbers, lead))
+        self.rarest = [(label, *self._led(words)) for label, words in self.base]
+        self.marks = [[self._led(words) for words in phrases] for _, _, phrases in self.templates]
         return self
 
+    def _led(self, words: list[bytes]) -> tuple[list[int], int]:
+        """The numbers of a phrase's words and the position of the rarest one."""
+        numbers = [self.number[w] for w in words]
+        return numbers, max(range(len(words)), key=lambda i: (self.idf[numbers[i]], -i))
+
     def occurrences(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in h, and the numbers, of licence words."""
         at = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
@@ -111,21 +111,28 @@ def _count(index: Index):
 def _places(index: Index, at: np.ndarray, number: np.ndarray) -> tuple[list, list]:
     """Base places (label, start) and template places (label, start, end, coverage) of one document."""
     where = dict(zip(at.tolist(), number.tolist(), strict=True))
-
-    def stands(start: int, numbers: list[int]) -> bool:
-        return all(where.get(start + i) == n for i, n in enumerate(numbers))
-
-    base = []
-    for label, numbers, lead in index.rarest:
-        for p in at[number == numbers[lead]].tolist():
-            if stands(p - lead, numbers):
-                base.append((label, p - lead))
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    present = np.unique(number)
-    rare = set(present[np.argsort(-index.idf[present], kind="stable")][:RARE].tolist())
+    positions_of: dict[int, list[int]] = defaultdict(list)
     for p, n in where.items():
-        if n in rare:
-            for t, position in index.postings.get(n, ()):
+        positions_of[n].append(p)
+
+    def starts(numbers: list[int], lead: int) -> list[int]:
+        """Where a phrase stands, in order."""
+        return [p - lead for p in positions_of.get(numbers[lead], ()) if all(where.get(p - lead + i) == n for i, n in enumerate(numbers))]
+
+    base = [(label, p) for label, numbers, lead in index.rarest for p in starts(numbers, lead)]
+    marks_at: dict[int, list[list[int]]] = {}
+    for t, phrases in enumerate(index.marks):
+        found_at = []
+        for numbers, lead in phrases:
+            found_at.append(starts(numbers, lead))
+            if not found_at[-1]:
+                break
+        else:
+            marks_at[t] = found_at
+    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for p, n in where.items() if marks_at else ():
+        for t, position in index.postings.get(n, ()):
+            if t in marks_at:
                 start = p - position
                 # places within the slack of each other share a cell; both neighbours are tried
                 votes[t, start // SLACK].add(position)
@@ -133,19 +140,19 @@ def _places(index: Index, at: np.ndarray, number: np.ndarray) -> tuple[list, lis
     best: dict[int, list] = defaultdict(list)
     for (t, cell), positions in votes.items():
         label, words, phrases = index.templates[t]
-        lookable = sum(1 for n in index.looked_up[t] if n in rare)
-        if len(positions) < max(2, COVERAGE * lookable):
+        if len(positions) < 2:
             continue
         begin = (cell - 1) * SLACK
-        near = range(begin - SLACK, begin + 2 * SLACK + len(words))
+        first = [bisect_left(m, begin - SLACK) for m in marks_at[t]]
+        marks = [m[k] for m, k in zip(marks_at[t], first, strict=True) if k < len(m) and m[k] < begin + 2 * SLACK + len(words)]
+        if len(marks) < len(phrases):
+            continue
         held = sum(1 for i, w in enumerate(words) if any(where.get(begin + i + s) == index.number[w] for s in range(-SLACK, 2 * SLACK)))
         coverage = held / len(words)
         if coverage < COVERAGE:
             continue
-        marks = [[p for p in near if stands(p, [index.number[w] for w in phrase])] for phrase in phrases]
-        if all(marks):
-            start = min(m[0] for m in marks)
-            best[t].append((start, max(m[0] + len(ph) for m, ph in zip(marks, phrases, strict=True)), coverage))
+        start = min(marks, default=begin)
+        best[t].append((start, max((m + len(ph) for m, ph in zip(marks, phrases, strict=True)), default=begin + len(words)), coverage))
     found = []
     for t, places in best.items():
         unique: dict[int, tuple[int, int, float]] = {}

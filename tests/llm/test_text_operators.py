@@ -274,6 +274,13 @@ def test_license_templates(spark):
     assert all(label in got[k] for k, (label, _, _) in enumerate(license_scan.TEMPLATES))
 
 
+def test_licenses_together(spark):
+    texts = [text for _, text, _ in license_scan.TEMPLATES]
+    rows = [*enumerate(texts), (100, "\n\n".join(texts)), (101, "\n\n".join(reversed(texts)))]
+    got = {r.doc_id: {p.label for p in r.places} for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == got[101] == {label for label, _, _ in license_scan.TEMPLATES}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="ad">Buy</div><div class="cookie-notice">Cookies</div><article><h1>Head &amp;  line</h1><p><b>First <i>para</i>graph.<br><p>Second&nbsp;one @@</p><form><input>Sign</form></article>
 <aside>Side</aside><section id="comments"><p>Nice</p></section><footer>&copy; x</footer></body></html>"""
