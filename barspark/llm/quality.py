@@ -36,6 +36,7 @@ THRESHOLD = 0.3
 HIDDEN = 24
 STEPS = 1500
 SEED = 11
+PIECE = 1 << 16
 
 _CLASS = np.full(256, 4, np.int64)  # other symbols
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -48,6 +49,12 @@ for _c in b".,;:?'\"()-":
 _TAIL = bytes(b".,;:?!'\"()-")
 
 
+def _compressed(text: bytes) -> int:
+    """The compressed size of a text, in pieces that keep memory bounded."""
+    packer = zlib.compressobj(1)
+    return sum(len(packer.compress(text[k : k + PIECE])) for k in range(0, len(text), PIECE)) + len(packer.flush())
+
+
 def features(text: bytes) -> list[float]:
     """Measures of one text; all finite, also of an empty one."""
     n = len(text)
@@ -65,7 +72,6 @@ def features(text: bytes) -> list[float]:
     lines = [x.strip() for x in text.split(b"\n") if x.strip()]
     line_seen = Counter(lines)
     q = max(len(lines), 1)
-    head = text[:200_000]
     return [
         math.log1p(n),
         math.log1p(len(words)),
@@ -88,7 +94,7 @@ def features(text: bytes) -> list[float]:
         sum(1 for w in words if not w[-1:].isalnum() and w[-1] < 128 and w[-1] not in _TAIL) / m,
         sum(1 for w in words if w.isupper()) / m,
         sum(1 for w in lower if not w) / m,
-        len(zlib.compress(head, 1)) / max(len(head), 1) if head else 0.0,
+        _compressed(text) / n if n else 0.0,
     ]
 
 

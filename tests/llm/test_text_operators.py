@@ -341,6 +341,12 @@ def test_nearest(spark):
     assert nearest.nearest(table.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_compression_of_whole_texts():
+    noise = random.Random(1).randbytes(200_000).replace(b"\n", b" ")
+    for text in (noise + b"junk " * 200_000, b"junk " * 200_000 + noise, b"short text"):
+        assert quality.features(text)[-1] == pytest.approx(len(zlib.compress(text, 1)) / len(text), rel=1e-3)
+
+
 def test_quality(spark, nothing):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["stone", "river", "walks", "the", "of", "quiet", "lamp"]) for _ in range(60)) + "."
