@@ -5,7 +5,8 @@ of ``words`` consecutive words; an item of fewer words, but not none, is one win
 hashes of the windows and slides over each whole document; a hit is verified on the words themselves.
 
 The items are broadcast in blocks of ``BLOCK_MB`` of text at most (one longer item makes a block of its
-own size); a benchmark of several blocks is matched block by block, and the hits of a document are merged.
+own size); for a benchmark of several blocks the rows are numbered and written once, matched block by block,
+and the hits of a row are merged by its number.
 
 Rules: a null text has no words; an item without words has no window; items that repeat an id count once;
 a document row keeps its own result, repeated ids included; further columns are ignored or kept as they are.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.llm._bytes import ALNUM, as_bytes, blocks, ngram_hash, word_block
-from barspark.llm._spark import small_batches
+from barspark.llm._spark import cut, small_batches
 
 BLOCK_MB = 16
 SCANNED = "n_words long, n_hit long, item_ids array<string>, hit_words array<struct<start:long,end:long>>, hit_bytes array<struct<start:long,end:long>>"
@@ -131,13 +132,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 13, text:
     n = max(1, math.ceil(size / (block_mb * 1e6)))
     taken = {"n_words", "n_hit", "item_ids", "hit_words", "hit_bytes"}
     rows = docs.drop(*[c for c in docs.columns if c.lower() in taken])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), SCANNED])
     out = to_arrow_schema(docs.sparkSession.createDataFrame([], SCANNED).schema)
+    number = "row"
+    while number in {c.lower() for c in rows.columns} | taken:
+        number += "_"
+    # the numbers are written with the rows, so that every block sees the same ones
+    held = rows if n == 1 else cut(rows.withColumn(number, F.monotonically_increasing_id()))
+    scanned = held if n == 1 else held.select(number, text)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scanned.schema), SCANNED])
     parts = []
     for k in range(n):
         block = [(r[0], r[1].encode()) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
-        parts.append(rows.mapInArrow(_scan(Windows(block, words), text, out), schema))
-    return parts[0] if n == 1 else _merged(parts, rows.columns)
+        parts.append(scanned.mapInArrow(_scan(Windows(block, words), text, out), schema))
+    if n == 1:
+        return parts[0]
+    merged = _merged([x.drop(text) for x in parts], [number])
+    return held.join(merged, number).select(*rows.columns, *(f.name for f in out))
 
 
 def is_contaminated(share: int = 20):

@@ -156,6 +156,15 @@ def test_decontamination(spark, docs, texts, nothing):
     assert decontaminate.contamination(nothing, benchmark).count() == 0
 
 
+def test_decontamination_by_blocks(spark):
+    rows = [(1, "one two three", {"a": 1})] * 3 + [(2, "nothing here", {"b": 2})] * 2 + [(None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>")
+    benchmark = spark.createDataFrame([(k, t) for k, t in enumerate(["one two", "two three", "four"])], "item_id long, text string")
+    want, got = (sorted((repr((r.doc_id, r.text, r.m, r.n_words, r.n_hit, sorted(r.item_ids), r.hit_words, r.hit_bytes)) for r in decontaminate.contamination(docs, benchmark, block_mb=size).collect())) for size in (16, 1e-5))
+    assert len(got) == len(rows)
+    assert [x.split("hit_words")[0] for x in got] == [x.split("hit_words")[0] for x in want]
+
+
 def test_tokens_and_packing(docs, texts, nothing):
     encoder = Encoder(PATH)
     ids = [(i, encoder.library.encode(t or "", add_special_tokens=False).ids) for i, t in texts]
