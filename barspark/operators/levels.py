@@ -75,10 +75,10 @@ def session_levels(ticks: DataFrame) -> DataFrame:
     return out.withColumn("gap", gap).withColumn("gap_filled", filled)
 
 
-def volume_profile(bars: DataFrame, bin_size: float, most_bins: int = 500) -> DataFrame:
+def volume_profile(bars: DataFrame, bin_size: float) -> DataFrame:
     """Volume by price bin and session: each bar's volume is spread evenly over the bins it touches."""
     first, last = F.floor(F.col("low") / bin_size), F.floor(F.col("high") / bin_size)
-    rows = bars.withColumn("session", session_date(F.col("ts"))).withColumn("n", last - first + 1).withColumn("bin", F.explode(F.sequence(first, F.least(last, first + most_bins - 1))))
+    rows = bars.withColumn("session", session_date(F.col("ts"))).withColumn("n", last - first + 1).withColumn("bin", F.explode(F.sequence(first, last)))
     return rows.groupBy("instrument", "session", "bin").agg(F.sum(F.col("volume") / F.col("n")).alias("volume"))
 
 
