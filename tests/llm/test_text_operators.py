@@ -350,6 +350,31 @@ def test_nearest(spark):
     assert nearest.nearest(table.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_nearest_shards(spark):
+    """Several buckets, one of them of several shards, ties at the last rank, two vectors of one id, columns of clashing names."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 16))
+    v = np.concatenate([centres[np.arange(1600) % 40] + 0.1 * rng.standard_normal((1600, 16)), np.tile(centres[0], (900, 1))])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(k, x.tolist(), 1, 2, 3.0) for k, x in enumerate(v)] + [(3000, v[5].tolist(), 1, 2, 3.0), (3000, v[6].tolist(), 1, 2, 3.0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, query long, score double")
+    found = nearest.nearest(table, lambda i: i % 100 == 0, 20, shard_rows=300).collect()
+    got = defaultdict(list)
+    for r in found:
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    recall = []
+    for q in (*range(0, 2500, 100), 3000):
+        for x in (v[q],) if q < 3000 else (v[5], v[6]):
+            best = sorted((-float(w @ x), j) for j, w in [*enumerate(v), (3000, v[5]), (3000, v[6])] if j != q)[:20]
+            recall.append(sum((b in {(-s, j) for _, j, s in got[q]}) for b in best) / 20)
+    assert len(got[3000]) == 40 and all(len(got[q]) == 20 for q in range(0, 2500, 100))
+    assert sum(recall) / len(recall) >= 0.9
+    assert [j for _, j, _ in sorted(got[1600])] == [*range(1601, 1621)]  # of equal vectors the least ids
+    assert max(r.n_scored for r in found if r.query_id == 100) < 1250
+
+
 def test_compression_of_whole_texts():
     noise = random.Random(1).randbytes(200_000).replace(b"\n", b" ")
     for text in (noise + b"junk " * 200_000, b"junk " * 200_000 + noise, b"short text"):
