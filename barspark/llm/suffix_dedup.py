@@ -9,8 +9,9 @@ around it, so equal windows have their anchor at the same place in them, whateve
 2. The anchors that count take their surroundings with them: the bytes before, as many as a window can
    reach, and the suffix after.  Surroundings that a batch has more than once are settled there and sent once.
 3. Surroundings with one gram meet in one partition.  Suffixes are put in order by deep-shallow sorting
-   (Manzini and Ferragina, 2004): multikey quicksort, eight bytes a step, to a shallow depth, then blind
-   tries order the groups with long common prefixes.  The reversed left sides are ordered likewise.
+   (Manzini and Ferragina, 2004): multikey quicksort to a shallow depth, that is three-way partition around a
+   pivot, the equal part going on with the next eight bytes, then blind tries order the groups with long
+   common prefixes.  The reversed left sides are ordered likewise.
    For each distance d that a window can start before its anchor, two anchors share that window if they agree on
    d bytes to the left and ``length - d`` to the right, which the common prefixes of neighbours tell.
 4. All windows of an anchor hold it, so what it removes is one run, from the farthest start that repeats to
@@ -18,12 +19,13 @@ around it, so equal windows have their anchor at the same place in them, whateve
 
 All comparisons are on the bytes; hashes only choose anchors and send equal grams to one place.  A partition
 is read in the order of its grams and handled in portions of whole grams.  A gram with more than ``MOST``
-different surroundings, such as the edge of a passage that very many documents hold, isn't gathered: its
-windows are counted by a 128-bit hash each, over all tasks, which gives the same runs.
+different surroundings, such as the edge of a passage that very many documents hold, isn't gathered in one
+task: its windows are grouped over all tasks, by a hash and their bytes, which gives the same runs.
 
-Rules: a null text is empty; texts shorter than ``length`` lose nothing; rows that repeat, id included, are
-copies of each other and lose all their windows; an empty table gives an empty table; further columns are
-ignored.
+Rules: a null text is empty; texts shorter than ``length`` lose nothing; texts of any length are read whole, in
+blocks; rows that repeat, id included, are copies of each other and lose all their windows; equal suffixes are
+ties, and what is removed doesn't depend on their order; an empty table gives an empty table; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,12 +44,12 @@ LENGTH = 200
 GRAM = 64
 SHALLOW = 96
 PORTION = 40_000
-#: Different surroundings of one gram that a task sorts; a gram with more is settled by hashes of its windows.
+#: Different surroundings of one gram that a task holds at once; the windows of a gram with more are grouped over all tasks.
 MOST = 120_000
 PAD = 0xFF  # no byte of UTF-8
 ANCHORS = "pk long, dk long, rk long, pos int, sure boolean"
 SURROUNDINGS = "pk long, dk long, rk long, pos long, lo long, hi long, around binary"
-RUNS = "dk long, rk long, lo long, hi long, d long, h1 long, h2 long"
+RUNS = "dk long, rk long, lo long, hi long, d long, h long, window binary"
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -233,29 +235,48 @@ def blind_trie_order(strings: list[bytes], known: int) -> list[int]:
     return out
 
 
+def multikey_quicksort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their first ``depth`` words, and where in it a row begins that differs from the one before there.
+
+    All segments that are not in order yet are partitioned at once, each around the median of three of its keys:
+    the smaller and the greater part go on with the same word, the equal part with the next one.
+    """
+    n, rng = len(words), np.random.default_rng(3)
+    order, head = np.arange(n), np.zeros(n, bool)
+    head[:1] = True
+    start, size, level = np.zeros(1, np.int64), np.full(1, n), np.zeros(1, np.int64)
+    while True:
+        live = (size > 1) & (level < depth)
+        start, size, level = start[live], size[live], level[live]
+        if not len(start):
+            return order, head
+        first = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(start)), size)
+        rows = order[np.repeat(start - first, size) + np.arange(len(segment))]
+        key = words[rows, level[segment]]
+        picked = first[:, None] + (rng.random((len(start), 3)) * size[:, None]).astype(np.int64)
+        pivot = np.sort(key[picked], axis=1)[segment, 1]
+        part = np.where(key < pivot, 0, np.where(key == pivot, 1, 2))
+        counts = np.bincount(segment * 3 + part, minlength=3 * len(start)).reshape(-1, 3)
+        begin = start[:, None] + np.cumsum(counts, axis=1) - counts
+        for k in range(3):
+            mine = np.flatnonzero(part == k)
+            earlier = np.cumsum(counts[:, k]) - counts[:, k]
+            own = segment[mine]
+            order[begin[own, k] + np.arange(len(mine)) - earlier[own]] = rows[mine]
+        head[begin[counts > 0]] = True
+        start, size, level = begin.ravel(), counts.ravel(), (level[:, None] + np.array([0, 1, 0])).ravel()
+
+
 def deep_shallow_order(matrix: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The lexicographic order of the rows, and how many bytes each row in it shares with the one before (0 for the first)."""
     n, width = matrix.shape
     full = np.zeros((n, -(-width // 8) * 8), np.uint8)
     full[:, :width] = matrix
     words = full.view(">u8").astype(np.uint64)
-    order, segment = np.arange(n), np.zeros(n, np.int64)
-    for j in range(min(shallow // 8, words.shape[1])):
-        size = np.bincount(segment)[segment]
-        active = np.flatnonzero(size > 1)
-        if not len(active):
-            break
-        key = words[order[active], j]
-        by = np.lexsort((key, segment[active]))
-        order[active] = order[active][by]
-        head = np.zeros(n, bool)
-        head[np.flatnonzero(np.diff(segment, prepend=-1))] = True
-        key = key[by]
-        apart = np.flatnonzero(key[1:] != key[:-1]) + 1
-        head[active[apart]] = True
-        segment = np.cumsum(head) - 1
+    order, head = multikey_quicksort(words, min(shallow // 8, words.shape[1]))
     if shallow < width:
-        first = np.flatnonzero(np.diff(segment, prepend=-1))
+        first = np.flatnonzero(head)
         last = np.append(first[1:], n)
         for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
             rows = order[a:b]
@@ -296,21 +317,19 @@ def repeated_starts(around: np.ndarray, lo: np.ndarray, hi: np.ndarray, length:
     return least, most
 
 
-def window_hashes(around: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each row's windows, one column for each distance at which a window starts before the anchor."""
+def window_hashes(around: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
+    """A hash of each row's windows, one column for each distance at which a window starts before the anchor."""
     n, before = len(around), length - gram
     at = before - np.arange(before + 1)
-    out = []
-    for codes in (CODES, mix(CODES.copy())):
-        cum = np.zeros((n, around.shape[1] + 1), np.uint64)
-        np.cumsum(codes[around] * powers(BASE_INV, around.shape[1]), axis=1, out=cum[:, 1:])
-        out.append(mix(((cum[:, at + length] - cum[:, at]) * powers(BASE, around.shape[1] + 1)[at]).ravel()).reshape(n, -1))
-    return out[0], out[1]
+    cum = np.zeros((n, around.shape[1] + 1), np.uint64)
+    np.cumsum(CODES[around] * powers(BASE_INV, around.shape[1]), axis=1, out=cum[:, 1:])
+    return mix(((cum[:, at + length] - cum[:, at]) * powers(BASE, around.shape[1] + 1)[at]).ravel()).reshape(n, -1)
 
 
 def _settle(length: int, portion: int, most: int, gram: int = GRAM):
-    """Runs of removed bytes; for a gram with very many different surroundings, hashed windows instead (lo and hi both the anchor's place)."""
-    names = ["dk", "rk", "lo", "hi", "d", "h1", "h2"]
+    """Runs of removed bytes; for a gram with very many different surroundings, its windows instead (lo and hi both the anchor's place)."""
+    names = ["dk", "rk", "lo", "hi", "d", "h", "window"]
+    types = [*[pa.int64()] * 6, pa.binary()]
 
     def columns(table: pa.Table):
         raw = table.column("around").combine_chunks()
@@ -318,8 +337,8 @@ def _settle(length: int, portion: int, most: int, gram: int = GRAM):
         return around, *(table.column(c).to_numpy() for c in ("dk", "rk", "pos", "lo", "hi"))
 
     def batch_of(*arrays):
-        none = pa.nulls(len(arrays[0]), pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays), *[none] * (7 - len(arrays))], names=names)
+        rest = [pa.nulls(len(arrays[0]), t) for t in types[len(arrays) :]]
+        return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(arrays, types, strict=False)), *rest], names=names)
 
     def runs(table: pa.Table):
         around, dk, rk, pos, lo, hi = columns(table)
@@ -328,11 +347,12 @@ def _settle(length: int, portion: int, most: int, gram: int = GRAM):
         return batch_of(*(x[keep] for x in (dk, rk, pos - farthest, pos - nearest + length)))
 
     def windows(table: pa.Table):
-        for k in range(0, table.num_rows, 2000):
-            around, dk, rk, pos, lo, hi = columns(table.slice(k, 2000))
-            h1, h2 = window_hashes(around, length)
-            row, d = np.nonzero((np.arange(h1.shape[1]) >= lo[:, None]) & (np.arange(h1.shape[1]) <= hi[:, None]))
-            yield batch_of(dk[row], rk[row], pos[row], pos[row], d, h1[row, d].astype(np.int64), h2[row, d].astype(np.int64))
+        for k in range(0, table.num_rows, 500):
+            around, dk, rk, pos, lo, hi = columns(table.slice(k, 500))
+            h, before = window_hashes(around, length), length - gram
+            row, d = np.nonzero((np.arange(h.shape[1]) >= lo[:, None]) & (np.arange(h.shape[1]) <= hi[:, None]))
+            raw = [around[i].tobytes() for i in range(len(around))]
+            yield batch_of(dk[row], rk[row], pos[row], pos[row], d, h[row, d].astype(np.int64), [raw[i][before - x : before - x + length] for i, x in zip(row.tolist(), d.tolist(), strict=True)])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -410,8 +430,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts_out: bool = True
     runs = settled.filter("d is null").select("dk", "rk", "lo", "hi")
     windows = settled.filter("d is not null")
     if not windows.isEmpty():
-        again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-        bounds = windows.join(again, ["h1", "h2"]).groupBy("dk", "rk", F.col("lo").alias("pos")).agg(F.min("d").alias("a"), F.max("d").alias("b"))
+        again = windows.groupBy("h", "window").agg(F.count("*").alias("n")).filter("n > 1").select("h", "window")
+        bounds = windows.join(again, ["h", "window"]).groupBy("dk", "rk", F.col("lo").alias("pos")).agg(F.min("d").alias("a"), F.max("d").alias("b"))
         runs = runs.unionByName(bounds.select("dk", "rk", (F.col("pos") - F.col("b")).alias("lo"), (F.col("pos") - F.col("a") + length).alias("hi")))
     runs = runs.groupBy("dk", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     out = rows.join(runs, ["dk", "rk"], "left").select("doc_id", "text", "runs")

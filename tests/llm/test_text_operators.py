@@ -92,6 +92,19 @@ def test_suffix_order():
         assert strings[k][:n] == strings[k - 1][:n] and strings[k][: n + 1] != strings[k - 1][: n + 1] or n == 40
 
 
+def test_multikey_quicksort():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, kinds in ((0, 2), (1, 2), (2, 1), (500, 1), (500, 3), (500, 10**6)):
+        words = rng.integers(0, kinds, (n, 4)).astype(np.uint64) << np.uint64(60 if kinds < 9 else 40)
+        for depth in (1, 3, 4):
+            order, head = suffix_dedup.multikey_quicksort(words, depth)
+            keys = [tuple(x) for x in words[order, :depth].tolist()]
+            assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+            assert head.tolist() == [k == 0 or keys[k] != keys[k - 1] for k in range(n)]
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
