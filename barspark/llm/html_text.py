@@ -5,18 +5,27 @@ of a host are aligned one after another, without unions: what both have stays, a
 slot, what only one has becomes optional.  The result is the host's wrapper.  Each page is parsed by it, which gives
 every text a place in the wrapper.  A text that stands at its place on all pages that have the place, two
 different pages at least, is template; what differs from page to page fills a slot.  The slots' texts tell in
-which element the main text stands: an article or main element, else the innermost one that holds most of the
+which element the main text stands: an article or main element, else the innermost one that holds all of the
 text that is no link.  Inside an article or main element the markup itself says that a text is content, so
 equal texts there are no template.
 
+Class names and ids decide only where structure doesn't: outside an article or main element a name that tells of a
+menu, notice, advert and so on marks a part as no content; inside one, a whole name has to say so, of an element
+that holds others, or of a text block where it can mean nothing else.
+
 The streams are counted by host and structure before anything is gathered, so a host with very many pages
-brings its different structures only; those are aligned in groups of ``GROUP`` at most, level by level.
+brings its different structures only; those are aligned in groups of about ``GROUP``, level by level.  Streams are
+aligned at what stands once in both, and whole between those places; longer stretches without such a place are
+aligned in halves until a part has ``ALIGNED`` pairs at most, so a long page costs no square of its length.  A host's
+element paths, with their sums, are chosen from in one group.
 Each page then is cut by its host's wrapper: the slots' texts inside the main element, less what lies in
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles within it.  A page
 that lacks its host's main element is cut by the slots' texts of its own stream alone.
 
 Rules: null html is empty; a page without main text has an empty text; a null or odd URL is a host of its
-own name; rows with one id are cut each for itself; an empty table gives an empty table; further columns are ignored.
+own name; pages of any length and depth are read whole; rows with one id, or repeated rows, are cut each for itself;
+of elements with equal weight the deepest, then the greatest number counts; an empty table gives an empty table;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +35,10 @@ import hashlib
 import html
 import json
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,12 +47,15 @@ from pyspark.sql import functions as F
 from barspark.llm._spark import cut, small_batches
 
 GROUP = 64
-LONGEST_BLOCK = 16
+#: Blocks up to this length are tried at every place; longer ones where a token comes again at their distance.
+SHORT_BLOCK = 16
+#: Pairs of tokens that are aligned whole.
+ALIGNED = 250_000
 MARK = 80
 BROADCAST_HOSTS = 20_000
 BROADCAST_BYTES = 32 << 20
-#: The path of what stands in no element.
-TOP = 0
+#: The path of what stands in no element, and of what would hold that.
+TOP, NOWHERE = 0, -1
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^"'>]+|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -54,10 +68,19 @@ BLOCK = {
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_CONTENT = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "label", "search", "object", "canvas", "audio", "video"} | RAW
 NO_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
-BOILER = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|disqus|respond|replies|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommended|newsletter|subscribe|subscription|footer|header|masthead|pagination|pager|toolbar|widgets?|skip|login|signup)(?:[-_\s]|$)",
-    re.I,
-)
+# Fixed words of class names and ids: what is no content, which of these say so of a text block too, and what they are joined with.
+ASIDE = "ads? advert\\w* banner sponsor\\w* promo\\w* cookies? consent gdpr notices? alerts? popup modal overlay comments? disqus respond replies sidebar side menu nav navbar navigation breadcrumbs? share sharing social related recommended newsletter subscribe subscription footer header masthead pagination pager toolbar widgets? skip login signup"
+ASIDE_TEXT = "ads? advert\\w* sponsor\\w* promo\\w* cookies? consent gdpr notices? comments? breadcrumbs? share sharing newsletter subscribe pagination"
+JOINED = "section list box block area wrap wrapper container bar panel links? posts? articles? items? form thread slot unit body content inner top bottom left right main site page user reader [0-9]+"
+HOLDERS = {"address", "center", "details", "div", "dl", "fieldset", "figure", "hgroup", "ol", "section", "summary", "table", "tbody", "tr", "ul"}
+
+
+def _names(words: str) -> str:
+    return "(?:" + "|".join(words.split()) + ")"
+
+
+BOILER = re.compile(rf"(?:^|[-_\s]){_names(ASIDE)}(?:[-_\s]|$)", re.I)
+WHOLE, WHOLE_TEXT = (re.compile(rf"(?:{_names(JOINED)}[-_]+)*{_names(x)}(?:[-_]+(?:{_names(JOINED)}|{_names(ASIDE)}))*", re.I) for x in (ASIDE, ASIDE_TEXT))
 
 
 def host_of(url: str | None) -> str:
@@ -79,8 +102,9 @@ class Page:
     def __init__(self, source: str):
         self.stream: list[str] = []
         self.texts: list[tuple[str, int, int, bool, bool, bool]] = []  # text, path, block, boilerplate, in a link, in an article or main element
-        self.elements: dict[int, tuple[int, str, int]] = {}
+        self.elements: dict[int, tuple[int, str, int]] = {TOP: (NOWHERE, "", 0)}
         stack: list[tuple[str, int, bool, bool, bool]] = []  # name, path, boilerplate, in a link, in an article or main element
+        held, pieces = Counter(), []  # open elements by name; the pieces of each text
         block, raw_until, at, n = 0, None, 0, len(source)
         while at < n:
             if raw_until is not None:
@@ -94,61 +118,69 @@ class Page:
                 piece = m[0]
                 if piece[:2] in ("<!", "<?"):
                     continue
-                if self.texts and self.stream and self.stream[-1] == "#" and self.texts[-1][2] == block and stack and self.texts[-1][1] == stack[-1][1]:
-                    last = self.texts[-1]
-                    self.texts[-1] = (last[0] + piece, *last[1:])
+                path, boiler, link, inside = stack[-1][1:] if stack else (TOP, False, False, False)
+                if self.texts and self.stream[-1] == "#" and self.texts[-1][1:3] == (path, block):
+                    pieces[-1].append(piece)
                 else:
-                    path, boiler, link, inside = stack[-1][1:] if stack else (TOP, False, False, False)
-                    self.texts.append((piece, path, block, boiler, link, inside))
+                    self.texts.append(("", path, block, boiler, link, inside))
+                    pieces.append([piece])
                     self.stream.append("#")
                 continue
             name = name.lower()
             if name in BLOCK:
                 block += 1
             if m[1]:
-                names = [x[0] for x in stack]
-                if name in names:
-                    del stack[len(names) - 1 - names[::-1].index(name) :]
+                if held[name]:
+                    while self._pop(stack, held) != name:
+                        pass
                     self.stream.append(f"</{name}>")
                 continue
             if name == "br" and self.texts and self.texts[-1][2] == block:
-                self.texts[-1] = (self.texts[-1][0] + "\n", *self.texts[-1][1:])
+                pieces[-1].append("\n")
             if name in VOID:
                 self.stream.append(f"<{name}>")
                 continue
-            self._close_before(stack, name)
+            self._close_before(stack, held, name)
             mark = self._mark(m[3])
             key = name + (f".{mark}" if mark else "")
             parent, boiler, link, inside = stack[-1][1:] if stack else (TOP, False, False, False)
-            boiler = boiler or name in NO_CONTENT or (name == "header" and not inside) or bool(mark and name not in ("html", "body", "article", "main") and self._is_boiler(m[3]))
+            boiler = boiler or name in NO_CONTENT or (name == "header" and not inside) or bool(mark and self._is_boiler(name, m[3], inside))
             path = number(f"{parent}/{key}")
             self.elements[path] = (parent, name, len(stack) + 1)
             stack.append((name, path, boiler, link or name == "a", inside or name in ("article", "main")))
+            held[name] += 1
             self.stream.append(f"<{key}>")
             if name in RAW:
                 raw_until = name
+        self.texts = [("".join(p), *x[1:]) for p, x in zip(pieces, self.texts, strict=True)]
         self.texts = [(" ".join(html.unescape(t).split()), *rest) for t, *rest in self._spaced()]
 
+    @staticmethod
+    def _pop(stack: list, held: Counter) -> str:
+        name = stack.pop()[0]
+        held[name] -= 1
+        return name
+
     def _spaced(self):
         """White space at the joints of a block's texts is kept until the texts are joined."""
         self.joints = [(t[:1].isspace() or t[:1] == "", t[-1:].isspace()) for t in (html.unescape(x[0]) for x in self.texts)]
         return self.texts
 
-    @staticmethod
-    def _close_before(stack, name) -> None:
-        if name in BLOCK:
+    def _close_before(self, stack: list, held: Counter, name: str) -> None:
+        """Close what an opening tag ends: an open paragraph, and elements of its own kind up to the list or table that holds them."""
+        if name in BLOCK and held["p"]:
+            last = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK)
+            while len(stack) > last and (stack[last][0] == "p"):
+                self._pop(stack, held)
+        ends = CLOSES.get(name)
+        if ends and any(held[x] for x in ends):
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
+                if stack[i][0] in ends:
+                    while len(stack) > i:
+                        self._pop(stack, held)
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i][0] in ("ul", "ol", "dl", "table", "select", "div", "article"):
                     break
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(name, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in ("ul", "ol", "dl", "table", "select", "div", "article"):
-                break
 
     @staticmethod
     def _mark(attributes: str) -> str:
@@ -157,10 +189,16 @@ class Page:
         return mark if len(mark) <= MARK else f"{mark[:MARK]}~{number(mark[MARK:]):x}"
 
     @staticmethod
-    def _is_boiler(attributes: str) -> bool:
+    def _is_boiler(name: str, attributes: str, inside: bool) -> bool:
+        if name in ("html", "body", "article", "main"):
+            return False
         for a, b, c, d in ATTRIBUTE.findall(attributes):
-            value = b or c or d
-            if a.lower() == "role" and value.lower() in NO_ROLE or a.lower() in ("class", "id") and BOILER.search(value):
+            value, kind = b or c or d, a.lower()
+            if kind == "role" and value.lower() in NO_ROLE:
+                return True
+            if kind not in ("class", "id"):
+                continue
+            if not inside and BOILER.search(value) or inside and any((WHOLE if name in HOLDERS else WHOLE_TEXT).fullmatch(x) for x in value.split()):
                 return True
         return False
 
@@ -195,10 +233,25 @@ class Page:
 # -- wrappers -----------------------------------------------------------------------------------
 
 
-def fold_places(stream: list, places: list[list], longest: int = LONGEST_BLOCK) -> tuple[list, list[list]]:
+def _long_sizes(stream: list) -> list[int]:
+    """Lengths over ``SHORT_BLOCK`` at which a block of the stream may follow itself."""
+    _, codes = np.unique(np.array([json.dumps(x) for x in stream], object).astype(str), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    gaps = np.diff(order)[np.diff(codes[order]) == 0]
+    sizes, counts = np.unique(gaps[gaps > SHORT_BLOCK], return_counts=True)
+    out = []
+    for size in sizes[counts > 1].tolist():
+        apart = np.flatnonzero(np.concatenate([[True], codes[:-size] != codes[size:], [True]]))
+        if np.diff(apart).max() > size:
+            out.append(size)
+    return out
+
+
+def fold_places(stream: list, places: list[list]) -> tuple[list, list[list]]:
     """Tandem repeats as groups ['+', block]; places has of each node, for each '#' in it, the numbers of the texts that stand there."""
     stream, places = list(stream), list(places)
-    for size in range(1, longest + 1):
+
+    def fold_size(size: int) -> tuple[list, list[list]]:
         out, held, i, n = [], [], 0, len(stream)
         while i < n:
             block, j = stream[i : i + size], i + size
@@ -212,7 +265,12 @@ def fold_places(stream: list, places: list[list], longest: int = LONGEST_BLOCK)
                 out.append(stream[i])
                 held.append(places[i])
                 i += 1
-        stream, places = out, held
+        return out, held
+
+    for size in range(1, SHORT_BLOCK + 1):
+        stream, places = fold_size(size)
+    for size in _long_sizes(stream) if len(stream) > 2 * SHORT_BLOCK else ():
+        stream, places = fold_size(size)
     return stream, places
 
 
@@ -225,14 +283,14 @@ def _joined(repeats: list[list]) -> list:
     return [_flat(x) for x in zip(*repeats, strict=True)]
 
 
-def fold(stream: list, longest: int = LONGEST_BLOCK) -> list:
+def fold(stream: list) -> list:
     """Tandem repeats as groups ['+', block]."""
-    return fold_places(stream, [[]] * len(stream), longest)[0]
+    return fold_places(stream, _numbered(stream))[0]
 
 
 def _absorb(nodes: list, groups: list[list]) -> list:
     """Single occurrences of blocks that the other side repeats become repeated groups too; so do groups that follow each other. Nodes may carry places."""
-    for block in groups:
+    for block in {json.dumps(x): x for x in groups}.values():
         size, out, i = len(block), [], 0
         while i < len(nodes):
             if nodes[i][0] == block[0] and [x[0] for x in nodes[i : i + size]] == block:
@@ -257,6 +315,56 @@ def _slots(node) -> int:
     return sum(map(_slots, node[1])) if isinstance(node, list) else int(node == "#")
 
 
+def matches(a: list, b: list) -> list[tuple[int, int, int]]:
+    """(i, j, size) of stretches that two sequences have in common, in order."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, m, j, n = todo.pop()
+        size = 0
+        while i + size < m and j + size < n and a[i + size] == b[j + size]:
+            size += 1
+        if size:
+            out.append((i, j, size))
+            i, j = i + size, j + size
+        size = 0
+        while m - size > i and n - size > j and a[m - size - 1] == b[n - size - 1]:
+            size += 1
+        if size:
+            m, n = m - size, n - size
+            out.append((m, n, size))
+        if i == m or j == n:
+            continue
+        if (m - i) * (n - j) <= ALIGNED:
+            out += [(i + x, j + y, k) for x, y, k in difflib.SequenceMatcher(None, a[i:m], b[j:n], autojunk=False).get_matching_blocks() if k]
+            continue
+        once = [Counter(x) for x in (a[i:m], b[j:n])]
+        where = {x: y for y, x in enumerate(b[j:n], j) if once[1][x] == 1}
+        pairs = [(x, where[k]) for x, k in enumerate(a[i:m], i) if once[0][k] == 1 and k in where]
+        # the longest part of these pairs that ascends on both sides
+        tails, tops, back = [], [], {}
+        for x, y in pairs:
+            at = bisect_left(tails, y)
+            if at == len(tails):
+                tails.append(y)
+                tops.append((x, y))
+            tails[at], tops[at] = y, (x, y)
+            back[x, y] = tops[at - 1] if at else None
+        chain, pair = [], tops[-1] if tops else None
+        while pair:
+            chain.append(pair)
+            pair = back[pair]
+        for x, y in chain:
+            out.append((x, y, 1))
+            todo.append((x + 1, m, y + 1, n))
+            m, n = x, y
+        if chain:
+            todo.append((i, m, j, n))
+        else:
+            x, y = (i + m) // 2, (j + n) // 2
+            todo += [(i, x, j, y), (x, m, y, n)]
+    return sorted(out)
+
+
 class Wrapper:
     """A host's expression, by which structures are parsed."""
 
@@ -272,7 +380,7 @@ class Wrapper:
         """The wrapper's place of each numbered text of a structure; texts without a place are left out."""
         own = _absorb(list(zip(nodes, [False] * len(nodes), places, strict=True)), self.groups)
         out = {}
-        for i, j, size in difflib.SequenceMatcher(None, self.keys, [json.dumps(x[0]) for x in own], autojunk=False).get_matching_blocks():
+        for i, j, size in matches(self.keys, [json.dumps(x[0]) for x in own]):
             for k in range(size):
                 for at, texts in enumerate(own[j + k][2]):
                     out.update(dict.fromkeys(texts, self.first[i + k] + at))
@@ -295,12 +403,11 @@ def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
     keys = [[json.dumps(x[0]) for x in side] for side in (a, b)]
     if keys[0] == keys[1]:
         return [(x[0], x[1] or y[1]) for x, y in zip(a, b, strict=True)]
-    out = []
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, *keys, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [(x[0], x[1] or y[1]) for x, y in zip(a[i:j], b[k:m], strict=True)]
-        else:
-            out += [(x[0], True) for x in (*a[i:j], *b[k:m])]
+    out, x, y = [], 0, 0
+    for i, j, size in [*matches(*keys), (len(a), len(b), 0)]:
+        out += [(node[0], True) for node in (*a[x:i], *b[y:j])]
+        out += [(p[0], p[1] or q[1]) for p, q in zip(a[i : i + size], b[j : j + size], strict=True)]
+        x, y = i + size, j + size
     return out
 
 
@@ -328,7 +435,7 @@ def main_path(weights: dict[int, list[float]], elements: dict[int, tuple[int, st
     best = max(total.values(), default=0)
     if best <= 0:
         return None
-    most = [p for p, v in total.items() if v >= 0.6 * best]
+    most = [p for p, v in total.items() if v >= (1 - 1e-9) * best]
     return max(most, key=lambda p: (elements[p][2], total[p], p))
 
 
@@ -361,7 +468,7 @@ def _structures(batches):
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host, page = host_of(url), Page(source or "")
             nodes, places = fold_places(page.stream, _numbered(page.stream))
-            structure, open_texts, whole = json.dumps(nodes), _open(page), number(source or "")
+            structure, open_texts, whole = json.dumps([[x, False] for x in nodes]), _open(page), number(source or "")
             streams[host, structure] += 1
             if open_texts:
                 own = number(structure)
@@ -390,7 +497,7 @@ def _parse(batches):
     for batch in batches:
         out = []
         for wrapper, structure in zip(batch.column("wrapper").to_pylist(), batch.column("structure").to_pylist(), strict=True):
-            nodes = json.loads(structure)
+            nodes = [x for x, _ in json.loads(structure)]
             places, n = [], 0
             for x in nodes:
                 size = _slots(x)
@@ -414,9 +521,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, pages, main, template): each host's expression as JSON of [node, optional] (a node is a tag, '#', or ['+', block]), the path of its main element, and its template texts: the place (which '#' of the expression) and number of each."""
     small_batches(pages.sparkSession)
     found = cut(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_structures, FOUND))
-    wrap = F.udf(lambda s: json.dumps([[x, False] for x in json.loads(s)]))
     structures = found.filter("structure is not null").groupBy("host", "structure", "id").agg(F.sum("content").cast("long").alias("pages"))
-    level = cut(structures.select("host", wrap("structure").alias("wrapper"), "pages"))
+    level = cut(structures.select("host", F.col("structure").alias("wrapper"), "pages"))
     while True:
         sizes = level.groupBy("host").agg(F.count("*").alias("n"))
         largest = sizes.agg(F.max("n")).first()[0] or 0

@@ -314,7 +314,7 @@ def test_html(spark):
     got = {(r.page_id, r.url): r.text for r in html_text.extract_text(pages).collect()}
     for k in range(6):
         assert got[k, f"http://h{k % 2}.org/{k}"] == f"Head & line\nFirst paragraph.\nSecond one {k}"
-    assert got[7, None] == "" and got[8, "http://h0.org/x"] == "" and got[9, "odd"] == "Only link text here"
+    assert got[7, None] == "" and got[8, "http://h0.org/x"] == "" and got[9, "odd"] == "Only link text here" and got[10, "odd"] == "plain text"
     assert len(got) == len(rows)
     wrappers = html_text.infer_wrappers(pages)
     assert wrappers.filter("host = 'h0.org'").count() == 1
@@ -335,6 +335,52 @@ def test_template_texts(spark):
     assert "We use small files" in got[20] and got[20] == got[21]
 
 
+def test_names_inside_articles(spark):
+    cases = [
+        ('<article><p class="side">Real paragraph</p><p>Second.</p></article>', "Real paragraph\nSecond."),
+        ('<article><p>First.</p><div class="related-work">Work before.</div></article>', "First.\nWork before."),
+        ('<article><p>First.</p><div class="related-posts">More</div><div class="ad">Buy</div><p class="notice">Cookies</p><div id="user-comments"><p>Nice</p></div><footer>f</footer></article>', "First."),
+        ('<div class="side">Menu</div><main><h1>Head</h1><aside>x</aside><p>Text</p></main>', "Head\nText"),
+        ("<p>a < b <<< c</p><p>unclosed <b>bold<p>next</i></p>", "a < b <<< c\nunclosed bold\nnext"),
+        ("<ul><li>one<li>two<ul><li>three</ul></ul>", "one\ntwo\nthree"),
+    ]
+    rows = [(k, f"http://h{k}.org/", h, "w", "m") for k, (h, _) in enumerate(cases)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string, main string")).collect()}
+    assert [got[k] for k in range(len(cases))] == [t for _, t in cases]
+
+
+def test_long_and_deep_pages(spark):
+    """A hot host with long, deep and malformed pages beside small ones: whole texts, in seconds."""
+    rng = random.Random(5)
+    words = lambda k, n: " ".join(f"w{k}x{rng.randrange(9999)}" for _ in range(n))
+    long = [[words(k, 4) for _ in range(6000)] for k in range(3)]
+    rows = [(k, "http://hot.org/a", "<body>" + "".join(f"<{rng.choice(['p', 'h2', 'h3'])}>{t}" for t in long[k])) for k in range(3)]
+    rows += [(10, "http://hot.org/b", "<div>" * 20000 + "deep" + "</div>" * 20000), (11, "http://hot.org/c", "<b>" * 20000 + "<p>x" * 2000), (12, "http://hot.org/d", "<" * 300000 + " end")]
+    rows += [(20 + k, "http://hot.org/e", f"<body><p>Some {k} text</p></body>") for k in range(300)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(3):
+        assert got[k] == "\n".join(long[k])
+    assert got[10] == "deep" and got[11] == "\n".join("x" * 2000) and got[12] == "<" * 300000 + " end"
+    assert all(got[20 + k] == f"Some {k} text" for k in range(300))
+
+
+def test_alignment():
+    """Common stretches against the longest common subsequence, and long sequences by what stands once in both."""
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        found = html_text.matches(a, b)
+        at = [(i + k, j + k) for i, j, n in found for k in range(n)]
+        assert all(a[i] == b[j] for i, j in at) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(at, at[1:], strict=False))
+        assert bool(at) == bool(set(a) & set(b))
+    a = [x for k in range(3000) for x in (f"n{k}", "t")]
+    b = [x for k in range(3000) if k % 7 for x in (f"n{k}", "t")]
+    assert sum(n for _, _, n in html_text.matches(a, b)) == len(b)
+    # blocks longer than those tried at every place are folded too
+    block = [f"<x{k}>" for k in range(40)]
+    assert html_text.fold(["<a>", *block * 3, "</a>"]) == ["<a>", ["+", block], "</a>"]
+
+
 def test_wrapper_alignment():
     a = [(x, False) for x in html_text.fold(["<ul>", *["<li>", "#", "</li>"] * 3, "</ul>", "<p>", "#", "</p>"])]
     b = [(x, False) for x in html_text.fold(["<ul>", "<li>", "#", "</li>", "</ul>", "<hr>", "<p>", "#", "</p>"])]
