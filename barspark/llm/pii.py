@@ -2,23 +2,25 @@
 
 Seeds are the spans of four strict patterns (e-mail, IPv4, card, phone), each checked: octets, Luhn, digit
 counts.  Every such span is a seed, whatever its length, digits or spaces; candidates are the matches that fail
-their check and the tokens with a digit or an @, less the punctuation around them, where they meet no seed.
-The word before an instance and its shape make a lexical pattern.  Patterns and distinct instances form a
-bipartite graph.  A round admits the patterns with ``min_seeds`` seeds or instances accepted so far, scores
-each by the mean score of its instances, drawn towards zero where it has few, and each unknown instance by the
-admitted patterns that it stands in; seeds keep 1, and an unknown instance over ``accept`` is accepted.  After
-the rounds, accepted instances in admitted patterns are new spans of kind ``context``.  Distinct values count
-once, so copies of a document add nothing to a pattern.
-
-An instance's shape is a shape of the first admitted patterns, or it can't be accepted: what admits a pattern
-has the pattern's shape.  Candidates of other shapes are left out before the graph is built.
+their check and the tokens with four digits or an @, less the punctuation around them, where they meet no seed.
+The word before an instance is its lexical pattern, whatever the instance looks like; patterns and distinct
+instances form a bipartite graph.  A round admits the patterns with ``min_seeds`` seeds or instances accepted so
+far, and scores each by the mean score of its instances, drawn towards zero where it has few.  Shapes are scored
+apart: by the mean score of the patterns in which their instances stand, so a shape that stands everywhere, such
+as a year's, has next to nothing.  An unknown instance is scored by the admitted patterns that it stands in; over
+``accept``, and with a shape over ``least_shape``, it is accepted, and counts as a seed does in the next round.  So
+values found after one word admit the next word, which finds values of shapes that no seed has.  After the
+rounds, accepted instances in admitted patterns are new spans of kind ``context``.  Distinct values count once,
+so copies of a document add nothing to a pattern.
 
 Positions are code points; ends are exclusive.  A span's place is the summed length of what ``split`` leaves
 before it and of the matches before it.  The patterns are written without backtracking into long runs; they
 match what the plain forms match.
 
-Rules: a null or empty text has no spans; rows with one id keep their own spans; identical rows get the same
-ones; an empty table gives an empty table; further columns are ignored (or, in ``redact``, kept).
+Rules: a null or empty text has no spans; texts of any length are read whole; rows with one id keep their own
+spans; identical rows get the same ones; a pattern or shape at its bound counts (no order decides anything); an
+instance without a word before it has no pattern; an empty table gives an empty table; further columns are ignored
+(or, in ``redact``, kept), whatever their names.
 """
 
 from __future__ import annotations
@@ -39,9 +41,13 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SEEDS = 3
 ACCEPT = 0.9
+LEAST_SHAPE = 0.5
+LEAST_DIGITS = 4
 CHUNK = 256
-#: Characters before a match from which the word before it is read.
+#: Characters before a match in which the word before it is looked for first; a word that goes beyond is read from the whole text before.
 LEFT = 50
+#: A longer word stands for itself by a hash where patterns are grouped.
+LONG_WORD = 64
 
 SPAN = "struct<start:long,end:long,value:string,left:string>"
 
@@ -51,8 +57,8 @@ def _found(text: Column, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # what stands before a match: the match before it and the gap between them
-    before = F.zip_with(F.concat(F.array(F.lit("")), values), gaps, lambda v, g: F.struct(g.alias("gap"), F.right(F.concat(F.right(v, F.lit(LEFT)), F.right(g, F.lit(LEFT))), F.lit(LEFT)).alias("tail")))
-    both = F.zip_with(before, values, lambda b, v: F.struct(b["gap"].alias("gap"), b["tail"].alias("tail"), v.alias("value")))
+    before = F.zip_with(F.concat(F.array(F.lit("")), values), gaps, lambda v, g: F.struct(g.alias("gap"), v.alias("last"), F.right(F.concat(F.right(v, F.lit(LEFT)), F.right(g, F.lit(LEFT))), F.lit(LEFT)).alias("tail")))
+    both = F.zip_with(before, values, lambda b, v: F.struct(b["gap"].alias("gap"), b["last"].alias("last"), b["tail"].alias("tail"), v.alias("value")))
     hits = F.slice(both, F.lit(1), F.size(values))
     # the running position is folded over chunks, so that a text with very many matches costs no square of them
     width = lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long")
@@ -63,7 +69,9 @@ def _found(text: Column, pattern: str) -> Column:
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        left = F.regexp_extract(x["tail"], r"(\S{1,40})\s{1,4}" + OPENING + "$", 1)
+        end_of = r"(\S++)\s++" + OPENING + "$"
+        near = F.regexp_extract(x["tail"], r"(?<=\s)" + end_of, 1)
+        left = F.when(near != "", near).otherwise(F.regexp_extract(F.concat(x["last"], x["gap"]), r"(?<!\S)" + end_of, 1))
         span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value"), left.alias("left"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
@@ -141,30 +149,31 @@ def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return found.select("doc_id", "text_hash", *(_checked(F.col(k), k).alias(k) for k in KINDS), F.concat(_trimmed(F.col("token")), failed).alias("token"))
 
 
-def _instances(found: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(doc_id, text_hash, start, end, value, pattern, seed) of every base span, a seed, and of every candidate of a seeds' shape that meets none."""
-    shape = _shape(F.col("s.value"))
-    columns = ("doc_id", "text_hash", "s.start", "s.end", "s.value", F.concat_ws(" ", F.lower("s.left"), shape).alias("pattern"), shape.alias("shape"))
+def _instances(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, value, pattern, shape, seed) of every base span, a seed, and of every candidate that meets none."""
+    word = F.lower("s.left")
+    pattern = F.when(F.length(word) > LONG_WORD, F.concat(F.lit("#"), F.sha2(word, 256))).otherwise(word)
+    columns = ("doc_id", "text_hash", "s.start", "s.end", "s.value", pattern.alias("pattern"), _shape(F.col("s.value")).alias("shape"))
     seeds = found.select("doc_id", "text_hash", F.explode(F.concat(*KINDS)).alias("s")).select(*columns, F.lit(True).alias("seed"))
     held = found.select("doc_id", "text_hash", F.concat(*KINDS).alias("base"), F.explode("token").alias("s"))
     meets = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    strong = seeds.select("pattern", "shape", "value").distinct().groupBy("pattern", "shape").agg(F.count("*").alias("n")).filter(F.col("n") >= min_seeds)
-    shapes = cut(strong.select("shape").distinct())
-    both = seeds.unionByName(held.filter(~meets).select(*columns, F.lit(False).alias("seed")))
-    return both.join(shapes, "shape", "left_semi").drop("shape")
+    likely = (F.length(_digits(F.col("s.value"))) >= LEAST_DIGITS) | F.col("s.value").contains("@")
+    return seeds.unionByName(held.filter(likely & ~meets).select(*columns, F.lit(False).alias("seed"))).filter("pattern <> ''")
 
 
-def discover(instances: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def discover(instances: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS, least_shape: float = LEAST_SHAPE) -> DataFrame:
     """(pattern, value) of the unknown instances that the graph accepts."""
-    edges = instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = instances.groupBy("pattern", "value", "shape").agg(F.max("seed").alias("seed"))
     scored = cut(edges.withColumn("score", F.col("seed").cast("double")).withColumn("admitted", F.col("seed")))
     for _ in range(rounds):
         support = F.count_if(F.col("seed") | (F.col("score") >= accept))
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 0.1)).alias("confidence"), support.alias("support")).filter(F.col("support") >= min_seeds).drop("support")
-        rated = scored.select("pattern", "value", "seed").join(patterns, "pattern", "left")
-        values = rated.filter("not seed and confidence is not null").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("now"))
+        rated = cut(scored.select("pattern", "value", "shape", "seed").join(patterns, "pattern", "left"))
+        shapes = rated.groupBy("shape").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("s")).filter(F.col("s") >= least_shape).select("shape")
+        inside = rated.filter("not seed and confidence is not null").join(shapes, "shape", "left_semi")
+        values = inside.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("now"))
         score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("now", F.lit(0.0)))
-        scored = cut(rated.join(values, "value", "left").select("pattern", "value", "seed", score.alias("score"), F.col("confidence").isNotNull().alias("admitted")))
+        scored = cut(rated.join(values, "value", "left").select("pattern", "value", "shape", "seed", score.alias("score"), F.col("confidence").isNotNull().alias("admitted")))
     return scored.filter(~F.col("seed") & F.col("admitted") & (F.col("score") >= accept)).select("pattern", "value")
 
 

@@ -269,6 +269,13 @@ def test_pii_bootstrapping(spark):
     wrong = [card(k * 6007, False) for k in range(13)]
     rows = [(k, f"with card {card(k * 7919, True)} today") for k in range(200)] + [(1000 + k, f"with card {n} or number {n} today") for k, n in enumerate(wrong[:12])]
     assert contexts([*rows, (2000, f"number {wrong[12]} today")]) == {*range(1000, 1012), 2000}
+    # so is an identifier of a shape that no seed has, after the first word and after one of a later round; a year that stands everywhere isn't
+    years = [(3000 + k, f"about w{chr(97 + k)} 2024 here") for k in range(26)]
+    assert contexts([*rows, *years, (2001, "card AB12-9931-X77"), (2002, "card 2024"), (2003, "number Q-7731/88/Z")]) == {*range(1000, 1012), 2001, 2003}
+    # the word before counts whole, however long and however far
+    word = "x" * 200
+    rows = [(k, f"{word}{' ' * 60}({card(k * 7919, True)}) or y{word} 10.0.0.{k}") for k in range(30)]
+    assert contexts([*rows, (100, f"{word}\n\n [{wrong[0]}]"), (101, f"{word}z {wrong[1]}"), (102, f"x {wrong[2]}")]) == {100}
 
 
 def test_many_spans(spark):
