@@ -3,7 +3,8 @@
 The pieces are those of the tokenizer's own pre-tokenizer: contractions, letters, numbers and other
 characters, each with one space before them, and white space.  The class of a code point beyond ASCII is
 asked of the library itself, once.  Encoded pieces are kept in a table of fixed size, by a 64-bit hash and
-the length; a piece that meets another one in its place replaces it.
+the length; a piece that meets another one in its place replaces it, and what is found is compared with the piece.
+A file with another kind of model, other rules for pieces, or merges in another order than their ids is refused.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ SENTINEL = 0x110000
 BLOCK_CHARS = 1 << 18
 SLOT_BITS = 20
 POOL_MAX = 16_000_000
+#: How much of each pool is in use.
+USED = {"pool": "used", "inner": "inner_used", "chars": "chars_used"}
 
 
 def byte_letters() -> dict[str, int]:
@@ -28,6 +31,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check(spec: dict, letters: dict[str, int]) -> None:
+    """Refuse a vocabulary file that this module would not read as the library does."""
+    model, pieces = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or pieces.get("type") != "ByteLevel" or pieces.get("add_prefix_space") or not pieces.get("use_regex", True):
+        raise ValueError("not a byte-level BPE vocabulary with the common rules for pieces")
+    merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in merges]
+    special = {t["content"] for t in spec["added_tokens"]}
+    if ids != sorted(set(ids)) or {a + b for a, b in merges} | set(letters) != set(model["vocab"]) - special:
+        raise ValueError("the merges of the vocabulary are not in the order of their ids")
+
+
 class Encoder:
     """Encodes texts as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` does."""
 
@@ -36,6 +52,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
+        check(spec, letters)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ranks = {bytes(letters[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         self.names = {v: k for k, v in self.ranks.items()}
@@ -56,6 +73,7 @@ class Encoder:
         self.keys, self.sizes = np.zeros(n, np.uint64), np.zeros(n, np.int32)
         self.offsets, self.lengths = np.zeros(n, np.int64), np.zeros(n, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.chars_at, self.chars, self.chars_used = np.zeros(n, np.int64), np.zeros(1 << 16, np.uint32), 0
         self.inner_at, self.inner, self.inner_used = np.zeros(n, np.int64), np.zeros(1 << 16, np.int32), 0
 
     # -- pieces -------------------------------------------------------------------------------
@@ -112,6 +130,22 @@ class Encoder:
         self._h, self._size = h, size
         return slot
 
+    def _encode(self, cp: np.ndarray) -> tuple[int, int, int, int]:
+        """Encode a piece into the pools: where its ids begin, how many there are, where its prefix counts and its code points begin."""
+        piece = cp.astype("<u4").tobytes().decode("utf-32-le")
+        counts = self.piece_counts(piece) if self.prefixes else []
+        ids = [] if self.prefixes else self.encode_piece(piece.encode())
+        out = []
+        for name, values in (("pool", ids), ("inner", counts), ("chars", cp)):
+            pool, used = getattr(self, name), getattr(self, USED[name])
+            if used + len(values) > len(pool):
+                pool = np.concatenate([pool, np.zeros(max(len(pool), len(values)), pool.dtype)])
+                setattr(self, name, pool)
+            pool[used : used + len(values)] = values
+            setattr(self, USED[name], used + len(values))
+            out.append(used)
+        return out[0], counts[-1] if self.prefixes else len(ids), out[1], out[2]
+
     def _fill(self, cp, s, e, h, slot, size, missing) -> np.ndarray:
         """Encode the missing pieces; the numbers of those whose slot another piece of this call took."""
         _, first = np.unique(h[missing], return_index=True)
@@ -123,35 +157,29 @@ class Encoder:
                 left.add(int(h[i]))
                 continue
             taken[k] = i
-            piece = cp[s[i] : e[i]].astype("<u4").tobytes().decode("utf-32-le")
-            counts = self.piece_counts(piece) if self.prefixes else []
-            ids = [] if self.prefixes else self.encode_piece(piece.encode())
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.keys[k], self.sizes[k], self.offsets[k], self.lengths[k] = h[i], size[i], self.used, counts[-1] if self.prefixes else len(ids)
-            self.used += len(ids)
-            if self.prefixes:
-                if self.inner_used + len(counts) > len(self.inner):
-                    self.inner = np.concatenate([self.inner, np.zeros(max(len(self.inner), len(counts)), np.int32)])
-                self.inner[self.inner_used : self.inner_used + len(counts)] = counts
-                self.inner_at[k] = self.inner_used
-                self.inner_used += len(counts)
+            self.keys[k], self.sizes[k] = h[i], size[i]
+            self.offsets[k], self.lengths[k], self.inner_at[k], self.chars_at[k] = self._encode(cp[s[i] : e[i]])
         return missing[np.isin(h[missing], np.array(list(left), np.uint64))] if left else missing[:0]
 
     def lookup(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where in the pool each piece's ids begin, how many there are, and where its prefix counts begin."""
-        if self.used > POOL_MAX or self.inner_used > POOL_MAX:
+        if max(self.used, self.inner_used, self.chars_used) > POOL_MAX:
             self.clear()
         slot = self._slots(cp, s, e)
         h, size = self._h, self._size
-        off, n, inner = self.offsets[slot], self.lengths[slot].astype(np.int64), self.inner_at[slot]
+        off, n, inner, chars = self.offsets[slot], self.lengths[slot].astype(np.int64), self.inner_at[slot], self.chars_at[slot]
         missing = np.flatnonzero((self.keys[slot] != h) | (self.sizes[slot] != size))
         while len(missing):
             left = self._fill(cp, s, e, h, slot, size, missing)
             now = missing[(self.keys[slot[missing]] == h[missing]) & (self.sizes[slot[missing]] == size[missing])]
-            off[now], n[now], inner[now] = self.offsets[slot[now]], self.lengths[slot[now]], self.inner_at[slot[now]]
+            off[now], n[now], inner[now], chars[now] = self.offsets[slot[now]], self.lengths[slot[now]], self.inner_at[slot[now]], self.chars_at[slot[now]]
             missing = left
+        size = e - s
+        begun = np.cumsum(size) - size
+        steps = np.arange(int(size.sum()))
+        differ = np.flatnonzero(self.chars[np.repeat(chars - begun, size) + steps] != cp[np.repeat(s - begun, size) + steps])
+        for i in np.unique(np.searchsorted(begun, differ, side="right") - 1).tolist():  # another piece of equal hash and length
+            off[i], n[i], inner[i], _ = self._encode(cp[s[i] : e[i]])
         return off, n, inner
 
     # -- prefix counts ------------------------------------------------------------------------

@@ -8,8 +8,9 @@ counts; a pattern's slot for a length takes a run of the ranks of that length's
 number within its task plus the pieces that earlier tasks have of that length, so no length is gathered
 anywhere.  The slot table has a few rows a pattern, whatever the number of documents.
 
-Rules: a null or empty text has the end id alone; rows with one id are packed each for itself; an empty table
-gives an empty table; further columns are ignored.
+Rules: a null or empty text has the end id alone; a text of any length is cut into whole pieces; rows with one id,
+or repeated rows, are packed each for itself; of packs with equal room the last one made is taken; an empty table
+gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ prefix follows from the counts of shorter ones (see ``_bpe.Encoder.piece_counts`
 counts add up.  So the count of a text, where to cut it for a budget, and how many tokens a cut leaves are
 lookups; nothing is encoded again.
 
-Rules: a null text is empty and has no tokens; the path names the vocabulary file, which every executor
-reads; rows keep their own result, repeated ids included; further columns are ignored.
+Rules: a null or empty text has no tokens; a text of any length is counted whole; the path names the vocabulary
+file, which every executor reads; rows keep their own result, repeated ids and rows included; a text of just the
+budget fits; an empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
