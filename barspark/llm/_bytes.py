@@ -18,6 +18,9 @@ WINDOW = np.random.default_rng(20240611)
 CODES = WINDOW.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FOLDED = CODES.copy()
 FOLDED[65:91] = CODES[97:123]
+#: A-Z folded, byte by byte.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
 

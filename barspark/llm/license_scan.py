@@ -12,8 +12,12 @@ template has them.  Whether a place counts does not depend on the rest of the do
 A base phrase is a template whose words are all mandatory: its rarest word alone leads to every place where
 it can stand, and the phrase is compared there, so no place is missed.
 
-Rules: a null or empty text has no words and no labels; overlapping places all count; rows with one id keep
-their own results; an empty table gives an empty table; further columns are ignored.
+Licence words are found by hashes and compared byte by byte.
+
+Rules: a null or empty text has no words and no labels; a text of any length is one document, read whole;
+overlapping places all count; words of equal weight are indexed in the order of their bytes; rows with one id, or
+repeated rows, keep their own results; an empty table gives an empty table; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm._bytes import ALNUM, as_bytes, blocks, word_block
+from barspark.llm._bytes import ALNUM, LOWER, as_bytes, blocks, word_block
 from barspark.llm._license_texts import BASE, TEMPLATES
 from barspark.llm._spark import small_batches, text_rows
 
@@ -84,12 +88,18 @@ class Index:
         numbers = [self.number[w] for w in words]
         return numbers, max(range(len(words)), key=lambda i: (self.idf[numbers[i]], -i))
 
-    def occurrences(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in h, and the numbers, of licence words."""
+    def occurrences(self, h: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, among words with hashes h that stand at buf[s:e], and the numbers, of licence words."""
         at = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
         hit = self.hashes[slot] == h[at]
-        return at[hit], self.order[slot[hit]]
+        at, number = at[hit], self.order[slot[hit]]
+        same, by = np.zeros(len(at), bool), np.argsort(number, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(number[by])) + 1) if len(by) else ():
+            word = np.frombuffer(self.vocabulary[number[part[0]]], np.uint8)
+            part = part[(e - s)[at[part]] == len(word)]
+            same[part] = (LOWER[buf[s[at[part]][:, None] + np.arange(len(word))]] == word).all(axis=1)
+        return at[same], number[same]
 
 
 def _count(index: Index):
@@ -97,8 +107,8 @@ def _count(index: Index):
         for batch in batches:
             seen, n = np.zeros(len(index.vocabulary), np.int64), 0
             for first, last, buf, starts in blocks(as_bytes(batch.column("text"))):
-                h, doc, _, _ = word_block(buf, starts, ALNUM)
-                at, number = index.occurrences(h)
+                h, doc, s, e = word_block(buf, starts, ALNUM)
+                at, number = index.occurrences(h, buf, s, e)
                 pairs = np.unique(doc[at] * len(index.vocabulary) + number)
                 seen += np.bincount(pairs % len(index.vocabulary), minlength=len(index.vocabulary))
                 n += last - first
@@ -168,8 +178,8 @@ def _scan(index: Index, schema: pa.Schema):
         for batch in batches:
             rows, docs = [], batch.column("doc_id").to_pylist()
             for first, last, buf, starts in blocks(as_bytes(batch.column("text"))):
-                h, doc, _, _ = word_block(buf, starts, ALNUM)
-                at, number = index.occurrences(h)
+                h, doc, s, e = word_block(buf, starts, ALNUM)
+                at, number = index.occurrences(h, buf, s, e)
                 cuts = np.searchsorted(doc, np.arange(last - first + 1))
                 mine = np.searchsorted(doc[at], np.arange(last - first + 1))
                 for i in range(last - first):
