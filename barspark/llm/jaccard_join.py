@@ -18,8 +18,10 @@ A document's set holds the 64-bit hashes of its distinct word shingles.  Two doc
    prefix shingles, are expanded to their members, and are verified on whole sets.
 
 Rules: texts without words have an empty set and link with nothing; texts with fewer words than a
-shingle have one shingle, the whole sequence; null text is empty; ids repeat no more than their rows
-do (rows with one id and different texts are one node); further columns are ignored.
+shingle have one shingle, the whole sequence; texts of any length count whole; null text is empty; ids repeat no
+more than their rows do (rows with one id and different texts are one node); a pair at the threshold links;
+shingles of equal rarity are ordered by hash; an empty table gives an empty table; further columns are ignored,
+whatever their names.  In ``keep_one`` every row is a node of its own, whatever its id.
 """
 
 from __future__ import annotations
@@ -281,7 +283,12 @@ def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """docs with one document of each component, the one with the least id; of rows with one id one stays, rows without an id all stay."""
-    kept = cut(jaccard_classes(docs, words, threshold).filter("doc_id = component_id").select("doc_id").distinct())
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """docs with one row of each group of linked rows: the one with the least id (null after all), of one id the one whose text has the least SHA-256; rows without words all stay."""
+    names = docs.columns
+    key, text = (f"c{names.index(x)}" for x in ("doc_id", "text"))
+    # rows are numbered and written, so that every step sees the same numbers; no name of docs can clash with a step's
+    rows = cut(docs.toDF(*(f"c{k}" for k in range(len(names)))).withColumn("row", F.monotonically_increasing_id()))
+    classes = jaccard_classes(rows, words, threshold, "row", text).select(F.col("doc_id").alias("row"), "component_id")
+    choice = F.struct(F.col(key).isNull().alias("a"), F.col(key).alias("b"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("c"), "row")
+    kept = cut(rows.select("row", choice.alias("choice")).join(classes, "row").groupBy("component_id").agg(F.min("choice").alias("m")).select("m.row"))
+    return rows.join(kept, "row", "left_semi").drop("row").toDF(*names)
