@@ -8,8 +8,11 @@ The items are broadcast in blocks of ``BLOCK_MB`` of text at most (one longer it
 own size); for a benchmark of several blocks the rows are numbered and written once, matched block by block,
 and the hits of a row are merged by its number.
 
-Rules: a null text has no words; an item without words has no window; items that repeat an id count once;
-a document row keeps its own result, repeated ids included; further columns are ignored or kept as they are.
+Rules: a null or empty text has no words; a text of any length is scanned whole; an item without words has no
+window; items that repeat an id count once; a document row keeps its own result, repeated ids and repeated rows
+included; a document at the bound of its share is contaminated; with an empty benchmark nothing is hit, and an empty
+table gives an empty table; further columns are kept as they are, but for those with the names of results; in
+``decontaminate`` and ``remove_spans`` all columns are kept.
 """
 
 from __future__ import annotations

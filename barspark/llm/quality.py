@@ -12,9 +12,10 @@ of the id; scoring covers every row.  Labels, language, source and id are no inp
 
 Features are measures of the whole text: lengths, character classes, symbols, lines, repetition, entropy.
 
-Rules: a null text is empty, and an empty text is scored like any other; without a positive, all scores are
-0.5; ids with several rows are scored row by row; labels of unknown ids are ignored, of contradicting labels of
-one id the lowest holds; further columns are ignored (or, in ``keep_good``, kept).
+Rules: a null text is empty, and an empty text is scored like any other; a text of any length is measured whole;
+without a positive, all scores are 0.5; ids with several rows, or repeated rows, are scored row by row; labels of
+unknown ids are ignored, of contradicting labels of one id the lowest holds; a score at the threshold is good;
+empty tables give empty tables; further columns are ignored (or, in ``keep_good``, kept), whatever their names.
 """
 
 from __future__ import annotations
@@ -124,6 +125,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk_slopes(gp: np.ndarray, gu: np.ndarray, prior: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """The direction of a step in the outputs of positive and unlabelled texts.
+
+    It is the gradient of ``prior * R_p(+1) + (R_u(-1) - prior * R_p(-1))`` where the bracket is not negative; else
+    that of the bracket alone, turned round.  With no prior, that of the plain loss.
+    """
+    up, down = _sigmoid(gp), _sigmoid(gu)  # slopes of log(1 + e^g), the loss of the answer -1
+    if prior is None:
+        return (up - 1) / len(gp), down / len(gu)
+    if np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean() >= 0:
+        return prior * (up - 1) / len(gp) - prior * up / len(gp), down / len(gu)
+    return prior * up / len(gp), -down / len(gu)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = STEPS, seed: int = SEED) -> Model:
     """Minimise the non-negative risk; with no prior, the plain loss of positives against unlabelled."""
     rng = np.random.default_rng(seed)
@@ -139,16 +154,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps
         x = np.concatenate([p, u])
         hidden = np.tanh(x @ weights[0] + weights[1])
         g = hidden @ weights[2] + weights[3][0]
-        gp, gu = g[: len(p)], g[len(p) :]
-        up, down = _sigmoid(gp), _sigmoid(gu)  # slopes of log(1 + e^g), the loss of the answer -1
-        if prior is None:
-            slope = np.concatenate([(up - 1) / len(p), down / len(u)])
-        else:
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if negative >= 0:
-                slope = np.concatenate([prior * (up - 1) / len(p) - prior * up / len(p), down / len(u)])
-            else:
-                slope = np.concatenate([prior * up / len(p), -down / len(u)])
+        slope = np.concatenate(risk_slopes(g[: len(p)], g[len(p) :], prior))
         back = np.outer(slope, weights[2]) * (1 - hidden**2)
         grads = [x.T @ back + 1e-4 * weights[0], back.sum(0), hidden.T @ slope + 1e-4 * weights[2], np.array([slope.sum()])]
         rate = 0.01 * (1 - step / (steps + 1))
@@ -220,8 +226,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score under the threshold."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     model, _ = train(docs, labels)
     small_batches(docs.sparkSession)
 
@@ -231,7 +235,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             s = model.scores(x) if model else np.full(len(x), 0.5)
             yield batch.filter(pa.array(s >= threshold))
 
-    assert to_arrow_schema(docs.schema)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -110,7 +110,7 @@ def shingles(text):
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
 
 
-def test_jaccard_join(docs, texts, nothing):
+def test_jaccard_join(spark, docs, texts, nothing):
     rows = [(i, shingles(t)) for i, t in texts if i is not None]
     root = {i: i for i, _ in rows}
 
@@ -131,6 +131,10 @@ def test_jaccard_join(docs, texts, nothing):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({find(i) for i, _ in rows})
+    # rows of one id and different texts are different rows; of linked rows one stays, those without an id after all others
+    more = [(1, "a b c d e f"), (1, "q r s t u v"), (None, "a b c d e f"), (None, "only here in this row"), (2, "Q r s t u v"), (None, ""), (None, None)]
+    held = jaccard_join.keep_one(spark.createDataFrame([(i, t, 0) for i, t in more], "doc_id long, text string, row int")).collect()
+    assert sorted(((r.doc_id, r.text) for r in held), key=repr) == sorted([more[k] for k in (0, 1, 3, 5, 6)], key=repr)
 
 
 def test_decontamination(spark, docs, texts, nothing):
@@ -155,11 +159,7 @@ def test_decontamination(spark, docs, texts, nothing):
         want.append([i, len(w), len(hit), sorted(map(str, found))])
     for size in (16, 1e-5):
         got = decontaminate.contamination(docs, benchmark, block_mb=size)
-        rows = sorted(([r.doc_id, r.n_words, r.n_hit, sorted(r.item_ids)] for r in got.collect()), key=repr)
-        if size == 16:
-            assert rows == sorted(want, key=repr)
-        else:  # several blocks of items; rows that are equal in all columns become one there
-            assert sorted({repr(r) for r in rows}) == sorted({repr(x) for x in want})
+        assert sorted(([r.doc_id, r.n_words, r.n_hit, sorted(r.item_ids)] for r in got.collect()), key=repr) == sorted(want, key=repr)
     clean = decontaminate.decontaminate(docs, benchmark)
     assert clean.columns == docs.columns
     assert clean.count() == sum(not (x[2] and 20 * x[2] >= x[1]) for x in want)
@@ -212,6 +212,31 @@ def test_prefix_counts():
         assert encoder.counts([text])[0].tolist() == want
 
 
+def test_encoder_compares_pieces(monkeypatch):
+    """Pieces of equal hash and length are told apart; texts longer than a block; a file of another kind is refused."""
+    import json
+
+    import numpy as np
+
+    for prefixes in (False, True):
+        encoder = Encoder(PATH, prefixes)
+        monkeypatch.setattr(encoder, "_hash", lambda cp, s, e: np.full(len(s), 5, np.uint64))
+        text = "one two six the cat sat on a mat and the dog ran far"
+        want = encoder.library.encode(text, add_special_tokens=False).ids
+        assert (encoder.counts([text])[0][-1] == len(want)) if prefixes else (encoder.ids([text])[0].tolist() == want)
+    encoder, rng = Encoder(PATH), random.Random(1)
+    text = " ".join(rng.choice(["stone", "Fluß", "42", "don't", "\n\n"]) for _ in range(120_000))
+    assert encoder.ids(["x", text])[1].tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    with open(PATH) as f:
+        spec = json.load(f)
+    from barspark.llm._bpe import byte_letters, check
+
+    check(spec, byte_letters())
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        with pytest.raises(ValueError):
+            check(spec | change, byte_letters())
+
+
 def test_histogram_packing():
     rng = random.Random(3)
     histogram = Counter(rng.randint(1, 100) for _ in range(5000))
@@ -447,6 +472,32 @@ def test_compression_of_whole_texts():
         assert quality.features(text)[-1] == pytest.approx(len(zlib.compress(text, 1)) / len(text), rel=1e-3)
 
 
+def test_risk_and_prior():
+    """The steps follow the risk's gradient; the prior of a known mixture is found."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+
+    def bracket(gp, gu, prior):
+        return np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+    for prior, shift in ((0.3, 0.0), (0.9, -3.0)):
+        gp, gu = rng.normal(size=7), rng.normal(size=9) + shift
+        inside = bracket(gp, gu, prior) >= 0
+        assert inside == (shift == 0)
+        risk = (lambda a, b: prior * np.logaddexp(0, -a).mean() + bracket(a, b, prior)) if inside else (lambda a, b: -bracket(a, b, prior))  # noqa: B023
+        slopes = quality.risk_slopes(gp, gu, prior)
+        for which, slope in enumerate(slopes):
+            for k in range(len(slope)):
+                step = [np.zeros(7), np.zeros(9)]
+                step[which][k] = 1e-6
+                assert slope[k] == pytest.approx((risk(gp + step[0], gu + step[1]) - risk(gp - step[0], gu - step[1])) / 2e-6, abs=1e-6)
+    good = lambda n: rng.normal(1.5, 1, (n, 3))
+    for prior in (0.3, 0.7):
+        mixed = np.concatenate([good(int(4000 * prior)), rng.normal(-1.5, 1, (4000 - int(4000 * prior), 3))])
+        assert quality.estimate_prior(good(3000), mixed[rng.permutation(4000)]) == pytest.approx(prior, abs=0.08)
+
+
 def test_quality(spark, nothing):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["stone", "river", "walks", "the", "of", "quiet", "lamp"]) for _ in range(60)) + "."
