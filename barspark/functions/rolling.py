@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from barspark.sources.bars import series
 
-BLOCK = 64
-
 
 def over_last(fn, column, n: int, keys=("instrument",)) -> Column:
     """fn over the last n rows; null until n values are there."""
@@ -35,27 +33,27 @@ def filled(column) -> Column:
     return F.last(column, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
+def block_rows(q: float) -> int:
+    """Rows after which a weight that falls by q a row is under 1e-140: still a double, and nothing beside the newest."""
+    return max(1, int(322 / -math.log(q)))
+
+
 def ewm(bars: DataFrame, column: str, alpha: float, out: str, min_periods: int = 1) -> DataFrame:
     """bars with the exponential mean y = (1 - alpha) * y + alpha * x of a column whose nulls, if any, all come first.
 
-    The recursion is cut into blocks of 64 rows: inside a block it is a weighted running sum, and what a block
-    hands on is the weighted sum of the totals of the blocks before it, as far back as they count in doubles.
+    The recursion is cut into blocks so long that of what lies before a block only the block before it counts.  In
+    a block the mean is a running sum of values weighted by (1 - alpha) ** -row; what the block before hands on is
+    its last sum.  Both are windows over the series as it is partitioned: no join, no further exchange.
     """
     q = 1 - alpha
-    back = math.ceil(40 / (-BLOCK * math.log(q))) + 1
-    x = F.col(column)
-    w = series()
-    rows = bars.withColumn("_k", F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    rows = rows.withColumn("_seed", F.first(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_b", F.floor(F.col("_k") / BLOCK)).withColumn("_r", F.col("_k") % BLOCK)
-    inside = Window.partitionBy("instrument", "_b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum(F.when(x.isNotNull(), x * alpha * F.pow(F.lit(q), -F.col("_r")))).over(inside) * F.pow(F.lit(q), F.col("_r")))
-    totals = rows.filter(F.col("_r") == BLOCK - 1).filter("_k >= 0").select("instrument", F.col("_b").alias("_tb"), F.col("_s").alias("_t"))
-    before = Window.partitionBy("instrument").orderBy("_tb").rowsBetween(-back + 1, 0)
-    factor = q**BLOCK
-    carried = F.aggregate(F.collect_list("_t").over(before), F.lit(0.0), lambda acc, t: acc * factor + t)
-    carries = totals.withColumn("_c", carried).select("instrument", (F.col("_tb") + 1).alias("_b"), "_c")
-    rows = rows.join(carries, ["instrument", "_b"], "left")
-    carry = F.coalesce("_c", F.lit(0.0)) + F.col("_seed") * F.pow(F.lit(factor), F.col("_b"))
-    y = F.col("_s") + F.pow(F.lit(q), F.col("_r") + 1) * carry
-    return rows.withColumn(out, F.when(x.isNotNull() & (F.col("_k") + 1 >= min_periods), y)).drop("_k", "_seed", "_b", "_r", "_s", "_c")
+    size, x, w = block_rows(q), F.col(column), series()
+    r = F.col("i") % size
+    seen = F.col("_ewm_n")
+    part = F.when(x.isNull(), 0.0).when(seen == 1, x).otherwise(x * alpha)
+    rows = bars.withColumn("_ewm_n", F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_ewm_block", F.floor(F.col("i") / size)).withColumn("_ewm_part", part * F.pow(F.lit(q), -r))
+    inside = Window.partitionBy("instrument", "_ewm_block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_ewm_sum", F.sum("_ewm_part").over(inside) * F.pow(F.lit(q), r))
+    handed = F.last(F.when(r == size - 1, F.col("_ewm_sum")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    y = F.col("_ewm_sum") + F.coalesce(handed, F.lit(0.0)) * F.pow(F.lit(q), r + 1)
+    return rows.withColumn(out, F.when(x.isNotNull() & (seen >= min_periods), y)).drop("_ewm_n", "_ewm_block", "_ewm_part", "_ewm_sum")

@@ -80,10 +80,12 @@ def session_vwap(bars: DataFrame) -> DataFrame:
 def previous_session(bars: DataFrame) -> DataFrame:
     """High, low and close of the session before, by the sessions that exist."""
     rows = bars.withColumn("session", session_date(F.col("ts")))
-    days = rows.groupBy("instrument", "session").agg(F.max("high").alias("h"), F.min("low").alias("l"), F.max_by("close", "ts").alias("c"))
-    w = Window.partitionBy("instrument").orderBy("session")
-    days = days.select("instrument", "session", *(F.lag(c).over(w).alias(f"prev_{n}") for c, n in (("h", "high"), ("l", "low"), ("c", "close"))))
-    return rows.join(days, ["instrument", "session"])
+    so_far = Window.partitionBy("instrument", "session").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_day", F.struct(F.max("high").over(so_far).alias("high"), F.min("low").over(so_far).alias("low"), "close"))
+    # a session's last bar has its whole values; the bars after it see them
+    ended = F.when(F.lead("session").over(series()) != F.col("session"), F.col("_day"))
+    rows = rows.withColumn("_before", F.last(ended, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.select("*", *(F.col(f"_before.{c}").alias(f"prev_{c}") for c in ("high", "low", "close"))).drop("_day", "_before")
 
 
 def ema_stack(bars: DataFrame, periods=(9, 21, 50, 200)) -> DataFrame:

@@ -10,25 +10,33 @@ from barspark.operators.indicators import atr, previous_session
 from barspark.sources.bars import series
 
 
-def swings(bars: DataFrame, k: int = 3) -> DataFrame:
-    """One row a swing: instrument, kind, i, ts, price, available (i + k). Strictly beyond the k bars before, at least as far as the k after."""
+def _is_swing(k: int) -> tuple:
     high = (F.col("high") > between(F.max, "high", -k, -1)) & (F.col("high") >= between(F.max, "high", 1, k))
     low = (F.col("low") < between(F.min, "low", -k, -1)) & (F.col("low") <= between(F.min, "low", 1, k))
+    return high, low
+
+
+def swings(bars: DataFrame, k: int = 3) -> DataFrame:
+    """One row a swing: instrument, kind, i, ts, price, available (i + k). Strictly beyond the k bars before, at least as far as the k after."""
+    high, low = _is_swing(k)
     both = F.array_compact(F.array(F.when(high, F.struct(F.lit("high").alias("kind"), F.col("high").alias("price"))), F.when(low, F.struct(F.lit("low").alias("kind"), F.col("low").alias("price")))))
     return bars.withColumn("s", both).select("instrument", "i", "ts", F.explode("s").alias("s")).select("instrument", "s.kind", "i", "ts", "s.price", (F.col("i") + k).alias("available"))
 
 
 def with_last_swings(bars: DataFrame, k: int = 3) -> DataFrame:
     """The latest and second latest available swing of either kind, price and origin, at every bar; labels and trend too."""
-    rows = swings(bars, k)
-    w = Window.partitionBy("instrument", "kind").orderBy("i")
-    rows = rows.withColumn("before", F.lag("price").over(w))
-    rows = rows.withColumn("label", F.when(F.col("before").isNull(), None).otherwise(F.concat(F.when(F.col("price") > F.col("before"), "H").otherwise("L"), F.when(F.col("kind") == "high", "H").otherwise("L"))))
-    wide = rows.groupBy("instrument", F.col("available").alias("i")).pivot("kind", ["high", "low"]).agg(F.first("price").alias("price"), F.first("i").alias("origin"), F.first("label").alias("label"), F.first("before").alias("before"))
-    out = bars.join(wide, ["instrument", "i"], "left")
+    high, low = _is_swing(k)
+    rows = bars.withColumn("_high", F.when(high, F.col("high"))).withColumn("_low", F.when(low, F.col("low")))
+    past, names = series().rowsBetween(Window.unboundedPreceding, -1), []
     for kind in ("high", "low"):
-        for c in ("price", "origin", "label", "before"):
-            out = out.withColumn(f"{kind}_{c}", filled(f"{kind}_{c}"))
+        price, before = F.col(f"_{kind}"), F.last(f"_{kind}", ignorenulls=True).over(past)
+        label = F.when(before.isNotNull(), F.concat(F.when(price > before, "H").otherwise("L"), F.lit(kind[0].upper())))
+        rows = rows.withColumn(f"_{kind}", F.when(price.isNotNull(), F.struct(price.alias("price"), F.col("i").alias("origin"), label.alias("label"), before.alias("before"))))
+        names += [(f"_{kind}", c, f"{kind}_{c}") for c in ("price", "origin", "label", "before")]
+    # a swing is known k bars on
+    rows = rows.withColumn("_high", F.lag("_high", k).over(series())).withColumn("_low", F.lag("_low", k).over(series()))
+    rows = rows.withColumn("_high", filled("_high")).withColumn("_low", filled("_low"))
+    out = rows.select("*", *(F.col(f"{s}.{c}").alias(n) for s, c, n in names)).drop("_high", "_low")
     flip = F.when((F.col("high_label") == "HH") & (F.col("low_label") == "HL"), 1).when((F.col("high_label") == "LH") & (F.col("low_label") == "LL"), -1)
     return out.withColumn("_flip", flip).withColumn("trend", F.coalesce(filled("_flip"), F.lit(0)).cast("long")).drop("_flip")
 
@@ -37,10 +45,12 @@ def structure_breaks(bars: DataFrame, k: int = 3, reach: float = 0.05) -> DataFr
     """Closes beyond the last swing by reach * ATR, once a swing: BOS with the trend (or none), CHoCH against it."""
     rows = with_last_swings(atr(bars), k)
     rows = rows.withColumn("_trend", F.lag("trend").over(series()))
-    up = rows.filter(F.col("close") > F.col("high_price") + reach * F.col("atr")).select("instrument", "i", F.lit(1).cast("long").alias("direction"), F.col("high_origin").alias("origin"), F.col("high_price").alias("level"), F.coalesce("_trend", F.lit(0)).alias("trend"))
-    down = rows.filter(F.col("close") < F.col("low_price") - reach * F.col("atr")).select("instrument", "i", F.lit(-1).cast("long").alias("direction"), F.col("low_origin").alias("origin"), F.col("low_price").alias("level"), F.coalesce("_trend", F.lit(0)).alias("trend"))
+    side = lambda d, kind: F.struct(F.lit(d).cast("long").alias("direction"), F.col(f"{kind}_origin").alias("origin"), F.col(f"{kind}_price").alias("level"))
+    up = F.when(F.col("close") > F.col("high_price") + reach * F.col("atr"), side(1, "high"))
+    down = F.when(F.col("close") < F.col("low_price") - reach * F.col("atr"), side(-1, "low"))
+    events = rows.select("instrument", "i", F.coalesce("_trend", F.lit(0)).alias("trend"), F.explode(F.array_compact(F.array(up, down))).alias("e")).select("instrument", "i", "e.*", "trend")
     first = Window.partitionBy("instrument", "direction", "origin").orderBy("i")
-    events = up.union(down).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    events = events.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
     return events.withColumn("variant", F.when(F.col("trend") * F.col("direction") >= 0, "bos").otherwise("choch"))
 
 
