@@ -57,3 +57,20 @@ def ewm(bars: DataFrame, column: str, alpha: float, out: str, min_periods: int =
     handed = F.last(F.when(r == size - 1, F.col("_ewm_sum")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     y = F.col("_ewm_sum") + F.coalesce(handed, F.lit(0.0)) * F.pow(F.lit(q), r + 1)
     return rows.withColumn(out, F.when(x.isNotNull() & (seen >= min_periods), y)).drop("_ewm_n", "_ewm_block", "_ewm_part", "_ewm_sum")
+
+
+def with_ahead(events: DataFrame, bars: DataFrame, horizon: int, columns: tuple[str, ...]) -> DataFrame:
+    """events with ``ahead_<column>``: arrays of the next ``horizon`` bars' values, shorter at the end of the series.
+
+    Bars are put together in chunks of ``horizon``, so an event meets two chunks and not ``horizon`` rows; what is
+    built for events only costs nothing at other bars.
+    """
+    chunk = F.floor(F.col("i") / horizon)
+    chunks = bars.groupBy("instrument", chunk.alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct("i", *columns))).alias("_bars"))
+    first = F.floor((F.col("i") + 1) / horizon)
+    rows = events.withColumn("_chunk", first).join(chunks.withColumnRenamed("_bars", "_near"), ["instrument", "_chunk"], "left")
+    rows = rows.withColumn("_chunk", first + 1).join(chunks.withColumnRenamed("_bars", "_far"), ["instrument", "_chunk"], "left")
+    none = F.array().cast(chunks.schema["_bars"].dataType)
+    both = F.concat(F.coalesce("_near", none), F.coalesce("_far", none))
+    rows = rows.withColumn("_ahead", F.slice(both, (F.col("i") + 2 - first * horizon).cast("int"), F.lit(horizon)))
+    return rows.select(*events.columns, *(F.col("_ahead")[c].alias(f"ahead_{c}") for c in columns))

@@ -1,85 +1,131 @@
 """What follows events: forward outcomes, first touches, clusters, non-overlapping picks and base rates.
 
-An event has instrument, i (the bar at which it is available), direction and pattern.  Entry is the next bar's open;
-windows start there, and events whose window is not complete are left out, never cut short.
+An event has instrument, i (the bar at which it is available), direction, pattern and variant.  Entry is the next
+bar's open; windows start there, and events whose window is not complete are left out, never cut short.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.folds import folded
+from barspark.functions.rolling import with_ahead
 from barspark.operators.indicators import atr
-from barspark.operators.structure import displacements, fair_value_gaps, structure_breaks
-from barspark.sources.bars import series
+from barspark.operators.levels import levels_long
+from barspark.operators.research import equal_extremes, t_p_value
+from barspark.operators.structure import displacements, fair_value_gaps, liquidity_sweeps, order_blocks, structure_breaks
 
-HORIZONS = (1, 3, 5, 10, 20)
+HORIZONS = (1, 3, 5, 10, 20, 30, 60, 120, 240)
+#: Targets and stops in ATR; fixed.
+MULTIPLES = (0.5, 1.0, 1.5, 2.0, 3.0)
 MIN_ATR = 1.0
 R_LIMIT = 25.0
+LEAST_N = 30
+SOLID_N = 200
+INTERACTIONS = "instrument string, name string, origin long, i long, kind string, direction long, tests long"
+
 
+def level_interactions(levels: DataFrame, tolerance: float = 0.1, break_atr: float = 0.1, false_within: int = 20, retest_within: int = 60) -> DataFrame:
+    """Tests, breaks, false breaks and retests of each level (of ``levels.levels_long``), in order over the series.
 
-def detected(bars: DataFrame) -> DataFrame:
-    """Events of three detectors: instrument, i, direction, pattern."""
+    A side is established by a close farther from the level than tolerance and buffer; a close beyond the buffer on
+    the other side is a break.  A close back beyond the broken level within ``false_within`` bars is a false break, of
+    the opposite direction; the first touch within ``retest_within`` bars that closes on the new side is a retest.
+    Touches that close within the buffer are tests, numbered until a break or ``retest_within`` quiet bars.
+    """
+
+    def start() -> dict:
+        return {"side": 0, "broken": None, "retested": False, "tests": 0, "tested": -(10**9)}
+
+    def step(s: dict, row: tuple):
+        instrument, name, i, high, low, close, before, unit, level = row
+        near, buffer = tolerance * unit, break_atr * unit
+        if s["broken"]:
+            at, side, price = s["broken"]
+            if i - at <= false_within and side * (price - close) > buffer:
+                yield instrument, name, at, i, "false_break", -side, None
+                s.update(broken=None, retested=False, side=-side)
+            elif i - at > retest_within:
+                s.update(broken=None, retested=False)
+            elif not s["retested"] and low <= price + near and high >= price - near and side * (close - price) > 0:
+                yield instrument, name, at, i, "retest", side, None
+                s["retested"] = True
+        beyond = 1 if close > level + buffer else -1 if close < level - buffer else 0
+        if beyond and s["side"] == -beyond:
+            yield instrument, name, i, i, "break", beyond, s["tests"]
+            s.update(broken=(i, beyond, level), retested=False, tests=0, side=beyond)
+        elif not beyond and low <= level + near and high >= level - near:
+            s.update(tests=1 if i - s["tested"] > retest_within else s["tests"] + 1, tested=i)
+            yield instrument, name, i, i, "test", 1 if s["side"] == 1 or (s["side"] == 0 and before > level) else -1, s["tests"]
+        if abs(close - level) > max(near, buffer):
+            s["side"] = 1 if close > level else -1
+
+    rows = levels.select("instrument", "name", "i", "high", "low", "close", "prev_close", "atr", "level")
+    return folded(rows, ("instrument", "name"), ("i",), start, step, INTERACTIONS)
+
+
+def detected(bars: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Events of all seven detectors: instrument, origin, i, direction, pattern, variant."""
+    levels = levels_long(bars, ticks)
+    none = F.lit("")
     parts = [
-        displacements(bars).withColumn("pattern", F.lit("displacement")),
-        fair_value_gaps(bars, horizon=1).withColumn("pattern", F.lit("fair_value_gap")),
-        structure_breaks(bars).withColumn("pattern", F.col("variant")),
+        structure_breaks(bars).withColumn("pattern", F.col("variant")).withColumn("variant", none),
+        fair_value_gaps(bars, horizon=1).select("instrument", "origin", "i", "direction", F.lit("fair_value_gap").alias("pattern"), none.alias("variant")),
+        displacements(bars).select("instrument", F.col("i").alias("origin"), "i", "direction", F.lit("displacement").alias("pattern"), none.alias("variant")),
+        order_blocks(bars).select("instrument", "origin", "i", "direction", F.lit("order_block").alias("pattern"), none.alias("variant")),
+        equal_extremes(bars).select("instrument", F.col("first").alias("origin"), F.col("available").alias("i"), F.when(F.col("kind") == "high", -1).otherwise(1).cast("long").alias("direction"), F.concat(F.lit("equal_"), "kind", F.lit("s")).alias("pattern"), F.concat(F.lit("n"), F.col("members").cast("string")).alias("variant")),
+        level_interactions(levels).select("instrument", "origin", "i", "direction", F.concat(F.lit("level_"), "kind").alias("pattern"), F.col("name").alias("variant")),
+        liquidity_sweeps(levels, bars).select("instrument", "origin", "i", "direction", F.lit("sweep").alias("pattern"), F.col("name").alias("variant")),
     ]
-    out = parts[0].select("instrument", "i", "direction", "pattern")
+    columns = ("instrument", "origin", "i", "direction", "pattern", "variant")
+    out = parts[0].select(*columns)
     for x in parts[1:]:
-        out = out.unionByName(x.select("instrument", "i", "direction", "pattern"))
+        out = out.unionByName(x.select(*columns))
     return out
 
 
-def forward_windows(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """Per bar and horizon: the entry at the next open and the extremes and end of the bars from there on, complete windows only."""
-    w = series()
-    rows = atr(bars).withColumn("entry", F.lead("open").over(w))
-    each = []
-    for h in horizons:
-        frame = w.rowsBetween(1, h)
-        full = F.count("*").over(frame) == h
-        top, bottom = F.min(F.struct((-F.col("high")).alias("x"), "i")).over(frame), F.min(F.struct(F.col("low").alias("x"), "i")).over(frame)
-        each.append(F.when(full, F.struct(F.lit(h).cast("long").alias("horizon"), (-top["x"]).alias("top"), (top["i"] - F.col("i")).alias("top_at"), bottom["x"].alias("bottom"), (bottom["i"] - F.col("i")).alias("bottom_at"), F.lead("close", h).over(w).alias("end"))))
-    rows = rows.withColumn("_w", F.array(*each))
-    return rows.select("instrument", "i", "entry", "atr", F.explode(F.array_compact("_w")).alias("w")).select("instrument", "i", "entry", "atr", "w.*")
-
-
 def outcomes(events: DataFrame, bars: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """Best and worst excursion and end of each event, in points and in ATR (null without one)."""
-    rows = events.join(forward_windows(bars, horizons), ["instrument", "i"])
+    """Best and worst excursion and end of each event and complete horizon, in points and in ATR (null without one)."""
+    rows = events.join(atr(bars).select("instrument", "i", "atr"), ["instrument", "i"])
+    rows = with_ahead(rows, bars, max(horizons), ("open", "high", "low", "close"))
+    rows = rows.withColumn("entry", F.get("ahead_open", 0)).withColumn("horizon", F.explode(F.array(*(F.lit(h).cast("long") for h in horizons)))).filter(F.size("ahead_open") >= F.col("horizon"))
+    n = F.col("horizon").cast("int")
+    rows = rows.withColumn("_h", F.slice("ahead_high", F.lit(1), n)).withColumn("_l", F.slice("ahead_low", F.lit(1), n)).withColumn("_end", F.get("ahead_close", n - 1))
+    rows = rows.withColumn("_top", F.array_max("_h")).withColumn("_bottom", F.array_min("_l"))
+    top_at, bottom_at = F.array_position("_h", F.col("_top")), F.array_position("_l", F.col("_bottom"))
     long = F.col("direction") == 1
-    mfe = F.greatest(F.lit(0.0), F.when(long, F.col("top") - F.col("entry")).otherwise(F.col("entry") - F.col("bottom")))
-    mae = F.greatest(F.lit(0.0), F.when(long, F.col("entry") - F.col("bottom")).otherwise(F.col("top") - F.col("entry")))
-    end = F.when(F.col("end") == F.col("entry"), 0.0).otherwise(F.col("direction") * (F.col("end") - F.col("entry")))
+    mfe = F.greatest(F.lit(0.0), F.when(long, F.col("_top") - F.col("entry")).otherwise(F.col("entry") - F.col("_bottom")))
+    mae = F.greatest(F.lit(0.0), F.when(long, F.col("entry") - F.col("_bottom")).otherwise(F.col("_top") - F.col("entry")))
+    end = F.when(F.col("_end") == F.col("entry"), 0.0).otherwise(F.col("direction") * (F.col("_end") - F.col("entry")))
     r = F.when(F.col("atr") > 0, F.col("atr"))
     return rows.select(
-        "instrument", "i", "direction", "pattern", "horizon", "entry", "atr", mfe.alias("mfe"), mae.alias("mae"), end.alias("end_points"),
-        F.when(long, F.col("top_at")).otherwise(F.col("bottom_at")).alias("mfe_at"), F.when(long, F.col("bottom_at")).otherwise(F.col("top_at")).alias("mae_at"),
+        *events.columns, "horizon", "entry", "atr", mfe.alias("mfe"), mae.alias("mae"), end.alias("end_points"),
+        F.when(long, top_at).otherwise(bottom_at).alias("mfe_at"), F.when(long, bottom_at).otherwise(top_at).alias("mae_at"),
         (mfe / r).alias("mfe_r"), (mae / r).alias("mae_r"), (end / r).alias("end_r"),
     )
 
 
-def first_touches(events: DataFrame, bars: DataFrame, horizon: int = 24, multiples=(1.0, 2.0, 3.0)) -> DataFrame:
+def first_touches(events: DataFrame, bars: DataFrame, horizon: int = 240, multiples=MULTIPLES) -> DataFrame:
     """Per event and multiple of ATR: after how many bars, the entry bar being 1, the target and the stop are first touched."""
-    frame = series().rowsBetween(1, horizon)
-    rows = atr(bars).withColumn("entry", F.lead("open").over(series())).withColumn("_h", F.collect_list("high").over(frame)).withColumn("_l", F.collect_list("low").over(frame))
-    rows = events.join(rows.filter(F.size("_h") == horizon).select("instrument", "i", "entry", "atr", "_h", "_l"), ["instrument", "i"]).filter(F.col("atr") >= MIN_ATR)
+    rows = events.join(atr(bars).select("instrument", "i", "atr"), ["instrument", "i"]).filter(F.col("atr") >= MIN_ATR)
+    rows = with_ahead(rows, bars, horizon, ("open", "high", "low")).filter(F.size("ahead_open") == horizon).withColumn("entry", F.get("ahead_open", 0))
     rows = rows.withColumn("multiple", F.explode(F.array(*(F.lit(m) for m in multiples))))
     up, down = F.col("entry") + F.col("multiple") * F.col("atr"), F.col("entry") - F.col("multiple") * F.col("atr")
-    above = F.nullif(F.array_position(F.transform("_h", lambda x: x >= up), True).cast("long"), F.lit(0).cast("long"))
-    below = F.nullif(F.array_position(F.transform("_l", lambda x: x <= down), True).cast("long"), F.lit(0).cast("long"))
+    above = F.nullif(F.array_position(F.transform("ahead_high", lambda x: x >= up), True).cast("long"), F.lit(0).cast("long"))
+    below = F.nullif(F.array_position(F.transform("ahead_low", lambda x: x <= down), True).cast("long"), F.lit(0).cast("long"))
     long = F.col("direction") == 1
     return rows.select("instrument", "i", "direction", "pattern", "multiple", F.when(long, above).otherwise(below).alias("target_at"), F.when(long, below).otherwise(above).alias("stop_at"))
 
 
 def barrier_grid(touches: DataFrame) -> DataFrame:
     """Targets against stops: what is touched first wins, a tie is the stop's and counted as ambiguous."""
-    t = touches.select("instrument", "i", "direction", "pattern", F.col("multiple").alias("target"), "target_at")
-    s = touches.select("instrument", "i", "direction", "pattern", F.col("multiple").alias("stop"), "stop_at")
-    rows = t.join(s, ["instrument", "i", "direction", "pattern"])
+    by = ("instrument", "i", "direction", "pattern")
+    each = touches.dropDuplicates(["instrument", "i", "direction", "pattern", "multiple"]).groupBy(*by).agg(F.collect_list(F.struct("multiple", "target_at", "stop_at")).alias("m"))  # as many as there are multiples
+    rows = each.withColumn("t", F.explode("m")).withColumn("s", F.explode("m")).select(*by, F.col("t.multiple").alias("target"), F.col("s.multiple").alias("stop"), "t.target_at", "s.stop_at")
     hit = F.col("target_at").isNotNull() & (F.col("stop_at").isNull() | (F.col("target_at") < F.col("stop_at")))
     lost = F.col("stop_at").isNotNull() & (F.col("target_at").isNull() | (F.col("stop_at") <= F.col("target_at")))
     out = rows.groupBy("pattern", "direction", "target", "stop").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(lost).alias("losses"), F.count_if(F.col("target_at") == F.col("stop_at")).alias("ambiguous"))
@@ -88,99 +134,97 @@ def barrier_grid(touches: DataFrame) -> DataFrame:
 
 def clusters(events: DataFrame, reach: int = 3) -> DataFrame:
     """Events of one direction within ``reach`` bars of a cluster's first one share its id; the next one further on starts a new one."""
+    names = events.columns
+    at = names.index("i")
+
+    def step(state, row):
+        if state["anchor"] is None or row[at] - state["anchor"] > reach:
+            state["anchor"] = row[at]
+        yield *row, state["anchor"]
 
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["i", "pattern"])
-        anchor, ids = None, []
-        for i in rows["i"]:
-            if anchor is None or i - anchor > reach:
-                anchor = i
-            ids.append(anchor)
-        return rows.assign(anchor=ids)
+    from pyspark.sql.types import LongType, StructField, StructType
 
-    found = events.groupBy("instrument", "direction").applyInPandas(number, "instrument string, i long, direction long, pattern string, anchor long")
+    found = folded(events, ("instrument", "direction"), ("i",), lambda: {"anchor": None}, step, StructType([*events.schema.fields, StructField("anchor", LongType())]))
     size = F.count("*").over(Window.partitionBy("instrument", "direction", "anchor"))
     return found.withColumn("cluster_id", F.format_string("C%+d-%09d", "direction", "anchor")).withColumn("size", size).drop("anchor")
 
 
 def non_overlapping(events: DataFrame, horizon: int, by=("instrument", "pattern", "direction")) -> DataFrame:
-    """In order, each event that comes at least ``horizon`` bars after the last one kept."""
+    """In order, each event that comes at least ``horizon`` bars after the last one kept; of events at one bar any may be kept."""
+    return _spaced(events, horizon, by).filter("spaced").drop("spaced")
+
+
+def _spaced(events: DataFrame, horizon: int, by) -> DataFrame:
+    from pyspark.sql.types import BooleanType, StructField, StructType
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i", kind="stable")
-        last, kept = -(10**12), []
-        for i in rows["i"]:
-            kept.append(i - last >= horizon)
-            last = i if kept[-1] else last
-        return rows[np.array(kept, bool)]
+    at = events.columns.index("i")
 
-    return events.groupBy(*by).applyInPandas(keep, events.schema)
+    def step(state, row):
+        kept = row[at] - state["last"] >= horizon
+        if kept:
+            state["last"] = row[at]
+        yield *row, kept
 
+    return folded(events, tuple(by), ("i",), lambda: {"last": -(10**12)}, step, StructType([*events.schema.fields, StructField("spaced", BooleanType())]))
 
-def base_rates(results: DataFrame, horizon: int) -> DataFrame:
+
+def _share_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
+    """z of two shares; 0 where it can't be told."""
+    pooled = (x1 + x2) / F.nullif(n1 + n2, F.lit(0))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(n1, F.lit(0)) + 1 / F.nullif(n2, F.lit(0))))
+    return F.when((n1 > 0) & (n2 > 0) & (error > 0), (x1 / n1 - x2 / n2) / error).otherwise(0.0)
+
+
+def base_rates(results: DataFrame, horizon: int, least: int = LEAST_N) -> DataFrame:
     """Per pattern and direction: how often and how far the end lies in favour, against all other patterns of the direction.
 
-    Means and shares of the others are totals less the group's; Wilson's interval and the z of two shares follow.
+    results are ``outcomes`` of ``clusters``; of events at one bar any may be the one that doesn't overlap, since they
+    have one outcome.  The median of the others and their non-overlapping events need their
+    rows, so each row is counted once for each pattern of its direction; patterns are a few dozen.
     """
-    rows = results.filter((F.col("horizon") == horizon) & F.col("end_r").isNotNull() & (F.col("atr") >= MIN_ATR))
-    rows = rows.withColumn("r", F.greatest(F.lit(-R_LIMIT), F.least(F.lit(R_LIMIT), "end_r")))
-    groups = rows.groupBy("pattern", "direction").agg(F.count("*").alias("n"), F.count_if(F.col("r") > 0).alias("wins"), F.sum("r").alias("s"), F.percentile("r", 0.5).alias("median_r"), F.stddev_samp("r").alias("sd"))
-    w = Window.partitionBy("direction")
-    others, other_wins, other_sum = (F.sum(c).over(w) - F.col(c) for c in ("n", "wins", "s"))
-    rows = groups.withColumn("m", others).withColumn("other_wins", other_wins).withColumn("other_sum", other_sum)
-    p, q = F.col("wins") / F.col("n"), F.col("other_wins") / F.nullif("m", F.lit(0))
-    z2 = 1.959963984540054**2
-    half = 1.959963984540054 * F.sqrt(p * (1 - p) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))
-    center, scale = p + z2 / (2 * F.col("n")), 1 + z2 / F.col("n")
-    pooled = (F.col("wins") + F.col("other_wins")) / (F.col("n") + F.col("m"))
-    z = (p - q) / F.nullif(F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.nullif("m", F.lit(0)))), F.lit(0.0))
-    return rows.select(
-        "pattern", "direction", "n", p.alias("share"), ((center - half) / scale).alias("share_low"), ((center + half) / scale).alias("share_high"),
-        (F.col("s") / F.col("n")).alias("mean_r"), "median_r", (F.col("s") / F.col("n") - F.col("other_sum") / F.nullif("m", F.lit(0))).alias("edge_r"), z.alias("z"),
-        (F.col("s") / F.col("n") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0))).alias("t"),
+    rows = results.filter((F.col("horizon") == horizon) & F.col("end_r").isNotNull())
+    dropped = rows.groupBy("pattern", "direction").agg(F.count_if(~(F.col("atr") >= MIN_ATR)).alias("n_dropped_atr"))
+    rows = rows.filter(F.col("atr") >= MIN_ATR)
+    rows = rows.select("instrument", "i", "direction", F.col("pattern").alias("of"), F.concat_ws("/", "instrument", "cluster_id").alias("cluster"), (F.col("end_points") > 0).alias("won"), F.greatest(F.lit(-R_LIMIT), F.least(F.lit(R_LIMIT), "end_r")).alias("r"), (F.abs("end_r") > R_LIMIT).alias("clipped"), "mfe_r", "mae_r")
+    groups = rows.select(F.col("of").alias("pattern"), "direction").distinct().groupBy("direction").agg(F.collect_set("pattern").alias("patterns"))
+    each = rows.join(groups, "direction").withColumn("pattern", F.explode("patterns")).drop("patterns").withColumn("own", F.col("pattern") == F.col("of"))
+    each = _spaced(each, horizon, ("instrument", "direction", "pattern", "own"))
+    own, free = F.col("own"), F.col("spaced")
+    mine = lambda c: F.when(own, F.col(c))
+    rest = lambda c: F.when(~own, F.col(c))
+    g = each.groupBy("pattern", "direction").agg(
+        F.count_if(own).alias("n"), F.count_if(~own).alias("m"), F.count_if(own & free).alias("n_independent"), F.count_if(~own & free).alias("_m_free"), F.count_distinct(mine("cluster")).alias("n_clusters"), F.count_if(own & F.col("clipped")).alias("n_clipped"),
+        F.count_if(own & F.col("won")).alias("_wins"), F.count_if(~own & F.col("won")).alias("_other_wins"), F.count_if(own & free & F.col("won")).alias("_free_wins"), F.count_if(~own & free & F.col("won")).alias("_other_free_wins"),
+        F.avg(mine("r")).alias("mean_r"), F.percentile(mine("r"), 0.5).alias("median_r"), F.stddev_samp(mine("r")).alias("sd_r"), F.coalesce(F.avg(rest("r")), F.lit(0.0)).alias("base_mean_r"), F.coalesce(F.percentile(rest("r"), 0.5), F.lit(0.0)).alias("base_median_r"),
+        F.avg(F.when(own & free, F.col("r"))).alias("_free_mean"), F.stddev_samp(F.when(own & free, F.col("r"))).alias("_free_sd"),
+        F.percentile(mine("mfe_r"), 0.5).alias("mfe_r_median"), F.percentile(mine("mae_r"), 0.5).alias("mae_r_median"), F.percentile(mine("mae_r"), 0.9).alias("mae_r_p90"),
+    ).filter(F.col("n") >= least).join(dropped, ["pattern", "direction"])
+    n, p, z = F.col("n"), F.col("_wins") / F.col("n"), 1.96
+    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    center = (p + z * z / (2 * n)) / (1 + z * z / n)
+    t = lambda mean, sd, k: F.when((k >= 2) & (sd > 0), (mean - F.col("base_mean_r")) / (sd / F.sqrt(k))).otherwise(0.0)
+    enough = (F.col("n_independent") >= LEAST_N) & (F.col("_m_free") >= LEAST_N)
+    hints = F.array_compact(F.array(F.when(n < SOLID_N, "small_sample"), F.when(F.col("n_independent") < LEAST_N, "few_independent"), F.when(F.abs(F.col("mean_r") - F.col("median_r")) > 0.5, "heavy_tails"), F.when(F.col("n_dropped_atr") > 0.02 * (n + F.col("n_dropped_atr")), "many_dropped")))
+    return g.select(
+        "pattern", "direction", "n", "n_independent", "n_clusters", "n_dropped_atr", "n_clipped", p.alias("share"), F.greatest(F.lit(0.0), center - half).alias("share_low"), F.least(F.lit(1.0), center + half).alias("share_high"),
+        (F.col("_other_wins") / F.nullif("m", F.lit(0))).alias("base_share"), (p - F.col("_other_wins") / F.nullif("m", F.lit(0))).alias("share_edge"),
+        F.when(enough, _share_z(F.col("_free_wins"), F.col("n_independent"), F.col("_other_free_wins"), F.col("_m_free"))).otherwise(0.0).alias("share_z"), _share_z(F.col("_wins"), n, F.col("_other_wins"), F.col("m")).alias("share_z_overlapping"),
+        "mean_r", "median_r", "sd_r", "base_mean_r", "base_median_r", (F.col("mean_r") - F.col("base_mean_r")).alias("edge_r"), (F.col("median_r") - F.col("base_median_r")).alias("median_edge_r"),
+        "mfe_r_median", "mae_r_median", "mae_r_p90", t(F.col("_free_mean"), F.col("_free_sd"), F.col("n_independent")).alias("t"), t(F.col("mean_r"), F.col("sd_r"), n).alias("t_overlapping"), F.array_join(hints, ",").alias("hints"),
     )
 
 
-def level_interactions(bars: DataFrame, tolerance: float = 0.1, break_atr: float = 0.1, false_within: int = 20, retest_within: int = 60) -> DataFrame:
-    """Tests, breaks, false breaks and retests of the previous session's high and low, by a state machine a level.
+def with_rate_p_values(rates: DataFrame) -> DataFrame:
+    """Base rates with two-sided p of their z and t; the table has a row a pattern and direction."""
 
-    A side is established by a close beyond max(tolerance, break_atr) * ATR; a change of side is a break, one back
-    within ``false_within`` bars a false break of the opposite direction; a later touch that holds, within
-    ``retest_within`` bars and once, is a retest.  A new level starts anew.
-    """
-    from barspark.operators.indicators import previous_session
-
-    rows = atr(previous_session(bars))
-    levels = F.array(F.struct(F.lit("prev_high").alias("name"), F.col("prev_high").alias("level")), F.struct(F.lit("prev_low").alias("name"), F.col("prev_low").alias("level")))
-    rows = rows.select("instrument", "session", "i", "high", "low", "close", "atr", F.explode(levels).alias("l")).select("instrument", "session", "i", "high", "low", "close", "atr", "l.*").filter("level is not null and atr is not null")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        part = part.sort_values("i")
-        side, broke_at, broke_to, retested, tests, touching = 0, None, 0, False, 0, False
-        for i, high, low, close, a, level in part[["i", "high", "low", "close", "atr", "level"]].itertuples(index=False):
-            beyond, near = max(tolerance, break_atr) * a, tolerance * a
-            now = 1 if close > level + beyond else -1 if close < level - beyond else 0
-            if now and side and now != side:
-                if broke_at is not None and i - broke_at <= false_within and now == -broke_to:
-                    out.append((i, "false_break", now))
-                    broke_at = None
-                else:
-                    out.append((i, "break", now))
-                    broke_at, broke_to, retested = i, now, False
-                tests = 0
-            touch = low <= level + near and high >= level - near
-            if touch and not touching and side and now != -side:
-                if broke_at is not None and i > broke_at and i - broke_at <= retest_within and not retested and side == broke_to:
-                    out.append((i, "retest", side))
-                    retested = True
-                elif broke_at is None or i > broke_at:
-                    tests += 1
-                    out.append((i, f"test_{min(tests, 5)}", side))
-            touching = touch
-            side = now or side
-        found = pd.DataFrame(out, columns=["i", "kind", "direction"])
-        return found.assign(instrument=part["instrument"].iloc[0], name=part["name"].iloc[0])[["instrument", "name", "i", "kind", "direction"]]
-
-    # a session's level is its own series, so no state goes further than a session
-    return rows.groupBy("instrument", "session", "name").applyInPandas(run, "instrument string, name string, i long, kind string, direction long")
+    def normal(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
+
+    def student(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([t_p_value(a, b - 1) if b >= 2 else 1.0 for a, b in zip(t, n, strict=True)])
+
+    two_sided, of_t = F.pandas_udf(normal, "double"), F.pandas_udf(student, "double")
+    return rates.select(
+        "*", two_sided("share_z").alias("share_p"), two_sided("share_z_overlapping").alias("share_p_overlapping"),
+        of_t("t", F.col("n_independent").cast("double")).alias("p"), of_t("t_overlapping", F.col("n").cast("double")).alias("p_overlapping"),
+    )

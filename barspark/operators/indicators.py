@@ -98,16 +98,20 @@ def ema_stack(bars: DataFrame, periods=(9, 21, 50, 200)) -> DataFrame:
     return rows.withColumn("ema_stack", state)
 
 
-def flag_signals(bars: DataFrame, impulse: int = 20, impulse_atr: float = 2.5, consolidation: int = 10, max_range_atr: float = 2.4) -> DataFrame:
-    """Breakouts from a narrow range after a strong move; a downward one overrides an upward one."""
-    rows = atr(bars)
-    top, bottom = between(F.max, "high", -consolidation, -1), between(F.min, "low", -consolidation, -1)
-    ref = lagged("atr")
-    move = lagged("close", consolidation) - lagged("close", consolidation + impulse)
-    narrow = (top - bottom) <= max_range_atr * ref
-    up = F.coalesce((move >= impulse_atr * ref) & narrow & (F.col("close") > top), F.lit(False))
-    down = F.coalesce((move <= -impulse_atr * ref) & narrow & (F.col("close") < bottom), F.lit(False))
-    return rows.withColumn("flag_top", top).withColumn("flag_bottom", bottom).withColumn("flag_up", up).withColumn("flag_down", down).withColumn("flag_direction", F.when(down, -1).when(up, 1).otherwise(0).cast("long"))
+def flag_signals(bars: DataFrame, impulse: int = 20, impulse_atr: float = 2.5, consolidation: int = 10, max_range_atr: float = 2.4, buffer_atr: float = 0.1) -> DataFrame:
+    """A strong move, then a narrow range: its bounds and width, the move, whether it holds, and closes beyond it by a buffer.
+
+    The range is that of the bars before the current one, the ATR the last one before it.  The direction is the
+    move's while the range is narrow; a downward move overrides an upward one.
+    """
+    rows = atr(bars).withColumn("_ref", lagged("atr"))
+    rows = rows.withColumn("flag_top", between(F.max, "high", -consolidation, -1)).withColumn("flag_bottom", between(F.min, "low", -consolidation, -1))
+    rows = rows.withColumn("flag_range", F.col("flag_top") - F.col("flag_bottom")).withColumn("flag_impulse", lagged("close", consolidation) - lagged("close", consolidation + impulse))
+    narrow, strong = F.col("flag_range") <= max_range_atr * F.col("_ref"), impulse_atr * F.col("_ref")
+    rows = rows.withColumn("_up", F.coalesce((F.col("flag_impulse") >= strong) & narrow, F.lit(False))).withColumn("_down", F.coalesce((F.col("flag_impulse") <= -strong) & narrow, F.lit(False)))
+    rows = rows.withColumn("flag_up", F.col("_up") & (F.col("close") > F.col("flag_top") + buffer_atr * F.col("_ref"))).withColumn("flag_down", F.col("_down") & (F.col("close") < F.col("flag_bottom") - buffer_atr * F.col("_ref")))
+    rows = rows.withColumn("flag_direction", F.when(F.col("_down"), -1).when(F.col("_up"), 1).otherwise(0).cast("long"))
+    return rows.withColumn("flag_forming", (F.col("_up") | F.col("_down")) & ~F.col("flag_up") & ~F.col("flag_down")).drop("_ref", "_up", "_down")
 
 
 def relative_volume(bars: DataFrame, sessions: int = 60, at_least: int = 15) -> DataFrame:
@@ -133,9 +137,9 @@ def tercile(rank) -> "F.Column":
     return F.when(rank <= 1 / 3, "low").when(rank <= 2 / 3, "mid").when(rank.isNotNull(), "high")
 
 
-def regime(bars: DataFrame, n: int = 120) -> DataFrame:
-    """Volatility, structure and liquidity terciles, and their joint label where all three are known."""
-    rows = relative_volume(adx(bars), 20, 5)
+def regime(bars: DataFrame, n: int = 60 * 23) -> DataFrame:
+    """Volatility, structure and liquidity terciles over the last n bars (60 sessions of hours), and their joint label where all three are known."""
+    rows = relative_volume(adx(bars))
     for column, out in (("atr", "vola"), ("adx", "structure"), ("rel_volume", "liquidity")):
         rows = rolling_rank(rows, column, n, f"{out}_rank").withColumn(out, tercile(F.col(f"{out}_rank")))
     return rows.withColumn("regime", F.when(F.col("vola").isNotNull() & F.col("structure").isNotNull() & F.col("liquidity").isNotNull(), F.concat_ws("|", "vola", "structure", "liquidity")))

@@ -7,8 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.sessions import RTH, local, market_state, minute_of_day, session_date, to_utc
+from barspark.operators.indicators import atr, previous_session
+from barspark.operators.structure import with_last_swings
 from barspark.sources.bars import series
 
+#: Spans after 09:30 local by name, in minutes.
+FIRST_MINUTES = {"or5": 5, "or15": 15, "or30": 30, "ib": 60}
+#: The level sources, in order; fixed.
+LEVEL_NAMES = ("pdh", "pdl", "pdc", "ib_high", "ib_low", "onh", "onl", "or5_high", "or5_low", "or15_high", "or15_low", "or30_high", "or30_low", "swing_high", "swing_low")
+
 
 def _ohlcv() -> list:
     return [
@@ -75,6 +82,34 @@ def session_levels(ticks: DataFrame) -> DataFrame:
     return out.withColumn("gap", gap).withColumn("gap_filled", filled)
 
 
+def level_columns(bars: DataFrame, ticks: DataFrame) -> DataFrame:
+    """bars with every level that may be known at them, null before it is.
+
+    Previous session (pdh, pdl, pdc), overnight (onh, onl, from 09:30 local), the first 5, 15, 30 and 60 minutes after
+    09:30 (or5_high ... ib_low, when they are over) and the last swings (swing_high, swing_low).
+    """
+    rows = ticks.withColumn("session", session_date(F.col("ts"))).withColumn("m", minute_of_day(local(F.col("ts")))).withColumn("today", F.to_date(local(F.col("ts"))) == F.col("session"))
+    spans = {"on": (F.col("m") < RTH[0]) | (F.col("m") >= 1080)} | {name: F.col("today") & F.col("m").between(RTH[0], RTH[0] + n - 1) for name, n in FIRST_MINUTES.items()}
+    extremes = [f(F.when(inside, F.col("price"))).alias(f"_{name}_{side}") for name, inside in spans.items() for side, f in (("high", F.max), ("low", F.min))]
+    by_session = rows.groupBy("instrument", "session").agg(*extremes)
+    out = previous_session(with_last_swings(atr(bars))).join(by_session, ["instrument", "session"], "left")
+    for name in spans:
+        known = to_utc(F.col("session").cast("timestamp_ntz") + F.expr(f"interval {RTH[0] + FIRST_MINUTES.get(name, 0)} minutes"))
+        for side in ("high", "low"):
+            out = out.withColumn("onh" if (name, side) == ("on", "high") else "onl" if name == "on" else f"{name}_{side}", F.when(F.col("ts") >= known, F.col(f"_{name}_{side}"))).drop(f"_{name}_{side}")
+    return out.withColumnsRenamed({"prev_high": "pdh", "prev_low": "pdl", "prev_close": "pdc", "high_price": "swing_high", "low_price": "swing_low"})
+
+
+def levels_long(bars: DataFrame, ticks: DataFrame) -> DataFrame:
+    """A row for each bar and level known at it, with the bar before: instrument, i, high, low, close, prev_high, prev_low, prev_close, atr, name, level; bars without a positive ATR are left out."""
+    rows = level_columns(bars, ticks)
+    for c in ("high", "low", "close"):
+        rows = rows.withColumn(f"prev_{c}", F.lag(c).over(series()))
+    named = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("level")) for n in LEVEL_NAMES))
+    rows = rows.filter((F.col("atr") > 0) & (F.col("i") > 0)).withColumn("l", F.explode(named))
+    return rows.select("instrument", "i", "high", "low", "close", "prev_high", "prev_low", "prev_close", "atr", "l.name", "l.level").filter("level is not null")
+
+
 def volume_profile(bars: DataFrame, bin_size: float) -> DataFrame:
     """Volume by price bin and session: each bar's volume is spread evenly over the bins it touches."""
     first, last = F.floor(F.col("low") / bin_size), F.floor(F.col("high") / bin_size)
@@ -86,12 +121,12 @@ def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
     """Point of control and value area: grown from the fullest bin to the fuller neighbour, upwards on a tie, until ``share`` of the volume."""
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        volume = dict(zip(rows["bin"], rows["volume"], strict=True))
+        volume = dict(zip(rows["bin"], rows["volume"].round(9), strict=True))  # sums in any order
         low, high = min(volume), max(volume)
         poc = min(volume, key=lambda b: (-volume[b], b))
         a = b = poc
         held, total = volume[poc], sum(volume.values())
-        while held < share * total - 1e-12 and (a > low or b < high):
+        while held < share * total - 1e-9 and (a > low or b < high):
             up, down = volume.get(b + 1, 0.0) if b < high else -1.0, volume.get(a - 1, 0.0) if a > low else -1.0
             if up >= down:
                 b += 1
@@ -127,8 +162,9 @@ def validated(bars: DataFrame, now) -> DataFrame:
 
 
 def upserted(stored: DataFrame, arrived: DataFrame, keys: list[str], received: str) -> DataFrame:
-    """The last row received of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(received))
+    """The last row received of each key; of rows received at once the greatest by all of its columns, so every run keeps the same one."""
+    rest = [F.desc(c) for c, t in stored.dtypes if not t.startswith(("map", "variant"))]
+    w = Window.partitionBy(*keys).orderBy(F.desc(received), *rest)
     return stored.unionByName(arrived).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -164,11 +200,19 @@ def compared(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], by: list[str], tie: str) -> DataFrame:
-    """left with the latest row of right at or before its time, by a union and one forward fill."""
+    """left with the latest row of right at or before its time.
+
+    A union and a forward fill by day, so that one hot key is dealt over its days; a day's first rows take the last
+    one of the days before, which come from one row a key and day.
+    """
     held = [F.col(c).alias(c) for c in columns]
     a = left.withColumn("_side", F.lit(1)).withColumn("_r", F.lit(None).cast(right.select(F.struct(*held)).schema[0].dataType))
     b = right.select(*by, "ts", F.struct(*held).alias("_r"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"))
     both = a.withColumn("_tie", F.lit(None).cast(right.schema[tie].dataType)).unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
+    both = both.withColumn("_day", F.to_date("ts"))
+    w = Window.partitionBy(*by, "_day").orderBy("ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    days = both.groupBy(*by, "_day").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("ts", "_tie"))).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*by, "_day", F.last("_end", ignorenulls=True).over(earlier).alias("_earlier"))
+    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1").join(days, [*by, "_day"]).withColumn("_r", F.coalesce("_r", "_earlier"))
     return out.select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in columns))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.rolling import with_ahead
 from barspark.functions.sessions import session_date
 from barspark.operators.indicators import atr
 from barspark.operators.levels import resample
-from barspark.sources.bars import series
 
 
 def coverage(bars: DataFrame, now: Column, stale_after: float = 3.0) -> DataFrame:
@@ -77,6 +77,5 @@ def equity_curve(trades: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 def paths(bars: DataFrame, horizon: int) -> DataFrame:
     """Closes of the next bars relative to the next open, as an array; shorter at the end of the series."""
-    w = series()
-    rows = bars.withColumn("entry", F.lead("open").over(w)).withColumn("_c", F.collect_list("close").over(w.rowsBetween(1, horizon)))
-    return rows.filter("entry is not null").select("instrument", "i", "entry", F.transform("_c", lambda x: x - F.col("entry")).alias("path"))
+    rows = with_ahead(bars.select("instrument", "i"), bars, horizon, ("open", "close")).withColumn("entry", F.get("ahead_open", 0))
+    return rows.filter("entry is not null").select("instrument", "i", "entry", F.transform("ahead_close", lambda x: x - F.col("entry")).alias("path"))

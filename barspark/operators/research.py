@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.folds import folded
 from barspark.functions.sessions import session_date
 from barspark.operators.indicators import atr, previous_session, rsi
 from barspark.operators.structure import swings
@@ -58,23 +59,22 @@ def candles(bars: DataFrame) -> DataFrame:
     return bars.withColumn("candle", kind).filter("candle is not null").select("instrument", "i", "candle")
 
 
-def equal_extremes(bars: DataFrame, k: int = 3, near_atr: float = 0.2, back: int = 120, most: int = 8) -> DataFrame:
-    """Swings of one kind at about one price: a running cluster whose members all lie within tolerance, none older than ``back`` bars."""
+def equal_extremes(bars: DataFrame, k: int = 3, near_atr: float = 0.2, tick: float = 0.25, near_ticks: float = 4.0, back: int = 120, most: int = 8) -> DataFrame:
+    """Swings of one kind at about one price: a running cluster whose members all lie within tolerance, none older than ``back`` bars; a swing without a known ATR begins a new one."""
     known = atr(bars).select("instrument", F.col("i").alias("available"), "atr")
-    rows = swings(bars, k).join(known, ["instrument", "available"]).filter("atr is not null")
+    rows = swings(bars, k).join(known, ["instrument", "available"]).select("instrument", "kind", "i", "available", "price", "atr")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out, members = [], []
-        for i, available, price, a in part.sort_values("i")[["i", "available", "price", "atr"]].itertuples(index=False):
-            members = [(j, p) for j, p in members if i - j <= back][-(most - 1) :]
-            if members and all(abs(p - price) <= near_atr * a for _, p in members):
-                members.append((i, price))
-                out.append((i, available, len(members), sum(p for _, p in members) / len(members)))
-            else:
-                members = [(i, price)]
-        return pd.DataFrame(out, columns=["i", "available", "members", "level"]).assign(instrument=part["instrument"].iloc[0], kind=part["kind"].iloc[0])[["instrument", "kind", "i", "available", "members", "level"]]
+    def step(state, row):
+        instrument, kind, i, available, price, unit = row
+        members = [(j, p) for j, p in state["members"] if i - j <= back]
+        if unit and unit > 0 and members and all(abs(p - price) <= max(near_ticks * tick, near_atr * unit) for _, p in members):
+            members = [*members, (i, price)][-most:]
+            yield instrument, kind, members[0][0], i, available, len(members), sum(p for _, p in members) / len(members)
+        else:
+            members = [(i, price)]
+        state["members"] = members
 
-    return rows.groupBy("instrument", "kind").applyInPandas(run, "instrument string, kind string, i long, available long, members long, level double")
+    return folded(rows, ("instrument", "kind"), ("i",), lambda: {"members": []}, step, "instrument string, kind string, first long, i long, available long, members long, level double")
 
 
 def nearest_levels(bars: DataFrame, most: int = 3) -> DataFrame:
@@ -101,26 +101,30 @@ def known_at(rows: DataFrame, keys: list[str], at: str, moment: Column) -> DataF
     return seen.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("id")))).filter("_n = 1").drop("_n")
 
 
+def upcoming(rows: DataFrame, at: Column, releases: DataFrame, out: str) -> DataFrame:
+    """rows with the first release (column ``at``) at or after a time of theirs.
+
+    By day: within a day by one window over both, and from the first releases of later days where the day has none
+    left; the window over days holds a row a day.
+    """
+    own = rows.withColumn("_at", at).withColumn("_row", F.struct(*rows.columns)).select("_at", "_row", F.lit(None).cast("timestamp_ntz").alias("_rel"))
+    both = own.unionByName(releases.select(F.col("at").alias("_at"), F.col("at").alias("_rel")), allowMissingColumns=True).withColumn("_day", F.to_date("_at"))
+    w = Window.partitionBy("_day").orderBy(F.desc("_at"), F.col("_rel").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_same", F.last("_rel", ignorenulls=True).over(w))
+    days = both.groupBy("_day").agg(F.min("_rel").alias("_first"))
+    later = days.select("_day", F.first("_first", ignorenulls=True).over(Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    return both.filter("_row is not null").join(later, "_day").select("_row.*", F.coalesce("_same", "_later").alias(out))
+
+
 def blackouts(bars: DataFrame, releases: DataFrame, before: int, after: int) -> DataFrame:
     """bars with whether a release lies within ``before`` minutes ahead or ``after`` minutes back, and the next release.
 
-    Each release marks the hours that it can touch, so bars meet only those of their own hours; the next one comes
-    by one window over both.
+    One lies in that span if the first one from its beginning on does; so both are lookups, and no pairs are made.
     """
-    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
-    first, last = F.col("at") - F.make_interval(mins=F.lit(before)), F.col("at") + F.make_interval(mins=F.lit(after))
-    marked = releases.withColumn("hour", F.explode(F.sequence(hour(first), hour(last), F.expr("interval 1 hour")))).select("hour", "at")
-    held = bars.withColumn("hour", hour("ts")).join(marked, "hour", "left")
-    inside = (F.col("ts") >= first) & (F.col("ts") <= last)
-    flags = held.groupBy("instrument", "i", "ts").agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("blackout"))
-    both = flags.select("instrument", "i", "ts", "blackout", F.lit(None).cast("timestamp_ntz").alias("at")).unionByName(releases.select(F.lit(None).cast("string").alias("instrument"), F.lit(None).cast("long").alias("i"), F.col("at").alias("ts"), F.lit(None).cast("boolean").alias("blackout"), "at"))
-    # by day, with the first release of later days filled in from the days' own firsts
-    day = both.withColumn("day", F.to_date("ts"))
-    w = Window.partitionBy("day").orderBy(F.desc("ts"), F.col("at").isNull())
-    day = day.withColumn("same_day", F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    firsts = day.groupBy("day").agg(F.min("at").alias("first_at"))
-    later = firsts.withColumn("later", F.first("first_at", ignorenulls=True).over(Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing))).select("day", "later")
-    return day.filter("i is not null").join(later, "day").select("instrument", "i", "blackout", F.coalesce("same_day", "later").alias("next_release"))
+    rows = upcoming(bars.select("instrument", "i", "ts"), F.col("ts"), releases, "next_release")
+    rows = upcoming(rows, F.col("ts") - F.make_interval(mins=F.lit(after)), releases, "_from")
+    inside = F.coalesce(F.col("_from") <= F.col("ts") + F.make_interval(mins=F.lit(before)), F.lit(False))
+    return rows.select("instrument", "i", inside.alias("blackout"), "next_release")
 
 
 def paired_fills(fills: DataFrame, order: str = "order_id") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.functions.rolling import between, filled, lagged
-from barspark.operators.indicators import atr, previous_session
+from barspark.functions.folds import folded
+from barspark.functions.rolling import between, filled, lagged, with_ahead
+from barspark.operators.indicators import atr
 from barspark.sources.bars import series
 
 
@@ -54,25 +55,24 @@ def structure_breaks(bars: DataFrame, k: int = 3, reach: float = 0.05) -> DataFr
     return events.withColumn("variant", F.when(F.col("trend") * F.col("direction") >= 0, "bos").otherwise("choch"))
 
 
-def fair_value_gaps(bars: DataFrame, min_gap: float = 0.0, min_atr: float = 0.0, horizon: int = 24) -> DataFrame:
-    """Gaps between a bar and the one two before: origin i - 1, available i.
+def fair_value_gaps(bars: DataFrame, min_gap: float = 0.25, min_atr: float = 0.0, horizon: int = 240) -> DataFrame:
+    """Gaps of ``min_gap`` at least between a bar and the one two before: origin i - 1, available i.
 
     mitigated_after and fill look at the next ``horizon`` bars; they are outcomes, not features.
     """
-    rows = atr(bars)
-    h2, l2 = lagged("high", 2), lagged("low", 2)
-    up, down = F.col("low") - h2, l2 - F.col("high")
-    direction = F.when(up > min_gap, 1).when(down > min_gap, -1)
-    rows = rows.withColumn("direction", direction.cast("long")).withColumn("bottom", F.when(F.col("direction") == 1, h2).otherwise(F.col("high"))).withColumn("top", F.when(F.col("direction") == 1, F.col("low")).otherwise(l2))
-    ahead = series().rowsBetween(1, horizon)
-    rows = rows.withColumn("_lows", F.collect_list("low").over(ahead)).withColumn("_highs", F.collect_list("high").over(ahead))
-    gaps = rows.filter("direction is not null")
+    rows = atr(bars).withColumn("_h", lagged("high", 2)).withColumn("_l", lagged("low", 2))
+    up, down = F.col("low") - F.col("_h"), F.col("_l") - F.col("high")
+    wide = lambda x: (x > 0) & (x >= min_gap)
+    rows = rows.withColumn("direction", F.when(wide(up), 1).when(wide(down), -1).cast("long")).filter("direction is not null")
+    rising = F.col("direction") == 1
+    gaps = rows.withColumn("bottom", F.when(rising, F.col("_h")).otherwise(F.col("high"))).withColumn("top", F.when(rising, F.col("low")).otherwise(F.col("_l")))
     if min_atr > 0:
         gaps = gaps.filter(F.col("top") - F.col("bottom") >= min_atr * F.col("atr"))
+    gaps = with_ahead(gaps.select("instrument", "i", "direction", "bottom", "top"), bars, horizon, ("high", "low"))
     mid, size = (F.col("top") + F.col("bottom")) / 2, F.col("top") - F.col("bottom")
-    touched = F.when(F.col("direction") == 1, F.array_position(F.transform("_lows", lambda x: x <= mid), True)).otherwise(F.array_position(F.transform("_highs", lambda x: x >= mid), True))
-    depth = F.when(F.col("direction") == 1, F.col("top") - F.array_min("_lows")).otherwise(F.array_max("_highs") - F.col("bottom"))
-    fill = F.when(F.size("_lows") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), depth / size)))
+    touched = F.when(rising, F.array_position(F.transform("ahead_low", lambda x: x <= mid), True)).otherwise(F.array_position(F.transform("ahead_high", lambda x: x >= mid), True))
+    depth = F.when(rising, F.col("top") - F.array_min("ahead_low")).otherwise(F.array_max("ahead_high") - F.col("bottom"))
+    fill = F.when(F.size("ahead_low") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), depth / size)))
     return gaps.select("instrument", "i", (F.col("i") - 1).alias("origin"), "direction", "bottom", "top", F.nullif(touched.cast("long"), F.lit(0).cast("long")).alias("mitigated_after"), fill.alias("fill"))
 
 
@@ -95,44 +95,62 @@ def order_blocks(bars: DataFrame, back: int = 10) -> DataFrame:
     return found.withColumn("b", block).filter("b is not null").select("instrument", "i", "direction", F.col("b.i").alias("origin"), F.col("b.high").alias("top"), F.col("b.low").alias("bottom"))
 
 
-def liquidity_sweeps(bars: DataFrame, reclaim: int = 3, min_atr: float = 0.05) -> DataFrame:
-    """Pierced and reclaimed levels of the previous session, by side.
+def liquidity_sweeps(levels: DataFrame, bars: DataFrame, reclaim: int = 3, min_atr: float = 0.05) -> DataFrame:
+    """Levels (of ``levels.levels_long``) pierced and reclaimed, by side.
 
-    A bar crosses when the bar before closed on the near side and its extreme goes beyond; the level is reclaimed
-    by the first close back within ``reclaim`` later bars; the depth is the extreme of the bars until then.
+    A bar pierces where its extreme goes beyond and that of the bar before doesn't; the level is reclaimed by the
+    first close back within ``reclaim`` later bars; the depth is the extreme of the bars until then.  After a sweep
+    that counts, its side is closed until the bar after its reclaim.
+    """
+    above = (F.col("high") > F.col("level")) & (F.col("prev_high") <= F.col("level"))
+    below = (F.col("low") < F.col("level")) & (F.col("prev_low") >= F.col("level"))
+    sides = F.array_compact(F.array(F.when(above, F.lit(-1).cast("long")), F.when(below, F.lit(1).cast("long"))))
+    # the piercing bar is the first one looked at
+    rows = levels.select("instrument", (F.col("i") - 1).alias("i"), "name", "level", "atr", F.explode(sides).alias("direction"))
+    rows = with_ahead(rows, bars, reclaim + 1, ("high", "low", "close"))
+    down = F.col("direction") == -1
+    back = F.array_position(F.transform("ahead_close", lambda x: F.when(down, x < F.col("level")).otherwise(x > F.col("level"))), True).cast("int")
+    rows = rows.withColumn("_at", back).filter(F.col("_at") > 0)
+    extreme = F.when(down, F.array_max(F.slice("ahead_high", F.lit(1), F.col("_at")))).otherwise(F.array_min(F.slice("ahead_low", F.lit(1), F.col("_at"))))
+    rows = rows.withColumn("depth", F.abs(extreme - F.col("level"))).filter(F.col("depth") >= min_atr * F.col("atr"))
+    rows = rows.select("instrument", "name", "direction", (F.col("i") + 1).alias("origin"), (F.col("i") + F.col("_at")).alias("i"), "level", "depth")
+
+    def step(state, row):
+        if row[3] > state["until"]:
+            state["until"] = row[4]
+            yield row
+
+    return folded(rows, ("instrument", "name", "direction"), ("origin",), lambda: {"until": -1}, step, rows.schema)
+
+
+def double_patterns(bars: DataFrame, k: int = 3, most_bars: int = 120, near_atr: float = 0.5, deep_atr: float = 1.0, break_within: int = 24) -> DataFrame:
+    """Consecutive swings of one kind at about one price with an opposite swing strictly between, deep enough; the neck there, and the first close beyond it.
+
+    What depends on ATR takes the one at the bar where the second swing is known.
     """
-    rows = atr(previous_session(bars))
-    sides = F.array(F.struct(F.lit("prev_high").alias("name"), F.lit(-1).cast("long").alias("direction"), F.col("prev_high").alias("level")), F.struct(F.lit("prev_low").alias("name"), F.lit(1).cast("long").alias("direction"), F.col("prev_low").alias("level")))
-    span = series().rowsBetween(0, reclaim)
-    path = F.collect_list(F.struct("close", "high", "low", "i")).over(span)
-    rows = rows.withColumn("_pc", F.lag("close").over(series())).withColumn("_path", path).select("*", F.explode(sides).alias("s"))
-    level, down = F.col("s.level"), F.col("s.direction") == -1
-    crossed = F.when(down, (F.col("_pc") <= level) & (F.col("high") > level)).otherwise((F.col("_pc") >= level) & (F.col("low") < level))
-    rows = rows.filter(crossed)
-    at = F.array_position(F.transform("_path", lambda x: F.when(down, x["close"] < level).otherwise(x["close"] > level)), True)
-    rows = rows.withColumn("_at", at).filter(F.col("_at") > 0)
-    until = F.slice("_path", F.lit(1), F.col("_at").cast("int"))
-    extreme = F.when(down, F.array_max(F.transform(until, lambda x: x["high"]))).otherwise(F.array_min(F.transform(until, lambda x: x["low"])))
-    rows = rows.withColumn("depth", F.abs(extreme - level)).filter(F.col("atr").isNull() | (F.col("depth") >= min_atr * F.col("atr")))
-    return rows.select("instrument", F.col("i").alias("origin"), (F.col("i") + F.col("_at") - 1).alias("i"), "s.name", "s.direction", "s.level", "depth")
-
-
-def double_patterns(bars: DataFrame, k: int = 3, most_bars: int = 60, near_atr: float = 0.5, break_within: int = 24) -> DataFrame:
-    """Consecutive swings of one kind at about one price, the neck between them, and the first close beyond the neck."""
-    rows = swings(bars, k)
-    w = Window.partitionBy("instrument", "kind").orderBy("i")
-    known = atr(bars).select("instrument", F.col("i").alias("available"), "atr")
-    pairs = rows.withColumn("first_i", F.lag("i").over(w)).withColumn("first_price", F.lag("price").over(w)).filter(F.col("i") - F.col("first_i") <= most_bars)
-    pairs = pairs.join(known, ["instrument", "available"]).filter(F.abs(F.col("price") - F.col("first_price")) <= near_atr * F.col("atr"))
-    inner = bars.select("instrument", F.col("i").alias("j"), "high", "low")
-    spans = pairs.withColumn("j", F.explode(F.sequence(F.col("first_i") + 1, F.col("i") - 1))).join(inner, ["instrument", "j"])
-    neck = spans.groupBy("instrument", "kind", "first_i", "i").agg(F.max("high").alias("_h"), F.min("low").alias("_l"))
-    found = pairs.join(neck, ["instrument", "kind", "first_i", "i"]).withColumn("neck", F.when(F.col("kind") == "low", F.col("_h")).otherwise(F.col("_l")))
-    after = found.withColumn("j", F.explode(F.sequence(F.col("available"), F.col("available") + break_within))).join(bars.select("instrument", F.col("i").alias("j"), "close"), ["instrument", "j"])
-    beyond = F.when(F.col("kind") == "low", F.col("close") > F.col("neck")).otherwise(F.col("close") < F.col("neck"))
-    broken = after.filter(beyond).groupBy("instrument", "kind", "first_i", "i").agg(F.min("j").alias("break_i"))
-    out = found.join(broken, ["instrument", "kind", "first_i", "i"], "left")
-    return out.select("instrument", F.when(F.col("kind") == "low", "double_bottom").otherwise("double_top").alias("pattern"), "first_i", "i", "available", "first_price", "price", "neck", "break_i")
+    high, low = _is_swing(k)
+    rows = atr(bars).withColumn("_high", F.when(high, F.col("high"))).withColumn("_low", F.when(low, F.col("low"))).withColumn("_atr", F.lead("atr", k).over(series()))
+    past, found = series().rowsBetween(Window.unboundedPreceding, -1), []
+    for kind, other, extreme in (("low", "high", F.max), ("high", "low", F.min)):
+        own = F.when(F.col(f"_{kind}").isNotNull(), F.struct("i", F.col(f"_{kind}").alias("price")))
+        rows = rows.withColumn(f"_n_{kind}", F.count(f"_{kind}").over(past)).withColumn(f"_last_{kind}", F.last(own, ignorenulls=True).over(past))
+        # bars with one number of swings before them: those from the last one to this one
+        between_two = Window.partitionBy("instrument", f"_n_{kind}").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn(f"_neck_{kind}", extreme(f"_{other}").over(between_two))
+        found.append(F.when(F.col(f"_{kind}").isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(f"_last_{kind}.i").alias("first_i"), F.col(f"_last_{kind}.price").alias("first_price"), F.col(f"_{kind}").alias("price"), F.col(f"_neck_{kind}").alias("neck"))))
+    rows = rows.select("instrument", "i", "_atr", F.explode(F.array_compact(F.array(*found))).alias("p")).select("instrument", "i", "_atr", "p.*").filter(F.col("_atr") > 0)
+    apart, depth = F.abs(F.col("price") - F.col("first_price")), F.abs((F.col("price") + F.col("first_price")) / 2 - F.col("neck"))
+    rows = rows.filter((F.col("i") - F.col("first_i") <= most_bars) & (apart <= near_atr * F.col("_atr")) & (depth >= deep_atr * F.col("_atr")))
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    confidence = clamp(0.4 * (1 - apart / (near_atr * F.col("_atr"))) + 0.6 * clamp(depth / (2 * deep_atr * F.col("_atr"))))
+    rows = rows.withColumn("confidence", confidence).withColumn("available", F.col("i") + k).withColumn("swing_i", F.col("i"))
+    # the bar at which the pattern is known is the first one that can close beyond the neck
+    rows = with_ahead(rows.withColumn("i", F.col("available") - 1), bars, break_within + 1, ("close",))
+    beyond = F.array_position(F.transform("ahead_close", lambda x: F.when(F.col("kind") == "low", x > F.col("neck")).otherwise(x < F.col("neck"))), True)
+    return rows.select(
+        "instrument", F.when(F.col("kind") == "low", "double_bottom").otherwise("double_top").alias("pattern"), "first_i", F.col("swing_i").alias("i"), "available", "first_price", "price", "neck", "confidence",
+        F.when(beyond > 0, F.col("available") + beyond - 1).alias("break_i"),
+    )
 
 
 def zones(bars: DataFrame, k: int = 3, width_atr: float = 0.5, per_side: int = 3) -> DataFrame:

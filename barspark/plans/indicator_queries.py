@@ -80,26 +80,27 @@ SELECT instrument, i, round(e9.y, 6) AS ema9, round(e200.y, 6) AS ema200,
 FROM e9 JOIN e21 USING (instrument, i) JOIN e50 USING (instrument, i) JOIN e200 USING (instrument, i)"""
 
 FLAGS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
-x AS (SELECT b.*, max(high) OVER w AS t, min(low) OVER w AS bt, lag(atr.y) OVER o AS ref, lag(close, 10) OVER o - lag(close, 30) OVER o AS mv
+x AS (SELECT b.*, CASE WHEN i >= 10 THEN max(high) OVER w END AS t, CASE WHEN i >= 10 THEN min(low) OVER w END AS bt, lag(atr.y) OVER o AS ref, lag(close, 10) OVER o - lag(close, 30) OVER o AS mv
     FROM bars b JOIN atr USING (instrument, i) WINDOW o AS (PARTITION BY instrument ORDER BY i), w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
-y AS (SELECT *, coalesce(mv >= 2.5 * ref AND t - bt <= 2.4 * ref AND close > t, false) AS up, coalesce(mv <= -2.5 * ref AND t - bt <= 2.4 * ref AND close < bt, false) AS dn FROM x)
-SELECT instrument, i, CASE WHEN i >= 10 THEN round(t, 6) END AS flag_top, CASE WHEN i >= 10 THEN round(bt, 6) END AS flag_bottom, up AS flag_up, dn AS flag_down,
-    CAST(CASE WHEN dn THEN -1 WHEN up THEN 1 ELSE 0 END AS BIGINT) AS flag_direction FROM y"""
+y AS (SELECT *, coalesce(mv >= 2.5 * ref AND t - bt <= 2.4 * ref, false) AS u, coalesce(mv <= -2.5 * ref AND t - bt <= 2.4 * ref, false) AS d FROM x),
+z AS (SELECT *, u AND close > t + 0.1 * ref AS flag_up, d AND close < bt - 0.1 * ref AS flag_down FROM y)
+SELECT instrument, i, round(t, 6) AS flag_top, round(bt, 6) AS flag_bottom, round(t - bt, 6) AS flag_range, round(mv, 6) AS flag_impulse, flag_up, flag_down,
+    CAST(CASE WHEN d THEN -1 WHEN u THEN 1 ELSE 0 END AS BIGINT) AS flag_direction, (u OR d) AND NOT flag_up AND NOT flag_down AS flag_forming FROM z"""
 
 RELVOL_CTE = """rv AS (SELECT *, volume / nullif(CASE WHEN count(volume) OVER w >= {least} THEN quantile_cont(volume, 0.5) OVER w END, 0) AS rel_volume
     FROM bars WINDOW w AS (PARTITION BY instrument, hour(ts) * 60 + minute(ts) ORDER BY ts ROWS {back} PRECEDING))"""
 
-RELVOL = f"WITH {sql.BARS}, {RELVOL_CTE.format(least=5, back=19)} SELECT instrument, i, round(rel_volume, 6) AS rel_volume FROM rv"
+RELVOL = f"WITH {sql.BARS}, {RELVOL_CTE.format(least=15, back=59)} SELECT instrument, i, round(rel_volume, 6) AS rel_volume FROM rv"
 
 
 def _rank(name: str, column: str) -> str:
-    return f"""{name}_l AS (SELECT instrument, i, {column} AS v, list({column}) FILTER ({column} IS NOT NULL) OVER (PARTITION BY instrument ORDER BY i ROWS 119 PRECEDING) AS vs FROM base),
-{name} AS (SELECT instrument, i, CASE WHEN v IS NOT NULL AND len(vs) >= 40 THEN (len(list_filter(vs, lambda q: q < v)) + 0.5 * len(list_filter(vs, lambda q: q = v)) + 0.5) / len(vs) END AS r FROM {name}_l)"""
+    return f"""{name}_l AS (SELECT instrument, i, {column} AS v, list({column}) FILTER ({column} IS NOT NULL) OVER (PARTITION BY instrument ORDER BY i ROWS 1379 PRECEDING) AS vs FROM base),
+{name} AS (SELECT instrument, i, CASE WHEN v IS NOT NULL AND len(vs) >= 460 THEN (len(list_filter(vs, lambda q: q < v)) + 0.5 * len(list_filter(vs, lambda q: q = v)) + 0.5) / len(vs) END AS r FROM {name}_l)"""
 
 
 _LABEL = "CASE WHEN {r} <= 1.0/3 THEN 'low' WHEN {r} <= 2.0/3 THEN 'mid' WHEN {r} IS NOT NULL THEN 'high' END"
 
-REGIME = f"""WITH RECURSIVE {sql.BARS}, {ADX_CTES}, {RELVOL_CTE.format(least=5, back=19)},
+REGIME = f"""WITH RECURSIVE {sql.BARS}, {ADX_CTES}, {RELVOL_CTE.format(least=15, back=59)},
 base AS (SELECT instrument, i, atr.y AS a, adx.y AS x, rel_volume AS v FROM rv LEFT JOIN atr USING (instrument, i) LEFT JOIN adx USING (instrument, i)),
 {_rank("ra", "a")}, {_rank("rx", "x")}, {_rank("rl", "v")},
 lab AS (SELECT instrument, i, round(ra.r, 6) AS vola_rank, {_LABEL.format(r="ra.r")} AS vola, {_LABEL.format(r="rx.r")} AS structure, {_LABEL.format(r="rl.r")} AS liquidity
@@ -118,8 +119,8 @@ QUERIES = {
     "adx": _query(ind.adx, "plus_di", "minus_di", "adx"),
     "bollinger_squeeze": _query(ind.bollinger, "bb_mid", "bb_upper", "bb_lower", keep=("squeeze",)),
     "ema_stack": _query(ind.ema_stack, "ema9", "ema200", keep=("ema_stack",)),
-    "flag_signals": _query(ind.flag_signals, "flag_top", "flag_bottom", keep=("flag_up", "flag_down", "flag_direction")),
-    "relative_volume": _query(lambda b: ind.relative_volume(b, 20, 5), "rel_volume"),
+    "flag_signals": _query(ind.flag_signals, "flag_top", "flag_bottom", "flag_range", "flag_impulse", keep=("flag_up", "flag_down", "flag_direction", "flag_forming")),
+    "relative_volume": _query(ind.relative_volume, "rel_volume"),
     "regime": _query(ind.regime, "vola_rank", keep=("vola", "structure", "liquidity", "regime")),
     "range_compression": _query(ind.range_compression, "range_now", "range_usual", keep=("compressed",)),
 }

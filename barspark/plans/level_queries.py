@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barspark.functions import sessions as se
 from barspark.operators import levels as lv
 from barspark.plans import sql
+from barspark.plans.structure_queries import LAST, LEVELS_CTE
 from barspark.sources.bars import hourly, ticks, ticks_to_bars
 
 
@@ -50,8 +51,7 @@ def price_as_of(spark, sf_dir):
     rows = ticks(spark, sf_dir).withColumn("g", F.lit(1))
     left = rows.filter("instrument = 'click'").select("g", "ts", "event_id", "price")
     right = rows.filter("instrument = 'purchase'").select("g", "ts", "event_id", F.col("price").alias("other_price"))
-    day = F.to_date("ts")
-    return lv.as_of(left.withColumn("g", day), right.withColumn("g", day), ["other_price"], ["g"], "event_id").select("event_id", "ts", "price", "other_price")
+    return lv.as_of(left, right, ["other_price"], ["g"], "event_id").select("event_id", "ts", "price", "other_price")
 
 
 def newest_upsert(spark, sf_dir):
@@ -69,8 +69,6 @@ def inventory(spark, sf_dir):
 SRC = """src AS (SELECT event_type AS instrument, user_id % 2 AS side, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close
     FROM events e GROUP BY event_type, user_id % 2, time_bucket(INTERVAL 1 HOUR, e.ts))"""
 
-TICKS = f"t AS (SELECT event_type AS instrument, ts, event_id, value AS price, {sql.SESSION} AS session, {sql.LOCAL.format(ts='ts')} AS lts, hour({sql.LOCAL.format(ts='ts')}) * 60 + minute({sql.LOCAL.format(ts='ts')}) AS m FROM events)"
-
 OHLCV = "arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume"
 
 LOCAL_LESS = "timezone('America/New_York', timezone('UTC', ts - INTERVAL 1 MICROSECOND))"
@@ -92,7 +90,7 @@ SELECT instrument, i, {sql.SESSION} AS session, {STATE.format(c="ch", m="cm")} A
     isodow(ny) <= 5 AND nm >= 570 AND nm < 960 AS rth,
     CAST(floor(epoch(timezone('UTC', timezone('America/New_York', CAST(d1 AS TIMESTAMP) + INTERVAL 570 MINUTE)) - ts) / 60) AS BIGINT) AS to_rth_open FROM f"""
 
-LEVELS = f"""WITH {TICKS},
+LEVELS = f"""WITH {sql.TICKS},
 a AS (SELECT instrument, session, max(price) AS high, min(price) AS low, arg_max(price, row(ts, event_id)) AS close,
     max(price) FILTER (m < 570 OR m >= 1080) AS overnight_high, min(price) FILTER (m < 570 OR m >= 1080) AS overnight_low,
     max(price) FILTER (m BETWEEN 570 AND 959) AS rth_high, min(price) FILTER (m BETWEEN 570 AND 959) AS rth_low,
@@ -109,6 +107,16 @@ PROFILE = f"""WITH {sql.BARS}, p AS (SELECT *, {sql.SESSION} AS session, CAST(fl
 x AS (SELECT instrument, session, volume / (z - a + 1) AS v, unnest(range(a, z + 1)) AS bin FROM p)
 SELECT instrument, session, bin, round(sum(v), 6) AS volume FROM x GROUP BY ALL"""
 
+VALUE_AREA = f"""WITH RECURSIVE {sql.BARS}, p AS (SELECT *, {sql.SESSION} AS session, CAST(floor(low / 10.0) AS BIGINT) AS a, CAST(floor(high / 10.0) AS BIGINT) AS z FROM bars),
+x AS (SELECT instrument, session, volume / (z - a + 1) AS v, unnest(range(a, z + 1)) AS bin FROM p), v AS (SELECT instrument, session, bin, sum(v) AS v FROM x GROUP BY ALL),
+g AS (SELECT instrument, session, min(bin) AS lo, max(bin) AS hi, sum(v) AS total FROM v GROUP BY 1, 2), c AS (SELECT instrument, session, bin AS poc, v FROM v QUALIFY row_number() OVER (PARTITION BY instrument, session ORDER BY round(v, 9) DESC, bin) = 1),
+r AS (SELECT instrument, session, poc, poc AS a, poc AS b, v AS held, lo, hi, total, 0 AS n FROM c JOIN g USING (instrument, session)
+    UNION ALL SELECT instrument, session, poc, CASE WHEN up >= down THEN a ELSE a - 1 END, CASE WHEN up >= down THEN b + 1 ELSE b END, held + greatest(up, down), lo, hi, total, n + 1
+    FROM (SELECT r.*, CASE WHEN r.b < hi THEN round(coalesce(u.v, 0), 9) ELSE -1 END AS up, CASE WHEN r.a > lo THEN round(coalesce(d.v, 0), 9) ELSE -1 END AS down FROM r
+        LEFT JOIN v u ON u.instrument = r.instrument AND u.session = r.session AND u.bin = r.b + 1 LEFT JOIN v d ON d.instrument = r.instrument AND d.session = r.session AND d.bin = r.a - 1)
+    WHERE held < 0.7 * total - 1e-9 AND (a > lo OR b < hi))
+SELECT instrument, session, poc, a AS val, b AS vah FROM r QUALIFY row_number() OVER (PARTITION BY instrument, session ORDER BY n DESC) = 1"""
+
 GAPS = f"""WITH {sql.BARS}, g AS (SELECT instrument, ts, lead(ts) OVER (PARTITION BY instrument ORDER BY ts) AS next_ts FROM bars),
 x AS (SELECT instrument, ts, next_ts, unnest(generate_series(ts + INTERVAL 1 HOUR, next_ts - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS mt FROM g WHERE next_ts > ts + INTERVAL 1 HOUR),
 y AS (SELECT *, {_tz("America/Chicago", "mt")} AS c FROM x), z AS (SELECT *, hour(c) * 60 + minute(c) AS m FROM y),
@@ -127,6 +135,7 @@ QUERIES = {
     "session_levels": lambda s, d: _rounded(lv.session_levels(ticks(s, d)), "gap"),
     "volume_profile": lambda s, d: _rounded(lv.volume_profile(hourly(s, d), 10.0), "volume"),
     "value_area": lambda s, d: lv.value_area(lv.volume_profile(hourly(s, d), 10.0)),
+    "level_columns": lambda s, d: lv.level_columns(hourly(s, d), ticks(s, d)).select("instrument", "i", *lv.LEVEL_NAMES),
     "bar_validation": bar_validation,
     "newest_upsert": newest_upsert,
     "inventory": inventory,
@@ -142,7 +151,7 @@ ORACLES = {
     "bars_daily_session": f"WITH {sql.BARS}, x AS (SELECT *, CAST({LOCAL_LESS} + INTERVAL 6 HOUR AS DATE) AS session FROM bars), g AS (SELECT instrument, session, {OHLCV} FROM x GROUP BY 1, 2) SELECT *, timezone('UTC', timezone('America/New_York', CAST(session AS TIMESTAMP) + INTERVAL 17 HOUR)) AS ts FROM g",
     "bars_resampled_2h": f"WITH {sql.BARS}, x AS (SELECT * EXCLUDE i, time_bucket(INTERVAL 2 HOUR, ts - INTERVAL 1 MICROSECOND, TIMESTAMP '2024-01-01') + INTERVAL 2 HOUR AS bucket FROM bars), g AS (SELECT instrument, bucket, {OHLCV} FROM x GROUP BY 1, 2) SELECT instrument, bucket AS ts, open, high, low, close, volume FROM g",
     "session_context": CONTEXT,
-    "opening_range": f"WITH {sql.BARS}, {TICKS}, r AS (SELECT instrument, session, max(price) AS top, min(price) AS bottom FROM t WHERE m >= 570 AND m < 630 AND CAST(lts AS DATE) = session GROUP BY 1, 2), x AS (SELECT *, {sql.SESSION} AS session FROM bars) SELECT instrument, i, CASE WHEN ts >= k THEN top END AS or_high, CASE WHEN ts >= k THEN bottom END AS or_low FROM (SELECT x.*, top, bottom, timezone('UTC', timezone('America/New_York', CAST(session AS TIMESTAMP) + INTERVAL 630 MINUTE)) AS k FROM x LEFT JOIN r USING (instrument, session))",
+    "opening_range": f"WITH {sql.BARS}, {sql.TICKS}, r AS (SELECT instrument, session, max(price) AS top, min(price) AS bottom FROM t WHERE m >= 570 AND m < 630 AND CAST(lts AS DATE) = session GROUP BY 1, 2), x AS (SELECT *, {sql.SESSION} AS session FROM bars) SELECT instrument, i, CASE WHEN ts >= k THEN top END AS or_high, CASE WHEN ts >= k THEN bottom END AS or_low FROM (SELECT x.*, top, bottom, timezone('UTC', timezone('America/New_York', CAST(session AS TIMESTAMP) + INTERVAL 630 MINUTE)) AS k FROM x LEFT JOIN r USING (instrument, session))",
     "session_levels": LEVELS,
     "volume_profile": PROFILE,
     "bar_validation": VALIDATION,
@@ -152,5 +161,7 @@ ORACLES = {
     "roll_boundaries": f"{ROLLS} SELECT instrument, i, ts, round(jump, 6) AS jump FROM b",
     "near_roll": f"{ROLLS} SELECT bars.instrument, bars.i, EXISTS (SELECT 1 FROM b WHERE b.instrument = bars.instrument AND abs(b.i - bars.i) <= 5) AS near_roll FROM bars",
     "source_comparison": f"WITH {SRC}, k AS (SELECT CAST(unnest([-1, 0, 1]) AS BIGINT) AS shift), m AS (SELECT a.instrument, shift, greatest(abs(a.open - b.open), abs(a.high - b.high), abs(a.low - b.low), abs(a.close - b.close)) AS d FROM src a CROSS JOIN k JOIN src b ON b.instrument = a.instrument AND b.ts = a.ts + shift * INTERVAL 1 HOUR WHERE a.side = 0 AND b.side = 1) SELECT instrument, shift, count(*) AS n, round(max(d), 6) AS largest, round(avg(CASE WHEN d <= 5 THEN 1.0 ELSE 0.0 END), 6) AS within FROM m GROUP BY 1, 2",
-    "price_as_of": "WITH l AS (SELECT event_id, ts, value AS price, CAST(ts AS DATE) AS g FROM events WHERE event_type = 'click'), r AS (SELECT ts AS rts, event_id AS rid, value AS other_price, CAST(ts AS DATE) AS g FROM events WHERE event_type = 'purchase') SELECT event_id, ts, price, other_price FROM l LEFT JOIN r ON l.g = r.g AND r.rts <= l.ts QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY rts DESC NULLS LAST, rid DESC) = 1",
+    "price_as_of": "WITH r AS (SELECT ts AS rts, arg_max(value, event_id) AS other_price FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT event_id, ts, value AS price, other_price FROM (SELECT * FROM events WHERE event_type = 'click') l ASOF LEFT JOIN r ON l.ts >= r.rts",
+    "value_area": VALUE_AREA,
+    "level_columns": f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {sql.TICKS}, {LAST}, {LEVELS_CTE} SELECT instrument, i, {', '.join(lv.LEVEL_NAMES)} FROM lw",
 }

@@ -9,6 +9,7 @@ from barspark.operators import monitor as mo
 from barspark.operators.structure import swings
 from barspark.plans import sql
 from barspark.plans.event_queries import TRADES, _trades
+from barspark.plans.structure_queries import SWINGS
 from barspark.sources.bars import hourly
 
 
@@ -44,6 +45,7 @@ QUERIES = {
     "forward_paths": lambda s, d: mo.paths(hourly(s, d), 5).select("instrument", "i", "entry", F.size("path").cast("long").alias("n"), F.round(F.element_at("path", -1), 6).alias("last")),
 }
 ORACLES = {
+    "swing_look_ahead": f"WITH {sql.BARS}, {SWINGS} SELECT count(*) AS swings, count(*) FILTER (i > available OR i < 0) AS early FROM swings",
     "coverage": f"WITH {sql.BARS}, g AS (SELECT instrument, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM bars GROUP BY 1) SELECT *, round(epoch(TIMESTAMP '2024-01-31' - last_ts) / 3600, 6) AS age_hours, epoch(TIMESTAMP '2024-01-31' - last_ts) / 3600 > 3 AS stale FROM g",
     "seam_check": f"""WITH {sql.BARS}, g AS (SELECT instrument, max(ts) FILTER (ts < TIMESTAMP '2024-01-15') AS left_ts, arg_max(close, ts) FILTER (ts < TIMESTAMP '2024-01-15') AS left_close, min(ts) FILTER (ts >= TIMESTAMP '2024-01-15') AS right_ts, arg_min(open, ts) FILTER (ts >= TIMESTAMP '2024-01-15') AS right_open FROM bars GROUP BY 1),
 x AS (SELECT *, epoch(right_ts - left_ts) / 86400 AS d, abs(right_open - left_close) / nullif(abs(left_close), 0) * 100 AS j FROM g) SELECT instrument, left_ts, left_close, right_ts, right_open, round(d, 6) AS days, round(j, 6) AS jump, coalesce(d <= 4 AND j <= 3, false) AS fits FROM x""",

@@ -8,7 +8,7 @@ from barspark.operators import backtest as bt
 from barspark.operators import research as rs
 from barspark.plans import sql
 from barspark.plans.event_queries import TRADES, _rule_bars, _trades
-from barspark.plans.structure_queries import PREV, SWINGS
+from barspark.plans.structure_queries import EQUAL_CTE, SWINGS
 from barspark.sources.bars import hourly, ticks
 
 
@@ -29,7 +29,7 @@ def _vintages(spark, sf_dir):
 
 
 def blackouts(spark, sf_dir):
-    releases = ticks(spark, sf_dir).filter("instrument = 'error' and event_id % 40 = 0").select(F.col("ts").alias("at"))
+    releases = ticks(spark, sf_dir).filter("instrument = 'error'").select(F.col("ts").alias("at"))
     return rs.blackouts(hourly(spark, sf_dir), releases, 30, 15)
 
 
@@ -79,15 +79,16 @@ l AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY instrument ORDER B
 u AS (SELECT instrument, close, atr, unnest(['prev_high', 'prev_low', 'prev_close', 'day_high', 'day_low']) AS name, unnest([prev_high, prev_low, prev_close, day_high, day_low]) AS level FROM l)
 SELECT instrument, row_number() OVER w AS rank, name, level, round(level - close, 6) AS points, round((level - close) / nullif(atr, 0), 6) AS in_atr FROM u WHERE level IS NOT NULL WINDOW w AS (PARTITION BY instrument ORDER BY abs(level - close), name) QUALIFY row_number() OVER w <= 3"""
 
-BLACKOUT = f"""WITH {sql.BARS}, r AS (SELECT ts AS rel FROM events WHERE event_type = 'error' AND event_id % 40 = 0)
-SELECT instrument, i, EXISTS (SELECT 1 FROM r WHERE bars.ts >= rel - INTERVAL 30 MINUTE AND bars.ts <= rel + INTERVAL 15 MINUTE) AS blackout, (SELECT min(rel) FROM r WHERE rel >= bars.ts) AS next_release FROM bars"""
+BLACKOUT = f"""WITH {sql.BARS}, r AS (SELECT DISTINCT ts AS rel FROM events WHERE event_type = 'error'), x AS (SELECT *, ts - INTERVAL 15 MINUTE AS since FROM bars),
+n AS (SELECT x.*, rel AS next_release FROM x ASOF LEFT JOIN r ON x.ts <= r.rel), f AS (SELECT n.*, r.rel AS nearest FROM n ASOF LEFT JOIN r ON n.since <= r.rel)
+SELECT instrument, i, coalesce(nearest <= ts + INTERVAL 30 MINUTE, false) AS blackout, next_release FROM f"""
 
 QUERIES = {
     "contract_expiries": contract_expiries,
     "session_delta": lambda s, d: rs.session_delta(ticks(s, d), F.col("user_id") % 2 == 0),
     "rsi_divergence": lambda s, d: _rounded(rs.rsi_divergence(hourly(s, d)), "gap"),
     "candles": lambda s, d: rs.candles(hourly(s, d)),
-    "equal_extremes": lambda s, d: rs.equal_extremes(hourly(s, d)),
+    "equal_extremes": lambda s, d: _rounded(rs.equal_extremes(hourly(s, d)), "level"),
     "nearest_levels": lambda s, d: _rounded(rs.nearest_levels(hourly(s, d)), "points", "in_atr"),
     "vintages": lambda s, d: rs.vintages(_vintages(s, d), ["series"], "available_at"),
     "known_at": lambda s, d: rs.known_at(_vintages(s, d), ["series"], "available_at", F.to_timestamp_ntz(F.lit("1996-06-30"))),
@@ -110,6 +111,7 @@ SELECT * FROM f JOIN b USING (month)""",
     "session_delta": f"WITH h AS (SELECT event_type AS instrument, {sql.SESSION} AS session, date_trunc('hour', ts) AS hour, CAST(sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS delta, count(*) AS flow FROM events GROUP BY 1, 2, 3) SELECT *, CAST(sum(delta) OVER (PARTITION BY instrument, session ORDER BY hour) AS BIGINT) AS cum_delta FROM h",
     "rsi_divergence": DIVERGENCE,
     "candles": CANDLES,
+    "equal_extremes": f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS}, {EQUAL_CTE} SELECT * REPLACE (round(level, 6) AS level) FROM eq",
     "nearest_levels": NEAREST,
     "vintages": "SELECT o_custkey AS series, o_orderkey AS id, o_orderdate AS available_at, o_totalprice AS actual, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision FROM orders",
     "known_at": "SELECT o_custkey AS series, o_orderkey AS id, o_orderdate AS available_at, o_totalprice AS actual FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",

@@ -13,6 +13,8 @@ bars AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) - 1 A
 LOCAL = "timezone('America/New_York', timezone('UTC', {ts}))"
 SESSION = "CAST(timezone('America/New_York', timezone('UTC', ts)) + INTERVAL 6 HOURS AS DATE)"
 
+TICKS = f"t AS (SELECT event_type AS instrument, ts, event_id, value AS price, {SESSION} AS session, {LOCAL.format(ts='ts')} AS lts, hour({LOCAL.format(ts='ts')}) * 60 + minute({LOCAL.format(ts='ts')}) AS m FROM events)"
+
 
 def ewm(name: str, source: str, column: str, alpha: str, min_periods: int) -> str:
     """CTEs for the exponential mean of a column whose nulls all come first."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark.operators import structure as st
+from barspark.operators.levels import LEVEL_NAMES, levels_long
 from barspark.plans import sql
-from barspark.sources.bars import hourly
+from barspark.sources.bars import hourly, ticks
 
 
 def _rounded(rows, *columns):
@@ -42,53 +43,78 @@ tr0 AS (SELECT *, CASE WHEN high_label = 'HH' AND low_label = 'HL' THEN 1 WHEN h
 ls AS (SELECT * EXCLUDE flip, CAST(coalesce(last_value(flip IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS trend FROM tr0)"""
 )
 
-BREAKS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {LAST},
-p AS (SELECT ls.*, atr.y AS a, coalesce(lag(trend) OVER (PARTITION BY instrument ORDER BY i), 0) AS t FROM ls JOIN atr USING (instrument, i)),
-e AS (SELECT instrument, i, CAST(1 AS BIGINT) AS direction, high_origin AS origin, high_price AS level, t AS trend FROM p WHERE close > high_price + 0.05 * a
-    UNION ALL SELECT instrument, i, -1, low_origin, low_price, t FROM p WHERE close < low_price - 0.05 * a)
-SELECT *, CASE WHEN trend * direction >= 0 THEN 'bos' ELSE 'choch' END AS variant FROM e QUALIFY row_number() OVER (PARTITION BY instrument, direction, origin ORDER BY i) = 1"""
-
-FVG = f"""WITH {sql.BARS},
-g0 AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, list(low) OVER n AS lows, list(high) OVER n AS highs FROM bars
-    WINDOW w AS (PARTITION BY instrument ORDER BY i), n AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)),
-g AS (SELECT instrument, i, i - 1 AS origin, CAST(CASE WHEN low - h2 > 0 THEN 1 ELSE -1 END AS BIGINT) AS direction, CASE WHEN low - h2 > 0 THEN h2 ELSE high END AS bottom, CASE WHEN low - h2 > 0 THEN low ELSE l2 END AS top, lows, highs
-    FROM g0 WHERE low - h2 > 0 OR l2 - high > 0)
+BREAKS_CTE = """brp AS (SELECT ls.*, atr.y AS a, coalesce(lag(trend) OVER (PARTITION BY instrument ORDER BY i), 0) AS t FROM ls JOIN atr USING (instrument, i)),
+bre AS (SELECT instrument, i, CAST(1 AS BIGINT) AS direction, high_origin AS origin, high_price AS level, t AS trend FROM brp WHERE close > high_price + 0.05 * a
+    UNION ALL SELECT instrument, i, -1, low_origin, low_price, t FROM brp WHERE close < low_price - 0.05 * a),
+brk AS (SELECT *, CASE WHEN trend * direction >= 0 THEN 'bos' ELSE 'choch' END AS variant FROM bre QUALIFY row_number() OVER (PARTITION BY instrument, direction, origin ORDER BY i) = 1)"""
+BREAKS = f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {LAST}, {BREAKS_CTE} SELECT * FROM brk"
+
+FVG_CTE = """g0 AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, list(low) OVER n AS lows, list(high) OVER n AS highs FROM bars
+    WINDOW w AS (PARTITION BY instrument ORDER BY i), n AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 240 FOLLOWING)),
+fvg AS (SELECT instrument, i, i - 1 AS origin, CAST(CASE WHEN low - h2 >= 0.25 THEN 1 ELSE -1 END AS BIGINT) AS direction, CASE WHEN low - h2 >= 0.25 THEN h2 ELSE high END AS bottom, CASE WHEN low - h2 >= 0.25 THEN low ELSE l2 END AS top, lows, highs
+    FROM g0 WHERE low - h2 >= 0.25 OR l2 - high >= 0.25)"""
+FVG = f"""WITH {sql.BARS}, {FVG_CTE}
 SELECT instrument, i, origin, direction, bottom, top,
     CAST(nullif(coalesce(CASE WHEN direction = 1 THEN list_position(list_transform(lows, lambda x: x <= (top + bottom) / 2), true) ELSE list_position(list_transform(highs, lambda x: x >= (top + bottom) / 2), true) END, 0), 0) AS BIGINT) AS mitigated_after,
-    round(CASE WHEN lows IS NOT NULL THEN least(1.0, greatest(0.0, (CASE WHEN direction = 1 THEN top - list_min(lows) ELSE list_max(highs) - bottom END) / (top - bottom))) END, 6) AS fill FROM g"""
+    round(CASE WHEN lows IS NOT NULL THEN least(1.0, greatest(0.0, (CASE WHEN direction = 1 THEN top - list_min(lows) ELSE list_max(highs) - bottom END) / (top - bottom))) END, 6) AS fill FROM fvg"""
 
 DISP_CTE = """disp AS (SELECT instrument, i, CAST(CASE WHEN close > open THEN 1 ELSE -1 END AS BIGINT) AS direction, abs(close - open) / (high - low) AS body_ratio, a AS atr
     FROM (SELECT b.*, atr.y AS a, avg(volume) OVER (PARTITION BY instrument ORDER BY i ROWS 19 PRECEDING) AS mv FROM bars b JOIN atr USING (instrument, i))
     WHERE high > low AND abs(close - open) / (high - low) >= 0.6 AND (a IS NULL OR abs(close - open) >= a) AND volume >= mv)"""
 DISP = f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {DISP_CTE} SELECT instrument, i, direction, round(body_ratio, 6) AS body_ratio, round(atr, 6) AS atr FROM disp"
 
-BLOCKS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {DISP_CTE},
-c AS (SELECT d.instrument, d.i, d.direction, b.i AS origin, b.high AS top, b.low AS bottom FROM disp d JOIN bars b ON b.instrument = d.instrument AND b.i BETWEEN d.i - 10 AND d.i - 1
-    AND CASE WHEN d.direction = 1 THEN b.close < b.open ELSE b.close > b.open END)
-SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY instrument, i ORDER BY origin DESC) = 1"""
-
-PREV = f"""s AS (SELECT *, {sql.SESSION} AS session FROM bars),
-days AS (SELECT instrument, session, max(high) AS h, min(low) AS l FROM s GROUP BY ALL),
-pv AS (SELECT instrument, session, lag(h) OVER w AS prev_high, lag(l) OVER w AS prev_low FROM days WINDOW w AS (PARTITION BY instrument ORDER BY session))"""
-
-SWEEPS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {PREV},
-x AS (SELECT s.instrument, s.i, s.high, s.low, atr.y AS a, lag(close) OVER (PARTITION BY s.instrument ORDER BY s.i) AS pc, prev_high, prev_low FROM s JOIN pv USING (instrument, session) JOIN atr USING (instrument, i)),
-c AS (SELECT instrument, i, a, 'prev_high' AS name, CAST(-1 AS BIGINT) AS direction, prev_high AS level FROM x WHERE pc <= prev_high AND high > prev_high
-    UNION ALL SELECT instrument, i, a, 'prev_low', 1, prev_low FROM x WHERE pc >= prev_low AND low < prev_low),
-r AS (SELECT c.*, b.i AS k FROM c JOIN bars b ON b.instrument = c.instrument AND b.i BETWEEN c.i AND c.i + 3 AND CASE WHEN direction = -1 THEN b.close < level ELSE b.close > level END
-    QUALIFY row_number() OVER (PARTITION BY c.instrument, c.i, name ORDER BY b.i) = 1),
-d0 AS (SELECT r.instrument, r.i AS origin, r.k AS i, name, direction, level, a, max(b.high) AS mh, min(b.low) AS ml
-    FROM r JOIN bars b ON b.instrument = r.instrument AND b.i BETWEEN r.i AND r.k GROUP BY ALL),
-d AS (SELECT *, abs(CASE WHEN direction = -1 THEN mh ELSE ml END - level) AS depth FROM d0)
-SELECT instrument, origin, i, name, direction, level, round(depth, 6) AS depth FROM d WHERE a IS NULL OR depth >= 0.05 * a"""
+BLOCKS_CTE = """obc AS (SELECT d.instrument, d.i, d.direction, b.i AS origin, b.high AS top, b.low AS bottom FROM disp d JOIN bars b ON b.instrument = d.instrument AND b.i BETWEEN d.i - 10 AND d.i - 1
+    AND CASE WHEN d.direction = 1 THEN b.close < b.open ELSE b.close > b.open END),
+ob AS (SELECT * FROM obc QUALIFY row_number() OVER (PARTITION BY instrument, i ORDER BY origin DESC) = 1)"""
+BLOCKS = f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {DISP_CTE}, {BLOCKS_CTE} SELECT * FROM ob"
+
+_SPANS = {"or5": 5, "or15": 15, "or30": 30, "ib": 60}
+_INSIDE = {"on": "m < 570 OR m >= 1080"} | {n: f"CAST(lts AS DATE) = session AND m BETWEEN 570 AND {569 + k}" for n, k in _SPANS.items()}
+
+
+def _level(name: str, side: str) -> str:
+    return f"on{side[0]}" if name == "on" else f"{name}_{side}"
+
+
+_KNOWN = "timezone('UTC', timezone('America/New_York', CAST(session AS TIMESTAMP) + INTERVAL {m} MINUTE))"
+_RANGES = ", ".join(f"{f}(price) FILTER ({inside}) AS r_{_level(n, side)}" for n, inside in _INSIDE.items() for side, f in (("high", "max"), ("low", "min")))
+_MASKED = ", ".join(f"CASE WHEN ts >= {_KNOWN.format(m=570 + _SPANS.get(n, 0))} THEN r_{_level(n, side)} END AS {_level(n, side)}" for n in _INSIDE for side in ("high", "low"))
+#: lw: the bars with all levels known at them; lv: one row a level.
+LEVELS_CTE = f"""rg AS (SELECT instrument, session, {_RANGES} FROM t GROUP BY 1, 2),
+lb AS (SELECT *, lag(high) OVER w AS ph0, lag(low) OVER w AS pl0, lag(close) OVER w AS pc0, {sql.SESSION} AS session FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY i)),
+ld AS (SELECT instrument, session, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c FROM lb GROUP BY 1, 2),
+lp AS (SELECT instrument, session, lag(h) OVER w AS pdh, lag(l) OVER w AS pdl, lag(c) OVER w AS pdc FROM ld WINDOW w AS (PARTITION BY instrument ORDER BY session)),
+lw0 AS (SELECT lb.*, atr.y AS a, pdh, pdl, pdc, rg.* EXCLUDE (instrument, session), high_price AS swing_high, low_price AS swing_low FROM lb JOIN atr USING (instrument, i) LEFT JOIN lp USING (instrument, session) LEFT JOIN rg ON rg.instrument = lb.instrument AND rg.session = lb.session JOIN ls ON ls.instrument = lb.instrument AND ls.i = lb.i),
+lw AS (SELECT *, {_MASKED} FROM lw0),
+lv0 AS (SELECT instrument, i, high, low, close, ph0, pl0, pc0, a, unnest([{", ".join(f"'{n}'" for n in LEVEL_NAMES)}]) AS name, unnest([{", ".join(LEVEL_NAMES)}]) AS level FROM lw WHERE a > 0 AND i > 0),
+lv AS (SELECT * FROM lv0 WHERE level IS NOT NULL)"""
+
+SWEEPS_CTE = """sc AS (SELECT instrument, i, a, name, CAST(-1 AS BIGINT) AS direction, level FROM lv WHERE high > level AND ph0 <= level UNION ALL SELECT instrument, i, a, name, 1, level FROM lv WHERE low < level AND pl0 >= level),
+sr AS (SELECT sc.*, b.i AS k FROM sc JOIN bars b ON b.instrument = sc.instrument AND b.i BETWEEN sc.i AND sc.i + 3 AND CASE WHEN direction = -1 THEN b.close < level ELSE b.close > level END
+    QUALIFY row_number() OVER (PARTITION BY sc.instrument, sc.i, name, direction ORDER BY b.i) = 1),
+sd0 AS (SELECT sr.instrument, sr.i AS origin, sr.k AS i, name, direction, level, a, max(b.high) AS mh, min(b.low) AS ml FROM sr JOIN bars b ON b.instrument = sr.instrument AND b.i BETWEEN sr.i AND sr.k GROUP BY ALL),
+sd AS (SELECT * FROM (SELECT *, abs(CASE WHEN direction = -1 THEN mh ELSE ml END - level) AS depth FROM sd0) WHERE depth >= 0.05 * a),
+sa AS (SELECT instrument, name, direction, min(origin) AS origin, arg_min(i, origin) AS i FROM sd GROUP BY 1, 2, 3
+    UNION ALL SELECT * FROM (SELECT d.instrument, d.name, d.direction, min(d.origin) AS origin, arg_min(d.i, d.origin) AS i FROM sa JOIN sd d ON d.instrument = sa.instrument AND d.name = sa.name AND d.direction = sa.direction AND d.origin > sa.i GROUP BY 1, 2, 3)),
+swp AS (SELECT sd.instrument, sd.name, sd.direction, sd.origin, sd.i, level, depth FROM sa JOIN sd USING (instrument, name, direction, origin))"""
+SWEEPS = f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {sql.TICKS}, {LAST}, {LEVELS_CTE}, {SWEEPS_CTE} SELECT * REPLACE (round(depth, 6) AS depth) FROM swp"
 
 DOUBLES = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS},
 pr AS (SELECT *, lag(i) OVER w AS first_i, lag(price) OVER w AS first_price FROM swings WINDOW w AS (PARTITION BY instrument, kind ORDER BY i)),
-q AS (SELECT pr.* FROM pr JOIN atr ON atr.instrument = pr.instrument AND atr.i = pr.available WHERE pr.i - first_i <= 60 AND abs(price - first_price) <= 0.5 * atr.y),
-n0 AS (SELECT q.*, max(b.high) AS mh, min(b.low) AS ml FROM q JOIN bars b ON b.instrument = q.instrument AND b.i > q.first_i AND b.i < q.i GROUP BY ALL),
-n AS (SELECT *, CASE WHEN kind = 'low' THEN mh ELSE ml END AS neck FROM n0),
+q AS (SELECT pr.*, atr.y AS a FROM pr JOIN atr ON atr.instrument = pr.instrument AND atr.i = pr.available WHERE atr.y > 0 AND pr.i - first_i <= 120 AND abs(price - first_price) <= 0.5 * atr.y),
+n0 AS (SELECT q.*, max(o.price) AS mh, min(o.price) AS ml FROM q JOIN swings o ON o.instrument = q.instrument AND o.kind <> q.kind AND o.i > q.first_i AND o.i < q.i GROUP BY ALL),
+n1 AS (SELECT *, CASE WHEN kind = 'low' THEN mh ELSE ml END AS neck FROM n0),
+n AS (SELECT *, abs((price + first_price) / 2 - neck) AS depth FROM n1 WHERE abs((price + first_price) / 2 - neck) >= a),
 k AS (SELECT n.instrument, n.kind, n.i, min(b.i) AS break_i FROM n JOIN bars b ON b.instrument = n.instrument AND b.i BETWEEN n.available AND n.available + 24 AND CASE WHEN kind = 'low' THEN b.close > neck ELSE b.close < neck END GROUP BY ALL)
-SELECT instrument, CASE WHEN kind = 'low' THEN 'double_bottom' ELSE 'double_top' END AS pattern, first_i, i, available, first_price, price, neck, break_i FROM n LEFT JOIN k USING (instrument, kind, i)"""
+SELECT instrument, CASE WHEN kind = 'low' THEN 'double_bottom' ELSE 'double_top' END AS pattern, first_i, i, available, first_price, price, neck,
+    round(greatest(0.0, least(1.0, 0.4 * (1 - abs(price - first_price) / (0.5 * a)) + 0.6 * greatest(0.0, least(1.0, depth / (2 * a))))), 6) AS confidence, break_i FROM n LEFT JOIN k USING (instrument, kind, i)"""
+
+EQUAL_CTE = """es AS (SELECT s.*, atr.y AS a, row_number() OVER (PARTITION BY s.instrument, kind ORDER BY s.i) AS q FROM swings s JOIN atr ON atr.instrument = s.instrument AND atr.i = s.available),
+er AS (SELECT instrument, kind, q, i, available, [i] AS mi, [price] AS mp, false AS hit FROM es WHERE q = 1
+    UNION ALL SELECT instrument, kind, q, i, available, CASE WHEN fits THEN list_append(ki, i)[-8:] ELSE [i] END, CASE WHEN fits THEN list_append(kp, price)[-8:] ELSE [price] END, fits
+    FROM (SELECT *, coalesce(a > 0 AND len(kp) > 0 AND len(list_filter(kp, lambda p: abs(p - price) > greatest(1.0, 0.2 * a))) = 0, false) AS fits
+        FROM (SELECT *, mi[gone + 1:] AS ki, mp[gone + 1:] AS kp FROM (SELECT e.*, r.mi, r.mp, len(list_filter(r.mi, lambda j: e.i - j > 120)) AS gone FROM er r JOIN es e ON e.instrument = r.instrument AND e.kind = r.kind AND e.q = r.q + 1)))),
+eq AS (SELECT instrument, kind, mi[1] AS first, i, available, CAST(len(mp) AS BIGINT) AS members, list_avg(mp) AS level FROM er WHERE hit)"""
 
 ZONES = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS},
 l AS (SELECT b.instrument, arg_max(close, b.i) AS now, arg_max(atr.y, b.i) AS a FROM bars b JOIN atr USING (instrument, i) GROUP BY 1),
@@ -111,8 +137,8 @@ QUERIES = {
     "fair_value_gaps": _query(st.fair_value_gaps, "fill"),
     "displacements": _query(st.displacements, "body_ratio", "atr"),
     "order_blocks": _query(st.order_blocks),
-    "liquidity_sweeps": _query(st.liquidity_sweeps, "depth"),
-    "double_patterns": _query(st.double_patterns),
+    "liquidity_sweeps": lambda spark, sf_dir: _rounded(st.liquidity_sweeps(levels_long(b := hourly(spark, sf_dir), ticks(spark, sf_dir)), b), "depth"),
+    "double_patterns": _query(st.double_patterns, "confidence"),
     "support_resistance": _query(st.zones, "distance"),
     "trend": lambda spark, sf_dir: _rounded(st.trend(hourly(spark, sf_dir)).select("instrument", "i", "slope", "trend"), "slope"),
 }
