@@ -64,3 +64,67 @@ def minutes_to_rth_open(ts: Column) -> Column:
     shift = F.when(F.weekday(first) == 5, 2).when(F.weekday(first) == 6, 1).otherwise(0)
     open_local = F.date_add(first, shift).cast("timestamp_ntz") + F.expr("interval 570 minutes")
     return F.timestamp_diff("MINUTE", ts, to_utc(open_local))
+
+
+def session_bounds(day: Column, zone: str = ZONE) -> tuple[Column, Column]:
+    """First and end moment (exclusive) of a session's day, in UTC."""
+    at = lambda d: to_utc(d.cast("timestamp_ntz") + F.expr(f"interval {SESSION_START_HOUR} hours"), zone)
+    return at(F.date_sub(day, 1)), at(day)
+
+
+def floor_to(ts: Column, minutes: int) -> Column:
+    """The beginning of the bucket of so many minutes."""
+    return F.window(ts, f"{minutes} minutes")["start"]
+
+
+def _next(ts: Column, zone: str, minute: int, weekdays: bool) -> Column:
+    """The next moment after ts at which it is a minute of the day somewhere."""
+    at = local(ts, zone)
+    day = F.to_date(at)
+    reached = at >= day.cast("timestamp_ntz") + F.make_interval(mins=F.lit(minute))
+    first = F.when(reached, F.date_add(day, 1)).otherwise(day)
+    if weekdays:
+        first = F.date_add(first, F.when(F.weekday(first) == 5, 2).when(F.weekday(first) == 6, 1).otherwise(0))
+    return to_utc(first.cast("timestamp_ntz") + F.make_interval(mins=F.lit(minute)), zone)
+
+
+def minutes_until(ts: Column, zone: str, minute: int, weekdays: bool = False) -> Column:
+    return F.timestamp_diff("SECOND", ts, _next(ts, zone, minute, weekdays)) / 60
+
+
+def minutes_until_rth_open(ts: Column) -> Column:
+    """0 while regular hours run."""
+    return F.when(is_rth(ts) & (market_state(ts) == "open"), 0.0).otherwise(minutes_until(ts, ZONE, RTH[0], True))
+
+
+def minutes_until_rth_close(ts: Column) -> Column:
+    """Null outside regular hours."""
+    return F.when(is_rth(ts) & (market_state(ts) == "open"), minutes_until(ts, ZONE, RTH[1]))
+
+
+def minutes_until_maintenance(ts: Column) -> Column:
+    return minutes_until(ts, "America/Chicago", 960)
+
+
+def is_liquid(ts: Column, span: tuple[int, int] = RTH) -> Column:
+    at = local(ts)
+    return (market_state(ts) == "open") & F.weekday(at).between(0, 4) & minute_of_day(at).between(span[0], span[1] - 1)
+
+
+def is_first_hour(ts: Column) -> Column:
+    """The hour after the daily break, 17:00 to 18:00 Chicago."""
+    return (market_state(ts) == "open") & minute_of_day(local(ts, "America/Chicago")).between(1020, 1079)
+
+
+def is_thin(ts: Column, span: tuple[int, int] = (720, 840)) -> Column:
+    return minute_of_day(local(ts)).between(span[0], span[1] - 1)
+
+
+def is_overnight(ts: Column) -> Column:
+    """From the session's begin to 09:30 local, whatever the weekday."""
+    m = minute_of_day(local(ts))
+    return (m < RTH[0]) | (m >= SESSION_START_HOUR * 60)
+
+
+def minutes_from_rth_open(ts: Column) -> Column:
+    return minute_of_day(local(ts)) - RTH[0]
