@@ -147,6 +147,42 @@ class WasFarFrom(Rule):
         return F.coalesce((_before(self.unit) > 0) & (F.abs(_before(self.left) - _before(self.right)) > self.multiple * _before(self.unit)), F.lit(False))
 
 
+@dataclass(frozen=True)
+class Always(Rule):
+    def column(self) -> Column:
+        return F.lit(True)
+
+
+@dataclass(frozen=True)
+class Reentry(Rule):
+    """The previous bar lay ``multiple`` of a unit or more from a reference, on one side (1 above, -1 below); the current one lies nearer and not yet through it."""
+
+    left: str
+    right: str
+    unit: str
+    multiple: float
+    side: int
+
+    def names(self) -> set[str]:
+        return {self.left, self.right, self.unit}
+
+    def column(self) -> Column:
+        was, now = (self.side * (f(self.left) - f(self.right)) for f in (_before, _now))
+        known = (_before(self.unit) > 0) & (_now(self.unit) > 0)
+        return F.coalesce(known & (was >= self.multiple * _before(self.unit)) & (now < self.multiple * _now(self.unit)) & (now > 0), F.lit(False))
+
+
+@dataclass(frozen=True)
+class HeldFor(Rule):
+    """The position, whose age in bars is a column, is ``bars`` old at least."""
+
+    bars: int
+    left: str = "bars_in_trade"
+
+    def column(self) -> Column:
+        return F.coalesce(F.col(self.left) >= self.bars, F.lit(False))
+
+
 @dataclass(frozen=True)
 class IsSet(Rule):
     left: str

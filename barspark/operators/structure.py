@@ -31,9 +31,10 @@ def with_last_swings(bars: DataFrame, k: int = 3) -> DataFrame:
     past, names = series().rowsBetween(Window.unboundedPreceding, -1), []
     for kind in ("high", "low"):
         price, before = F.col(f"_{kind}"), F.last(f"_{kind}", ignorenulls=True).over(past)
+        before_origin = F.last(F.when(price.isNotNull(), F.col("i")), ignorenulls=True).over(past)
         label = F.when(before.isNotNull(), F.concat(F.when(price > before, "H").otherwise("L"), F.lit(kind[0].upper())))
-        rows = rows.withColumn(f"_{kind}", F.when(price.isNotNull(), F.struct(price.alias("price"), F.col("i").alias("origin"), label.alias("label"), before.alias("before"))))
-        names += [(f"_{kind}", c, f"{kind}_{c}") for c in ("price", "origin", "label", "before")]
+        rows = rows.withColumn(f"_{kind}", F.when(price.isNotNull(), F.struct(price.alias("price"), F.col("i").alias("origin"), label.alias("label"), before.alias("before"), before_origin.alias("before_origin"))))
+        names += [(f"_{kind}", c, f"{kind}_{c}") for c in ("price", "origin", "label", "before", "before_origin")]
     # a swing is known k bars on
     rows = rows.withColumn("_high", F.lag("_high", k).over(series())).withColumn("_low", F.lag("_low", k).over(series()))
     rows = rows.withColumn("_high", filled("_high")).withColumn("_low", filled("_low"))

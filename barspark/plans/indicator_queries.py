@@ -79,13 +79,13 @@ SELECT instrument, i, round(e9.y, 6) AS ema9, round(e200.y, 6) AS ema200,
     CASE WHEN e9.y > e21.y AND e21.y > e50.y AND e50.y > e200.y THEN 'bullish' WHEN e9.y < e21.y AND e21.y < e50.y AND e50.y < e200.y THEN 'bearish' WHEN e200.y IS NOT NULL THEN 'mixed' END AS ema_stack
 FROM e9 JOIN e21 USING (instrument, i) JOIN e50 USING (instrument, i) JOIN e200 USING (instrument, i)"""
 
-FLAGS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
-x AS (SELECT b.*, CASE WHEN i >= 10 THEN max(high) OVER w END AS t, CASE WHEN i >= 10 THEN min(low) OVER w END AS bt, lag(atr.y) OVER o AS ref, lag(close, 10) OVER o - lag(close, 30) OVER o AS mv
+FLAGS_CTE = """flx AS (SELECT b.*, CASE WHEN i >= 10 THEN max(high) OVER w END AS t, CASE WHEN i >= 10 THEN min(low) OVER w END AS bt, lag(atr.y) OVER o AS ref, lag(close, 10) OVER o - lag(close, 30) OVER o AS mv
     FROM bars b JOIN atr USING (instrument, i) WINDOW o AS (PARTITION BY instrument ORDER BY i), w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
-y AS (SELECT *, coalesce(mv >= 2.5 * ref AND t - bt <= 2.4 * ref, false) AS u, coalesce(mv <= -2.5 * ref AND t - bt <= 2.4 * ref, false) AS d FROM x),
-z AS (SELECT *, u AND close > t + 0.1 * ref AS flag_up, d AND close < bt - 0.1 * ref AS flag_down FROM y)
-SELECT instrument, i, round(t, 6) AS flag_top, round(bt, 6) AS flag_bottom, round(t - bt, 6) AS flag_range, round(mv, 6) AS flag_impulse, flag_up, flag_down,
-    CAST(CASE WHEN d THEN -1 WHEN u THEN 1 ELSE 0 END AS BIGINT) AS flag_direction, (u OR d) AND NOT flag_up AND NOT flag_down AS flag_forming FROM z"""
+fly AS (SELECT *, coalesce(mv >= 2.5 * ref AND t - bt <= 2.4 * ref, false) AS u, coalesce(mv <= -2.5 * ref AND t - bt <= 2.4 * ref, false) AS d FROM flx),
+flz0 AS (SELECT *, u AND close > t + 0.1 * ref AS flag_up, d AND close < bt - 0.1 * ref AS flag_down, CAST(CASE WHEN d THEN -1 WHEN u THEN 1 ELSE 0 END AS BIGINT) AS flag_direction FROM fly),
+flz AS (SELECT *, t - bt AS flag_range, mv AS flag_impulse, (u OR d) AND NOT flag_up AND NOT flag_down AS flag_forming FROM flz0)"""
+FLAGS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {FLAGS_CTE}
+SELECT instrument, i, round(t, 6) AS flag_top, round(bt, 6) AS flag_bottom, round(flag_range, 6) AS flag_range, round(flag_impulse, 6) AS flag_impulse, flag_up, flag_down, flag_direction, flag_forming FROM flz"""
 
 RELVOL_CTE = """rv AS (SELECT *, volume / nullif(CASE WHEN count(volume) OVER w >= {least} THEN quantile_cont(volume, 0.5) OVER w END, 0) AS rel_volume
     FROM bars WINDOW w AS (PARTITION BY instrument, hour(ts) * 60 + minute(ts) ORDER BY ts ROWS {back} PRECEDING))"""
@@ -107,10 +107,9 @@ lab AS (SELECT instrument, i, round(ra.r, 6) AS vola_rank, {_LABEL.format(r="ra.
     FROM ra JOIN rx USING (instrument, i) JOIN rl USING (instrument, i))
 SELECT instrument, i, vola_rank, vola, structure, liquidity, CASE WHEN vola IS NOT NULL AND structure IS NOT NULL AND liquidity IS NOT NULL THEN vola || '|' || structure || '|' || liquidity END AS regime FROM lab"""
 
-COMPRESSION = f"""WITH {sql.BARS},
-r AS (SELECT *, CASE WHEN i >= 19 THEN max(high) OVER w - min(low) OVER w END AS rn FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS 19 PRECEDING)),
-u AS (SELECT *, CASE WHEN count(rn) OVER w = 60 THEN quantile_cont(rn, 0.5) OVER w END AS ru FROM r WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 79 PRECEDING AND 20 PRECEDING))
-SELECT instrument, i, round(rn, 6) AS range_now, round(ru, 6) AS range_usual, coalesce(rn / nullif(ru, 0) <= 0.6, false) AS compressed FROM u"""
+COMPRESSION_CTE = """rc0 AS (SELECT *, CASE WHEN i >= 19 THEN max(high) OVER w - min(low) OVER w END AS rn FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS 19 PRECEDING)),
+rc AS (SELECT *, CASE WHEN count(rn) OVER w = 60 THEN quantile_cont(rn, 0.5) OVER w END AS ru FROM rc0 WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 79 PRECEDING AND 20 PRECEDING))"""
+COMPRESSION = f"WITH {sql.BARS}, {COMPRESSION_CTE} SELECT instrument, i, round(rn, 6) AS range_now, round(ru, 6) AS range_usual, coalesce(rn / nullif(ru, 0) <= 0.6, false) AS compressed FROM rc"
 
 QUERIES = {
     "indicator_bundle": indicator_bundle,

@@ -22,7 +22,7 @@ def _query(build, *columns):
 
 def last_swings(spark, sf_dir):
     rows = st.with_last_swings(hourly(spark, sf_dir))
-    return rows.select("instrument", "i", "high_price", "high_origin", "high_label", "high_before", "low_price", "low_origin", "low_label", "low_before", "trend")
+    return rows.select("instrument", "i", "high_price", "high_origin", "high_label", "high_before", "high_before_origin", "low_price", "low_origin", "low_label", "low_before", "low_before_origin", "trend")
 
 
 SWINGS = """sw0 AS (SELECT *, count(*) OVER l AS nl, count(*) OVER r AS nr, max(high) OVER l AS hl, max(high) OVER r AS hr, min(low) OVER l AS ll, min(low) OVER r AS lr FROM bars
@@ -32,11 +32,11 @@ swings AS (SELECT instrument, 'high' AS kind, i, ts, high AS price, i + 3 AS ava
 
 LAST = (
     SWINGS
-    + """, lab AS (SELECT *, lag(price) OVER w AS before, CASE WHEN lag(price) OVER w IS NULL THEN NULL ELSE (CASE WHEN price > lag(price) OVER w THEN 'H' ELSE 'L' END) || (CASE WHEN kind = 'high' THEN 'H' ELSE 'L' END) END AS label
+    + """, lab AS (SELECT *, lag(price) OVER w AS before, lag(i) OVER w AS bo, CASE WHEN lag(price) OVER w IS NULL THEN NULL ELSE (CASE WHEN price > lag(price) OVER w THEN 'H' ELSE 'L' END) || (CASE WHEN kind = 'high' THEN 'H' ELSE 'L' END) END AS label
     FROM swings WINDOW w AS (PARTITION BY instrument, kind ORDER BY i)),
-j AS (SELECT b.*, h.price AS hp, h.i AS ho, h.label AS hlb, h.before AS hb, l.price AS lp, l.i AS lo, l.label AS llb, l.before AS lb FROM bars b
+j AS (SELECT b.*, h.price AS hp, h.i AS ho, h.label AS hlb, h.before AS hb, h.bo AS hbo, l.bo AS lbo, l.price AS lp, l.i AS lo, l.label AS llb, l.before AS lb FROM bars b
     LEFT JOIN lab h ON h.kind = 'high' AND h.instrument = b.instrument AND h.available = b.i LEFT JOIN lab l ON l.kind = 'low' AND l.instrument = b.instrument AND l.available = b.i),
-f AS (SELECT instrument, i, ts, close, last_value(hp IGNORE NULLS) OVER w AS high_price, last_value(ho IGNORE NULLS) OVER w AS high_origin, last_value(hlb IGNORE NULLS) OVER w AS high_label, last_value(hb IGNORE NULLS) OVER w AS high_before,
+f AS (SELECT instrument, i, ts, close, last_value(hp IGNORE NULLS) OVER w AS high_price, last_value(ho IGNORE NULLS) OVER w AS high_origin, last_value(hlb IGNORE NULLS) OVER w AS high_label, last_value(hb IGNORE NULLS) OVER w AS high_before, last_value(hbo IGNORE NULLS) OVER w AS high_before_origin, last_value(lbo IGNORE NULLS) OVER w AS low_before_origin,
     last_value(lp IGNORE NULLS) OVER w AS low_price, last_value(lo IGNORE NULLS) OVER w AS low_origin, last_value(llb IGNORE NULLS) OVER w AS low_label, last_value(lb IGNORE NULLS) OVER w AS low_before
     FROM j WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS UNBOUNDED PRECEDING)),
 tr0 AS (SELECT *, CASE WHEN high_label = 'HH' AND low_label = 'HL' THEN 1 WHEN high_label = 'LH' AND low_label = 'LL' THEN -1 END AS flip FROM f),
@@ -99,15 +99,15 @@ sa AS (SELECT instrument, name, direction, min(origin) AS origin, arg_min(i, ori
 swp AS (SELECT sd.instrument, sd.name, sd.direction, sd.origin, sd.i, level, depth FROM sa JOIN sd USING (instrument, name, direction, origin))"""
 SWEEPS = f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {sql.TICKS}, {LAST}, {LEVELS_CTE}, {SWEEPS_CTE} SELECT * REPLACE (round(depth, 6) AS depth) FROM swp"
 
-DOUBLES = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS},
-pr AS (SELECT *, lag(i) OVER w AS first_i, lag(price) OVER w AS first_price FROM swings WINDOW w AS (PARTITION BY instrument, kind ORDER BY i)),
-q AS (SELECT pr.*, atr.y AS a FROM pr JOIN atr ON atr.instrument = pr.instrument AND atr.i = pr.available WHERE atr.y > 0 AND pr.i - first_i <= 120 AND abs(price - first_price) <= 0.5 * atr.y),
-n0 AS (SELECT q.*, max(o.price) AS mh, min(o.price) AS ml FROM q JOIN swings o ON o.instrument = q.instrument AND o.kind <> q.kind AND o.i > q.first_i AND o.i < q.i GROUP BY ALL),
-n1 AS (SELECT *, CASE WHEN kind = 'low' THEN mh ELSE ml END AS neck FROM n0),
-n AS (SELECT *, abs((price + first_price) / 2 - neck) AS depth FROM n1 WHERE abs((price + first_price) / 2 - neck) >= a),
-k AS (SELECT n.instrument, n.kind, n.i, min(b.i) AS break_i FROM n JOIN bars b ON b.instrument = n.instrument AND b.i BETWEEN n.available AND n.available + 24 AND CASE WHEN kind = 'low' THEN b.close > neck ELSE b.close < neck END GROUP BY ALL)
-SELECT instrument, CASE WHEN kind = 'low' THEN 'double_bottom' ELSE 'double_top' END AS pattern, first_i, i, available, first_price, price, neck,
-    round(greatest(0.0, least(1.0, 0.4 * (1 - abs(price - first_price) / (0.5 * a)) + 0.6 * greatest(0.0, least(1.0, depth / (2 * a))))), 6) AS confidence, break_i FROM n LEFT JOIN k USING (instrument, kind, i)"""
+DOUBLES_CTE = """dpr AS (SELECT *, lag(i) OVER w AS first_i, lag(price) OVER w AS first_price FROM swings WINDOW w AS (PARTITION BY instrument, kind ORDER BY i)),
+dq AS (SELECT dpr.*, atr.y AS a FROM dpr JOIN atr ON atr.instrument = dpr.instrument AND atr.i = dpr.available WHERE atr.y > 0 AND dpr.i - first_i <= 120 AND abs(price - first_price) <= 0.5 * atr.y),
+dn0 AS (SELECT dq.*, max(o.price) AS mh, min(o.price) AS ml FROM dq JOIN swings o ON o.instrument = dq.instrument AND o.kind <> dq.kind AND o.i > dq.first_i AND o.i < dq.i GROUP BY ALL),
+dn1 AS (SELECT *, CASE WHEN kind = 'low' THEN mh ELSE ml END AS neck FROM dn0),
+dn AS (SELECT *, abs((price + first_price) / 2 - neck) AS depth FROM dn1 WHERE abs((price + first_price) / 2 - neck) >= a),
+dk AS (SELECT dn.instrument, dn.kind, dn.i, min(b.i) AS break_i FROM dn JOIN bars b ON b.instrument = dn.instrument AND b.i BETWEEN dn.available AND dn.available + 24 AND CASE WHEN kind = 'low' THEN b.close > neck ELSE b.close < neck END GROUP BY ALL),
+dbl AS (SELECT instrument, CASE WHEN kind = 'low' THEN 'double_bottom' ELSE 'double_top' END AS pattern, first_i, i, available, first_price, price, neck,
+    greatest(0.0, least(1.0, 0.4 * (1 - abs(price - first_price) / (0.5 * a)) + 0.6 * greatest(0.0, least(1.0, depth / (2 * a))))) AS confidence, break_i FROM dn LEFT JOIN dk USING (instrument, kind, i))"""
+DOUBLES = f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS}, {DOUBLES_CTE} SELECT * REPLACE (round(confidence, 6) AS confidence) FROM dbl"
 
 EQUAL_CTE = """es AS (SELECT s.*, atr.y AS a, row_number() OVER (PARTITION BY s.instrument, kind ORDER BY s.i) AS q FROM swings s JOIN atr ON atr.instrument = s.instrument AND atr.i = s.available),
 er AS (SELECT instrument, kind, q, i, available, [i] AS mi, [price] AS mp, false AS hit FROM es WHERE q = 1
