@@ -122,6 +122,18 @@ def relative_volume(bars: DataFrame, sessions: int = 60, at_least: int = 15) ->
     return rows.withColumn("rel_volume", F.col("volume") / F.nullif(median, F.lit(0.0))).drop("tod")
 
 
+def relative_volume_trailing(bars: DataFrame, n: int = 60, at_least: int = 15) -> DataFrame:
+    """Volume over the median of the last n bars, the current one included."""
+    w = series().rowsBetween(-n + 1, 0)
+    median = F.when(F.count("volume").over(w) >= at_least, F.percentile("volume", 0.5).over(w))
+    return bars.withColumn("trailing_volume", F.col("volume") / F.nullif(median, F.lit(0.0)))
+
+
+def extended(bars: DataFrame) -> DataFrame:
+    """bars with MACD, stochastic, ADX, Bollinger bands and squeeze, and the EMA stack, by windows over one scan."""
+    return ema_stack(bollinger(adx(stochastic(macd(bars)))))
+
+
 def rolling_rank(bars: DataFrame, column: str, n: int, out: str) -> DataFrame:
     """Share of the last n values at or under the current one, ties counting half; null under max(20, n / 3) values."""
     w = series().rowsBetween(-n + 1, 0)

@@ -183,6 +183,11 @@ def roll_boundaries(bars: DataFrame, percent: float = 0.9) -> DataFrame:
     return bars.withColumn("jump", jump).filter(F.col("jump") > percent).select("instrument", "i", "ts", "jump")
 
 
+def coarse_to_fine(coarse: DataFrame, fine: DataFrame) -> DataFrame:
+    """Coarse bars with the number of the fine bar that ends when they do; null where none does."""
+    return coarse.join(fine.select("instrument", "ts", F.col("i").alias("fine_i")), ["instrument", "ts"], "left")
+
+
 def near_boundary(bars: DataFrame, boundaries: DataFrame, reach: int = 5) -> DataFrame:
     """bars with whether a boundary lies within ``reach`` bars; each boundary marks its own neighbours, so no ranges are joined."""
     marked = boundaries.select("instrument", F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach)).alias("i")).distinct().withColumn("near_roll", F.lit(True))

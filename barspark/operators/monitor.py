@@ -57,6 +57,26 @@ def risk_figures(trades: DataFrame, by: str, day_limit: float) -> DataFrame:
     return out.withColumn("below_highest", F.col("highest") - F.col("net"))
 
 
+#: Account rules by profile: trading hours in local minutes, day loss, trailing drawdown, contracts; fixed assumptions.
+ACCOUNT_RULES = {"small": (570, 960, 2_000.0, 20_000.0, 20), "large": (480, 1020, 20_000.0, 60_000.0, 60)}
+
+
+def risk_checked(trades: DataFrame, by: str, order: list[str], minute: Column, contracts: Column) -> DataFrame:
+    """Trades by account profile with every rule that they break: outside_hours, day_loss (already lost that day), drawdown (from the highest result so far), contracts."""
+    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    day = Window.partitionBy(by, F.to_date("ts")).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = trades.withColumn("_so_far", F.coalesce(F.sum("pnl").over(before), F.lit(0.0))).withColumn("_today", F.coalesce(F.sum("pnl").over(day), F.lit(0.0)))
+    upto = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_below", F.greatest(F.lit(0.0), F.max("_so_far").over(upto)) - F.col("_so_far"))
+    rules = F.array(*(F.struct(F.lit(n).alias("profile"), *(F.lit(x).alias(c) for c, x in zip(("first", "end", "loss", "drawdown", "most"), r, strict=True))) for n, r in ACCOUNT_RULES.items()))
+    rows = rows.withColumn("r", F.explode(rules))
+    broken = F.array_compact(F.array(
+        F.when((minute < F.col("r.first")) | (minute >= F.col("r.end")), "outside_hours"), F.when(F.col("_today") <= -F.col("r.loss"), "day_loss"),
+        F.when(F.col("_below") >= F.col("r.drawdown"), "drawdown"), F.when(contracts > F.col("r.most"), "contracts"),
+    ))
+    return rows.select(by, *order, F.col("r.profile").alias("profile"), broken.alias("broken"))
+
+
 def refreshed(coarse: DataFrame, fine: DataFrame, minutes: int, since: Column) -> DataFrame:
     """Coarse bars with all buckets from a moment on built anew from fine bars."""
     fresh = resample(fine.filter(F.col("ts") > since), minutes)

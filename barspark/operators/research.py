@@ -95,6 +95,12 @@ def vintages(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.withColumn("revision", F.row_number().over(Window.partitionBy(*keys).orderBy(at, "id")).cast("long"))
 
 
+def decoded_vintages(raw: DataFrame, keys: list[str], at: str, value: str = "value") -> DataFrame:
+    """Raw observations without those that are only a dot, as numbers, with their revision: how many of the series' values were there by then."""
+    rows = raw.filter(F.trim(value) != ".").withColumn(value, F.expr(f"try_cast({value} as double)"))
+    return rows.withColumn("revision", F.row_number().over(Window.partitionBy(*keys).orderBy(at, value)).cast("long"))
+
+
 def known_at(rows: DataFrame, keys: list[str], at: str, moment: Column) -> DataFrame:
     """The newest revision of each series at a moment; later ones are not seen."""
     seen = rows.filter(F.col(at) <= moment)
@@ -184,9 +190,12 @@ def sampled_by_month(rows: DataFrame, at: str, n: int, order: Column) -> DataFra
 
 
 def data_hash(rows: DataFrame, day: Column, line: Column) -> DataFrame:
-    """SHA-256 of a table: of the days' hashes in order, each of its lines in order; no task holds more than a day's lines."""
-    days = rows.groupBy(day.alias("day")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
-    return days.agg(F.count("*").alias("days"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "h"))), lambda x: x["h"]), "\n"), 256).alias("hash"))
+    """SHA-256 of a table: of the days' hashes in order, each of its parts' in order, a part being the lines whose own hash begins alike, in order; so a day with very many lines goes in 256 parts."""
+    lines = rows.select(day.alias("day"), F.sha2(line, 256).alias("l")).withColumn("part", F.left("l", F.lit(2)))
+    parts = lines.groupBy("day", "part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("h"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "\n"), 256)
+    days = parts.groupBy("day").agg(joined("part").alias("h"))
+    return days.agg(F.count("*").alias("days"), joined("day").alias("hash"))
 
 
 def _beta_part(a: float, b: float, x: float) -> float:

@@ -96,6 +96,32 @@ def order_blocks(bars: DataFrame, back: int = 10) -> DataFrame:
     return found.withColumn("b", block).filter("b is not null").select("instrument", "i", "direction", F.col("b.i").alias("origin"), F.col("b.high").alias("top"), F.col("b.low").alias("bottom"))
 
 
+def with_order_blocks(bars: DataFrame) -> DataFrame:
+    """bars with the latest order block of either direction, as it was known: bull_top, bull_bottom, bear_top, bear_bottom."""
+    found = order_blocks(bars).withColumn("side", F.when(F.col("direction") == 1, "bull").otherwise("bear"))
+    wide = found.groupBy("instrument", "i").pivot("side", ["bull", "bear"]).agg(F.first("top").alias("top"), F.first("bottom").alias("bottom"))
+    rows = bars.join(wide, ["instrument", "i"], "left")
+    for c in ("bull_top", "bull_bottom", "bear_top", "bear_bottom"):
+        rows = rows.withColumn(c, filled(c))
+    return rows
+
+
+def tradable_bottoms(bars: DataFrame, k: int = 3, most_bars: int = 60, green: int = 2) -> DataFrame:
+    """Swing lows that hold until ``green`` bars in a row close higher than they open, within ``most_bars`` bars after the low is known: the entry is the next bar's open, the stop the low.
+
+    A bar that trades under the low first ends the search.
+    """
+    lows = swings(bars, k).filter("kind = 'low'").select("instrument", F.col("i").alias("low_i"), F.col("price").alias("stop"), F.col("available").alias("i"))
+    rows = with_ahead(lows, bars, most_bars + 1, ("open", "low", "close"))
+    up = F.zip_with("ahead_open", "ahead_close", lambda o, c: c > o)
+    # where the last of the bars in a row stands
+    run = F.transform(F.sequence(F.lit(1), F.size("ahead_open")), lambda at: (at >= green) & F.forall(F.slice(up, F.greatest(F.lit(1), at - green + 1), F.lit(green)), lambda x: x))
+    rows = rows.filter(F.size("ahead_open") > green).withColumn("_at", F.array_position(run, True).cast("int"))
+    broken = F.array_position(F.transform("ahead_low", lambda x: x < F.col("stop")), True)
+    rows = rows.filter((F.col("_at") > 0) & (F.col("_at") < F.size("ahead_open")) & (F.col("_at") <= most_bars) & ((broken == 0) | (broken > F.col("_at"))))
+    return rows.select("instrument", "low_i", "stop", (F.col("i") + F.col("_at")).alias("signal_i"), F.get("ahead_open", F.col("_at")).alias("entry"))
+
+
 def liquidity_sweeps(levels: DataFrame, bars: DataFrame, reclaim: int = 3, min_atr: float = 0.05) -> DataFrame:
     """Levels (of ``levels.levels_long``) pierced and reclaimed, by side.
 

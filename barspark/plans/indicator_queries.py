@@ -111,7 +111,11 @@ COMPRESSION_CTE = """rc0 AS (SELECT *, CASE WHEN i >= 19 THEN max(high) OVER w -
 rc AS (SELECT *, CASE WHEN count(rn) OVER w = 60 THEN quantile_cont(rn, 0.5) OVER w END AS ru FROM rc0 WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 79 PRECEDING AND 20 PRECEDING))"""
 COMPRESSION = f"WITH {sql.BARS}, {COMPRESSION_CTE} SELECT instrument, i, round(rn, 6) AS range_now, round(ru, 6) AS range_usual, coalesce(rn / nullif(ru, 0) <= 0.6, false) AS compressed FROM rc"
 
+_EXTENDED = ("macd", "macd_signal", "macd_hist", "stoch_k", "stoch_d", "plus_di", "minus_di", "adx", "bb_mid", "bb_upper", "bb_lower", "squeeze", "ema9", "ema200", "ema_stack")
+
 QUERIES = {
+    "extended_bundle": _query(ind.extended, *(c for c in _EXTENDED if c not in ("squeeze", "ema_stack")), keep=("squeeze", "ema_stack")),
+    "relative_volume_trailing": _query(ind.relative_volume_trailing, "trailing_volume"),
     "indicator_bundle": indicator_bundle,
     "macd": _query(ind.macd, "macd", "macd_signal", "macd_hist"),
     "stochastic": _query(ind.stochastic, "stoch_k", "stoch_d"),
@@ -124,6 +128,8 @@ QUERIES = {
     "range_compression": _query(ind.range_compression, "range_now", "range_usual", keep=("compressed",)),
 }
 ORACLES = {
+    "extended_bundle": f"SELECT instrument, i, {', '.join(_EXTENDED)} FROM ({MACD}) JOIN ({STOCH}) USING (instrument, i) JOIN ({ADX}) USING (instrument, i) JOIN ({BOLL}) USING (instrument, i) JOIN ({STACK}) USING (instrument, i)",
+    "relative_volume_trailing": f"WITH {sql.BARS} SELECT instrument, i, round(volume / nullif(CASE WHEN count(volume) OVER w >= 15 THEN quantile_cont(volume, 0.5) OVER w END, 0), 6) AS trailing_volume FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY ts ROWS 59 PRECEDING)",
     "indicator_bundle": BUNDLE,
     "macd": MACD,
     "stochastic": STOCH,

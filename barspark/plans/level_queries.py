@@ -136,6 +136,7 @@ QUERIES = {
     "volume_profile": lambda s, d: _rounded(lv.volume_profile(hourly(s, d), 10.0), "volume"),
     "value_area": lambda s, d: lv.value_area(lv.volume_profile(hourly(s, d), 10.0)),
     "level_columns": lambda s, d: lv.level_columns(hourly(s, d), ticks(s, d)).select("instrument", "i", *lv.LEVEL_NAMES),
+    "coarse_to_fine": lambda s, d: lv.coarse_to_fine(lv.resample(b := hourly(s, d), 240), b).select("instrument", "ts", "fine_i"),
     "bar_validation": bar_validation,
     "newest_upsert": newest_upsert,
     "inventory": inventory,
@@ -163,5 +164,6 @@ ORACLES = {
     "source_comparison": f"WITH {SRC}, k AS (SELECT CAST(unnest([-1, 0, 1]) AS BIGINT) AS shift), m AS (SELECT a.instrument, shift, greatest(abs(a.open - b.open), abs(a.high - b.high), abs(a.low - b.low), abs(a.close - b.close)) AS d FROM src a CROSS JOIN k JOIN src b ON b.instrument = a.instrument AND b.ts = a.ts + shift * INTERVAL 1 HOUR WHERE a.side = 0 AND b.side = 1) SELECT instrument, shift, count(*) AS n, round(max(d), 6) AS largest, round(avg(CASE WHEN d <= 5 THEN 1.0 ELSE 0.0 END), 6) AS within FROM m GROUP BY 1, 2",
     "price_as_of": "WITH r AS (SELECT ts AS rts, arg_max(value, event_id) AS other_price FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT event_id, ts, value AS price, other_price FROM (SELECT * FROM events WHERE event_type = 'click') l ASOF LEFT JOIN r ON l.ts >= r.rts",
     "value_area": VALUE_AREA,
+    "coarse_to_fine": f"WITH {sql.BARS}, x AS (SELECT DISTINCT instrument, time_bucket(INTERVAL 4 HOUR, ts - INTERVAL 1 MICROSECOND, TIMESTAMP '2024-01-01') + INTERVAL 4 HOUR AS ts FROM bars) SELECT x.instrument, x.ts, bars.i AS fine_i FROM x LEFT JOIN bars ON bars.instrument = x.instrument AND bars.ts = x.ts",
     "level_columns": f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {sql.TICKS}, {LAST}, {LEVELS_CTE} SELECT instrument, i, {', '.join(lv.LEVEL_NAMES)} FROM lw",
 }

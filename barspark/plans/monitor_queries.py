@@ -34,6 +34,7 @@ def swing_look_ahead(spark, sf_dir):
 
 
 QUERIES = {
+    "risk_check": lambda s, d: mo.risk_checked(_trades(s, d), "strategy", ["ts", "k"], F.col("k") % 1440, F.col("risk")).select("strategy", "k", "profile", F.array_join("broken", ",").alias("broken")),
     "coverage": lambda s, d: _rounded(mo.coverage(hourly(s, d), _at("2024-01-31")), "age_hours"),
     "seam_check": lambda s, d: _rounded(mo.seam(hourly(s, d), _at("2024-01-15")), "days", "jump"),
     "volume_so_far": lambda s, d: _rounded(mo.volume_so_far(hourly(s, d)).select("instrument", "i", "so_far", "ratio"), "ratio"),
@@ -45,6 +46,9 @@ QUERIES = {
     "forward_paths": lambda s, d: mo.paths(hourly(s, d), 5).select("instrument", "i", "entry", F.size("path").cast("long").alias("n"), F.round(F.element_at("path", -1), 6).alias("last")),
 }
 ORACLES = {
+    "risk_check": f"""WITH {TRADES}, a AS (SELECT *, coalesce(sum(pnl) OVER (PARTITION BY strategy ORDER BY ts, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far, coalesce(sum(pnl) OVER (PARTITION BY strategy, CAST(ts AS DATE) ORDER BY ts, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS today FROM tr),
+b AS (SELECT *, greatest(0.0, max(so_far) OVER (PARTITION BY strategy ORDER BY ts, k)) - so_far AS below FROM a), p AS (SELECT unnest(['small', 'large']) AS profile, unnest([570, 480]) AS f, unnest([960, 1020]) AS e, unnest([2000.0, 20000.0]) AS loss, unnest([20000.0, 60000.0]) AS dd, unnest([20, 60]) AS most)
+SELECT strategy, k, profile, concat_ws(',', CASE WHEN k % 1440 < f OR k % 1440 >= e THEN 'outside_hours' END, CASE WHEN today <= -loss THEN 'day_loss' END, CASE WHEN below >= dd THEN 'drawdown' END, CASE WHEN risk > most THEN 'contracts' END) AS broken FROM b CROSS JOIN p""",
     "swing_look_ahead": f"WITH {sql.BARS}, {SWINGS} SELECT count(*) AS swings, count(*) FILTER (i > available OR i < 0) AS early FROM swings",
     "coverage": f"WITH {sql.BARS}, g AS (SELECT instrument, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM bars GROUP BY 1) SELECT *, round(epoch(TIMESTAMP '2024-01-31' - last_ts) / 3600, 6) AS age_hours, epoch(TIMESTAMP '2024-01-31' - last_ts) / 3600 > 3 AS stale FROM g",
     "seam_check": f"""WITH {sql.BARS}, g AS (SELECT instrument, max(ts) FILTER (ts < TIMESTAMP '2024-01-15') AS left_ts, arg_max(close, ts) FILTER (ts < TIMESTAMP '2024-01-15') AS left_close, min(ts) FILTER (ts >= TIMESTAMP '2024-01-15') AS right_ts, arg_min(open, ts) FILTER (ts >= TIMESTAMP '2024-01-15') AS right_open FROM bars GROUP BY 1),

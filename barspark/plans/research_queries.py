@@ -124,5 +124,5 @@ SELECT * FROM f JOIN b USING (month)""",
     "conditional_outcomes": f"WITH RECURSIVE {sql.BARS}, {RSI}, x AS (SELECT instrument, coalesce(rsi < 40, false) AS hit, lead(close, 5) OVER w - lead(open) OVER w AS e FROM bars JOIN rsi USING (instrument, i) WINDOW w AS (PARTITION BY instrument ORDER BY i)), g AS (SELECT instrument, count(*) FILTER (hit) AS n, avg(e) FILTER (hit) AS m, stddev_pop(e) FILTER (hit) AS sd, avg(CASE WHEN e > 0 THEN 1.0 ELSE 0.0 END) FILTER (hit) AS won, avg(e) AS am, avg(CASE WHEN e > 0 THEN 1.0 ELSE 0.0 END) AS aw FROM x WHERE e IS NOT NULL GROUP BY 1) SELECT instrument, n, round(m, 6) AS mean, round(sd, 6) AS sd, round(won, 6) AS won, round(am, 6) AS all_mean, round(aw, 6) AS all_won, round(m - am, 6) AS edge FROM g",
     "measurement_ladder": f"WITH {TRADES}, x AS (SELECT k % 4 AS quartile, year(ts) AS year, pnl > 0 AS won FROM tr) SELECT quartile, year, count(*) AS n, round(avg(CASE WHEN won THEN 1.0 ELSE 0.0 END), 6) AS won FROM x GROUP BY GROUPING SETS ((), (quartile), (year))",
     "sampled_by_month": f"WITH {TRADES} SELECT k, ts, date_trunc('month', ts) AS month FROM tr QUALIFY row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY md5(CAST(k AS VARCHAR))) <= 3",
-    "data_hash": "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sha256(string_agg(l, chr(10) ORDER BY l)) AS h FROM (SELECT o_orderdate, o_orderkey || '|' || o_custkey || '|' || o_orderstatus AS l FROM orders) GROUP BY 1) SELECT count(*) AS days, sha256(string_agg(h, chr(10) ORDER BY day)) AS hash FROM d",
+    "data_hash": "WITH p AS (SELECT CAST(o_orderdate AS DATE) AS day, l[1:2] AS part, sha256(string_agg(l, chr(10) ORDER BY l)) AS h FROM (SELECT o_orderdate, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS l FROM orders) GROUP BY 1, 2), d AS (SELECT day, sha256(string_agg(h, chr(10) ORDER BY part)) AS h FROM p GROUP BY 1) SELECT count(*) AS days, sha256(string_agg(h, chr(10) ORDER BY day)) AS hash FROM d",
 }

@@ -130,7 +130,19 @@ m AS (SELECT *, CASE WHEN i >= 19 THEN avg(close) OVER (PARTITION BY instrument
 q AS (SELECT m.*, (s - lag(s, 10) OVER (PARTITION BY instrument ORDER BY i)) / 10 / nullif(atr.y, 0) AS slope FROM m JOIN atr USING (instrument, i))
 SELECT instrument, i, round(slope, 6) AS slope, CASE WHEN slope > 0.02 AND close > l THEN 'up' WHEN slope < -0.02 AND close < l THEN 'down' WHEN slope IS NOT NULL AND l IS NOT NULL THEN 'sideways' END AS trend FROM q"""
 
+BOTTOMS = f"""WITH RECURSIVE {sql.BARS}, {SWINGS}, tl AS (SELECT instrument, i AS low_i, price AS stop, available FROM swings WHERE kind = 'low'),
+tb AS (SELECT tl.*, b.i, b.low, b.close > b.open AND lag(b.close > b.open) OVER (PARTITION BY tl.instrument, low_i ORDER BY b.i) AS run, min(b.low) OVER (PARTITION BY tl.instrument, low_i ORDER BY b.i) AS deepest FROM tl JOIN bars b ON b.instrument = tl.instrument AND b.i BETWEEN available + 1 AND available + 60),
+ts AS (SELECT * FROM tb WHERE run AND deepest >= stop QUALIFY row_number() OVER (PARTITION BY instrument, low_i ORDER BY i) = 1),
+tf AS (SELECT instrument, low_i, min(i) AS first_run FROM tb WHERE run GROUP BY 1, 2)
+SELECT ts.instrument, ts.low_i, stop, ts.i AS signal_i, n.open AS entry FROM ts JOIN tf ON tf.instrument = ts.instrument AND tf.low_i = ts.low_i AND tf.first_run = ts.i JOIN bars n ON n.instrument = ts.instrument AND n.i = ts.i + 1"""
+
+ZONE_COLUMNS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {DISP_CTE}, {BLOCKS_CTE},
+zj AS (SELECT b.instrument, b.i, u.top AS ut, u.bottom AS ub, d.top AS dt, d.bottom AS db FROM bars b LEFT JOIN ob u ON u.instrument = b.instrument AND u.i = b.i AND u.direction = 1 LEFT JOIN ob d ON d.instrument = b.instrument AND d.i = b.i AND d.direction = -1)
+SELECT instrument, i, last_value(ut IGNORE NULLS) OVER w AS bull_top, last_value(ub IGNORE NULLS) OVER w AS bull_bottom, last_value(dt IGNORE NULLS) OVER w AS bear_top, last_value(db IGNORE NULLS) OVER w AS bear_bottom FROM zj WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
 QUERIES = {
+    "tradable_bottoms": _query(st.tradable_bottoms),
+    "order_block_zones": lambda spark, sf_dir: st.with_order_blocks(hourly(spark, sf_dir)).select("instrument", "i", "bull_top", "bull_bottom", "bear_top", "bear_bottom"),
     "swing_points": _query(st.swings),
     "last_swings": last_swings,
     "structure_breaks": _query(st.structure_breaks),
@@ -143,6 +155,8 @@ QUERIES = {
     "trend": lambda spark, sf_dir: _rounded(st.trend(hourly(spark, sf_dir)).select("instrument", "i", "slope", "trend"), "slope"),
 }
 ORACLES = {
+    "tradable_bottoms": BOTTOMS,
+    "order_block_zones": ZONE_COLUMNS,
     "swing_points": f"WITH {sql.BARS}, {SWINGS} SELECT * FROM swings",
     "last_swings": f"WITH {sql.BARS}, {LAST} SELECT * EXCLUDE (ts, close) FROM ls",
     "structure_breaks": BREAKS,

@@ -28,15 +28,39 @@ def bar_stream(ticks: DataFrame, width: str = "1 hour", delay: str = "2 hours")
     return bars.select("instrument", F.col("window.end").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+BUCKETS = 32
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The rows of an upserted table: of each bucket its last version (before a batch's number)."""
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.filter(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # a row a bucket
+    return rows.join(F.broadcast(newest), ["bucket", "version"]).drop("bucket", "version")
+
+
 def upsert_stream(rows: DataFrame, path: str, keys: list[str], received: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last row of each key in a table that each batch writes anew beside the old one; a batch that is replayed changes nothing."""
+    """Keep the last row of each key in a table of ``BUCKETS`` buckets; a batch writes a new version of the buckets that it touches.
+
+    A batch reads the versions before its own number only, so one that is replayed writes the same again.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target, before = f"{path}/v{number}", f"{path}/v{number - 1}"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(before).getFileSystem(spark._jsc.hadoopConfiguration())
-        stored = spark.read.parquet(before) if number and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(before)) else batch.limit(0)
-        upserted(stored, batch, keys, received).write.mode("overwrite").parquet(target)
+        place = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+        if number and not there:
+            raise RuntimeError(f"batch {number} finds no table at {path}")
+        arrived = place(batch)
+        merged = arrived
+        if there:
+            touched = arrived.select("bucket").distinct()
+            merged = upserted(place(latest(spark, path, number)).join(touched, "bucket", "left_semi").select(*arrived.columns), arrived, keys, received)
+        else:
+            merged = upserted(arrived.limit(0), arrived, keys, received)
+        out = merged.withColumn("version", F.lit(number).cast("long"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

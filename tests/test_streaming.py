@@ -1,5 +1,7 @@
 """Streams give what the batch gives."""
 
+from pyspark.sql import functions as F
+
 from barspark.sources.bars import ticks, ticks_to_bars
 from barspark.streaming import bars as st
 
@@ -29,13 +31,31 @@ def test_upsert(spark, tmp_path):
     folder, schema = _folder(spark, tmp_path)
     query = st.upsert_stream(st.tick_stream(spark, folder, schema), str(tmp_path / "t"), ["instrument"], "ts", str(tmp_path / "c"))
     query.awaitTermination()
-    stored = {r.instrument: r.event_id for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()}
+    stored = {r.instrument: r.event_id for r in st.latest(spark, str(tmp_path / "t")).collect()}
     newest = {}
     for r in ticks(spark, DATA).orderBy("ts").collect():
         newest[r.instrument] = r.event_id
     assert stored == newest
 
 
+def test_upsert_in_batches(spark, tmp_path):
+    rows = ticks(spark, DATA).select("instrument", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price")
+    target = str(tmp_path / "t")
+    for k, part in enumerate((rows.filter("event_id % 3 = 0"), rows.filter("event_id % 3 = 1"), rows.filter("event_id % 3 = 1"), rows.filter("event_id % 3 = 2"))):
+        part.repartition(1).write.parquet(str(tmp_path / f"in{k}"))
+        spark.read.parquet(str(tmp_path / f"in{k}")).write.mode("append").parquet(str(tmp_path / "in"))
+        st.upsert_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), target, ["instrument", "event_id"], "ts", str(tmp_path / "c")).awaitTermination()
+    assert sorted(map(tuple, st.latest(spark, target).select("instrument", "event_id").collect())) == sorted(map(tuple, rows.select("instrument", "event_id").collect()))
+
+
+def test_extremes(spark, tmp_path):
+    folder, schema = _folder(spark, tmp_path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = st.drained(st.extremes_stream(st.tick_stream(spark, folder, schema)), "extremes_out", str(tmp_path / "c"), "update")
+    last = {r.instrument: (r.h, r.l) for r in got.groupBy("instrument").agg(F.max("high").alias("h"), F.min("low").alias("l")).collect()}
+    assert last == {r.instrument: (r.h, r.l) for r in ticks(spark, DATA).groupBy("instrument").agg(F.max("price").alias("h"), F.min("price").alias("l")).collect()}
+
+
 def test_csv_and_vendor_lines(spark, tmp_path):
     from barspark.sources.bars import newest, numbered, read_csv_bars, read_vendor_export
 
