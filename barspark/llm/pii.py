@@ -71,7 +71,8 @@ def _found(text: Column, pattern: str) -> Column:
         end = start + F.length(x["value"])
         end_of = r"(\S++)\s++" + OPENING + "$"
         near = F.regexp_extract(x["tail"], r"(?<=\s)" + end_of, 1)
-        left = F.when(near != "", near).otherwise(F.regexp_extract(F.concat(x["last"], x["gap"]), r"(?<!\S)" + end_of, 1))
+        # through an array, so that the first lookup is worked out once
+        left = F.element_at(F.transform(F.array(near), lambda n: F.when(n != "", n).otherwise(F.regexp_extract(F.concat(x["last"], x["gap"]), r"(?<!\S)" + end_of, 1))), 1)
         span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value"), left.alias("left"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
