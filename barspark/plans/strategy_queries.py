@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barspark.functions import exchange_days as ex
 from barspark.functions import sessions as se
 from barspark.operators import patterns as pt
+from barspark.operators import shapes as sh
 from barspark.operators import strategies as sg
 from barspark.plans import sql
 from barspark.plans.indicator_queries import ADX_CTES, COMPRESSION_CTE, FLAGS_CTE
@@ -180,7 +181,36 @@ f AS (SELECT *, w <= 5 AND NOT (m = 1 AND (dd = 1 OR (dd = 2 AND w = 1))) AND NO
         OR (m = 11 AND w = 5 AND (day(x - 1) + 6) // 7 = 4 AND month(x - 1) = 11) AS soon FROM s)
 SELECT d.day, f.trading, f.trading AND f.soon AS early, (SELECT min(x) FROM f n WHERE n.x >= d.day AND n.trading) AS next_day FROM d JOIN f ON f.x = d.day"""
 
+_LINE = """fl AS (SELECT d.instrument, d.pattern, d.first_i, d.i, d.available, d.price, d.neck, d.break_i, list(b.close ORDER BY b.i) AS c FROM dbl d JOIN bars b ON b.instrument = d.instrument AND b.i BETWEEN d.first_i AND d.i GROUP BY ALL),
+fw AS (SELECT *, greatest(3, CAST(floor(len(c) * 0.12) AS BIGINT)) AS w FROM fl),
+fs AS (SELECT *, CASE WHEN len(c) - w + 1 >= 5 THEN list_transform(range(1, len(c) - w + 2), lambda k: list_avg(c[k:k + w - 1])) END AS s FROM fw),
+fu AS (SELECT * EXCLUDE (c, w, s), s, len(s) AS n, list_min(s) AS lo, list_max(s) AS hi FROM fs),
+fp AS (SELECT instrument, pattern, i, first_i, j, CASE WHEN pattern = 'double_bottom' THEN y ELSE 1 - y END AS y FROM (SELECT *, (s[f + 1] + (ax - f) * (s[least(f + 2, n)] - s[f + 1]) - lo) / (hi - lo) AS y FROM (SELECT *, CAST(floor(ax) AS BIGINT) AS f FROM (SELECT *, j * (n - 1) / 100 AS ax FROM (SELECT *, unnest(range(0, 101)) AS j FROM fu WHERE hi > lo))))),
+fe AS (SELECT instrument, pattern, i, first_i, p, round(sqrt(avg(power(y - CASE WHEN j / 100 <= p THEN j / 100 / p ELSE (1 - j / 100) / (1 - p) END, 2))), 9) AS e FROM fp CROSS JOIN (SELECT unnest(range(10, 91, 2)) / 100 AS p) GROUP BY 1, 2, 3, 4, 5),
+fm AS (SELECT instrument, pattern, i, first_i, min(e) AS form_error, arg_min(p, row(e, p)) AS peak FROM fe GROUP BY 1, 2, 3, 4),
+wf AS (SELECT fl.* EXCLUDE c, form_error, peak FROM fl LEFT JOIN fm USING (instrument, pattern, i, first_i))"""
+FORMS = f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS}, {DOUBLES_CTE}, {_LINE} SELECT * REPLACE (round(form_error, 6) AS form_error) FROM wf"
+BEST = f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS}, {DOUBLES_CTE}, {_LINE} SELECT instrument, pattern, first_i, arg_min(i, row(form_error, i)) AS i, round(min(form_error), 6) AS form_error FROM wf WHERE form_error IS NOT NULL GROUP BY 1, 2, 3"
+
+STEPS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS}, {DOUBLES_CTE},
+c AS (SELECT d.*, b.i - d.available AS n, b.high, b.low FROM dbl d JOIN bars b ON b.instrument = d.instrument AND b.i BETWEEN d.available + 1 AND d.available + 120),
+g AS (SELECT instrument, pattern, i, min(n) FILTER (CASE WHEN pattern = 'double_bottom' THEN low < price ELSE high > price END) AS invalid_at FROM c GROUP BY 1, 2, 3),
+k AS (SELECT CAST(unnest([0.25, 0.5, 0.75, 1.0]) AS DOUBLE) AS step),
+h AS (SELECT instrument, pattern, i, step, min(n) FILTER (CASE WHEN pattern = 'double_bottom' THEN high >= price + step * (neck - price) ELSE low <= price + step * (neck - price) END) AS hit FROM c CROSS JOIN k GROUP BY 1, 2, 3, 4)
+SELECT d.instrument, d.pattern, d.i AS swing_i, k.step, CASE WHEN invalid_at IS NULL OR hit < invalid_at THEN hit END AS reached_at, invalid_at FROM dbl d CROSS JOIN k LEFT JOIN g USING (instrument, pattern, i) LEFT JOIN h ON h.instrument = d.instrument AND h.pattern = d.pattern AND h.i = d.i AND h.step = k.step"""
+
+
+def _state(minutes: int) -> str:
+    base = sql.BARS.replace("raw AS", "raw0 AS").replace("FROM raw)", f"FROM (SELECT instrument, time_bucket(INTERVAL {minutes} MINUTE, ts - INTERVAL 1 MICROSECOND, TIMESTAMP '2024-01-01') + INTERVAL {minutes} MINUTE AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM raw0 WHERE raw0.ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY instrument, time_bucket(INTERVAL {minutes} MINUTE, raw0.ts - INTERVAL 1 MICROSECOND, TIMESTAMP '2024-01-01')))")
+    return f"""(WITH RECURSIVE {base}, {sql.ATR}, {RSI}, {LAST} SELECT ls.instrument, CAST({minutes} AS BIGINT) AS minutes, ls.ts, ls.i + 1 AS bars, ls.close, round(atr.y, 6) AS atr, round(rsi, 6) AS rsi, trend, high_price AS swing_high, low_price AS swing_low
+    FROM ls JOIN atr USING (instrument, i) JOIN rsi USING (instrument, i) QUALIFY row_number() OVER (PARTITION BY ls.instrument ORDER BY ls.i DESC) = 1)"""
+
+
 QUERIES = {
+    "double_forms": lambda s, d: _rounded(sh.with_form(hourly(s, d)), "form_error"),
+    "best_forms": lambda s, d: _rounded(sh.best_of_first(sh.with_form(hourly(s, d))), "form_error"),
+    "confirmation_steps": lambda s, d: sh.confirmation_steps(hourly(s, d)),
+    "market_state": lambda s, d: _rounded(sh.market_state(hourly(s, d), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")), "atr", "rsi"),
     "all_patterns": all_patterns,
     "swing_breaks": lambda s, d: pt.swing_breaks(hourly(s, d)),
     "strategy_entries": strategy_entries,
@@ -192,6 +222,10 @@ QUERIES = {
     "trading_days": trading_days,
 }
 ORACLES = {
+    "double_forms": FORMS,
+    "best_forms": BEST,
+    "confirmation_steps": STEPS,
+    "market_state": " UNION ALL ".join(_state(m) for m in (60, 120, 240)),
     "all_patterns": PATTERNS,
     "swing_breaks": BREAKS_OF_SWINGS,
     "strategy_entries": ENTRIES,
