@@ -48,6 +48,13 @@ def event_counts(spark, sf_dir):
     return _detected(spark, sf_dir).groupBy("pattern", "variant", "direction").agg(F.count("*").alias("n"))
 
 
+def event_look_ahead(spark, sf_dir):
+    """Events of each detector that claim to be known before they begin or after the series ends; there must be none."""
+    last = hourly(spark, sf_dir).groupBy("instrument").agg(F.max("i").alias("last_i"))
+    early = (F.col("origin") > F.col("i")) | (F.col("origin") < 0) | (F.col("i") > F.col("last_i"))
+    return _detected(spark, sf_dir).join(last, "instrument").groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(early).alias("early"))
+
+
 def non_overlapping(spark, sf_dir):
     # of events that begin at one bar only one is kept, whichever it is
     return ev.non_overlapping(_detected(spark, sf_dir).select("instrument", "i", "direction", "pattern"), 10)
@@ -203,6 +210,7 @@ QUERIES = {
     "base_rates": base_rates,
     "event_clusters": event_clusters,
     "event_counts": event_counts,
+    "event_look_ahead": event_look_ahead,
     "non_overlapping": non_overlapping,
     "level_interactions": lambda s, d: ev.level_interactions(levels_long(hourly(s, d), ticks(s, d))),
     "rule_signals": rule_signals,
@@ -220,6 +228,7 @@ ORACLES = {
     "base_rates": RATES,
     "event_clusters": f"WITH RECURSIVE {sql.BARS}, {EVENTS}, {CLUSTERS_CTE} SELECT * FROM cls",
     "event_counts": f"WITH RECURSIVE {sql.BARS}, {EVENTS} SELECT pattern, variant, direction, count(*) AS n FROM evs GROUP BY 1, 2, 3",
+    "event_look_ahead": f"WITH RECURSIVE {sql.BARS}, {EVENTS} SELECT pattern, count(*) AS n, count(*) FILTER (origin > i OR origin < 0 OR i > last_i) AS early FROM evs JOIN (SELECT instrument, max(i) AS last_i FROM bars GROUP BY 1) USING (instrument) GROUP BY 1",
     "level_interactions": f"WITH RECURSIVE {sql.BARS}, {sql.ATR}, {sql.TICKS}, {LAST}, {LEVELS_CTE}, {INTERACTIONS_CTE} SELECT * FROM lint",
     "non_overlapping": f"""WITH RECURSIVE {sql.BARS}, {EVENTS},
 nr AS (SELECT instrument, pattern, direction, min(i) AS i FROM evs GROUP BY 1, 2, 3 UNION ALL SELECT * FROM (SELECT e.instrument, e.pattern, e.direction, min(e.i) AS i FROM nr JOIN evs e ON e.instrument = nr.instrument AND e.pattern = nr.pattern AND e.direction = nr.direction AND e.i >= nr.i + 10 GROUP BY 1, 2, 3))

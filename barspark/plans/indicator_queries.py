@@ -11,10 +11,6 @@ from barspark.sources.bars import hourly
 KEY = ("instrument", "i")
 
 
-def _out(bars, *columns, digits: int = 6):
-    return bars.select(*KEY, *(F.round(c, digits).alias(c) for c in columns))
-
-
 def _query(build, *columns, keep=()):
     def run(spark, sf_dir):
         rows = build(hourly(spark, sf_dir))
