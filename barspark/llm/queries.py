@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barspark.llm import decontaminate, html_text, jaccard_join, license_scan, nearest, packing, pii, prefix_trie, quality, suffix_dedup, token_counts, warc
+from barspark.llm import decontaminate, html_text, jaccard_join, lexical, license_scan, nearest, packing, pii, prefix_trie, quality, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_nearest": nearest.op9_nearest,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_lexical": lexical.op11_lexical,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_warc": warc.op13_warc,
 }
-ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op11_lexical": lexical.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_warc": warc.ORACLE}
