@@ -179,6 +179,8 @@ class Inflated:
         if not self.pending:
             self.pending = self.raw.read(self.chunk)
         if self.plain is None and self.pending:
+            while len(self.pending) < 2 and (next_byte := self.raw.read(1)):
+                self.pending += next_byte
             self.plain = not self.pending.startswith(b"\x1f\x8b")
         if self.plain:
             self.out += self.pending
@@ -201,6 +203,11 @@ class Inflated:
         self.out += piece
         return True
 
+    def ended(self) -> None:
+        """Take in the end of a member whose data is used up, so that the next record begins where its member does."""
+        while not self.out and self.inflate is not None:
+            self.more()
+
     def until(self, mark: bytes, most: int) -> bytes | None:
         """Bytes up to and with a mark; None where the archive ends at once."""
         seen = 0
@@ -253,8 +260,10 @@ def read_records(raw, chunk: int = CHUNK) -> Iterator[dict]:
     """The records of one archive in order, from an object with read(n)."""
     source = Inflated(raw, chunk)
     while True:
-        offset = source.member if source.out or source.inflate is not None else source.at
+        offset = source.at
         try:
+            source.ended()
+            offset = source.member if source.out else source.at
             head = source.until(b"\r\n\r\n", HEADER_BYTES)
             if head is None:
                 return

@@ -242,7 +242,7 @@ def test_warc_reader_by_pieces():
 def test_warc_reader_names_damage():
     good = gzip.compress(record(b"good"))
     assert [e for *_, e in read(gzip.compress(record(b"x", "sha256:" + "0" * 64)) + good)] == ["the block has another digest", None]
-    assert read(good + good[:-9])[-1][2] == "a block is cut short" or "cut short" in read(good + good[:-9])[-1][2]
+    assert all("cut short" in read((good + good)[:n])[-1][2] for n in range(len(good) + 1, 2 * len(good) - 9))
     for bad in (record(b"abc", length=2), record(b"abc", length=500), b"HTTP/1.1 200\r\n\r\n", record(b"x").replace(b"Content-Length: 1", b"Content-Length: q")):
         found = read(good + gzip.compress(bad))
         assert found[0] == (0, "good", None) and found[-1][2]
