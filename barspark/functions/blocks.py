@@ -123,3 +123,84 @@ def first_reach(extremes: np.ndarray, price: np.ndarray, low: bool) -> np.ndarra
         hi = np.where(open_ & there, mid, hi)
         lo = np.where(open_ & ~there, mid + 1, lo)
     return np.where(lo < n, lo + 1, 0)
+
+
+class Ahead:
+    """Where values next go beyond a price: maxima (or minima) of runs of 1, 2, 4, ... values answer each question in as many steps as runs have doublings."""
+
+    def __init__(self, values: np.ndarray, low: bool = False):
+        self.sign = -1.0 if low else 1.0
+        self.levels = [values * self.sign]
+        while len(self.levels[-1]) > (half := 1 << (len(self.levels) - 1)):
+            last = self.levels[-1]
+            self.levels.append(np.maximum(last[:-half], last[half:]))
+
+    def first(self, start: np.ndarray, price: np.ndarray, strict: bool = False) -> np.ndarray:
+        """The first place from start on with a value beyond (or, not strict, at) price; the number of values if there is none."""
+        at, aim, n = start.astype(np.int64).copy(), price * self.sign, len(self.levels[0])
+        for k in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[k]
+            there = np.flatnonzero(at < len(level))
+            most = level[at[there]]
+            short = most <= aim[there] if strict else most < aim[there]
+            at[there[short]] += 1 << k
+        return np.minimum(at, n)
+
+    def extreme(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The furthest value of start..end-1; nan where that is nothing."""
+        out = np.full(len(start), np.nan)
+        length = np.minimum(end, len(self.levels[0])) - start
+        for k in range(len(self.levels)):
+            own = np.flatnonzero((length >= 1 << k) & (length < 2 << k))
+            if len(own):
+                a = start[own]
+                out[own] = np.maximum(self.levels[k][a], self.levels[k][a + length[own] - (1 << k)]) * self.sign
+        return out
+
+
+def first_beyond(events: DataFrame, bars: DataFrame, strict: bool = False, size: int = SIZE) -> DataFrame:
+    """events (instrument, i, level, up, ...) with ``found_i``, the first bar after i whose high (low, where not up) is at or beyond level, and ``extreme``, the furthest such price after i: to the end of the series, however far.
+
+    A block answers what lies inside it; a series' table of block extremes, a row a block, names the block for
+    the rest, and that block the bar.
+    """
+    columns = events.columns
+    ends = bars.groupBy("instrument", F.floor(F.col("i") / size).alias("b")).agg(F.max("high").alias("hi"), F.min("low").alias("lo"))
+    ends = ends.groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("b", "hi", "lo"))).alias("_ends"))
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+
+    def inside(block: Bars, given: pa.Table, at: np.ndarray) -> dict:
+        up, level = given.column("up").to_numpy(), given.column("level").to_numpy()
+        found, extreme = np.full(len(at), -1), np.full(len(at), np.nan)
+        for side, name in ((True, "high"), (False, "low")):
+            own = np.flatnonzero(up == side)
+            ahead, start = Ahead(block[name], low=not side), at[own] + 1
+            place = ahead.first(start, level[own], strict)
+            found[own] = np.where(place < len(block), block.first + place, -1)
+            extreme[own] = ahead.extreme(start, np.full(len(own), len(block)))
+        return {c: given.column(c) for c in columns} | {"found_i": np.where(found >= 0, found, np.nan), "extreme": extreme}
+
+    near = at_events(events, bars, ("high", "low"), 0, 0, inside, f"{plain}, found_i long, extreme double", size)
+    later = F.slice("_ends", (F.floor(F.col("i") / size) + 2).cast("int"), F.size("_ends"))
+    rows = near.join(ends, "instrument").withColumn("_later", later)
+    up, level = F.col("up"), F.col("level")
+
+    def reaches(x):
+        return F.when(up, x["hi"] > level).otherwise(x["lo"] < level) if strict else F.when(up, x["hi"] >= level).otherwise(x["lo"] <= level)
+
+    nth = F.array_position(F.transform("_later", reaches), True)
+    rows = rows.withColumn("_block", F.when(F.isnull("found_i") & (nth > 0), F.floor(F.col("i") / size) + nth))
+    most = F.when(up, F.array_max(F.transform("_later", lambda x: x["hi"]))).otherwise(F.array_min(F.transform("_later", lambda x: x["lo"])))
+    rows = rows.withColumn("extreme", F.when(up, F.greatest("extreme", most)).otherwise(F.least("extreme", most)))
+    asked = rows.select(*(c for c in columns if c != "i"), F.col("i").alias("_i"), "found_i", "extreme", F.coalesce(F.col("_block") * size, "i").cast("long").alias("i"), F.isnotnull("_block").alias("_look"))
+
+    def there(block: Bars, given: pa.Table, at: np.ndarray) -> dict:
+        look, up, level = (given.column(c).to_numpy(zero_copy_only=False) for c in ("_look", "up", "level"))
+        found = given.column("found_i").to_numpy().astype(np.float64)
+        for side, name in ((True, "high"), (False, "low")):
+            own = np.flatnonzero(look & (up == side))
+            if len(own):
+                found[own] = block.first + Ahead(block[name], low=not side).first(at[own], level[own], strict)
+        return {c: given.column("_i" if c == "i" else c) for c in columns} | {"found_i": found, "extreme": given.column("extreme").to_numpy()}
+
+    return at_events(asked, bars, ("high", "low"), 0, 0, there, f"{plain}, found_i long, extreme double", size)

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.blocks import Ahead, Bars, at_events
 from barspark.functions.folds import folded
 from barspark.functions.rolling import with_ahead
 from barspark.operators.indicators import atr
 from barspark.operators.levels import levels_long
 from barspark.operators.research import equal_extremes, t_p_value
-from barspark.operators.structure import displacements, fair_value_gaps, liquidity_sweeps, order_blocks, structure_breaks
+from barspark.operators.structure import displacements, gaps, liquidity_sweeps, order_blocks, structure_breaks
 
 HORIZONS = (1, 3, 5, 10, 20, 30, 60, 120, 240)
 #: Targets and stops in ATR; fixed.
@@ -74,7 +77,7 @@ def detected(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     none = F.lit("")
     parts = [
         structure_breaks(bars).withColumn("pattern", F.col("variant")).withColumn("variant", none),
-        fair_value_gaps(bars, horizon=1).select("instrument", "origin", "i", "direction", F.lit("fair_value_gap").alias("pattern"), none.alias("variant")),
+        gaps(bars).withColumn("origin", F.col("i") - 1).select("instrument", "origin", "i", "direction", F.lit("fair_value_gap").alias("pattern"), none.alias("variant")),
         displacements(bars).select("instrument", F.col("i").alias("origin"), "i", "direction", F.lit("displacement").alias("pattern"), none.alias("variant")),
         order_blocks(bars).select("instrument", "origin", "i", "direction", F.lit("order_block").alias("pattern"), none.alias("variant")),
         equal_extremes(bars).select("instrument", F.col("first").alias("origin"), F.col("available").alias("i"), F.when(F.col("kind") == "high", -1).otherwise(1).cast("long").alias("direction"), F.concat(F.lit("equal_"), "kind", F.lit("s")).alias("pattern"), F.concat(F.lit("n"), F.col("members").cast("string")).alias("variant")),
@@ -110,15 +113,28 @@ def outcomes(events: DataFrame, bars: DataFrame, horizons=HORIZONS) -> DataFrame
 
 
 def first_touches(events: DataFrame, bars: DataFrame, horizon: int = 240, multiples=MULTIPLES) -> DataFrame:
-    """Per event and multiple of ATR: after how many bars, the entry bar being 1, the target and the stop are first touched."""
-    rows = events.join(atr(bars).select("instrument", "i", "atr"), ["instrument", "i"]).filter(F.col("atr") >= MIN_ATR)
-    rows = with_ahead(rows, bars, horizon, ("open", "high", "low")).filter(F.size("ahead_open") == horizon).withColumn("entry", F.get("ahead_open", 0))
-    rows = rows.withColumn("multiple", F.explode(F.array(*(F.lit(m) for m in multiples))))
-    up, down = F.col("entry") + F.col("multiple") * F.col("atr"), F.col("entry") - F.col("multiple") * F.col("atr")
-    above = F.nullif(F.array_position(F.transform("ahead_high", lambda x: x >= up), True).cast("long"), F.lit(0).cast("long"))
-    below = F.nullif(F.array_position(F.transform("ahead_low", lambda x: x <= down), True).cast("long"), F.lit(0).cast("long"))
+    """Per event and multiple of ATR: after how many bars, the entry bar being 1, the target and the stop are first touched.
+
+    Each bar with an event is looked at once, for all multiples on both sides, whatever the number of its events.
+    """
+    starts = events.select("instrument", "i").distinct().join(atr(bars).select("instrument", "i", "atr"), ["instrument", "i"]).filter(F.col("atr") >= MIN_ATR)
+
+    def touched(block: Bars, given: pa.Table, at: np.ndarray) -> dict:
+        whole = at + horizon < len(block)
+        at, unit = at[whole], given.column("atr").to_numpy()[whole]
+        entry, tops, bottoms = block["open"][at + 1], Ahead(block["high"]), Ahead(block["low"], low=True)
+        parts = {"i": [], "multiple": [], "above": [], "below": []}
+        for m in multiples:
+            above, below = tops.first(at + 1, entry + m * unit) - at, bottoms.first(at + 1, entry - m * unit) - at
+            values = (block.i[at], np.full(len(at), m), np.where(above <= horizon, above, np.nan), np.where(below <= horizon, below, np.nan))
+            for c, x in zip(parts, values, strict=True):
+                parts[c].append(x)
+        return {c: np.concatenate(x) for c, x in parts.items()}
+
+    touches = at_events(starts, bars, ("open", "high", "low"), 0, horizon + 1, touched, "instrument string, i long, multiple double, above long, below long")
+    rows = events.select("instrument", "i", "direction", "pattern").join(touches, ["instrument", "i"])
     long = F.col("direction") == 1
-    return rows.select("instrument", "i", "direction", "pattern", "multiple", F.when(long, above).otherwise(below).alias("target_at"), F.when(long, below).otherwise(above).alias("stop_at"))
+    return rows.select("instrument", "i", "direction", "pattern", "multiple", F.when(long, F.col("above")).otherwise(F.col("below")).alias("target_at"), F.when(long, F.col("below")).otherwise(F.col("above")).alias("stop_at"))
 
 
 def barrier_grid(touches: DataFrame) -> DataFrame:

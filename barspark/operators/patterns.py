@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from barspark.functions.folds import folded
 from barspark.operators.indicators import flag_signals, range_compression
 from barspark.operators.levels import LEVEL_NAMES, level_columns
-from barspark.operators.structure import displacements, double_patterns, fair_value_gaps, swings
+from barspark.operators.structure import displacements, double_patterns, swings
+from barspark.operators.structure import gaps as price_gaps
 from barspark.sources.bars import series
 
 FOUND = ("instrument", "i", "pattern", "direction", "confidence")
@@ -104,7 +105,7 @@ def swing_breaks(bars: DataFrame, k: int = 3) -> DataFrame:
     broken = folded(closes.unionByName(known), ("instrument",), ("i", "what", "kind"), lambda: {"high": [], "low": []}, step, BROKEN)
     direction = F.when(F.col("kind") == "high", 1).otherwise(-1).cast("long")
     moves = displacements(bars).select("instrument", "i", "direction", F.lit(True).alias("displacement"))
-    gaps = fair_value_gaps(bars, horizon=1).select("instrument", "i", "direction", F.lit(True).alias("gap"))
+    gaps = price_gaps(bars).select("instrument", "i", "direction", F.lit(True).alias("gap"))
     rows = broken.withColumn("direction", direction).join(moves, ["instrument", "i", "direction"], "left").join(gaps, ["instrument", "i", "direction"], "left")
     rows = rows.withColumn("displacement", F.coalesce("displacement", F.lit(False))).withColumn("gap", F.coalesce("gap", F.lit(False)))
     kind = F.when(~F.col("lower"), "bos").when(F.col("displacement") | F.col("gap"), "mss").otherwise("choch")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.blocks import Ahead, Bars, extreme_around, in_blocks
 from barspark.functions.folds import folded
 from barspark.functions.rolling import between, filled, lagged, with_ahead
 from barspark.operators.indicators import atr
@@ -19,9 +21,15 @@ def _is_swing(k: int) -> tuple:
 
 def swings(bars: DataFrame, k: int = 3) -> DataFrame:
     """One row a swing: instrument, kind, i, ts, price, available (i + k). Strictly beyond the k bars before, at least as far as the k after."""
-    high, low = _is_swing(k)
-    both = F.array_compact(F.array(F.when(high, F.struct(F.lit("high").alias("kind"), F.col("high").alias("price"))), F.when(low, F.struct(F.lit("low").alias("kind"), F.col("low").alias("price")))))
-    return bars.withColumn("s", both).select("instrument", "i", "ts", F.explode("s").alias("s")).select("instrument", "s.kind", "i", "ts", "s.price", (F.col("i") + k).alias("available"))
+
+    def found(block: Bars) -> dict:
+        parts = []
+        for kind in ("high", "low"):
+            at = np.flatnonzero(extreme_around(block[kind], k, low=kind == "low")[block.own]) + block.own.start
+            parts.append({"kind": np.full(len(at), kind, object), "i": block.i[at], "ts": block["ts"][at], "price": block[kind][at], "available": block.i[at] + k})
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+    return in_blocks(bars, ("ts", "high", "low"), k, k, found, f"instrument string, kind string, i long, ts {dict(bars.dtypes)['ts']}, price double, available long")
 
 
 def with_last_swings(bars: DataFrame, k: int = 3) -> DataFrame:
@@ -56,25 +64,45 @@ def structure_breaks(bars: DataFrame, k: int = 3, reach: float = 0.05) -> DataFr
     return events.withColumn("variant", F.when(F.col("trend") * F.col("direction") >= 0, "bos").otherwise("choch"))
 
 
-def fair_value_gaps(bars: DataFrame, min_gap: float = 0.25, min_atr: float = 0.0, horizon: int = 240) -> DataFrame:
-    """Gaps of ``min_gap`` at least between a bar and the one two before: origin i - 1, available i.
-
-    mitigated_after and fill look at the next ``horizon`` bars; they are outcomes, not features.
-    """
+def gaps(bars: DataFrame, min_gap: float = 0.25, min_atr: float = 0.0) -> DataFrame:
+    """Gaps of ``min_gap`` at least between a bar and the one two before: instrument, i, direction, bottom, top, atr."""
     rows = atr(bars).withColumn("_h", lagged("high", 2)).withColumn("_l", lagged("low", 2))
     up, down = F.col("low") - F.col("_h"), F.col("_l") - F.col("high")
     wide = lambda x: (x > 0) & (x >= min_gap)
     rows = rows.withColumn("direction", F.when(wide(up), 1).when(wide(down), -1).cast("long")).filter("direction is not null")
     rising = F.col("direction") == 1
-    gaps = rows.withColumn("bottom", F.when(rising, F.col("_h")).otherwise(F.col("high"))).withColumn("top", F.when(rising, F.col("low")).otherwise(F.col("_l")))
+    rows = rows.withColumn("bottom", F.when(rising, F.col("_h")).otherwise(F.col("high"))).withColumn("top", F.when(rising, F.col("low")).otherwise(F.col("_l")))
     if min_atr > 0:
-        gaps = gaps.filter(F.col("top") - F.col("bottom") >= min_atr * F.col("atr"))
-    gaps = with_ahead(gaps.select("instrument", "i", "direction", "bottom", "top"), bars, horizon, ("high", "low"))
-    mid, size = (F.col("top") + F.col("bottom")) / 2, F.col("top") - F.col("bottom")
-    touched = F.when(rising, F.array_position(F.transform("ahead_low", lambda x: x <= mid), True)).otherwise(F.array_position(F.transform("ahead_high", lambda x: x >= mid), True))
-    depth = F.when(rising, F.col("top") - F.array_min("ahead_low")).otherwise(F.array_max("ahead_high") - F.col("bottom"))
-    fill = F.when(F.size("ahead_low") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), depth / size)))
-    return gaps.select("instrument", "i", (F.col("i") - 1).alias("origin"), "direction", "bottom", "top", F.nullif(touched.cast("long"), F.lit(0).cast("long")).alias("mitigated_after"), fill.alias("fill"))
+        rows = rows.filter(F.isnull("atr") | (F.col("atr") <= 0) | (F.col("top") - F.col("bottom") >= min_atr * F.col("atr")))
+    return rows.select("instrument", "i", "direction", "bottom", "top", "atr")
+
+
+def fair_value_gaps(bars: DataFrame, min_gap: float = 0.25, horizon: int = 240) -> DataFrame:
+    """Gaps of ``min_gap`` at least between a bar and the one two before: origin i - 1, available i.
+
+    mitigated_after and fill look at the next ``horizon`` bars; they are outcomes, not features.
+    """
+
+    def found(block: Bars) -> dict:
+        high, low = block["high"], block["low"]
+        at = np.arange(block.own.start, block.own.stop)
+        at = at[block.i[at] >= 2]
+        up, down = low[at] - high[at - 2], low[at - 2] - high[at]
+        side = np.where((up > 0) & (up >= min_gap), 1, np.where((down > 0) & (down >= min_gap), -1, 0))
+        at, side = at[side != 0], side[side != 0]
+        bottom, top = np.where(side == 1, high[at - 2], high[at]), np.where(side == 1, low[at], low[at - 2])
+        after, fill = np.full(len(at), np.nan), np.full(len(at), np.nan)
+        for d, name in ((1, "low"), (-1, "high")):
+            own = np.flatnonzero(side == d)
+            ahead, start = Ahead(block[name], low=d == 1), at[own] + 1
+            steps = ahead.first(start, ((top + bottom) / 2)[own]) - at[own]
+            after[own] = np.where((steps <= horizon) & (at[own] + steps < len(block)), steps, np.nan)
+            far = ahead.extreme(start, start + horizon)
+            depth = top[own] - far if d == 1 else far - bottom[own]
+            fill[own] = np.clip(depth / (top[own] - bottom[own]), 0.0, 1.0)
+        return {"i": block.i[at], "origin": block.i[at] - 1, "direction": side, "bottom": bottom, "top": top, "mitigated_after": after, "fill": fill}
+
+    return in_blocks(bars, ("high", "low"), 2, horizon, found, "instrument string, i long, origin long, direction long, bottom double, top double, mitigated_after long, fill double")
 
 
 def displacements(bars: DataFrame, body_ratio: float = 0.6, body_atr: float = 1.0, volume: float = 1.0) -> DataFrame:
@@ -180,24 +208,36 @@ def double_patterns(bars: DataFrame, k: int = 3, most_bars: int = 120, near_atr:
     )
 
 
-def zones(bars: DataFrame, k: int = 3, width_atr: float = 0.5, per_side: int = 3) -> DataFrame:
-    """Support and resistance as of the last bar: swing prices chained by gaps of at most width_atr * ATR, the nearest few on either side."""
-    last = atr(bars).groupBy("instrument").agg(F.max_by("close", "ts").alias("now"), F.max_by("atr", "ts").alias("atr"))
-    rows = swings(bars, k).join(last, "instrument").withColumn("tol", F.coalesce(width_atr * F.col("atr"), 0.0005 * F.col("now")))
-    w = Window.partitionBy("instrument").orderBy("price", "i", "kind")
-    fresh = F.coalesce((F.col("price") - F.lag("price").over(w) > F.col("tol")).cast("int"), F.lit(0))
+def zones(bars: DataFrame, k: int = 3, width_atr: float = 0.5, per_side: int = 3, lookback: int = 120) -> DataFrame:
+    """Support and resistance as of the last bar: prices of the swings of strength k in the last ``lookback`` bars, below and above the close apart, chained by gaps of at most width_atr * ATR; the nearest few on either side.
+
+    A zone stands at the mean of its prices; ``touches`` counts them, ``bars_since`` is how long ago the latest is.
+    A swing at the very close belongs to neither side.
+    """
+    last = atr(bars).groupBy("instrument").agg(F.max_by("close", "i").alias("now"), F.max_by("atr", "i").alias("unit"), F.max("i").alias("last"))
+    rows = swings(bars, k).join(last, "instrument").filter((F.col("i") >= F.col("last") + 1 - lookback + k) & (F.col("price") != F.col("now")))
+    rows = rows.withColumn("near", F.when(F.col("unit") > 0, width_atr * F.col("unit")).otherwise(0.0005 * F.abs("now"))).withColumn("side", F.when(F.col("price") < F.col("now"), "support").otherwise("resistance"))
+    w = Window.partitionBy("instrument", "side").orderBy("price", "i", "kind")
+    fresh = F.coalesce((F.col("price") - F.lag("price").over(w) > F.col("near")).cast("int"), F.lit(0))
     rows = rows.withColumn("_fresh", fresh).withColumn("zone", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy("instrument", "zone", "now").agg(F.min("price").alias("bottom"), F.max("price").alias("top"), F.count("*").alias("touches"))
-    mid = (F.col("bottom") + F.col("top")) / 2
-    out = out.withColumn("side", F.when(mid < F.col("now"), "support").otherwise("resistance")).withColumn("distance", F.abs(mid - F.col("now")))
+    out = rows.groupBy("instrument", "side", "zone", "now", "unit", "last").agg(F.avg("price").alias("price"), F.min("price").alias("bottom"), F.max("price").alias("top"), F.count("*").alias("touches"), F.max("i").alias("_i"))
+    out = out.withColumn("distance", F.abs(F.col("price") - F.col("now"))).withColumn("distance_atr", F.when(F.col("unit") > 0, F.col("distance") / F.col("unit"))).withColumn("bars_since", F.col("last") - F.col("_i"))
     near = Window.partitionBy("instrument", "side").orderBy("distance", "bottom")
-    return out.withColumn("rank", F.row_number().over(near).cast("long")).filter(F.col("rank") <= per_side).select("instrument", "side", "rank", "bottom", "top", "touches", "distance")
+    out = out.withColumn("rank", F.row_number().over(near).cast("long")).filter(F.col("rank") <= per_side)
+    return out.select("instrument", "side", "rank", "price", "bottom", "top", "touches", "bars_since", "distance", "distance_atr")
 
 
 def trend(bars: DataFrame, slope_bars: int = 10, flat: float = 0.02) -> DataFrame:
-    """up or down where the slope of the 20-bar mean, in ATR a bar, and the side of the 50-bar mean agree; else sideways."""
+    """bars with the slope of the 20-bar mean a bar, in points and in ATR, the side of the 50-bar mean, and what they say together.
+
+    ``trend`` is up or down where both agree, else sideways, and null while either is unknown; ``basis`` tells the cases of
+    sideways apart: flat, or mixed (the mean moves one way and the price stands on the other side).
+    """
     rows = atr(bars).withColumn("_s", between(F.avg, "close", -19, 0)).withColumn("_m", between(F.avg, "close", -49, 0))
-    slope = (F.col("_s") - F.lag("_s", slope_bars).over(series())) / slope_bars / F.nullif("atr", F.lit(0.0))
-    rows = rows.withColumn("slope", slope)
-    state = F.when((F.col("slope") > flat) & (F.col("close") > F.col("_m")), "up").when((F.col("slope") < -flat) & (F.col("close") < F.col("_m")), "down").when(F.col("slope").isNotNull() & F.col("_m").isNotNull(), "sideways")
-    return rows.withColumn("trend", state).drop("_s", "_m", "tr")
+    rows = rows.withColumn("slope_points", (F.col("_s") - F.lag("_s", slope_bars).over(series())) / slope_bars)
+    rows = rows.withColumn("slope", F.col("slope_points") / F.when(F.col("atr") > 0, F.col("atr"))).withColumn("above", F.col("close") > F.col("_m"))
+    rising, falling = F.col("slope") > flat, F.col("slope") < -flat
+    known = F.col("slope").isNotNull() & F.col("_m").isNotNull()
+    state = F.when(known & rising & F.col("above"), "up").when(known & falling & ~F.col("above"), "down").when(known, "sideways")
+    basis = F.when(known & ~rising & ~falling, "flat").when(known & (rising != F.col("above")), "mixed").when(known, "agreed").otherwise("unknown")
+    return rows.withColumn("trend", state).withColumn("basis", basis).drop("_s", "_m", "tr")

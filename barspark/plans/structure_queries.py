@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barspark.operators import points
 from barspark.operators import structure as st
 from barspark.operators.levels import LEVEL_NAMES, levels_long
 from barspark.plans import sql
@@ -117,18 +118,37 @@ er AS (SELECT instrument, kind, q, i, available, [i] AS mi, [price] AS mp, false
 eq AS (SELECT instrument, kind, mi[1] AS first, i, available, CAST(len(mp) AS BIGINT) AS members, list_avg(mp) AS level FROM er WHERE hit)"""
 
 ZONES = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS},
-l AS (SELECT b.instrument, arg_max(close, b.i) AS now, arg_max(atr.y, b.i) AS a FROM bars b JOIN atr USING (instrument, i) GROUP BY 1),
-x AS (SELECT s.*, now, coalesce(0.5 * a, 0.0005 * now) AS tol FROM swings s JOIN l USING (instrument)),
-y AS (SELECT *, CASE WHEN price - lag(price) OVER w > tol THEN 1 ELSE 0 END AS fresh FROM x WINDOW w AS (PARTITION BY instrument ORDER BY price, i, kind)),
-z AS (SELECT *, sum(fresh) OVER (PARTITION BY instrument ORDER BY price, i, kind ROWS UNBOUNDED PRECEDING) AS zone FROM y),
-g AS (SELECT instrument, zone, now, min(price) AS bottom, max(price) AS top, count(*) AS touches FROM z GROUP BY ALL),
-h AS (SELECT *, CASE WHEN (bottom + top) / 2 < now THEN 'support' ELSE 'resistance' END AS side, abs((bottom + top) / 2 - now) AS distance FROM g)
-SELECT instrument, side, row_number() OVER w AS rank, bottom, top, touches, round(distance, 6) AS distance FROM h WINDOW w AS (PARTITION BY instrument, side ORDER BY distance, bottom) QUALIFY row_number() OVER w <= 3"""
+l AS (SELECT b.instrument, arg_max(close, b.i) AS now, arg_max(atr.y, b.i) AS a, max(b.i) AS last FROM bars b JOIN atr USING (instrument, i) GROUP BY 1),
+x AS (SELECT s.*, now, a, last, CASE WHEN a > 0 THEN 0.5 * a ELSE 0.0005 * abs(now) END AS tol, CASE WHEN price < now THEN 'support' ELSE 'resistance' END AS side FROM swings s JOIN l USING (instrument) WHERE price <> now AND i >= last - 116),
+y AS (SELECT *, CASE WHEN price - lag(price) OVER w > tol THEN 1 ELSE 0 END AS fresh FROM x WINDOW w AS (PARTITION BY instrument, side ORDER BY price, i, kind)),
+z AS (SELECT *, sum(fresh) OVER (PARTITION BY instrument, side ORDER BY price, i, kind ROWS UNBOUNDED PRECEDING) AS zone FROM y),
+g AS (SELECT instrument, side, zone, now, a, avg(price) AS price, min(price) AS bottom, max(price) AS top, count(*) AS touches, any_value(last) - max(i) AS bars_since FROM z GROUP BY ALL),
+h AS (SELECT *, abs(price - now) AS distance FROM g)
+SELECT instrument, side, row_number() OVER w AS rank, round(price, 6) AS price, bottom, top, touches, bars_since, round(distance, 6) AS distance, round(CASE WHEN a > 0 THEN distance / a END, 6) AS distance_atr FROM h WINDOW w AS (PARTITION BY instrument, side ORDER BY distance, bottom) QUALIFY row_number() OVER w <= 3"""
 
 TREND = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
 m AS (SELECT *, CASE WHEN i >= 19 THEN avg(close) OVER (PARTITION BY instrument ORDER BY i ROWS 19 PRECEDING) END AS s, CASE WHEN i >= 49 THEN avg(close) OVER (PARTITION BY instrument ORDER BY i ROWS 49 PRECEDING) END AS l FROM bars),
-q AS (SELECT m.*, (s - lag(s, 10) OVER (PARTITION BY instrument ORDER BY i)) / 10 / nullif(atr.y, 0) AS slope FROM m JOIN atr USING (instrument, i))
-SELECT instrument, i, round(slope, 6) AS slope, CASE WHEN slope > 0.02 AND close > l THEN 'up' WHEN slope < -0.02 AND close < l THEN 'down' WHEN slope IS NOT NULL AND l IS NOT NULL THEN 'sideways' END AS trend FROM q"""
+q AS (SELECT m.*, (s - lag(s, 10) OVER (PARTITION BY instrument ORDER BY i)) / 10 AS points, (s - lag(s, 10) OVER (PARTITION BY instrument ORDER BY i)) / 10 / nullif(atr.y, 0) AS slope, close > l AS above FROM m JOIN atr USING (instrument, i))
+SELECT instrument, i, round(points, 6) AS slope_points, round(slope, 6) AS slope, above, CASE WHEN slope > 0.02 AND above THEN 'up' WHEN slope < -0.02 AND NOT above THEN 'down' WHEN slope IS NOT NULL AND l IS NOT NULL THEN 'sideways' END AS trend,
+    CASE WHEN slope IS NULL OR l IS NULL THEN 'unknown' WHEN abs(slope) <= 0.02 THEN 'flat' WHEN (slope > 0) = above THEN 'agreed' ELSE 'mixed' END AS basis FROM q"""
+
+OPEN_GAPS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
+g0 AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, min(low) OVER n AS low_after, max(high) OVER n AS high_after FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY i), n AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+g1 AS (SELECT g0.*, atr.y AS a, CAST(CASE WHEN low - h2 >= 0.25 THEN 1 ELSE -1 END AS BIGINT) AS direction, CASE WHEN low - h2 >= 0.25 THEN h2 ELSE high END AS bottom, CASE WHEN low - h2 >= 0.25 THEN low ELSE l2 END AS top FROM g0 JOIN atr USING (instrument, i) WHERE low - h2 >= 0.25 OR l2 - high >= 0.25),
+m AS (SELECT g1.instrument, g1.i, min(b.i) AS mitigated_i FROM g1 JOIN bars b ON b.instrument = g1.instrument AND b.i > g1.i AND CASE WHEN direction = 1 THEN b.low <= (top + bottom) / 2 ELSE b.high >= (top + bottom) / 2 END GROUP BY ALL)
+SELECT g1.instrument, g1.i - 1 AS origin, g1.i, direction, bottom, top, round(top - bottom, 6) AS points, round((top - bottom) / CASE WHEN a > 0 THEN a END, 6) AS size_atr, mitigated_i,
+    round(coalesce(least(1.0, greatest(0.0, CASE WHEN direction = 1 THEN top - low_after ELSE high_after - bottom END / (top - bottom))), 0.0), 6) AS fill FROM g1 LEFT JOIN m USING (instrument, i)"""
+
+EQUAL_LEVELS = f"""WITH RECURSIVE {sql.BARS}, {sql.ATR}, {SWINGS},
+l AS (SELECT b.instrument, max(b.i) AS last, greatest(1.0, 0.2 * CASE WHEN arg_max(atr.y, b.i) > 0 THEN arg_max(atr.y, b.i) ELSE 0 END) AS tol FROM bars b JOIN atr USING (instrument, i) GROUP BY 1),
+s AS (SELECT s.instrument, kind, i, price, last, tol, row_number() OVER (PARTITION BY s.instrument, kind ORDER BY i) AS q FROM swings s JOIN l USING (instrument) WHERE i >= last - 116),
+r AS (SELECT instrument, kind, q, i, price, 1 AS cluster, [{{'s': price, 'c': 1}}] AS cl FROM s WHERE q = 1
+    UNION ALL SELECT instrument, kind, q, i, price, coalesce(hit, len(cl) + 1), CASE WHEN hit IS NULL THEN list_append(cl, {{'s': price, 'c': 1}}) ELSE list_transform(cl, lambda x, n: CASE WHEN n = hit THEN {{'s': x.s + price, 'c': x.c + 1}} ELSE x END) END
+    FROM (SELECT s.*, r.cl, nullif(coalesce(list_position(list_transform(r.cl, lambda x: abs(s.price - x.s / x.c) <= s.tol), true), 0), 0) AS hit FROM r JOIN s ON s.instrument = r.instrument AND s.kind = r.kind AND s.q = r.q + 1)),
+e AS (SELECT instrument, kind, cluster, count(*) AS members, avg(price) AS level, min(i) AS first, max(i) AS latest FROM r GROUP BY ALL HAVING count(*) > 1),
+k AS (SELECT e.*, least(latest + 3, last) AS available, tol AS tolerance FROM e JOIN l USING (instrument)),
+w AS (SELECT k.instrument, k.kind, k.cluster, min(b.i) AS swept_i FROM k JOIN bars b ON b.instrument = k.instrument AND b.i >= available AND CASE WHEN kind = 'high' THEN b.high > level ELSE b.low < level END GROUP BY ALL)
+SELECT instrument, kind, first, latest, available, members, round(level, 6) AS level, round(tolerance, 6) AS tolerance, swept_i IS NOT NULL AS swept, swept_i FROM k LEFT JOIN w USING (instrument, kind, cluster)"""
 
 BOTTOMS = f"""WITH RECURSIVE {sql.BARS}, {SWINGS}, tl AS (SELECT instrument, i AS low_i, price AS stop, available FROM swings WHERE kind = 'low'),
 tb AS (SELECT tl.*, b.i, b.low, b.close > b.open AND lag(b.close > b.open) OVER (PARTITION BY tl.instrument, low_i ORDER BY b.i) AS run, min(b.low) OVER (PARTITION BY tl.instrument, low_i ORDER BY b.i) AS deepest FROM tl JOIN bars b ON b.instrument = tl.instrument AND b.i BETWEEN available + 1 AND available + 60),
@@ -141,6 +161,8 @@ zj AS (SELECT b.instrument, b.i, u.top AS ut, u.bottom AS ub, d.top AS dt, d.bot
 SELECT instrument, i, last_value(ut IGNORE NULLS) OVER w AS bull_top, last_value(ub IGNORE NULLS) OVER w AS bull_bottom, last_value(dt IGNORE NULLS) OVER w AS bear_top, last_value(db IGNORE NULLS) OVER w AS bear_bottom FROM zj WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS UNBOUNDED PRECEDING)"""
 
 QUERIES = {
+    "open_gaps": _query(points.open_gaps, "points", "size_atr", "fill"),
+    "equal_levels": _query(points.equal_levels, "level", "tolerance"),
     "tradable_bottoms": _query(st.tradable_bottoms),
     "order_block_zones": lambda spark, sf_dir: st.with_order_blocks(hourly(spark, sf_dir)).select("instrument", "i", "bull_top", "bull_bottom", "bear_top", "bear_bottom"),
     "swing_points": _query(st.swings),
@@ -151,10 +173,12 @@ QUERIES = {
     "order_blocks": _query(st.order_blocks),
     "liquidity_sweeps": lambda spark, sf_dir: _rounded(st.liquidity_sweeps(levels_long(b := hourly(spark, sf_dir), ticks(spark, sf_dir)), b), "depth"),
     "double_patterns": _query(st.double_patterns, "confidence"),
-    "support_resistance": _query(st.zones, "distance"),
-    "trend": lambda spark, sf_dir: _rounded(st.trend(hourly(spark, sf_dir)).select("instrument", "i", "slope", "trend"), "slope"),
+    "support_resistance": _query(st.zones, "price", "distance", "distance_atr"),
+    "trend": lambda spark, sf_dir: _rounded(st.trend(hourly(spark, sf_dir)).select("instrument", "i", "slope_points", "slope", "above", "trend", "basis"), "slope_points", "slope"),
 }
 ORACLES = {
+    "open_gaps": OPEN_GAPS,
+    "equal_levels": EQUAL_LEVELS,
     "tradable_bottoms": BOTTOMS,
     "order_block_zones": ZONE_COLUMNS,
     "swing_points": f"WITH {sql.BARS}, {SWINGS} SELECT * FROM swings",
