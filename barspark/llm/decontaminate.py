@@ -9,7 +9,7 @@ own size); for a benchmark of several blocks the rows are numbered and written o
 and the hits of a row are merged by its number.
 
 Rules: a null or empty text has no words; a text of any length is scanned whole; an item without words has no
-window; items that repeat an id count once; a document row keeps its own result, repeated ids and repeated rows
+window; items that repeat an id count once; items without an id hit words too and count as one, which no digest names; a document row keeps its own result, repeated ids and repeated rows
 included; a document at the bound of its share is contaminated; with an empty benchmark nothing is hit, and an empty
 table gives an empty table; further columns are kept as they are, but for those with the names of results; in
 ``decontaminate`` and ``remove_spans`` all columns are kept.
@@ -93,7 +93,7 @@ def _scan(windows: Windows, text: str, out: pa.Schema):
                     lo, hi = _runs(hit[a:b])
                     spans = [{"start": int(x), "end": int(y)} for x, y in zip(lo, hi, strict=True)]
                     inside = [{"start": int(s[a + x] - starts[i]), "end": int(e[a + y - 1] - starts[i])} for x, y in zip(lo, hi, strict=True)]
-                    rows.append((int(b - a), int(hit[a:b].sum()), sorted(items[i]), spans, inside))
+                    rows.append((int(b - a), int(hit[a:b].sum()), sorted(items[i], key=lambda x: (x is None, x or "")), spans, inside))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             new = [pa.array(list(x), out.field(n).type) for n, x in zip(("n_words", "n_hit", "item_ids", "hit_words", "hit_bytes"), columns, strict=True)]
             kept = [batch.column(n) for n in batch.schema.names]
@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 13, text:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / (block_mb * 1e6)))
     taken = {"n_words", "n_hit", "item_ids", "hit_words", "hit_bytes"}
@@ -145,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 13, text:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scanned.schema), SCANNED])
     parts = []
     for k in range(n):
-        block = [(r[0], r[1].encode()) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+        block = [(r[0], r[1].encode()) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()]
         parts.append(scanned.mapInArrow(_scan(Windows(block, words), text, out), schema))
     if n == 1:
         return parts[0]

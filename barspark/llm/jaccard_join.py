@@ -14,6 +14,8 @@ A document's set holds the 64-bit hashes of its distinct word shingles.  Two doc
    group that has the fewest rarer shingles; then,
    of each list, the groups outside the list's largest component so far against all groups of other
    components.  Pairs inside one component need no check.
+   Which groups of a list may meet is decided on its cells first (size, position, shingles left), of which there are
+   few however many groups a list holds; only cells that pass meet, in blocks of ``PAIR_BLOCK`` groups a side.
 6. Group pairs pass a size filter, a position filter and a bound on what they share given their common
    prefix shingles, are expanded to their members, and are verified on whole sets.
 
@@ -26,6 +28,7 @@ whatever their names.  In ``keep_one`` every row is a node of its own, whatever
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ LOCAL_HEAVY = 2
 HEAVY_ROWS = 400_000
 #: Shingle hashes that a task gathers before it reports their counts.
 HEAVY_CHUNK = 4_000_000
+#: Groups of a cell that stand in one block: a task compares so many by so many at once.
+PAIR_BLOCK = 2000
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -176,6 +181,34 @@ def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.filter(level >= least) if least is not None else counted.limit(0)
 
 
+def _cell_pairs(ranked: DataFrame, threshold: int, block: int = PAIR_BLOCK) -> DataFrame:
+    """Groups outside their list's largest component (g, theirs, g_label) against the others of the list (gid, own, label, top) whose cells may hold a pair that links.
+
+    A cell is what the bounds of a posting depend on but for where a prefix ends; for that the larger of two sizes' rests is
+    taken, so a cell pair that is left out holds no pair that could pass.
+    """
+    cell = ("n", "pos", "left")
+    # a little more than the size ratio that still links, so that such sizes' scales differ by one at most
+    step = math.log(100 / threshold) * (1 + 1e-9) if threshold < 100 else 1e-9
+    rows = ranked.select("*", F.col("own.n").alias("n"), F.col("own.pos").alias("pos"), (F.col("own.again") - F.col("own.nth")).alias("left"))
+    cells = rows.groupBy("token", *cell).agg(F.count("*").alias("c"), F.count_if(F.col("label") != F.col("top")).alias("m"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    cells = cut(cells.select("token", *cell, blocks("c").alias("cb"), blocks("m").alias("mb"), F.floor(F.log("n") / step).alias("scale")))
+    x = cells.filter("mb > 0").select("token", *(F.col(c).alias(f"{c}_x") for c in cell), F.col("mb").alias("mb_x"), F.explode(F.array(F.col("scale") - 1, F.col("scale"), F.col("scale") + 1)).alias("scale"))
+    y = cells.select("token", *(F.col(c).alias(f"{c}_y") for c in cell), F.col("cb").alias("cb_y"), "scale")
+    nx, ny = F.col("n_x"), F.col("n_y")
+    enough = threshold * (nx + ny)
+    rest = F.ceil(F.greatest(nx, ny) * threshold / 100) - 1
+    fits = (100 * F.least(nx, ny) >= threshold * F.greatest(nx, ny)) & ((100 + threshold) * F.least(nx - F.col("pos_x"), ny - F.col("pos_y")) >= enough) & ((100 + threshold) * (F.least("left_x", "left_y") + rest) >= enough)
+    met = cut(x.join(y, ["token", "scale"]).filter(fits).drop("scale").distinct())
+    met = met.withColumn("b_x", F.explode(F.sequence(F.lit(0), F.col("mb_x") - 1))).withColumn("b_y", F.explode(F.sequence(F.lit(0), F.col("cb_y") - 1))).drop("mb_x", "cb_y")
+    dealt = rows.join(cells.drop("scale"), ["token", *cell])
+    nth = F.xxhash64("gid", "token")
+    minor = dealt.filter("label <> top").select("token", *(F.col(c).alias(f"{c}_x") for c in cell), F.pmod(nth, F.col("mb")).cast("int").alias("b_x"), F.col("gid").alias("g"), F.col("own").alias("theirs"), F.col("label").alias("g_label"))
+    other = dealt.select("token", *(F.col(c).alias(f"{c}_y") for c in cell), F.pmod(nth, F.col("cb")).cast("int").alias("b_y"), "gid", "own", "label", "top")
+    return minor.join(met, ["token", *(f"{c}_x" for c in cell), "b_x"]).join(other, ["token", *(f"{c}_y" for c in cell), "b_y"])
+
+
 def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row; see the module for the rules."""
     spark = docs.sparkSession
@@ -264,9 +297,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, threshold: int = 80, key: s
     per_label = labelled.withColumn("c", F.count("*").over(Window.partitionBy("token", "label")))
     main = Window.partitionBy("token")
     ranked = cut(per_label.withColumn("top", F.max(F.struct("c", "label")).over(main)["label"]).withColumn("bottom", F.min("label").over(main)).withColumn("last", F.max("label").over(main)).filter("bottom <> last").drop("bottom", "last"))
-    minor = ranked.filter("label <> top").select("token", F.col("gid").alias("g"), F.col("own").alias("theirs"), F.col("label").alias("g_label"))
     apart = (F.col("g_label") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("g") < F.col("gid")))
-    both = minor.join(ranked, "token").filter(apart & reaches(F.col("own"), F.col("theirs")) & can_be_first(F.col("own"), F.col("theirs")))
+    both = _cell_pairs(ranked, threshold).filter(apart & reaches(F.col("own"), F.col("theirs")) & can_be_first(F.col("own"), F.col("theirs")))
     heads_apart = close(both.select(F.col("g").alias("u"), F.col("gid").alias("v"))).select(F.col("u").alias("g1"), F.col("v").alias("g2"))
     body = member.select(F.col("head").alias("g"), "id").union(grouped.select("gid", F.col("gid").alias("id")).distinct())
     expanded = heads_apart.join(body.select(F.col("g").alias("g1"), F.col("id").alias("a")), "g1").join(body.select(F.col("g").alias("g2"), F.col("id").alias("b")), "g2")

@@ -15,7 +15,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from barspark.llm import lexical, prefix_trie, queries, warc
+from barspark.llm import decontaminate, jaccard_join, lexical, prefix_trie, queries, warc
 
 DATA = "/root/testdata/sf0.001"
 
@@ -267,3 +267,52 @@ def test_revisits_of_nothing_and_of_other_payloads(spark):
     rows = [("response", "r", "1", None, 5, "d", None), ("revisit", "s", "2", "r", 5, "d", None), ("revisit", "t", "3", "r", 5, "e", None), ("revisit", "u", "4", "gone", 5, "d", None)]
     got = {r.record_key: (r.refers_to_key, r.error) for r in warc.resolved(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"1": (None, None), "2": ("1", None), "3": ("1", "it revisits another payload"), "4": (None, "it revisits no record here")}
+
+
+# ---- changes of earlier operators
+
+
+def test_items_without_id_hit_words(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "six seven")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three four"), (9, "six seven"), (None, None)], "item_id long, text string")
+    for block_mb in (16, 1e-6):
+        got = {r.doc_id: (r.n_hit, r.item_ids) for r in decontaminate.contamination(docs, items, block_mb=block_mb).collect()}
+        assert got == {1: (3, [None]), 2: (2, ["9"])}
+
+
+def test_common_shingle_meets_by_cells(spark):
+    """Texts that share a frequent run, in cells that can't link and in cells that can, over small blocks."""
+    rng = random.Random(12)
+    common = " ".join(f"c{k}" for k in range(14))
+    texts = [f"{common} x{i} y{i}" for i in range(150)]
+    base = [f"w{k}" for k in range(60)]
+    for i in range(120):
+        words = list(base)
+        for _ in range(i % 5):
+            words[rng.randrange(60)] = f"v{rng.randrange(30)}"
+        texts.append(" ".join(words[: 60 - i % 3]))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    usual = jaccard_join._cell_pairs.__defaults__
+    try:
+        jaccard_join._cell_pairs.__defaults__ = (3,)
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(docs).collect()}
+    finally:
+        jaccard_join._cell_pairs.__defaults__ = usual
+    assert got == {i: root(i) for i in range(len(texts))}
