@@ -204,3 +204,42 @@ def first_beyond(events: DataFrame, bars: DataFrame, strict: bool = False, size:
         return {c: given.column("_i" if c == "i" else c) for c in columns} | {"found_i": found, "extreme": given.column("extreme").to_numpy()}
 
     return at_events(asked, bars, ("high", "low"), 0, 0, there, f"{plain}, found_i long, extreme double", size)
+
+
+def ranks_in_windows(values: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place ``at`` how many values of start..end-1 are less than the one there, and how many are equal.
+
+    Values become numbers of their order; bit by bit, from the highest, all of them are dealt stably into zeros and
+    ones, and counts of zeros carry every window to its place in the next deal: as many passes as numbers have bits,
+    whatever the length of the windows.
+    """
+    order = np.unique(values, return_inverse=True)[1]
+    own, less = order[at], np.zeros(len(at), np.int64)
+    lo, hi, now = start.astype(np.int64).copy(), end.astype(np.int64).copy(), order
+    for bit in range(max(1, int(order.max(initial=0)).bit_length()) - 1, -1, -1):
+        ones = (now >> bit) & 1
+        zeros = np.r_[0, np.cumsum(1 - ones)]
+        lo0, hi0, up = zeros[lo], zeros[hi], ((own >> bit) & 1).astype(bool)
+        less += np.where(up, hi0 - lo0, 0)
+        lo, hi = np.where(up, zeros[-1] + lo - lo0, lo0), np.where(up, zeros[-1] + hi - hi0, hi0)
+        now = np.r_[now[ones == 0], now[ones == 1]]
+    return less, hi - lo
+
+
+def with_block_columns(bars: DataFrame, columns: tuple[str, ...], before: int, run: Callable[[Bars], dict[str, np.ndarray]], added: str, size: int = SIZE) -> DataFrame:
+    """bars with the columns that ``run`` gives for the own bars of each block, which sees ``before`` bars before them."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = bars.columns
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
+    schema = bars.sparkSession.createDataFrame([], f"{plain}, {added}").schema
+    arrow = to_arrow_schema(schema)
+
+    def each(key, table):
+        block = Bars(table, columns, key[1].as_py(), size)
+        order = np.argsort(table.column("i").to_numpy(), kind="stable")[block.own]
+        own = table.select(names).take(pa.array(order))
+        return _built({c: own.column(c) for c in names} | run(block), key[0].as_py(), arrow)
+
+    others = tuple(c for c in names if c not in ("instrument", "i"))
+    return _spread(bars, others, before, 0, size).groupBy("instrument", "block").applyInArrow(each, schema)

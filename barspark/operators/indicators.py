@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.functions.blocks import SIZE, Bars, ranks_in_windows, with_block_columns
 from barspark.functions.rolling import between, ewm, filled, lagged, over_last
 from barspark.functions.sessions import session_date
 from barspark.sources.bars import series
@@ -115,11 +118,33 @@ def flag_signals(bars: DataFrame, impulse: int = 20, impulse_atr: float = 2.5, c
 
 
 def relative_volume(bars: DataFrame, sessions: int = 60, at_least: int = 15) -> DataFrame:
-    """Volume over the median of the last bars at the same time of day (UTC), the current one included."""
-    w = Window.partitionBy("instrument", "tod").orderBy("ts").rowsBetween(-sessions + 1, 0)
-    rows = bars.withColumn("tod", (F.hour("ts") * 60 + F.minute("ts")).cast("long"))
-    median = F.when(F.count("volume").over(w) >= at_least, F.percentile("volume", 0.5).over(w))
-    return rows.withColumn("rel_volume", F.col("volume") / F.nullif(median, F.lit(0.0))).drop("tod")
+    """Volume over the median of the last bars at the same time of day (UTC), the current one included.
+
+    Bars are dealt by time of day, so that a group has a bar a day.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = bars.columns
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
+    schema = bars.sparkSession.createDataFrame([], f"{plain}, rel_volume double").schema
+    arrow = to_arrow_schema(schema)
+
+    def of_time(key, table):
+        rows = table.take(pa.array(np.argsort(table.column("ts").to_numpy(), kind="stable")))
+        volume = rows.column("volume").to_numpy().astype(np.float64)
+        padded = np.r_[np.full(sessions - 1, np.nan), volume]
+        usual = np.full(len(volume), np.nan)
+        for first in range(0, len(volume), 4096):
+            part = np.sort(np.lib.stride_tricks.sliding_window_view(padded, sessions)[first : first + 4096], axis=1)  # nan last
+            n = np.count_nonzero(~np.isnan(part), axis=1)
+            k, there = np.arange(len(part)), n >= at_least
+            lower, upper = part[k, np.maximum(n - 1, 0) // 2], part[k, np.minimum(n // 2, sessions - 1)]
+            usual[first : first + 4096] = np.where(there, (lower + upper) / 2, np.nan)
+        share = np.divide(volume, usual, out=np.full(len(volume), np.nan), where=usual != 0)
+        return pa.table([*(rows.column(c).cast(arrow.field(c).type) for c in names), pa.array(share, pa.float64(), from_pandas=True)], schema=arrow)
+
+    timed = bars.withColumn("_tod", (F.hour("ts") * 60 + F.minute("ts")).cast("long"))
+    return timed.groupBy("instrument", "_tod").applyInArrow(of_time, schema)
 
 
 def relative_volume_trailing(bars: DataFrame, n: int = 60, at_least: int = 15) -> DataFrame:
@@ -134,15 +159,32 @@ def extended(bars: DataFrame) -> DataFrame:
     return ema_stack(bollinger(adx(stochastic(macd(bars)))))
 
 
+def rolling_ranks(bars: DataFrame, columns: dict[str, str], n: int) -> DataFrame:
+    """bars with, for each column, the share of its last n values at or under the current one, ties counting half; null under max(20, n / 3) values.
+
+    Blocks of n bars at least see the n bars before them; ranks of all windows of a block come from a few passes over it.
+    """
+
+    def ranks(block: Bars) -> dict[str, np.ndarray]:
+        out = {}
+        for column, name in columns.items():
+            values = block[column].astype(np.float64)
+            known = ~np.isnan(values)
+            before = np.r_[0, np.cumsum(known)]
+            own = np.arange(block.own.start, block.own.stop)
+            end, start = before[own + 1], before[np.maximum(own + 1 - n, 0)]
+            rank, ask = np.full(len(own), np.nan), known[own] & (end - start >= max(20, n // 3))
+            if ask.any():
+                less, equal = ranks_in_windows(values[known], start[ask], end[ask], end[ask] - 1)
+                rank[ask] = (less + 0.5 * equal + 0.5) / (end - start)[ask]
+            out[name] = rank
+        return out
+
+    return with_block_columns(bars, tuple(columns), n - 1, ranks, ", ".join(f"{name} double" for name in columns.values()), max(SIZE, n))
+
+
 def rolling_rank(bars: DataFrame, column: str, n: int, out: str) -> DataFrame:
-    """Share of the last n values at or under the current one, ties counting half; null under max(20, n / 3) values."""
-    w = series().rowsBetween(-n + 1, 0)
-    values = F.collect_list(column).over(w)
-    x = F.col(column)
-    rows = bars.withColumn("_v", values)
-    below = F.aggregate("_v", F.lit(0.0), lambda acc, v: acc + F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0))
-    rank = (below + 0.5) / F.size("_v")
-    return rows.withColumn(out, F.when(x.isNotNull() & (F.size("_v") >= max(20, n // 3)), rank)).drop("_v")
+    return rolling_ranks(bars, {column: out}, n)
 
 
 def tercile(rank) -> "F.Column":
@@ -151,9 +193,10 @@ def tercile(rank) -> "F.Column":
 
 def regime(bars: DataFrame, n: int = 60 * 23) -> DataFrame:
     """Volatility, structure and liquidity terciles over the last n bars (60 sessions of hours), and their joint label where all three are known."""
-    rows = relative_volume(adx(bars))
-    for column, out in (("atr", "vola"), ("adx", "structure"), ("rel_volume", "liquidity")):
-        rows = rolling_rank(rows, column, n, f"{out}_rank").withColumn(out, tercile(F.col(f"{out}_rank")))
+    axes = {"atr": "vola", "adx": "structure", "rel_volume": "liquidity"}
+    rows = rolling_ranks(relative_volume(adx(bars)), {column: f"{out}_rank" for column, out in axes.items()}, n)
+    for out in axes.values():
+        rows = rows.withColumn(out, tercile(F.col(f"{out}_rank")))
     return rows.withColumn("regime", F.when(F.col("vola").isNotNull() & F.col("structure").isNotNull() & F.col("liquidity").isNotNull(), F.concat_ws("|", "vola", "structure", "liquidity")))
 
 
@@ -163,7 +206,3 @@ def range_compression(bars: DataFrame, n: int = 20, history: int = 60, most: flo
     w = series().rowsBetween(-history - n + 1, -n)
     rows = rows.withColumn("range_usual", F.when(F.count("range_now").over(w) == history, F.percentile("range_now", 0.5).over(w)))
     return rows.withColumn("compressed", F.coalesce(F.col("range_now") / F.nullif("range_usual", F.lit(0.0)) <= most, F.lit(False)))
-
-
-def last_known(bars: DataFrame, column: str, out: str) -> DataFrame:
-    return bars.withColumn(out, filled(column))
