@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from barspark.functions.blocks import Ahead, Bars, at_events
 from barspark.functions.folds import folded
+from barspark.functions.quantiles import exact_quantiles
 from barspark.functions.rolling import with_ahead
+from barspark.functions.stored import stored
 from barspark.operators.indicators import atr
 from barspark.operators.levels import levels_long
 from barspark.operators.research import equal_extremes, t_p_value
@@ -72,8 +74,12 @@ def level_interactions(levels: DataFrame, tolerance: float = 0.1, break_atr: flo
 
 
 def detected(bars: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Events of all seven detectors: instrument, origin, i, direction, pattern, variant."""
-    levels = levels_long(bars, ticks)
+    """Events of all seven detectors: instrument, origin, i, direction, pattern, variant.
+
+    Bars with their ATR and the levels at them are written once for all detectors, and so are the events for whoever reads them.
+    """
+    bars = stored(atr(bars))
+    levels = stored(levels_long(bars, ticks))
     none = F.lit("")
     parts = [
         structure_breaks(bars).withColumn("pattern", F.col("variant")).withColumn("variant", none),
@@ -88,7 +94,7 @@ def detected(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     out = parts[0].select(*columns)
     for x in parts[1:]:
         out = out.unionByName(x.select(*columns))
-    return out
+    return stored(out)
 
 
 def outcomes(events: DataFrame, bars: DataFrame, horizons=HORIZONS) -> DataFrame:
@@ -191,30 +197,88 @@ def _share_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return F.when((n1 > 0) & (n2 > 0) & (error > 0), (x1 / n1 - x2 / n2) / error).otherwise(0.0)
 
 
-def base_rates(results: DataFrame, horizon: int, least: int = LEAST_N) -> DataFrame:
-    """Per pattern and direction: how often and how far the end lies in favour, against all other patterns of the direction.
+class _Chains:
+    """Greedy picks at least ``horizon`` bars apart, at once for every group, for all events but a group's, and for all events."""
+
+    def __init__(self, horizon: int):
+        self.horizon, self.number = horizon, {}
+        self.last_own, self.last_rest = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.own, self.rest = np.zeros((0, 4)), np.zeros((0, 2))
+        self.last, self.all = -(10**12), [0, 0]
+
+    def add(self, i: int, group: str, won: bool, r: float) -> None:
+        k = self.number.setdefault(group, len(self.number))
+        if k == len(self.last_own):
+            # until now all events were other than this group's
+            self.last_own, self.last_rest = np.append(self.last_own, -(10**12)), np.append(self.last_rest, self.last)
+            self.own, self.rest = np.vstack([self.own, np.zeros(4)]), np.vstack([self.rest, self.all])
+        if i - self.last_own[k] >= self.horizon:
+            self.last_own[k] = i
+            self.own[k] += (1, won, r, r * r)
+        if i - self.last >= self.horizon:
+            self.last = i
+            self.all = [self.all[0] + 1, self.all[1] + won]
+        free = i - self.last_rest >= self.horizon
+        free[k] = False
+        if free.any():
+            self.last_rest[free] = i
+            self.rest[free] += (1, won)
+
+
+def _independent(rows: DataFrame, horizon: int) -> DataFrame:
+    """(group, direction): picks that don't overlap, of the group and of all other groups of the direction, from one fold a series."""
 
-    results are ``outcomes`` of ``clusters``; of events at one bar any may be the one that doesn't overlap, since they
-    have one outcome.  The median of the others and their non-overlapping events need their
-    rows, so each row is counted once for each pattern of its direction; patterns are a few dozen.
+    def step(state, row):
+        state["chains"].add(row[2], row[3], row[4], row[5])
+        return ()
+
+    def finish(key, state):
+        c = state["chains"]
+        yield (*key, None, 0, 0, 0.0, 0.0, c.all[0], c.all[1])
+        for group, k in c.number.items():
+            yield (*key, group, int(c.own[k, 0]), int(c.own[k, 1]), float(c.own[k, 2]), float(c.own[k, 3]), int(c.rest[k, 0]), int(c.rest[k, 1]))
+
+    out = "instrument string, direction long, group string, free long, free_wins long, free_sum double, free_squares double, rest_free long, rest_wins long"
+    found = folded(rows.select("instrument", "direction", "i", "group", "won", "r"), ("instrument", "direction"), ("i",), lambda: {"chains": _Chains(horizon)}, step, out, finish)
+    found = stored(found)
+    # in a series without a group all events are other than its own
+    every = found.filter("group is null").select("instrument", "direction", F.col("rest_free").alias("a"), F.col("rest_wins").alias("b")).join(found.filter("group is not null").select("direction", "group").distinct(), "direction")
+    own = found.filter("group is not null")
+    both = every.join(own, ["instrument", "direction", "group"], "left")
+    sums = both.groupBy("group", "direction").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("free", "free_wins", "free_sum", "free_squares")), F.sum(F.coalesce("rest_free", "a")).alias("_m_free"), F.sum(F.coalesce("rest_wins", "b")).alias("_other_free_wins"))
+    n, total = F.col("free"), F.col("free_sum")
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("free_squares") - total * total / n) / (n - 1)))
+    return sums.select("group", "direction", n.alias("n_independent"), F.col("free_wins").alias("_free_wins"), "_m_free", "_other_free_wins", (total / F.nullif(n, F.lit(0))).alias("_free_mean"), spread.alias("_free_sd"))
+
+
+def base_rates(results: DataFrame, horizon: int, least: int = LEAST_N, by: tuple[str, ...] = (), leave_out: Column | None = None) -> DataFrame:
+    """Per pattern (and further columns ``by``) and direction: how often and how far the end lies in favour, against all other groups of the direction.
+
+    results are ``outcomes`` of ``clusters``; rows for which ``leave_out`` holds (those near a contract seam, say) don't count;
+    of events at one bar any may be the one that doesn't overlap, since they have one outcome.  What holds for all other
+    groups is what holds for the direction less the group: sums are differences, medians come from counts of ranks, and events
+    that don't overlap from one fold that keeps a chain for every group.  Outcomes are written once; no row is copied.
     """
+    names = ("pattern", *by)
     rows = results.filter((F.col("horizon") == horizon) & F.col("end_r").isNotNull())
-    dropped = rows.groupBy("pattern", "direction").agg(F.count_if(~(F.col("atr") >= MIN_ATR)).alias("n_dropped_atr"))
-    rows = rows.filter(F.col("atr") >= MIN_ATR)
-    rows = rows.select("instrument", "i", "direction", F.col("pattern").alias("of"), F.concat_ws("/", "instrument", "cluster_id").alias("cluster"), (F.col("end_points") > 0).alias("won"), F.greatest(F.lit(-R_LIMIT), F.least(F.lit(R_LIMIT), "end_r")).alias("r"), (F.abs("end_r") > R_LIMIT).alias("clipped"), "mfe_r", "mae_r")
-    groups = rows.select(F.col("of").alias("pattern"), "direction").distinct().groupBy("direction").agg(F.collect_set("pattern").alias("patterns"))
-    each = rows.join(groups, "direction").withColumn("pattern", F.explode("patterns")).drop("patterns").withColumn("own", F.col("pattern") == F.col("of"))
-    each = _spaced(each, horizon, ("instrument", "direction", "pattern", "own"))
-    own, free = F.col("own"), F.col("spaced")
-    mine = lambda c: F.when(own, F.col(c))
-    rest = lambda c: F.when(~own, F.col(c))
-    g = each.groupBy("pattern", "direction").agg(
-        F.count_if(own).alias("n"), F.count_if(~own).alias("m"), F.count_if(own & free).alias("n_independent"), F.count_if(~own & free).alias("_m_free"), F.count_distinct(mine("cluster")).alias("n_clusters"), F.count_if(own & F.col("clipped")).alias("n_clipped"),
-        F.count_if(own & F.col("won")).alias("_wins"), F.count_if(~own & F.col("won")).alias("_other_wins"), F.count_if(own & free & F.col("won")).alias("_free_wins"), F.count_if(~own & free & F.col("won")).alias("_other_free_wins"),
-        F.avg(mine("r")).alias("mean_r"), F.percentile(mine("r"), 0.5).alias("median_r"), F.stddev_samp(mine("r")).alias("sd_r"), F.coalesce(F.avg(rest("r")), F.lit(0.0)).alias("base_mean_r"), F.coalesce(F.percentile(rest("r"), 0.5), F.lit(0.0)).alias("base_median_r"),
-        F.avg(F.when(own & free, F.col("r"))).alias("_free_mean"), F.stddev_samp(F.when(own & free, F.col("r"))).alias("_free_sd"),
-        F.percentile(mine("mfe_r"), 0.5).alias("mfe_r_median"), F.percentile(mine("mae_r"), 0.5).alias("mae_r_median"), F.percentile(mine("mae_r"), 0.9).alias("mae_r_p90"),
-    ).filter(F.col("n") >= least).join(dropped, ["pattern", "direction"])
+    if leave_out is not None:
+        rows = rows.filter(~F.coalesce(leave_out, F.lit(False)))
+    rows = rows.withColumn("group", F.concat_ws("/", *names))
+    rows = stored(rows.select(
+        "instrument", "i", "direction", "group", *names, (~(F.col("atr") >= MIN_ATR)).alias("small"), F.concat_ws("/", "instrument", "cluster_id").alias("cluster"), (F.col("end_points") > 0).alias("won"),
+        F.greatest(F.lit(-R_LIMIT), F.least(F.lit(R_LIMIT), "end_r")).alias("r"), (F.abs("end_r") > R_LIMIT).alias("clipped"), "mfe_r", "mae_r",
+    ))
+    dropped = rows.groupBy("group", "direction").agg(F.count_if("small").alias("n_dropped_atr"))
+    rows = rows.filter("not small")
+    own = rows.groupBy("group", "direction").agg(
+        *(F.first(c).alias(c) for c in names), F.count("*").alias("n"), F.count_distinct("cluster").alias("n_clusters"), F.count_if("clipped").alias("n_clipped"), F.count_if("won").alias("_wins"), F.sum("r").alias("_sum"), F.avg("r").alias("mean_r"), F.stddev_samp("r").alias("sd_r"),
+    )
+    side = Window.partitionBy("direction")
+    own = stored(own).withColumn("m", F.sum("n").over(side) - F.col("n")).withColumn("_other_wins", F.sum("_wins").over(side) - F.col("_wins"))
+    own = own.withColumn("base_mean_r", F.coalesce((F.sum("_sum").over(side) - F.col("_sum")) / F.nullif("m", F.lit(0)), F.lit(0.0)))
+    asks = [("median_r", "r", 0.5, False), ("_rest", "r", 0.5, True), ("mfe_r_median", "mfe_r", 0.5, False), ("mae_r_median", "mae_r", 0.5, False), ("mae_r_p90", "mae_r", 0.9, False)]
+    middles = exact_quantiles(rows, "group", "direction", asks).withColumn("base_median_r", F.coalesce("_rest", F.lit(0.0))).drop("_rest")
+    g = own.filter(F.col("n") >= least).join(_independent(rows, horizon), ["group", "direction"]).join(middles, ["group", "direction"]).join(dropped, ["group", "direction"])
     n, p, z = F.col("n"), F.col("_wins") / F.col("n"), 1.96
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     center = (p + z * z / (2 * n)) / (1 + z * z / n)
@@ -222,7 +286,7 @@ def base_rates(results: DataFrame, horizon: int, least: int = LEAST_N) -> DataFr
     enough = (F.col("n_independent") >= LEAST_N) & (F.col("_m_free") >= LEAST_N)
     hints = F.array_compact(F.array(F.when(n < SOLID_N, "small_sample"), F.when(F.col("n_independent") < LEAST_N, "few_independent"), F.when(F.abs(F.col("mean_r") - F.col("median_r")) > 0.5, "heavy_tails"), F.when(F.col("n_dropped_atr") > 0.02 * (n + F.col("n_dropped_atr")), "many_dropped")))
     return g.select(
-        "pattern", "direction", "n", "n_independent", "n_clusters", "n_dropped_atr", "n_clipped", p.alias("share"), F.greatest(F.lit(0.0), center - half).alias("share_low"), F.least(F.lit(1.0), center + half).alias("share_high"),
+        *names, "direction", "n", "n_independent", "n_clusters", "n_dropped_atr", "n_clipped", p.alias("share"), F.greatest(F.lit(0.0), center - half).alias("share_low"), F.least(F.lit(1.0), center + half).alias("share_high"),
         (F.col("_other_wins") / F.nullif("m", F.lit(0))).alias("base_share"), (p - F.col("_other_wins") / F.nullif("m", F.lit(0))).alias("share_edge"),
         F.when(enough, _share_z(F.col("_free_wins"), F.col("n_independent"), F.col("_other_free_wins"), F.col("_m_free"))).otherwise(0.0).alias("share_z"), _share_z(F.col("_wins"), n, F.col("_other_wins"), F.col("m")).alias("share_z_overlapping"),
         "mean_r", "median_r", "sd_r", "base_mean_r", "base_median_r", (F.col("mean_r") - F.col("base_mean_r")).alias("edge_r"), (F.col("median_r") - F.col("base_median_r")).alias("median_edge_r"),

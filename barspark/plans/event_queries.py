@@ -40,6 +40,11 @@ def base_rates(spark, sf_dir):
     return _rounded(rates, *(c for c, t in rates.dtypes if t == "double"))
 
 
+def base_rates_by_variant(spark, sf_dir):
+    rates = ev.base_rates(ev.outcomes(ev.clusters(_detected(spark, sf_dir)), hourly(spark, sf_dir), (10,)), 10, by=("variant",))
+    return _rounded(rates, *(c for c, t in rates.dtypes if t == "double"))
+
+
 def event_clusters(spark, sf_dir):
     return ev.clusters(_detected(spark, sf_dir))
 
@@ -208,6 +213,7 @@ QUERIES = {
     "forward_outcomes": forward_outcomes,
     "barrier_grid": barrier_grid,
     "base_rates": base_rates,
+    "base_rates_by_variant": base_rates_by_variant,
     "event_clusters": event_clusters,
     "event_counts": event_counts,
     "event_look_ahead": event_look_ahead,
@@ -226,6 +232,7 @@ ORACLES = {
     "forward_outcomes": OUTCOMES,
     "barrier_grid": BARRIERS,
     "base_rates": RATES,
+    "base_rates_by_variant": RATES.replace("pattern AS kind, instrument ||", "concat_ws('/', pattern, variant) AS kind, instrument ||").replace("\nSELECT pattern, direction, n, nf", "\nSELECT split_part(pattern, '/', 1) AS pattern, split_part(pattern, '/', 2) AS variant, direction, n, nf"),
     "event_clusters": f"WITH RECURSIVE {sql.BARS}, {EVENTS}, {CLUSTERS_CTE} SELECT * FROM cls",
     "event_counts": f"WITH RECURSIVE {sql.BARS}, {EVENTS} SELECT pattern, variant, direction, count(*) AS n FROM evs GROUP BY 1, 2, 3",
     "event_look_ahead": f"WITH RECURSIVE {sql.BARS}, {EVENTS} SELECT pattern, count(*) AS n, count(*) FILTER (origin > i OR origin < 0 OR i > last_i) AS early FROM evs JOIN (SELECT instrument, max(i) AS last_i FROM bars GROUP BY 1) USING (instrument) GROUP BY 1",
