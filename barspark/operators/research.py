@@ -95,6 +95,13 @@ def vintages(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.withColumn("revision", F.row_number().over(Window.partitionBy(*keys).orderBy(at, "id")).cast("long"))
 
 
+def appended_vintages(stored: DataFrame, arrived: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The rows of ``arrived`` that are new: a value of a series that became available at a moment is stored once and never changed; of several that arrive at once the one with the least id stays."""
+    first = Window.partitionBy(*keys, at).orderBy("id")
+    fresh = arrived.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return fresh.join(stored.select(*keys, at), [*keys, at], "left_anti").select(*arrived.columns)
+
+
 def decoded_vintages(raw: DataFrame, keys: list[str], at: str, value: str = "value") -> DataFrame:
     """Raw observations without those that are only a dot, as numbers, with their revision: how many of the series' values were there by then."""
     rows = raw.filter(F.trim(value) != ".").withColumn(value, F.expr(f"try_cast({value} as double)"))

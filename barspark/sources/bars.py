@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HEADER_NAMES = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vol": "volume"}
+#: Names of columns in files, and the columns that they stand for; fixed.
+HEADER_NAMES = {"last": "close", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vol": "volume"}
+#: Names of time columns, the first one there counts; fixed.
 TIME_NAMES = ("timestamp", "time", "datetime", "date", "ts")
 
 
@@ -45,19 +47,23 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_csv_bars(spark: SparkSession, path: str, instrument: str) -> tuple[DataFrame, DataFrame]:
-    """Bars of a CSV file with a header, and its rows whose time can't be read.
+    """Bars of CSV files with a header, and their rows whose time can't be read.
 
     Header names are lower-cased and resolved by alias; the first known time column counts; a missing volume is 0;
-    of rows with one time the last in the file stays.
+    of rows with one time the last in the file stays, and of several files the one that is last by name.
     """
     raw = spark.read.option("header", True).csv(path)
-    names = {c: HEADER_NAMES.get(c.strip().lower(), c.strip().lower()) for c in raw.columns}
-    rows = raw.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    lowered = {c: c.strip().lower() for c in raw.columns}
+    # an alias stands in only where the column itself is missing
+    names = {c: n if HEADER_NAMES.get(n) in lowered.values() else HEADER_NAMES.get(n, n) for c, n in lowered.items()}
+    # in a file rows go by the block that a task reads and by their number there
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = raw.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), place.alias("_row"))
     time = next((t for t in TIME_NAMES if t in rows.columns), None)
     if time is None:
         raise ValueError(f"no time column among {rows.columns}")
     volume = F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) if "volume" in rows.columns else F.lit(0.0)
-    rows = rows.withColumn("_at", F.expr(f"try_cast({time} as timestamp_ntz)")).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.withColumn("_at", F.expr(f"try_cast({time} as timestamp_ntz)"))
     bars = rows.filter("_at is not null").select(F.lit(instrument).alias("instrument"), F.col("_at").alias("ts"), *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")), volume.alias("volume"), "_row")
     last = Window.partitionBy("instrument", "ts").orderBy(F.desc("_row"))
     return bars.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_row"), rows.filter("_at is null").drop("_at", "_row")

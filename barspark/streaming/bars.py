@@ -85,6 +85,83 @@ class RunningExtremes(StatefulProcessor):
         pass
 
 
+class ClosedBars(StatefulProcessor):
+    """Per instrument the open bars; a bar closes once a tick ``delay`` past its end has come, and a tick of a closed bar is late.
+
+    What is closed is fixed when a batch begins, so ticks of one batch never make each other late.  Open bars are few: those
+    of the last ``delay``.
+    """
+
+    BAR = "open double, open_at long, open_id long, high double, low double, close double, close_at long, close_id long, volume long"
+
+    def __init__(self, width: int, delay: int):
+        self.width, self.delay = width, delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "newest long, closed long")
+        self.bars = handle.getMapState("bars", "end long", self.BAR)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest, closed = self.seen.get() if self.seen.exists() else (-(2**62), -(2**62))
+        late, touched = [], {}
+        for part in rows:
+            for at, event, price in zip(part["at"].tolist(), part["event_id"].tolist(), part["price"].tolist(), strict=True):
+                newest = max(newest, at)
+                end = (at // self.width + 1) * self.width
+                if end <= closed:
+                    late.append((at, event, price))
+                    continue
+                if end not in touched:
+                    touched[end] = self.bars.getValue((end,)) if self.bars.containsKey((end,)) else None
+                b = touched[end]
+                if b is None:
+                    touched[end] = (price, at, event, price, price, price, at, event, 1)
+                    continue
+                first = (price, at, event) if (at, event) < (b[1], b[2]) else tuple(b[:3])
+                last = (price, at, event) if (at, event) > (b[6], b[7]) else tuple(b[5:8])
+                touched[end] = (*first, max(b[3], price), min(b[4], price), *last, b[8] + 1)
+        for end, b in touched.items():
+            self.bars.updateValue((end,), tuple(b))
+        closed = max(closed, newest - self.delay)
+        done = sorted(k[0] for k in self.bars.keys() if k[0] <= closed)
+        out = []
+        for end in done:
+            b = self.bars.getValue((end,))
+            out.append(("bar", end, None, b[0], b[3], b[4], b[5], b[8]))
+            self.bars.removeKey((end,))
+        self.seen.update((newest, closed))
+        out += [("late", at, event, price, price, price, price, 1) for at, event, price in late]
+        columns = ["kind", "at", "event_id", "open", "high", "low", "close", "volume"]
+        found = pd.DataFrame(out, columns=columns).astype({"event_id": "Int64"})
+        found.insert(1, "instrument", key[0])
+        yield found
+
+    def close(self) -> None:
+        pass
+
+
+def bars_and_late(ticks: DataFrame, width_minutes: int = 60, delay_minutes: int = 120) -> DataFrame:
+    """A stream of closed bars (kind bar) and of the ticks that came too late for theirs (kind late): none is lost.
+
+    ``bar_stream`` leaves late ticks out, as a watermark does; here each instrument's newest tick is its clock.
+    """
+    out = "kind string, instrument string, at long, event_id long, open double, high double, low double, close double, volume long"
+    rows = ticks.select("instrument", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"), "price")
+    minute = 60_000_000
+    return rows.groupBy("instrument").transformWithStateInPandas(ClosedBars(width_minutes * minute, delay_minutes * minute), out, "Append", "None").withColumn("ts", F.timestamp_micros("at")).drop("at")
+
+
+def write_bars_and_late(stream: DataFrame, bars_path: str, late_path: str, checkpoint: str) -> StreamingQuery:
+    """Bars to one table and late ticks to another, each batch under its number: one that is replayed writes the same again."""
+
+    def both(batch: DataFrame, number: int) -> None:
+        for kind, path in (("bar", bars_path), ("late", late_path)):
+            rows = batch.filter(F.col("kind") == kind).drop("kind").withColumn("batch", F.lit(number).cast("long"))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def extremes_stream(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("instrument").transformWithStateInPandas(RunningExtremes(), "instrument string, high double, low double, n long", "Update", "None")
 
