@@ -1,16 +1,19 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the spans of four strict patterns (e-mail, IPv4, card, phone), each checked: octets, Luhn, digit
-counts.  Every such span is a seed, whatever its length, digits or spaces; candidates are the matches that fail
+counts.  Every such span is a seed, whatever its length, digits or spaces, and so is a token that is a key by its
+form, 32 hexadecimal digits of one case at least, letters and figures among them; candidates are the matches that fail
 their check and the tokens with four digits or an @, less the punctuation around them, where they meet no seed.
-The word before an instance is its lexical pattern, whatever the instance looks like; patterns and distinct
+The word before an instance is its lexical pattern, whatever the instance looks like, and where only signs stand
+before it (``token = "...``), they and the word before them; patterns and distinct
 instances form a bipartite graph.  A round admits the patterns with ``min_seeds`` seeds or instances accepted so
 far, and scores each by the mean score of its instances, drawn towards zero where it has few.  Shapes are scored
 apart: by the mean score of the patterns in which their instances stand, so a shape that stands everywhere, such
 as a year's, has next to nothing.  An unknown instance is scored by the admitted patterns that it stands in; over
 ``accept``, and with a shape over ``least_shape``, it is accepted, and counts as a seed does in the next round.  So
 values found after one word admit the next word, which finds values of shapes that no seed has.  After the
-rounds, accepted instances in admitted patterns are new spans of kind ``context``.  Distinct values count once,
+rounds, accepted instances in admitted patterns are new spans of kind ``context``, keys only where their pattern's score
+is over ``accept`` as well: a key's form alone makes no span.  Distinct values count once,
 so copies of a document add nothing to a pattern.
 
 Positions are code points; ends are exclusive.  A span's place is the summed length of what ``split`` leaves
@@ -25,7 +28,7 @@ instance without a word before it has no pattern; an empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.llm._spark import cut
@@ -43,6 +46,7 @@ MIN_SEEDS = 3
 ACCEPT = 0.9
 LEAST_SHAPE = 0.5
 LEAST_DIGITS = 4
+KEY = "^(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"
 CHUNK = 256
 #: Characters before a match in which the word before it is looked for first; a word that goes beyond is read from the whole text before.
 LEFT = 50
@@ -69,7 +73,7 @@ def _found(text: Column, pattern: str) -> Column:
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        end_of = r"(\S++)\s++" + OPENING + "$"
+        end_of = r"(\S*[\p{L}\p{N}]\S*\s++[^\p{L}\p{N}\s]++|\S++)\s++" + OPENING + "$"
         near = F.regexp_extract(x["tail"], r"(?<=\s)" + end_of, 1)
         # through an array, so that the first lookup is worked out once
         left = F.element_at(F.transform(F.array(near), lambda n: F.when(n != "", n).otherwise(F.regexp_extract(F.concat(x["last"], x["gap"]), r"(?<!\S)" + end_of, 1))), 1)
@@ -120,12 +124,12 @@ def _checked(matches: Column, kind: str, passed: bool = True) -> Column:
 
 
 def _trimmed(tokens: Column) -> Column:
-    """Tokens without the punctuation around them."""
+    """Tokens without the punctuation around them, up to a quote inside."""
 
     def trim(s):
         value = F.regexp_replace(s["value"], "^" + OPENING, "")
         start = s["end"] - F.length(value)
-        value = F.regexp_replace(value, CLOSING + "$", "")
+        value = F.regexp_replace(F.regexp_replace(value, """["'].*$""", ""), CLOSING + "$", "")
         return F.struct(start.cast("long").alias("start"), (start + F.length(value)).cast("long").alias("end"), value.alias("value"), s["left"].alias("left"))
 
     return F.transform(tokens, trim)
@@ -151,31 +155,31 @@ def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def _instances(found: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, end, value, pattern, shape, seed) of every base span, a seed, and of every candidate that meets none."""
+    """(doc_id, text_hash, start, end, value, pattern, shape, base, seed) of every base span, a seed, and of every candidate that meets none; a key is a seed without being a base span."""
     word = F.lower("s.left")
     pattern = F.when(F.length(word) > LONG_WORD, F.concat(F.lit("#"), F.sha2(word, 256))).otherwise(word)
     columns = ("doc_id", "text_hash", "s.start", "s.end", "s.value", pattern.alias("pattern"), _shape(F.col("s.value")).alias("shape"))
-    seeds = found.select("doc_id", "text_hash", F.explode(F.concat(*KINDS)).alias("s")).select(*columns, F.lit(True).alias("seed"))
+    seeds = found.select("doc_id", "text_hash", F.explode(F.concat(*KINDS)).alias("s")).select(*columns, F.lit(True).alias("base"), F.lit(True).alias("seed"))
     held = found.select("doc_id", "text_hash", F.concat(*KINDS).alias("base"), F.explode("token").alias("s"))
     meets = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
     likely = (F.length(_digits(F.col("s.value"))) >= LEAST_DIGITS) | F.col("s.value").contains("@")
-    return seeds.unionByName(held.filter(likely & ~meets).select(*columns, F.lit(False).alias("seed"))).filter("pattern <> ''")
+    return seeds.unionByName(held.filter(likely & ~meets).select(*columns, F.lit(False).alias("base"), F.col("s.value").rlike(KEY).alias("seed"))).filter("pattern <> ''")
 
 
 def discover(instances: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS, least_shape: float = LEAST_SHAPE) -> DataFrame:
-    """(pattern, value) of the unknown instances that the graph accepts."""
-    edges = instances.groupBy("pattern", "value", "shape").agg(F.max("seed").alias("seed"))
+    """(pattern, value) of the instances besides base spans that the graph accepts."""
+    edges = instances.groupBy("pattern", "value", "shape").agg(F.max("seed").alias("seed"), F.max("base").alias("base"))
     scored = cut(edges.withColumn("score", F.col("seed").cast("double")).withColumn("admitted", F.col("seed")))
     for _ in range(rounds):
         support = F.count_if(F.col("seed") | (F.col("score") >= accept))
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 0.1)).alias("confidence"), support.alias("support")).filter(F.col("support") >= min_seeds).drop("support")
-        rated = cut(scored.select("pattern", "value", "shape", "seed").join(patterns, "pattern", "left"))
+        rated = cut(scored.select("pattern", "value", "shape", "seed", "base").join(patterns, "pattern", "left"))
         shapes = rated.groupBy("shape").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("s")).filter(F.col("s") >= least_shape).select("shape")
         inside = rated.filter("not seed and confidence is not null").join(shapes, "shape", "left_semi")
         values = inside.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("now"))
         score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("now", F.lit(0.0)))
-        scored = cut(rated.join(values, "value", "left").select("pattern", "value", "shape", "seed", score.alias("score"), F.col("confidence").isNotNull().alias("admitted")))
-    return scored.filter(~F.col("seed") & F.col("admitted") & (F.col("score") >= accept)).select("pattern", "value")
+        scored = cut(rated.join(values, "value", "left").select("pattern", "value", "shape", "seed", "base", score.alias("score"), (F.col("confidence") >= F.when(F.col("seed"), F.lit(accept)).otherwise(F.lit(0.0))).alias("admitted")))
+    return scored.filter(~F.col("base") & F.col("admitted") & (F.col("score") >= accept)).select("pattern", "value")
 
 
 def pii_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,7 +187,10 @@ def pii_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     found = cut(base_spans(docs, key, text))
     instances = cut(_instances(found))
     accepted = discover(instances)
-    new = instances.filter("not seed").join(accepted, ["pattern", "value"], "left_semi")
+    new = instances.filter("not base").join(accepted, ["pattern", "value"], "left_semi")
+    # a number inside a longer find is no find of its own
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reach", F.max("end").over(before)).filter("reach is null or reach < end")
     new = new.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value", F.lit("").alias("left")))).alias("context"))
     out = found.drop("token").join(new.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").drop("d", "h")
     return out.withColumn("context", F.coalesce("context", F.array().cast(f"array<{SPAN}>")))

@@ -15,7 +15,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from barspark.llm import decontaminate, jaccard_join, lexical, prefix_trie, queries, warc
+from barspark.llm import decontaminate, jaccard_join, lexical, pii, prefix_trie, queries, warc
 
 DATA = "/root/testdata/sf0.001"
 
@@ -316,3 +316,17 @@ def test_common_shingle_meets_by_cells(spark):
     finally:
         jaccard_join._cell_pairs.__defaults__ = usual
     assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_keys_seed_a_context_of_signs(spark):
+    """Three keys after ``token = "`` admit the context, which then gives values of another form; a key elsewhere alone is no find."""
+    keys = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(5)]
+    texts = [f'say token = "{k}" there' for k in keys[:4]] + ['last token = "AB-99120-XY7" and token = "5512-AA" end', f"alone {keys[4]} here", "in 19995 and 20001 or token 5", f'cut token = "{keys[3]}"### off']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.context] for r in pii.pii_spans(docs).collect()}
+    assert [got[i] for i in range(4)] == [[k] for k in keys[:4]] and got[7] == [keys[3]]
+    assert got[5] == [] and got[6] == []
+    spans = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.context] for r in pii.pii_spans(docs).collect()}
+    assert spans == got
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] == 'say token = "[context]" there' and clean[7] == 'cut token = "[context]"### off' and clean[5] == texts[5]
