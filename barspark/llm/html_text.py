@@ -11,7 +11,9 @@ equal texts there are no template.
 
 Class names and ids decide only where structure doesn't: outside an article or main element a name that tells of a
 menu, notice, advert and so on marks a part as no content; inside one, a whole name has to say so, of an element
-that holds others, or of a text block where it can mean nothing else.
+that holds others, or of a text block where it can mean nothing else; a header there belongs to its article.  Names never
+leave a page with next to nothing: where what they mark holds all but a twentieth of the text, the marks of the parts
+that hold more than half of it don't count.
 
 The streams are counted by host and structure before anything is gathered, so a host with very many pages
 brings its different structures only; those are aligned in groups of about ``GROUP``, level by level.  Streams are
@@ -80,7 +82,12 @@ def _names(words: str) -> str:
 
 
 BOILER = re.compile(rf"(?:^|[-_\s]){_names(ASIDE)}(?:[-_\s]|$)", re.I)
-WHOLE, WHOLE_TEXT = (re.compile(rf"(?:{_names(JOINED)}[-_]+)*{_names(x)}(?:[-_]+(?:{_names(JOINED)}|{_names(ASIDE)}))*", re.I) for x in (ASIDE, ASIDE_TEXT))
+# inside an article or main element a header is the article's own
+INSIDE = " ".join(x for x in ASIDE.split() if x not in ("header", "masthead"))
+WHOLE, WHOLE_TEXT = (re.compile(rf"(?:{_names(JOINED)}[-_]+)*{_names(x)}(?:[-_]+(?:{_names(JOINED)}|{_names(ASIDE)}))*", re.I) for x in (INSIDE, ASIDE_TEXT))
+#: Where names leave less than this share of a page's text, those of its largest parts don't count.
+LEAST_LEFT = 0.05
+TAG = 0
 
 
 def host_of(url: str | None) -> str:
@@ -101,9 +108,10 @@ class Page:
 
     def __init__(self, source: str):
         self.stream: list[str] = []
-        self.texts: list[tuple[str, int, int, bool, bool, bool]] = []  # text, path, block, boilerplate, in a link, in an article or main element
+        self.texts: list[tuple] = []  # text, path, block, boilerplate, in a link, in an article or main element
         self.elements: dict[int, tuple[int, str, int]] = {TOP: (NOWHERE, "", 0)}
-        stack: list[tuple[str, int, bool, bool, bool]] = []  # name, path, boilerplate, in a link, in an article or main element
+        stack: list[tuple[str, int, tuple[int, ...], bool, bool]] = []  # name, path, what marks it as no content (a tag, or numbers of elements by their names), in a link, in an article or main element
+        named = TAG
         held, pieces = Counter(), []  # open elements by name; the pieces of each text
         block, raw_until, at, n = 0, None, 0, len(source)
         while at < n:
@@ -118,7 +126,7 @@ class Page:
                 piece = m[0]
                 if piece[:2] in ("<!", "<?"):
                     continue
-                path, boiler, link, inside = stack[-1][1:] if stack else (TOP, False, False, False)
+                path, boiler, link, inside = stack[-1][1:] if stack else (TOP, (), False, False)
                 if self.texts and self.stream[-1] == "#" and self.texts[-1][1:3] == (path, block):
                     pieces[-1].append(piece)
                 else:
@@ -143,8 +151,12 @@ class Page:
             self._close_before(stack, held, name)
             mark = self._mark(m[3])
             key = name + (f".{mark}" if mark else "")
-            parent, boiler, link, inside = stack[-1][1:] if stack else (TOP, False, False, False)
-            boiler = boiler or name in NO_CONTENT or (name == "header" and not inside) or bool(mark and self._is_boiler(name, m[3], inside))
+            parent, boiler, link, inside = stack[-1][1:] if stack else (TOP, (), False, False)
+            if name in NO_CONTENT or (name == "header" and not inside):
+                boiler = (TAG,)
+            elif mark and boiler[:1] != (TAG,) and self._is_boiler(name, m[3], inside):
+                named += 1
+                boiler = (*boiler[-7:], named)  # of deeper ones the innermost count
             path = number(f"{parent}/{key}")
             self.elements[path] = (parent, name, len(stack) + 1)
             stack.append((name, path, boiler, link or name == "a", inside or name in ("article", "main")))
@@ -154,6 +166,19 @@ class Page:
                 raw_until = name
         self.texts = [("".join(p), *x[1:]) for p, x in zip(pieces, self.texts, strict=True)]
         self.texts = [(" ".join(html.unescape(t).split()), *rest) for t, *rest in self._spaced()]
+        self._settle()
+
+    def _settle(self) -> None:
+        """Decide which texts are boilerplate: marks by tags and by names, but for names that would leave next to nothing."""
+        sizes, total, left = Counter(), 0, 0
+        for text, _, _, marks, link, _ in self.texts:
+            if marks[:1] != (TAG,) and not link:
+                total += len(text)
+                left += 0 if marks else len(text)
+                for mark in marks:
+                    sizes[mark] += len(text)
+        large = {mark for mark, size in sizes.items() if 2 * size > total} if left < LEAST_LEFT * total else set()
+        self.texts = [(text, path, block, bool(set(marks) - large), link, inside) for text, path, block, marks, link, inside in self.texts]
 
     @staticmethod
     def _pop(stack: list, held: Counter) -> str:

@@ -15,7 +15,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from barspark.llm import decontaminate, jaccard_join, lexical, pii, prefix_trie, queries, warc
+from barspark.llm import decontaminate, html_text, jaccard_join, lexical, pii, prefix_trie, queries, warc
 
 DATA = "/root/testdata/sf0.001"
 
@@ -330,3 +330,19 @@ def test_keys_seed_a_context_of_signs(spark):
     assert spans == got
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert clean[0] == 'say token = "[context]" there' and clean[7] == 'cut token = "[context]"### off' and clean[5] == texts[5]
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<div class="content"><div class="sidebar-layout"><p>long text of the page</p></div></div>', "long text of the page"),
+        ('<main><div class="page-header"><h1>T</h1></div><p>body</p></main>', "T\nbody"),
+        ('<div class="nav"><a>x</a></div><div class="post"><p>short text</p></div><div class="comments"><p>' + "c " * 90 + "</p></div>", "short text"),
+        ('<div class="sidebar-layout"><div class="comments"><p>com</p></div><p>this text is long enough</p></div>', "this text is long enough"),
+        ("<nav>" + "menu " * 40 + "</nav><p>little</p>", "little"),
+        ('<div class="menu"><a href="/">only a menu of links</a></div>', ""),
+    ],
+)
+def test_names_never_empty_a_page(source, want):
+    page = html_text.Page(source)
+    assert page.main_text(html_text.main_path(html_text._weights(page), page.elements)) == want
