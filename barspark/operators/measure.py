@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.events import barrier_grid, first_touches
@@ -82,6 +84,59 @@ def length_matched(windows: DataFrame, bars: DataFrame, seed: int = 7) -> DataFr
     return rows.select("id", "instrument", start.alias("first_i"), (start + length).alias("last_i"))
 
 
+def spread_sample(found: DataFrame, n: int, month: str = "month", seed: int = 7) -> DataFrame:
+    """n rows of found (with an ``id``), spread evenly over months whatever each holds: an equal share of each, topped up from all where months are short, thinned where shares add up to more."""
+    draw = lambda k: F.xxhash64("id", F.lit(seed + k))
+    months = found.select(month).distinct().count()
+    each = max(1, n // max(1, months))
+    rows = found.withColumn("_n", F.row_number().over(Window.partitionBy(month).orderBy(draw(0), "id")))
+    # rows within their month's share come first, the others after them, both in an order of their own
+    order = (F.col("_n") > each).cast("int"), draw(1), F.col("id")
+    return rows.orderBy(*order).limit(n).drop("_n")
+
+
+def clear_windows(lengths: DataFrame, patterns: DataFrame, bars: DataFrame, n: int, lead: int = 20, most_covered: float = 0.5, most_minutes: float | None = None, tries: int = 16, seed: int = 7) -> DataFrame:
+    """n spans (id, instrument, first_i, last_i, bars) with the lengths of given ones (column ``bars``), none overlapping another with its lead, and none of which a single pattern (id, instrument, first_i, last_i) covers more than a share.
+
+    The series are cut into cells that hold the longest span and its lead; every cell holds at most one span, at a place drawn
+    in it, so no two meet.  Cells stand in a drawn order and are dealt to the asked spans in turns, with ``tries`` places drawn
+    in each; a span takes the first place that is clear.  With ``most_minutes`` a bar, spans across a pause are refused.  Fewer come back only if a
+    span's cells are all refused.
+    """
+    longest = lengths.agg(F.max("bars")).first()[0] or 0
+    width = longest + lead + 1
+    drawn = lambda *c: F.xxhash64(*c, F.lit(seed))
+    asked = lengths.withColumn("_h", drawn("bars", F.monotonically_increasing_id())).orderBy("_h").limit(n).withColumn("id", F.row_number().over(Window.orderBy("_h")) - 1).select("id", "bars")  # n rows
+    have = asked.count()
+    if not have:
+        raise ValueError("no lengths to draw from")
+    more = asked.select((F.col("id") + 0).alias("of"), "bars")
+    targets = bars.sparkSession.range(n).select("id", (F.col("id") % have).alias("of")).join(F.broadcast(more), "of").select("id", "bars")
+    sizes = bars.groupBy("instrument").agg(F.floor((F.max("i") + 1) / width).alias("m")).filter("m > 0")
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+    if not total:
+        raise ValueError("no series holds a span")
+    # cells in a drawn order without sorting them: a step that shares no factor with their number goes through all
+    step = next(k for k in range(int(total * 0.618) + seed, 2 * total + seed + 2) if math.gcd(k, total) == 1)
+    before = F.coalesce(F.sum("m").over(Window.orderBy("instrument").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a series
+    cells = sizes.withColumn("before", before).select("instrument", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("cell"))
+    order = ((F.col("before") + F.col("cell")) * step + seed) % total
+    dealt = cells.select("instrument", "cell", order.alias("order")).withColumn("id", F.col("order") % n).join(F.broadcast(targets), "id").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    start = F.col("cell") * width + lead + F.pmod(drawn("instrument", "cell", "id", "try"), F.lit(width - lead) - F.col("bars"))
+    nth = F.struct("order", "try")
+    spans = dealt.select("id", nth.alias("nth"), "instrument", start.alias("first_i"), (start + F.col("bars")).alias("last_i"), "bars")
+    named = spans.withColumn("target", F.col("id")).withColumn("id", F.col("nth"))
+    covered = overlapping(named.select("id", "instrument", "first_i", "last_i"), patterns, most_covered).select("id").distinct()
+    clear = named.join(covered, "id", "left_anti")
+    if most_minutes is not None:
+        ends = bars.select("instrument", F.col("i").alias("_i"), "ts")
+        begin, end = ends.toDF("instrument", "first_i", "_begin"), ends.toDF("instrument", "last_i", "_end")
+        clear = clear.withColumn("first_i", F.col("first_i") - lead).join(begin, ["instrument", "first_i"]).withColumn("first_i", F.col("first_i") + lead).join(end, ["instrument", "last_i"])
+        clear = clear.filter(F.timestamp_diff("SECOND", F.col("_begin"), F.col("_end")) <= 60 * most_minutes * (F.col("bars") + lead))
+    best = clear.groupBy("target").agg(F.min_by(F.struct("instrument", "first_i", "last_i", "bars"), "nth").alias("s"))
+    return best.select(F.col("target").alias("id"), "s.*")
+
+
 def as_json(rows: DataFrame, keys: list[str], out: str = "features") -> DataFrame:
     """rows with all columns but the keys as one JSON text."""
     rest = [c for c in rows.columns if c not in keys]

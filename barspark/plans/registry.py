@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barspark.plans import event_queries, indicator_queries, level_queries, monitor_queries, research_queries, state_queries, strategy_queries, structure_queries, validation_queries, w_queries
+from barspark.plans import conditional_queries, event_queries, indicator_queries, level_queries, monitor_queries, research_queries, state_queries, strategy_queries, structure_queries, validation_queries, w_queries
 
-_PARTS = (indicator_queries, level_queries, structure_queries, event_queries, research_queries, monitor_queries, state_queries, strategy_queries, validation_queries, w_queries)
+_PARTS = (conditional_queries, indicator_queries, level_queries, structure_queries, event_queries, research_queries, monitor_queries, state_queries, strategy_queries, validation_queries, w_queries)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,7 @@ from barspark.functions import blocks
 from barspark.functions.quantiles import exact_quantiles
 from barspark.operators import events as ev
 from barspark.operators import indicators as ind
-from barspark.operators import points, structure
+from barspark.operators import measure, points, structure
 from barspark.operators import w_patterns as wp
 
 
@@ -233,3 +233,35 @@ def test_equal_levels_first_fit(spark, bars, series):
                     level, known = sum(prices) / len(prices), min(at[-1] + 3, len(s) - 1)
                     want.append((s[0][0], kind, at[0], at[-1], len(at), round(level, 9), next((j for j in range(known, len(s)) if sign * s[j][col] > sign * level), None)))
     assert sorted(((r.instrument, r.kind, r.first, r.latest, r.members, round(r.level, 9), r.swept_i) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_spread_sample(spark):
+    rows = [(k, "2024-01") for k in range(500)] + [(k, "2024-02") for k in range(500, 520)] + [(k, "2024-03") for k in range(520, 523)]
+    found = spark.createDataFrame(rows, "id long, month string")
+    for n, want in ((30, {"2024-01": 17, "2024-02": 10, "2024-03": 3}), (2, None), (600, {"2024-01": 500, "2024-02": 20, "2024-03": 3})):
+        got = [r.month for r in measure.spread_sample(found, n).collect()]
+        counts = {m: got.count(m) for m in set(got)}
+        if n == 30:
+            assert counts["2024-03"] == 3 and counts["2024-02"] >= 10 and counts["2024-01"] >= 10 and sum(counts.values()) == 30
+        elif want:
+            assert counts == want
+        else:
+            assert len(got) == n
+    assert sorted(r.id for r in measure.spread_sample(found, 30).collect()) == sorted(r.id for r in measure.spread_sample(found.repartition(7), 30).collect())
+
+
+def test_clear_windows(spark, series):
+    bars = frame(spark, *(walk(9000, k, n) for k, n in enumerate("xy")))
+    patterns = [(k, n, at, at + 20) for n in "xy" for k, at in enumerate(range(0, 8900, 90))]
+    lengths = spark.createDataFrame([(20 + k % 40,) for k in range(25)], "bars long")
+    taken = spark.createDataFrame(patterns, "id long, instrument string, first_i long, last_i long")
+    got = measure.clear_windows(lengths, taken, bars, 40, most_minutes=15.0).collect()
+    assert len(got) == 40 and {r.id for r in got} == set(range(40))
+    assert {r.bars for r in got} <= {r.bars for r in lengths.collect()} and all(r.last_i - r.first_i == r.bars for r in got)
+    for name in "xy":
+        own = sorted((r.first_i - 20, r.last_i) for r in got if r.instrument == name)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:])) and own[0][0] >= 0 and own[-1][1] < 9000
+    for r in got:
+        assert all(min(r.last_i, b) - max(r.first_i, a) + 1 <= 0.5 * (r.bars + 1) for _, n, a, b in patterns if n == r.instrument)
+    everywhere = spark.createDataFrame([(0, n, 0, 9000) for n in "xy"], "id long, instrument string, first_i long, last_i long")
+    assert measure.clear_windows(lengths, everywhere, bars, 40).count() == 0
