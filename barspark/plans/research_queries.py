@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark.operators import backtest as bt
+from barspark.operators import costs as co
 from barspark.operators import research as rs
 from barspark.plans import sql
 from barspark.plans.event_queries import TRADES, _rule_bars, _trades
@@ -94,6 +95,7 @@ QUERIES = {
     "known_at": lambda s, d: rs.known_at(_vintages(s, d), ["series"], "available_at", F.to_timestamp_ntz(F.lit("1996-06-30"))),
     "blackouts": blackouts,
     "paired_fills": paired_fills,
+    "cost_sources": lambda s, d: _rounded(co.by_profile(co.net_of_costs(_trades(s, d).withColumn("points", F.col("pnl"))), "strategy"), "gross", "commission", "slippage", "net", "won", "cost_a_trade", "kept"),
     "cost_profiles": lambda s, d: _rounded(rs.under_costs(_trades(s, d), "strategy"), "net", "won"),
     "in_sample_ratio": lambda s, d: _rounded(rs.in_sample_ratio(_trades(s, d), "strategy", F.to_timestamp_ntz(F.lit("1996-01-01"))), "inside", "outside", "robustness"),
     "best_day_share": lambda s, d: _rounded(rs.best_day_share(_trades(s, d), "strategy"), "best", "gained", "share"),
@@ -117,6 +119,9 @@ SELECT * FROM f JOIN b USING (month)""",
     "known_at": "SELECT o_custkey AS series, o_orderkey AS id, o_orderdate AS available_at, o_totalprice AS actual FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "blackouts": BLACKOUT,
     "paired_fills": "WITH f AS (SELECT l_orderkey AS order_id, count(*) AS fills, arg_min(l_extendedprice, row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag)) AS entry, arg_max(l_extendedprice, row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag)) AS exit, arg_min(l_quantity, row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag)) AS qty, arg_min(l_returnflag, row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag)) AS side FROM lineitem GROUP BY 1 HAVING count(*) > 1) SELECT *, round(CASE WHEN side = 'A' THEN -1 ELSE 1 END * (exit - entry), 6) AS points FROM f",
+    "cost_sources": f"""WITH {TRADES}, p AS (SELECT unnest([{", ".join(f"{{'profile': '{p.name}', 'c': CAST({p.round_turn} AS DOUBLE), 's': CAST({2 * p.slippage_ticks * 0.25 * 2.0} AS DOUBLE)}}" for p in co.PROFILES)}], recursive := true)),
+x AS (SELECT strategy, profile, 2.0 * pnl AS gross, c AS commission, s AS slippage, 2.0 * pnl - c - s AS net FROM tr, p), g AS (SELECT strategy, profile, count(*) AS n, sum(gross) AS gross, sum(commission) AS commission, sum(slippage) AS slippage, sum(net) AS net, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS won FROM x GROUP BY ALL)
+SELECT strategy, profile, n, round(gross, 6) AS gross, round(commission, 6) AS commission, round(slippage, 6) AS slippage, round(net, 6) AS net, round(won, 6) AS won, round((commission + slippage) / n, 6) AS cost_a_trade, round(CASE WHEN gross > 0 THEN net / gross END, 6) AS kept FROM g""",
     "cost_profiles": f"WITH {TRADES}, p AS (SELECT unnest(['none', 'retail', 'stressed']) AS profile, unnest([0.0, 1.25, 1.25]) AS c, unnest([0.0, 1.0, 3.0]) AS s) SELECT strategy, profile, count(*) AS n, round(sum(pnl - 2 * CAST(c AS DOUBLE) - 2 * CAST(s AS DOUBLE) * 0.25), 6) AS net, round(avg(CASE WHEN pnl - 2 * CAST(c AS DOUBLE) - 2 * CAST(s AS DOUBLE) * 0.25 > 0 THEN 1.0 ELSE 0.0 END), 6) AS won FROM tr CROSS JOIN p GROUP BY 1, 2",
     "in_sample_ratio": f"WITH {TRADES}, g AS (SELECT strategy, avg(pnl) FILTER (ts < TIMESTAMP '1996-01-01') AS a, avg(pnl) FILTER (ts >= TIMESTAMP '1996-01-01') AS b FROM tr GROUP BY 1) SELECT strategy, round(a, 6) AS inside, round(b, 6) AS outside, round(CASE WHEN a > 0 THEN b / a END, 6) AS robustness FROM g",
     "best_day_share": f"WITH {TRADES}, d AS (SELECT strategy, CAST(ts AS DATE) AS day, sum(pnl) AS pnl FROM tr GROUP BY 1, 2), g AS (SELECT strategy, count(*) AS days, max(pnl) AS best, sum(greatest(0.0, pnl)) AS gained FROM d GROUP BY 1) SELECT strategy, days, round(best, 6) AS best, round(gained, 6) AS gained, round(CASE WHEN best > 0 THEN best / gained END, 6) AS share FROM g",

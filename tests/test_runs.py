@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from barspark.operators import contracts, research
+from barspark.operators import contracts, costs, research
 from barspark.sources import runs, store
 from barspark.sources.bars import read_csv_bars
 from barspark.streaming import bars as st
@@ -121,3 +121,17 @@ def test_late_ticks_are_kept_aside(spark, tmp_path):
     assert bars == {("a", 2): (10.0, 20.0, 10.0, 12.0, 3), ("a", 3): (8.0, 11.0, 8.0, 11.0, 2), ("a", 5): (9.0, 9.0, 9.0, 9.0, 1), ("b", 1): (4.0, 4.0, 4.0, 4.0, 1), ("b", 2): (5.0, 6.0, 5.0, 6.0, 2)}
     assert late == [8]
     assert sum(v[-1] for v in bars.values()) + len(late) + 2 == sum(map(len, batches))  # two bars are open
+
+
+def test_cost_profiles():
+    known = costs.CostProfile("x", 1.0, 1.0, "a statement", False, broker=0.6, exchange=0.4)
+    assert known.round_turn == 2.0 and known.parts() == {"broker": 0.6, "exchange": 0.4}
+    assert costs.PROFILES[1].round_turn_points(0.25, 2.0) == pytest.approx(1.45)
+    for bad in ({"per_side": -1.0}, {"slippage_ticks": -1.0}, {"source": " "}, {"broker": 0.5}):
+        with pytest.raises(ValueError):
+            costs.CostProfile(**({"name": "y", "per_side": 1.0, "slippage_ticks": 0.0, "source": "s"} | bad))
+
+
+def test_profile_table(spark):
+    rows = {r.profile: (r.assumed, r.parts_known) for r in costs.profile_table(spark).collect()}
+    assert rows == {"none": (True, False), "statement": (False, False), "assumed_parts": (True, True)}
