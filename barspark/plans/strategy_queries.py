@@ -8,6 +8,7 @@ from barspark.functions import exchange_days as ex
 from barspark.functions import sessions as se
 from barspark.operators import patterns as pt
 from barspark.operators import shapes as sh
+from barspark.operators import research_run as rr
 from barspark.operators import strategies as sg
 from barspark.plans import sql
 from barspark.plans.indicator_queries import ADX_CTES, COMPRESSION_CTE, FLAGS_CTE
@@ -39,6 +40,13 @@ def strategy_entries(spark, sf_dir):
     return _rounded(found.select("instrument", "i", "strategy", "direction", "entry", "stop", "target"), "stop", "target")
 
 
+def research_verdicts(spark, sf_dir):
+    """Verdicts on all strategies: entries followed for twenty bars, net of costs, seven tenths of every series against the rest."""
+    bars = hourly(spark, sf_dir)
+    found = sg.entries(_prepared(spark, sf_dir), [sg.build(name) for name in sg.LIBRARY])
+    return _rounded(rr.verdicts(rr.measured(found, bars), bars), "net_train", "net_oos", "won_train", "won_oos", "t")
+
+
 def stop_variants(spark, sf_dir):
     found = sg.entries(_prepared(spark, sf_dir), [sg.with_stop(sg.build("vwap_trend"), v) for v in sg.STOPS])
     return _rounded(found.select("instrument", "i", "strategy", "direction", "stop"), "stop")
@@ -206,7 +214,18 @@ def _state(minutes: int) -> str:
     FROM ls JOIN atr USING (instrument, i) JOIN rsi USING (instrument, i) QUALIFY row_number() OVER (PARTITION BY ls.instrument ORDER BY ls.i DESC) = 1)"""
 
 
+_FOLLOW = f"""{PREPARED_CTE}, en AS ({_entries(_ENTRIES)}), se AS (SELECT instrument, max(i) AS last, CAST(floor((max(i) + 1) * 0.7) AS BIGINT) AS cut FROM bars GROUP BY 1),
+fo AS (SELECT e.instrument, e.i, e.strategy, e.direction, e.stop, e.target, cut, arg_min(b.open, b.i) AS entry, arg_max(b.close, b.i) AS fin, min(b.i) FILTER (CASE WHEN e.direction = 1 THEN b.low <= e.stop ELSE b.high >= e.stop END) AS s, min(b.i) FILTER (CASE WHEN e.direction = 1 THEN b.high >= e.target ELSE b.low <= e.target END) AS g
+    FROM en e JOIN se USING (instrument) JOIN bars b ON b.instrument = e.instrument AND b.i BETWEEN e.i + 1 AND e.i + 20 WHERE e.i + 20 <= last GROUP BY ALL),
+fp AS (SELECT strategy, i < cut AS inside, 2.0 * direction * (CASE WHEN s IS NOT NULL AND (g IS NULL OR s <= g) THEN stop WHEN g IS NOT NULL THEN target ELSE fin END - entry) - 1.9 - 1.0 AS net FROM fo),
+fq AS (SELECT strategy, count(*) FILTER (inside) AS n_train, count(*) FILTER (NOT inside) AS n_oos, coalesce(sum(net) FILTER (inside), 0) AS net_train, coalesce(sum(net) FILTER (NOT inside), 0) AS net_oos, avg(net) FILTER (inside) AS mean, stddev_samp(net) FILTER (inside) AS sd,
+    avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) FILTER (inside) AS won_train, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) FILTER (NOT inside) AS won_oos FROM fp GROUP BY 1),
+fr AS (SELECT *, CASE WHEN n_train >= 30 AND sd > 0 THEN mean / (sd / sqrt(n_train)) END AS t FROM fq)"""
+VERDICTS = f"""WITH RECURSIVE {sql.BARS}, {_FOLLOW} SELECT strategy, n_train, n_oos, round(net_train, 6) AS net_train, round(net_oos, 6) AS net_oos, round(won_train, 6) AS won_train, round(won_oos, 6) AS won_oos, round(t, 6) AS t,
+    CASE WHEN t IS NULL THEN 'undecided' WHEN abs(t) > 1.959963984540054 AND net_train > 0 THEN 'candidate' ELSE 'rejected' END AS verdict FROM fr"""
+
 QUERIES = {
+    "research_verdicts": research_verdicts,
     "double_forms": lambda s, d: _rounded(sh.with_form(hourly(s, d)), "form_error"),
     "best_forms": lambda s, d: _rounded(sh.best_of_first(sh.with_form(hourly(s, d))), "form_error"),
     "confirmation_steps": lambda s, d: sh.confirmation_steps(hourly(s, d)),
@@ -222,6 +241,7 @@ QUERIES = {
     "trading_days": trading_days,
 }
 ORACLES = {
+    "research_verdicts": VERDICTS,
     "double_forms": FORMS,
     "best_forms": BEST,
     "confirmation_steps": STEPS,

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from barspark.operators import contracts, costs, research
+from barspark.operators import contracts, costs, research, research_run
 from barspark.sources import runs, store
 from barspark.sources.bars import read_csv_bars
 from barspark.streaming import bars as st
@@ -135,3 +135,16 @@ def test_cost_profiles():
 def test_profile_table(spark):
     rows = {r.profile: (r.assumed, r.parts_known) for r in costs.profile_table(spark).collect()}
     assert rows == {"none": (True, False), "statement": (False, False), "assumed_parts": (True, True)}
+
+
+def test_research_run_is_registered_once(spark, tmp_path):
+    bars = spark.createDataFrame([("a", k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), 100.0 + k, 101.0 + k, 99.0 + k, 100.5 + k, 1.0) for k in range(200)], "instrument string, i long, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    entries = spark.createDataFrame([("a", k, "up", 1, None, None) for k in range(0, 195, 2)] + [("a", k, "few", -1, 200.0, 0.0) for k in (3, 7)] + [("a", 10, "edges", 1, 100.0, 112.0), ("a", 20, "edges", -1, 122.0, 90.0)], "instrument string, i long, strategy string, direction long, stop double, target double")
+    trades = {(r.strategy, r.i): (r.exit_i, r.ended, r.points) for r in research_run.measured(entries, bars, 5).collect()}
+    assert trades["up", 0] == (5, "time", 4.5) and trades["edges", 10] == (11, "target", 1.0) and trades["edges", 20] == (21, "stop", -1.0) and ("up", 194) in trades
+    root = str(tmp_path / "register")
+    first = research_run.research_run(entries, bars, root, "v1", 5).collect()
+    assert {r.strategy: r.verdict for r in first} == {"up": "undecided", "few": "undecided", "edges": "undecided"}  # the rising series has no spread
+    assert research_run.research_run(entries, bars, root, "v1", 5).collect() == first and runs.registered(spark, root).count() == 3
+    other = research_run.research_run(entries, bars.withColumn("volume", F.lit(2.0)), root, "v1", 5).collect()
+    assert runs.registered(spark, root).count() == 6 and {r.id for r in other}.isdisjoint({r.id for r in first})
