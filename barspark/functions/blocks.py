@@ -78,13 +78,15 @@ def at_events(events: DataFrame, bars: DataFrame, columns: tuple[str, ...], befo
     names = events.columns
 
     def each(key, table, given):
-        block = Bars(table, columns, key[1].as_py(), size)
+        block = Bars(table.rename_columns([c[1:] for c in table.schema.names]), columns, key[1].as_py(), size)
         i = given.column("i").to_numpy()
         at = np.searchsorted(block.i, i)
         there = np.flatnonzero((at < len(block)) & (block.i[np.minimum(at, max(0, len(block) - 1))] == i)) if len(block) else np.zeros(0, np.int64)
         return _built(run(block, given.select(names).take(pa.array(there)), at[there]), key[0].as_py(), arrow)
 
-    left = _spread(bars, columns, before, after, size).groupBy("instrument", "block")
+    # other names and other columns than those of events that come from the same bars
+    left = _spread(bars, columns, before, after, size)
+    left = left.toDF(*(f"_{c}" for c in left.columns)).groupBy("_instrument", "_block")
     right = events.withColumn("block", F.floor(F.col("i") / size)).groupBy("instrument", "block")
     return left.cogroup(right).applyInArrow(each, schema)
 
