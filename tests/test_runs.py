@@ -66,8 +66,8 @@ def test_exports_read_back_equal(spark, tmp_path):
 
 def test_contract_names(spark):
     names = {
-        "MNQ SEP19": ("MNQ", 2019, 9), "MNQ_SEP19_minute.txt": ("MNQ", 2019, 9), "MNQSEP2021": ("MNQ", 2021, 9), "es-dec24.Last.txt": ("ES", 2024, 12), "MNQ 09-26": ("MNQ", 2026, 9), "MNQ_12-25.Last.gz": ("MNQ", 2025, 12),
-        "MNQ 0926": None, "MNQ 13-26": None, "SEP19": None, "": None, "nothing": None,
+        "XYZ SEP19": ("XYZ", 2019, 9), "XYZ_SEP19_minute.txt": ("XYZ", 2019, 9), "XYZSEP2021": ("XYZ", 2021, 9), "es-dec24.Last.txt": ("ES", 2024, 12), "XYZ 09-26": ("XYZ", 2026, 9), "XYZ_12-25.Last.gz": ("XYZ", 2025, 12),
+        "XYZ 0926": None, "XYZ 13-26": None, "SEP19": None, "": None, "nothing": None,
     }
     df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("c", store.contract(F.col("name")))
     assert {r.name: tuple(r.c) if r.c else None for r in df.collect()} == names
